@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, lm_score, ngram_join, packing, quality, secrets, token_counts
+from . import decontam, exact_dedup, html_wrap, lm_score, ngram_join, packing, quality, secrets, token_counts, url_lists
 from .common import ready, table
 
 
@@ -21,6 +21,17 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    pages = table(spark, sf_dir, "pages")
+    judged = url_lists.judge(url_lists.sample_captures(pages), url_lists.sample_entries(pages))
+    return judged.withColumns({c: judged[c].cast("string") for c in ("fetched_on", "active_since")})
+
+
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrap.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("found")
 
@@ -42,8 +53,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_quality_classifier, op6_secret_scan, op7_ngram_jaccard_join, op8_best_fit_packing, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_quality_classifier, op4_url_filters, op5_html_main_text, op6_secret_scan, op7_ngram_jaccard_join, op8_best_fit_packing, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op4_url_filters": url_lists.ORACLE}
