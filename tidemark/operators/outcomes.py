@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions.stats import ratio
@@ -164,10 +165,13 @@ def t_test_p(mean: float, deviation: float, n: int) -> float | None:
     return incomplete_beta(v / 2, 0.5, v / (v + t * t))
 
 
-@F.pandas_udf("double")
-def t_test(mean: pd.Series, deviation: pd.Series, n: pd.Series) -> pd.Series:
+def t_test(mean: Column, deviation: Column, n: Column) -> Column:
     """`t_test_p` over aggregated rows; one call per rule, not per outcome."""
-    return pd.Series([None if s is None or s != s else t_test_p(m, s, int(k)) for m, s, k in zip(mean, deviation, n)], dtype=float)
+
+    def p(mean: pd.Series, deviation: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or s != s else t_test_p(m, s, int(k)) for m, s, k in zip(mean, deviation, n)], dtype=float)
+
+    return F.pandas_udf(p, DoubleType())(mean, deviation, n)
 
 
 def tested(rows: DataFrame, key: str, outcome: str = "outcome", trials: int = 100, iterations: int = 1000) -> DataFrame:
