@@ -32,7 +32,7 @@ def column(df, name, order="trade_date"):
 def test_returns_and_windows(spark):
     f = features.price_features(bars(spark, [10, 11, 12.1, 0, 5]), (1, 3))
     assert column(f, "return_1d") == pytest.approx([None, 0.1, 0.1, -1.0, None]) and column(f, "return_3d") == pytest.approx([None, None, None, -1.0, (5 - 11) / 11])
-    assert column(f, "volatility_3d") == [None] * 3 + pytest.approx([np.std([0.1, 0.1, -1.0])]) + [None]
+    assert column(f, "volatility_3d") == pytest.approx([None, None, None, np.std([0.1, 0.1, -1.0]), None])
     assert column(f, "distance_high_3d")[:3] == [None, None, 0.0]
 
 

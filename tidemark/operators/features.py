@@ -10,28 +10,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.stats import change, mid_rank, pearson, ratio
 
 #: Fixed: window grids.
 PRICE_WINDOWS, VOLUME_WINDOWS, CROSS_WINDOWS, REGIME_LOOKBACK = (1, 3, 5, 10, 20, 60), (5, 10, 20), (5, 10, 20), 120
 
-BY = Window.partitionBy("ticker").orderBy("trade_date")
+
+def by() -> WindowSpec:
+    """Rows of a ticker by date."""
+    return Window.partitionBy("ticker").orderBy("trade_date")
 
 
 def back(n: int, last: int = 0):
     """The n rows up to `last` rows before or at the current one."""
-    return BY.rowsBetween(last - n + 1, last)
+    return by().rowsBetween(last - n + 1, last)
 
 
 def ret(n: int, price: str = "adj") -> Column:
-    return change(F.col(price), F.lag(price, n).over(BY))
+    return change(F.col(price), F.lag(price, n).over(by()))
 
 
 def full(x: Column, n: int) -> Column:
     """x where n rows exist up to this one."""
-    return F.when(F.row_number().over(BY) >= n, x)
+    return F.when(F.row_number().over(by()) >= n, x)
 
 
 def with_adjusted(bars: DataFrame, events: DataFrame | None = None) -> DataFrame:
@@ -48,7 +51,7 @@ def price_features(bars: DataFrame, windows=PRICE_WINDOWS) -> DataFrame:
     out = bars.withColumns({f"return_{n}d": ret(n) for n in windows} | {"ret1": ret(1)})
     more: dict[str, Column] = {}
     for n in windows:
-        more[f"acceleration_{n}d"] = F.col(f"return_{n}d") - F.lag(f"return_{n}d", n).over(BY)
+        more[f"acceleration_{n}d"] = F.col(f"return_{n}d") - F.lag(f"return_{n}d", n).over(by())
         more[f"distance_high_{n}d"] = full(change(F.col("adj"), F.max("high").over(back(n))), n)
         more[f"distance_low_{n}d"] = full(change(F.col("adj"), F.min("low").over(back(n))), n)
         if n > 1:
@@ -58,7 +61,7 @@ def price_features(bars: DataFrame, windows=PRICE_WINDOWS) -> DataFrame:
 
 def percentile_in_past(column: str, lookback: int = REGIME_LOOKBACK) -> Column:
     """Mid-rank of the current value among the lookback - 1 rows before; null unless all are known."""
-    past = F.collect_list(column).over(BY.rowsBetween(1 - lookback, -1))
+    past = F.collect_list(column).over(by().rowsBetween(1 - lookback, -1))
     return F.when(F.size(past) == lookback - 1, mid_rank(F.col(column), past))
 
 
@@ -67,14 +70,14 @@ def volume_features(bars: DataFrame, windows=VOLUME_WINDOWS) -> DataFrame:
     out = bars.withColumns({"ret1": ret(1), "v": F.col("volume").cast("double")})
     first: dict[str, Column] = {}
     for n in windows:
-        before = BY.rowsBetween(-n, -1)
+        before = by().rowsBetween(-n, -1)
         known, mean, deviation = F.count("v").over(before) >= 2, F.avg("v").over(before), F.stddev_pop("v").over(before)
         first[f"relative_volume_{n}d"] = F.when(known, ratio(F.col("v"), mean))
         first[f"turnover_anomaly_{n}d"] = F.when(known & (deviation > 1e-9), ratio(F.col("v") - mean, deviation))
         first[f"price_volume_correlation_{n}d"] = F.when(F.count("ret1").over(back(n)) == n, pearson(F.col("ret1"), F.col("v"), back(n)))
-        first[f"volume_percentile_{n}d"] = full(mid_rank(F.col("v"), F.collect_list("v").over(BY.rowsBetween(1 - n, -1))), n)
+        first[f"volume_percentile_{n}d"] = full(mid_rank(F.col("v"), F.collect_list("v").over(by().rowsBetween(1 - n, -1))), n)
     out = out.withColumns(first)
-    return out.withColumns({f"volume_acceleration_{n}d": F.col(f"relative_volume_{n}d") - F.lag(f"relative_volume_{n}d", n).over(BY) for n in windows})
+    return out.withColumns({f"volume_acceleration_{n}d": F.col(f"relative_volume_{n}d") - F.lag(f"relative_volume_{n}d", n).over(by()) for n in windows})
 
 
 def mid_rank_in(column: str, *keys: str) -> Column:

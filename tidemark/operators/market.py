@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import bucket, mid_rank, pearson, ratio
-from .features import BY, back, ret
+from .features import by, back, ret
 
 #: Fixed: regime thresholds.
 BULLISH, BEARISH, ELEVATED, HIGH = 0.03, -0.03, 0.015, 0.025
@@ -18,7 +18,7 @@ DIMENSIONS = ("volatility", "trend", "turnover", "breadth", "dispersion")
 
 def breadth(bars: DataFrame) -> DataFrame:
     """One row: how many tickers rose, fell, traded above their mean volume, on their last day."""
-    rows = bars.withColumns({"r": ret(1), "past": F.avg("volume").over(BY.rowsBetween(-20, -1))})
+    rows = bars.withColumns({"r": ret(1), "past": F.avg("volume").over(by().rowsBetween(-20, -1))})
     last = rows.groupBy("ticker").agg(
         F.count("*").alias("n"), F.max_by("r", F.when(F.col("r").isNotNull(), F.col("trade_date"))).alias("r"), F.max_by("volume", "trade_date").alias("v"), F.max_by("past", "trade_date").alias("past")
     )
@@ -69,7 +69,7 @@ def sector_leaders(bars: DataFrame, sectors: DataFrame) -> DataFrame:
 
 def price_stats(bars: DataFrame) -> DataFrame:
     """The last day of each ticker with its momentum, annual volatility, range and averages."""
-    rows = bars.withColumns({"r": ret(1), "c20": F.lag("adj", 20).over(BY), "sma20": F.avg("adj").over(back(20)), "sma50": F.avg("adj").over(back(50)), "high_252d": F.max("high").over(back(252)), "low_252d": F.min("low").over(back(252))})
+    rows = bars.withColumns({"r": ret(1), "c20": F.lag("adj", 20).over(by()), "sma20": F.avg("adj").over(back(20)), "sma50": F.avg("adj").over(back(50)), "high_252d": F.max("high").over(back(252)), "low_252d": F.min("low").over(back(252))})
     whole = Window.partitionBy("ticker")
     rows = rows.withColumns({"annual_volatility": F.stddev_samp("r").over(whole) * F.sqrt(F.lit(252.0)), "last": F.max("trade_date").over(whole)}).where(F.col("trade_date") == F.col("last"))
     trend = F.when((F.col("adj") > F.col("sma20")) & (F.col("sma20") > F.col("sma50")), "up").when((F.col("adj") < F.col("sma20")) & (F.col("sma20") < F.col("sma50")), "down").otherwise("flat")
@@ -91,7 +91,7 @@ def pair_correlations(bars: DataFrame) -> DataFrame:
 def lead_lag(bars: DataFrame, lags=(1, 2, 3, 5)) -> DataFrame:
     """Correlation of each ticker's return with each other's `lag` positions before."""
     rows = bars.withColumn("y", ret(1)).where("y is not null").select("ticker", "trade_date", "y")
-    wide = rows.select("ticker", "trade_date", *[F.lag("y", n).over(BY).alias(f"x{n}") for n in lags])
+    wide = rows.select("ticker", "trade_date", *[F.lag("y", n).over(by()).alias(f"x{n}") for n in lags])
     before = wide.select(F.col("ticker").alias("leader"), "trade_date", F.inline(F.array(*[F.struct(F.lit(n).alias("lag"), F.col(f"x{n}").alias("x")) for n in lags]))).where("x is not null")
     pairs = before.join(rows.withColumnRenamed("ticker", "follower"), "trade_date").where("leader <> follower")
     return pairs.groupBy("leader", "follower", "lag").agg(F.count("*").alias("n"), pearson(F.col("x"), F.col("y")).alias("correlation"))
@@ -100,7 +100,7 @@ def lead_lag(bars: DataFrame, lags=(1, 2, 3, 5)) -> DataFrame:
 def worst_window(bars: DataFrame, days: int) -> DataFrame:
     """The run of `days` daily returns with the smallest sum per ticker; the first of equals."""
     rows = bars.withColumn("r", ret(1)).where("r is not null")
-    ahead = BY.rowsBetween(0, days - 1)
+    ahead = by().rowsBetween(0, days - 1)
     rows = rows.withColumns({"total": F.round(F.sum("r").over(ahead), 6), "n": F.count("*").over(ahead)}).where(F.col("n") == days)
     best = F.min(F.struct("total", "trade_date"))
     return rows.groupBy("ticker").agg(best.alias("b")).select("ticker", F.col("b.trade_date").alias("starts_on"), F.col("b.total").alias("worst_sum"))
@@ -109,10 +109,10 @@ def worst_window(bars: DataFrame, days: int) -> DataFrame:
 def backtest(bars: DataFrame, signal: str | None = None, cost_bps: float = 10.0, tail: float = 0.3) -> DataFrame:
     """Per ticker: sign of yesterday's signal as position, turnover costs, figures over the last part."""
     rows = bars.withColumn("r", ret(1))
-    rows = rows.withColumn("position", F.coalesce(F.signum(F.lag(F.col(signal) if signal else F.col("r"), 1).over(BY)), F.lit(0.0))).where("r is not null")
-    rows = rows.withColumn("net", F.col("position") * F.col("r") - F.abs(F.col("position") - F.coalesce(F.lag("position", 1).over(BY), F.lit(0.0))) * cost_bps / 10_000)
+    rows = rows.withColumn("position", F.coalesce(F.signum(F.lag(F.col(signal) if signal else F.col("r"), 1).over(by())), F.lit(0.0))).where("r is not null")
+    rows = rows.withColumn("net", F.col("position") * F.col("r") - F.abs(F.col("position") - F.coalesce(F.lag("position", 1).over(by()), F.lit(0.0))) * cost_bps / 10_000)
     whole = Window.partitionBy("ticker")
-    rows = rows.withColumns({"i": F.row_number().over(BY), "n": F.count("*").over(whole)}).where(F.col("i") > F.floor(F.col("n") * (1 - tail)))
+    rows = rows.withColumns({"i": F.row_number().over(by()), "n": F.count("*").over(whole)}).where(F.col("i") > F.floor(F.col("n") * (1 - tail)))
     active = F.col("position") != 0
     return rows.groupBy("ticker").agg(
         F.count("*").alias("days"), F.round(F.sum("net"), 4).alias("net_return"), F.round(F.try_divide(F.avg("net"), F.nullif(F.stddev_pop("net"), F.lit(0.0))) * F.sqrt(F.lit(250.0)), 4).alias("sharpe"),
@@ -121,7 +121,7 @@ def backtest(bars: DataFrame, signal: str | None = None, cost_bps: float = 10.0,
 
 
 def liquidity_proxies(bars: DataFrame) -> DataFrame:
-    rows = bars.withColumns({"r": ret(1), "turnover": F.col("close") * F.col("volume"), "lr": F.ln(F.try_divide(F.col("adj"), F.lag("adj", 1).over(BY)))})
+    rows = bars.withColumns({"r": ret(1), "turnover": F.col("close") * F.col("volume"), "lr": F.ln(F.try_divide(F.col("adj"), F.lag("adj", 1).over(by())))})
     w = back(20)
     return rows.withColumns(
         {

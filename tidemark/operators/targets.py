@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import change
-from .features import BY
+from .features import by
 
 #: Fixed: horizons in trading days, exceedance levels, (up, down, days) barriers.
 HORIZONS, LEVELS, BARRIERS = (5, 10, 20, 60), (0.02, 0.05), ((0.05, -0.03, 20), (0.10, -0.05, 20))
 
 
 def ahead(h: int):
-    return BY.rowsBetween(1, h)
+    return by().rowsBetween(1, h)
 
 
 def forward(h: int) -> Column:
-    return change(F.lead("adj", h).over(BY), F.col("adj"))
+    return change(F.lead("adj", h).over(by()), F.col("adj"))
 
 
 def forward_targets(bars: DataFrame, horizons=HORIZONS) -> DataFrame:
@@ -30,7 +30,7 @@ def forward_targets(bars: DataFrame, horizons=HORIZONS) -> DataFrame:
     out = bars.withColumns({f"forward_return_{h}d": forward(h) for h in horizons})
     more: dict[str, Column] = {}
     for h in horizons:
-        whole = F.lead("adj", h).over(BY).isNotNull()
+        whole = F.lead("adj", h).over(by()).isNotNull()
         more[f"mfe_{h}d"] = F.when(whole, change(F.max("high").over(ahead(h)), F.col("adj")))
         more[f"mae_{h}d"] = F.when(whole, change(F.min("low").over(ahead(h)), F.col("adj")))
         more[f"positive_{h}d"] = F.when(whole, (F.col(f"forward_return_{h}d") > 0).cast("double"))

@@ -13,12 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DAY_FORMATS = ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+DAY_FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
 
 
 def any_day(text: Column) -> Column:
-    """The first of the usual feed formats that fits, as a date."""
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in DAY_FORMATS], F.to_date(F.try_to_timestamp(F.regexp_replace(text, r"^\w+, ", ""), F.lit("d MMM yyyy HH:mm:ss Z"))))
+    """The first of the usual feed formats that fits, as a date; a weekday before it is ignored."""
+    bare = F.regexp_replace(text, r"^\w+, ", "")
+    return F.coalesce(*[F.to_date(F.try_to_timestamp(bare, F.lit(f))) for f in DAY_FORMATS])
 
 
 def lines(docs: DataFrame) -> DataFrame:
