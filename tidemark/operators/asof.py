@@ -56,11 +56,16 @@ def near(left: DataFrame, right: DataFrame, on: str, left_day: str, right_day: s
     size = 2 * days + 1
     number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
     cells = right.select(F.col(on).alias("_k"), F.col(right_day).alias("_d"), F.floor(number(right_day) / size).alias("_cell")).distinct()
-    probe = left.withColumn("_n", number(left_day)).withColumn("_cells", F.array_distinct(F.array(F.floor((F.col("_n") - days) / size), F.floor((F.col("_n") + days) / size))))
-    marked = probe.withColumn("_id", F.struct(*left.columns)).withColumn("_c", F.explode("_cells"))
-    hit = marked.join(cells, (F.col(on) == F.col("_k")) & (F.col("_c") == F.col("_cell")) & (F.abs(F.datediff(F.col(left_day), F.col("_d"))) <= days), "left_semi").select("_id").distinct()
-    tagged = left.withColumn("_id", F.struct(*left.columns))
-    return tagged.join(hit, "_id", how).drop("_id")
+    cells = cells.groupBy("_k", "_cell").agg(F.collect_set("_d").alias("_days"))  # at most `size` days each
+    at = [F.floor((number(left_day) + shift) / size) for shift in (-days, days)]
+    rows = left
+    for n, cell in enumerate(at):
+        c = cells.select(F.col("_k").alias(f"_k{n}"), F.col("_cell").alias(f"_cell{n}"), F.col("_days").alias(f"_days{n}"))
+        rows = rows.join(c, (F.col(on) == F.col(f"_k{n}")) & (cell == F.col(f"_cell{n}")), "left")
+    close = F.lit(False)
+    for n in range(2):
+        close = close | F.coalesce(F.exists(f"_days{n}", lambda d: F.abs(F.datediff(F.col(left_day), d)) <= days), F.lit(False))
+    return rows.where(close if how == "left_semi" else ~close).select(*left.columns)
 
 
 def around(prices: DataFrame, events: DataFrame, on: str, price_day: str, event_day: str, value: str, days: int, least: int = 3) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stage import written
+
 #: Fixed: columns of a bar.
 BAR = ("ticker", "trade_date", "open", "high", "low", "close", "volume")
 
@@ -33,6 +35,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars, written once for plans that read them more than once."""
+    return written(bars(spark, sf_dir), "bars")
+
+
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     brand = table(spark, sf_dir, "part").select(F.col("p_brand").alias("ticker")).distinct()
     return brand.withColumn("sector", F.concat(F.lit("S"), F.regexp_extract("ticker", r"(\d+)", 1).cast("int") % 5))
@@ -44,10 +51,10 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("observation_date")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
 
 
-def corporate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Splits and dividends on fixed day numbers of each ticker's bars."""
+def corporate_events(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Splits and dividends on fixed day numbers of each ticker's bars (`of`, if at hand)."""
     n = F.datediff("trade_date", F.lit("1995-01-01").cast("date"))
-    rows = bars(spark, sf_dir).select("ticker", F.col("trade_date").alias("event_date"), "close", n.alias("n")).where("n % 97 = 0 or n % 389 = 0")
+    rows = (bars(spark, sf_dir) if of is None else of).select("ticker", F.col("trade_date").alias("event_date"), "close", n.alias("n")).where("n % 97 = 0 or n % 389 = 0")
     return rows.select(
         "ticker", "event_date", F.when(F.col("n") % 389 == 0, "SPLIT").otherwise("DIVIDEND").alias("event_type"),
         F.when(F.col("n") % 389 == 0, F.lit(2.0)).alias("split_ratio"), F.when(F.col("n") % 389 != 0, F.round(F.col("close") * 0.01, 4)).alias("dividend_amount"),

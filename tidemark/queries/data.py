@@ -139,7 +139,8 @@ SELECT ticker, trade_date AS event_date, round(c0 * (1 - f0 / f), 2) AS dividend
 def s44(spark, d):
     from ..operators.adjust import split_adjusted
 
-    a = split_adjusted(views.bars(spark, d), views.corporate_events(spark, d))
+    b = views.shared_bars(spark, d)
+    a = split_adjusted(b, views.corporate_events(spark, d, b))
     return storage.implied_dividends(a).withColumn("dividend_amount", F.round("dividend_amount", 2))
 
 
@@ -216,16 +217,18 @@ def j5(spark, d):
 WITH a AS (SELECT *, {RET.format(n=1)} AS r1 FROM bars WINDOW w AS ({W}))
 SELECT ticker, trade_date FROM a WHERE abs(r1) > 0.5 AND EXISTS (SELECT 1 FROM corporate_events e WHERE e.ticker = a.ticker AND abs(e.event_date - a.trade_date) <= 3)"""))
 def j11(spark, d):
-    jumps = plain(spark, d).withColumn("r1", features.ret(1)).where("abs(r1) > 0.5").select("ticker", "trade_date")
-    return asof.near(jumps, views.corporate_events(spark, d), "ticker", "trade_date", "event_date", 3)
+    b = views.shared_bars(spark, d)
+    jumps = features.with_adjusted(b).withColumn("r1", features.ret(1)).where("abs(r1) > 0.5").select("ticker", "trade_date")
+    return asof.near(jumps, views.corporate_events(spark, d, b), "ticker", "trade_date", "event_date", 3)
 
 
 @query("j12_unexplained_jumps", sql("bars corporate_events", f"""
 WITH a AS (SELECT *, {RET.format(n=1)} AS r1 FROM bars WINDOW w AS ({W}))
 SELECT ticker, trade_date FROM a WHERE abs(r1) > 20 AND NOT EXISTS (SELECT 1 FROM corporate_events e WHERE e.ticker = a.ticker AND abs(e.event_date - a.trade_date) <= 3)"""))
 def j12(spark, d):
-    jumps = plain(spark, d).withColumn("r1", features.ret(1)).where("abs(r1) > 20").select("ticker", "trade_date")
-    return asof.near(jumps, views.corporate_events(spark, d), "ticker", "trade_date", "event_date", 3, "left_anti")
+    b = views.shared_bars(spark, d)
+    jumps = features.with_adjusted(b).withColumn("r1", features.ret(1)).where("abs(r1) > 20").select("ticker", "trade_date")
+    return asof.near(jumps, views.corporate_events(spark, d, b), "ticker", "trade_date", "event_date", 3, "left_anti")
 
 
 @query("j13_event_study", sql("bars corporate_events", f"""
@@ -234,8 +237,9 @@ g AS (SELECT e.ticker, e.event_date, count(r1) FILTER (trade_date < event_date)
   FROM corporate_events e JOIN a ON a.ticker = e.ticker AND abs(trade_date - event_date) <= 10 WHERE event_type = 'SPLIT' GROUP BY ALL)
 SELECT ticker, event_date, n_before, n_after, round(c - b, 4) AS shift FROM g WHERE n_before >= 3 AND n_after >= 3"""))
 def j13(spark, d):
-    a = plain(spark, d).withColumn("r1", features.ret(1)).select("ticker", "trade_date", "r1")
-    e = views.corporate_events(spark, d).where("event_type = 'SPLIT'").select("ticker", "event_date")
+    b = views.shared_bars(spark, d)
+    a = features.with_adjusted(b).withColumn("r1", features.ret(1)).select("ticker", "trade_date", "r1")
+    e = views.corporate_events(spark, d, b).where("event_type = 'SPLIT'").select("ticker", "event_date")
     return asof.around(a, e, "ticker", "trade_date", "event_date", "r1", 10).select("ticker", "event_date", "n_before", "n_after", r("shift", 4))
 
 

@@ -161,12 +161,14 @@ def w24(spark, d):
 SELECT b.ticker, b.trade_date, b.close, b.close / power(2.0::DOUBLE, count(e.event_date)) AS adj
 FROM bars b LEFT JOIN corporate_events e ON e.ticker = b.ticker AND e.event_type = 'SPLIT' AND e.event_date > b.trade_date GROUP BY b.ticker, b.trade_date, b.close"""))
 def w36_splits(spark, d):
-    return adjust.split_adjusted(views.bars(spark, d), views.corporate_events(spark, d)).select("ticker", "trade_date", "close", "adj")
+    b = views.shared_bars(spark, d)
+    return adjust.split_adjusted(b, views.corporate_events(spark, d, b)).select("ticker", "trade_date", "close", "adj")
 
 
 @query("j14_mixed_adjustment")
 def j14_mixed(spark, d):
-    return adjust.adjusted(views.bars(spark, d), views.corporate_events(spark, d)).select("ticker", "trade_date", "close", F.round("adj", 6).alias("adj"))
+    b = views.shared_bars(spark, d)
+    return adjust.adjusted(b, views.corporate_events(spark, d, b)).select("ticker", "trade_date", "close", F.round("adj", 6).alias("adj"))
 
 
 @query("w37_horizon_forward", sql("bars", f"""

@@ -256,7 +256,7 @@ def w29(spark, d):
 @query("w33_ranking", "SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer QUALIFY rank <= 10")
 def w33(spark, d):
     w = Window.partitionBy("c_mktsegment").orderBy(F.col("c_acctbal").desc(), "c_custkey")
-    return table(spark, d, "customer").withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("c_mktsegment", "c_custkey", "rank")
+    return table(spark, d, "customer").withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 10").select("c_mktsegment", "c_custkey", "rank")
 
 
 @query("j7_common_dates", sql("bars", "SELECT trade_date FROM bars WHERE ticker = 'Brand#1' INTERSECT SELECT trade_date FROM bars WHERE ticker = 'Brand#2' INTERSECT SELECT trade_date FROM bars WHERE ticker = 'Brand#3'"))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import decisions, events, features, graph, market, outcomes, rules, targets, valuation
 from ..plans import views
+from ..plans.stage import written
 from ..plans.views import sql, table
 from .market import RET, W, plain, r
 from .registry import query
@@ -23,6 +24,7 @@ h AS (SELECT f.ticker, cond_id, feature_id, f.trade_date, outcome FROM f JOIN c
 def mined(spark, d):
     """Features, conditions, hits and outcomes that the rule queries share."""
     wide = plain(spark, d).withColumns({"return_5d": features.ret(5), "return_20d": features.ret(20), "outcome": targets.forward(10)})
+    wide = written(wide.select("ticker", "trade_date", "return_5d", "return_20d", "outcome"), "features")  # every branch below reads it
     long = rules.long_features(wide, ["return_5d", "return_20d"])
     conds = rules.conditions(long)
     out = wide.select("ticker", "trade_date", "outcome")
