@@ -48,7 +48,8 @@ def bucket(percentile: Column, k: int) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+    """x within bounds; null stays null (`least` and `greatest` alone would skip it)."""
+    return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
 
 
 def mean_known(*parts: Column) -> Column:

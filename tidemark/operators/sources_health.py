@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.stats import mean_known, ratio
+from ..functions.stats import clamp, mean_known, ratio
 
 #: Fixed: stages, runs and composite needed for each next stage, latency target, alert levels.
 STAGES, MIN_RUNS, MIN_COMPOSITE = ("candidate", "quarantine", "evaluation", "trusted", "core"), (1, 5, 20, 100), (0.0, 0.0, 0.70, 0.85)
@@ -26,7 +26,7 @@ def metrics(runs: DataFrame) -> DataFrame:
 def reputation(m: DataFrame) -> DataFrame:
     """Dimensions in [0, 1] and their mean over those that were measured."""
     latency = F.when(F.col("latency") <= LATENCY_TARGET, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (F.col("latency") - LATENCY_TARGET) / (9 * LATENCY_TARGET)))
-    out = m.withColumns({"availability": ratio(F.col("runs_succeeded"), F.col("runs_total")), "usefulness": ratio(F.col("materialized_total"), F.col("runs_total")), "coverage": F.least(F.lit(1.0), ratio(F.col("produced"), F.col("expected"))), "latency_score": latency})
+    out = m.withColumns({"availability": ratio(F.col("runs_succeeded"), F.col("runs_total")), "usefulness": ratio(F.col("materialized_total"), F.col("runs_total")), "coverage": clamp(ratio(F.col("produced"), F.col("expected")), 0.0, 1.0), "latency_score": latency})
     return out.withColumn("composite", mean_known(F.col("availability"), F.col("usefulness"), F.col("accuracy"), F.col("coverage"), F.col("latency_score")))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.stats import clamp
+
 #: Fixed: model weights; sector multiples (pe, ev_ebitda, pb).
 WEIGHTS = {"dcf": 0.30, "ddm": 0.10, "residual_income": 0.15, "earnings_power": 0.15, "ev_ebitda": 0.10, "pe": 0.10, "pb": 0.10}
 MULTIPLES = {"Banks": (9.0, 7.0, 1.0), "Real Estate": (12.0, 9.0, 1.5), "Technology": (20.0, 14.0, 3.0), "Telecommunications": (10.0, 7.0, 1.5), "Materials": (9.0, 7.0, 1.2)}
@@ -72,7 +74,7 @@ def fair_values(facts: DataFrame, a: Assumptions = Assumptions()) -> DataFrame:
     ke, g = a.equity_cost, a.growth
     have = {f.name for f in facts.schema}
     col = lambda n: F.col(n) if n in have else F.lit(None).cast("double")
-    rate = lambda n: 0.5 * F.coalesce(F.least(F.lit(0.2), F.greatest(F.lit(-0.2), col(n))), F.lit(g)) + 0.5 * g
+    rate = lambda n: 0.5 * F.coalesce(clamp(col(n), -0.2, 0.2), F.lit(g)) + 0.5 * g
     g_eps, g_fcf = rate("g_eps"), rate("g_free_cash_flow")
     shares = F.when(col("shares") > 0, col("shares"))
     net_cash = F.coalesce(col("cash"), F.lit(0.0)) - F.coalesce(col("debt"), F.lit(0.0))

@@ -1,6 +1,6 @@
 """All registered queries of the market domain."""
 
-from . import data, market, research, rules, streams  # noqa: F401
+from . import data, market, reports, research, rules, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
