@@ -42,15 +42,15 @@ def bits_for(rows: int, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BI
     return bits
 
 
-def repeated_cells(keys: DataFrame, bits: int) -> DataFrame:
-    """Bitmaps of the Bloom cells that more than one row sets."""
+def cell_bitmaps(keys: DataFrame, bits: int, least: int = 1) -> DataFrame:
+    """Bitmaps of the Bloom cells that at least so many of the hashes `h` set."""
     cell = keys.select(F.explode(F.array(*cells(F.col("h"), bits))).alias("cell"))
-    twice = cell.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    return twice.groupBy(F.expr(f"cell div {PAGE}").alias("page")).agg(F.expr(f"bitmap_construct_agg(cell % {PAGE})").alias("bitmap"))
+    often = cell.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return often.groupBy(F.expr(f"cell div {PAGE}").alias("page")).agg(F.expr(f"bitmap_construct_agg(cell % {PAGE})").alias("bitmap"))
 
 
 def with_maybe(rows: DataFrame, h: str, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """Add `_maybe`: whether the row's hash is possibly repeated."""
+    """Add `_maybe`: whether all cells of the row's hash are in the bitmaps."""
     both = None
     for k, cell in enumerate(cells(F.col(h), bits)):
         page = F.broadcast(bitmaps.select(F.col("page").alias(f"_page{k}"), F.col("bitmap").alias(f"_bitmap{k}")))
@@ -71,7 +71,7 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def groups_of(keys: DataFrame, bits_per_row: int, max_bits: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Rows marked `_maybe`, and per repeated text its best row and size."""
     bits = bits_for(keys.count(), bits_per_row, max_bits)
-    bitmaps = staged(repeated_cells(keys, bits), "bitmaps")
+    bitmaps = staged(cell_bitmaps(keys, bits, 2), "bitmaps")
     marked = with_maybe(keys, "h", bitmaps, bits)
     alike = marked.where("_maybe").groupBy("sha", "doc_id", "len").agg(F.count("*").alias("times"))
     best = F.max(F.struct("len", F.expr("~doc_id").alias("low"), "doc_id"))

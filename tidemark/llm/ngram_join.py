@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready, staged, text_of
+from .exact_dedup import bits_for, cell_bitmaps, with_maybe
 from .nptext import U64, Batch, chunks, mix, shingles
 
 SIZE, THRESHOLD, RECALL = 5, 0.8, 0.9995
@@ -216,7 +217,7 @@ def ngram_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
     member = member.join(staged(weight.select("comp", nb.alias("nb")), "weights"), "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     # the texts of the members, shingled again: far fewer than all
     body = docs.select(docs[doc_id].cast("long").alias("rep"), text_of(docs, text).alias("text"))
-    held = body.join(member, "rep")
+    held = among(body, "rep", member).join(member, "rep")
 
     def shingled(batches):
         for batch in batches:
@@ -254,7 +255,16 @@ def ngram_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
     return out.unionByName(alone)
 
 
+def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose id is in a Bloom filter of `ids` (16 MB at most), so that the join after it
+    shuffles few texts; a filter that is full lets more through, the join decides."""
+    keys = staged(ids.select(F.xxhash64(column).alias("h")), "filter")
+    bits = bits_for(keys.count())
+    bitmaps = staged(cell_bitmaps(keys, bits), "bitmaps")
+    return with_maybe(rows.withColumn("_h", F.xxhash64(column)), "_h", bitmaps, bits).where("_maybe").drop("_h", "_maybe")
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that are their class's representative, with all columns."""
-    keep = staged(ngram_join(docs, doc_id=doc_id, text=text, **options).where("class_id <=> doc_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.join(keep, docs[doc_id].cast("long").eqNullSafe(keep["_kept"]), "left_semi")
+    drop = staged(ngram_join(docs, doc_id=doc_id, text=text, **options).where("not (class_id <=> doc_id)").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    return docs.join(drop, docs[doc_id].cast("long").eqNullSafe(drop["_dropped"]), "left_anti")

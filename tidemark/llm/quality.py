@@ -22,9 +22,11 @@ kept by `keep_good`. Empty tables give no rows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import ready, staged, text_of
 from .nptext import U64, Batch, chunks, mix
@@ -143,8 +145,19 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def weigh(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, span: float = SPAN, max_labels: int = MAX_LABELS, seed: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_grams, log_ratio (summed), weight, key, kept."""
+def scores(texts: list[str], ids: np.ndarray, ratio: np.ndarray, span: float, seed: int) -> tuple[np.ndarray, ...]:
+    """N-grams, summed log ratio, weight and key of each text."""
+    total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for lo, hi in chunks(texts):
+        f, owner = features(texts[lo:hi], len(ratio))
+        total[lo:hi] = np.bincount(owner, ratio[f], minlength=hi - lo)
+        n[lo:hi] = np.bincount(owner, minlength=hi - lo)
+    weight = span * total / np.maximum(n, 1)
+    return n, total, weight, weight + gumbel(ids, seed)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, buckets: int, smoothing: float, span: float, max_labels: int, seed: int, doc_id: str, text: str):
+    """The broadcast ratios, the scored documents, and the key of the k-th."""
     spark = docs.sparkSession
     ready(spark)
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
@@ -154,14 +167,8 @@ def weigh(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing:
 
     def score(batches):
         for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0)
-            total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for lo, hi in chunks(texts):
-                f, owner = features(texts[lo:hi], buckets)
-                total[lo:hi] = np.bincount(owner, ratio.value[f], minlength=hi - lo)
-                n[lo:hi] = np.bincount(owner, minlength=hi - lo)
-            weight = span * total / np.maximum(n, 1)
-            noisy = weight + gumbel(keys.fill_null(0).to_numpy(zero_copy_only=False), seed)
+            keys = batch.column(0)
+            n, total, weight, noisy = scores(batch.column(1).to_pylist(), keys.fill_null(0).to_numpy(zero_copy_only=False), ratio.value, span, seed)
             empty = n == 0
             yield pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(total), pa.array(weight, mask=empty), pa.array(noisy, mask=empty), pa.array(ordered(noisy), mask=empty)], names=["doc_id", "n_grams", "log_ratio", "weight", "key", "rank_key"])
 
@@ -169,12 +176,25 @@ def weigh(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing:
     judged = scored.where("weight is not null").join(F.broadcast(marks), "doc_id").groupBy("doc_id", "good").agg(F.max("weight").alias("weight")).toPandas()
     cut = best_cut(judged["weight"].to_numpy(float), judged["good"].to_numpy(bool))
     k = scored.where(F.col("weight") >= F.lit(cut)).count()
-    floor = kth_largest(scored.where("rank_key is not null"), "rank_key", k)
+    return ratio, scored, kth_largest(scored.where("rank_key is not null"), "rank_key", k)
+
+
+def weigh(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, span: float = SPAN, max_labels: int = MAX_LABELS, seed: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_grams, log_ratio (summed), weight, key, kept."""
+    _, scored, floor = fitted(docs, labels, buckets, smoothing, span, max_labels, seed, doc_id, text)
     kept = F.coalesce(F.col("rank_key") >= F.lit(floor), F.lit(False)) if floor is not None else F.lit(False)
     return scored.select("doc_id", "n_grams", "log_ratio", "weight", "key", kept.alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are kept, with all columns. One doc_id shares one decision."""
-    kept = weigh(docs, labels, doc_id=doc_id, text=text, **options).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+def keep_good(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, span: float = SPAN, max_labels: int = MAX_LABELS, seed: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that are kept, with all columns. Each is scored again where it is
+    read, so that no text shuffles."""
+    ratio, _, floor = fitted(docs, labels, buckets, smoothing, span, max_labels, seed, doc_id, text)
+    if floor is None:
+        return docs.where("false")
+
+    def passes(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        n, _, _, noisy = scores(texts.tolist(), ids.to_numpy(np.int64), ratio.value, span, seed)
+        return pd.Series((n > 0) & (ordered(noisy) >= floor))
+
+    return docs.where(F.pandas_udf(passes, BooleanType())(F.coalesce(docs[doc_id].cast("long"), F.lit(0)), text_of(docs, text)))
