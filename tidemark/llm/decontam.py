@@ -31,6 +31,8 @@ from .nptext import U64, chunks, mix
 Q, UNIT, RATE, LEAST, SLICE_CHARS = 8, 100, 0.1, 32, 2_000_000
 _R = U64(0x9E3779B97F4A7C15)
 GAP = 65535
+#: Characters searched at once; each takes about 150 bytes meanwhile.
+CHUNK = 1_000_000
 _fold: list[np.ndarray] = []
 
 
@@ -221,7 +223,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, unit: int = UN
             index = Index(shared.value, q, unit, rate, least)
             for batch in batches:
                 texts, found = batch.column(1).to_pylist(), []
-                for lo, hi in chunks(texts):
+                for lo, hi in chunks(texts, CHUNK):
                     own: list[dict] = [{} for _ in range(hi - lo)]
                     codes, source, at = fold(texts[lo:hi], gap=unit + 2 * index.width)
                     if len(index.units):

@@ -112,7 +112,7 @@ def shingles(words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarra
     return mix(total[same]), owner[:n][same]
 
 
-def chunks(texts: list[str], limit: int = 4_000_000):
+def chunks(texts: list[str], limit: int = 1_500_000):
     """Slices of the list whose characters sum to about `limit`; each text whole."""
     start, size = 0, 0
     for i, t in enumerate(texts):
