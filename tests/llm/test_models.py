@@ -63,6 +63,13 @@ def test_lm_edge_cases(spark, awkward, empty):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (4, 0, 0, 0.0) and math.isfinite(r.score)
 
 
+def test_all_windows_train_in_more_than_one_round(spark, sf, monkeypatch):
+    seen, once = [], lm_score.trained_round
+    monkeypatch.setattr(lm_score, "trained_round", lambda windows, *a: seen.append(windows.count()) or once(windows, *a))
+    lm_score.lm_score(table(spark, sf, "documents").limit(30))
+    assert len(seen) >= 2 and len(set(seen)) == 1
+
+
 @pytest.fixture(scope="module")
 def small():
     rng = np.random.default_rng(0)
