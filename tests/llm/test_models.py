@@ -70,6 +70,22 @@ def test_all_windows_train_in_more_than_one_round(spark, sf, monkeypatch):
     assert len(seen) >= 2 and len(set(seen)) == 1
 
 
+@pytest.mark.parametrize("copies", [1, 6100])
+def test_training_windows_cover_the_texts(spark, copies):
+    path = lm_score.multi_ranks()
+    text = " ".join(f"word{k % 700} and{k}" for k in range(10_000 if copies == 1 else 60))
+    docs = spark.createDataFrame([(1_000_000 + k, text) for k in range(copies)] + [(3, "")], "doc_id long, text string").repartition(2)
+    found = lm_score.gather(docs, path, lm_score.FOLDS, -1).where("window is not null").orderBy("row").collect()
+    assert len({r.row for r in found}) == len(found)
+    windows = np.stack([np.frombuffer(r.window, np.int32) for r in found])
+    b = lm_score.Batch([text])
+    ids, _ = lm_score.encode_words(path, b, *b.words())
+    predicted = windows[:, 1:][windows[:, 1:] != -2]
+    ends = np.flatnonzero(predicted == lm_score.END)
+    texts = [x[x >= 0].tolist() for x in np.split(predicted, ends + 1)[:-1]]
+    assert sorted(map(len, texts)) == [0] + [len(ids)] * copies and all(x in ([], ids.tolist()) for x in texts)
+
+
 @pytest.fixture(scope="module")
 def small():
     rng = np.random.default_rng(0)

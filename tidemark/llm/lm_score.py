@@ -13,9 +13,8 @@ as text leaves another remainder than `held` modulo `folds`:
 
 * counts of all words, and of all subword ids through them, in one shuffle;
 * the attention weights, trained in numpy by Adam: a warm-up on a bounded
-  sample of windows at the driver, then rounds over windows of every training
-  row (one per `window_every` words, at least one) in parallel, averaged after
-  each;
+  sample of windows at the driver, then ROUNDS rounds in parallel over windows
+  that cover every id of every training row, averaged after each;
 * the mixture weight, on one in MIXTURE_ONE_IN of the training rows.
 
 Scoring lays each text out in windows of WIDTH ids that overlap by
@@ -55,7 +54,7 @@ MOST_WORDS = 1 << 20
 WIDTH, STRIDE = 40, 32
 DIM, CLASSES, FREQUENT = 24, 96, 4096
 TALLY_WORDS, LEAST_STEPS = 600_000, 400
-SAMPLE_WINDOWS, WINDOW_EVERY, ROUNDS, MERGERS = 6000, 2000, 2, 16
+SAMPLE_WINDOWS, BLOCK_WINDOWS, ROUNDS, MERGERS = 6000, 1 << 18, 2, 16
 MIXTURES, MIXTURE_ONE_IN = tuple(k / 20 for k in range(1, 20)), 200
 END = -1  # stands for the end token until the vocabulary is known
 
@@ -413,43 +412,62 @@ class Tally:
         self.words = np.insert(self.words, i[fresh], words)
 
 
-def gathered(words: list, counts: list, windows: list, texts: int) -> pa.RecordBatch:
-    none = [None] * len(windows)
+def covering(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Windows of WIDTH + 1 ids over whole texts, in which each id and each text's end has
+    one place to be predicted. at: where each text's ids begin (and the end)."""
+    own = np.diff(at) + 1  # with the end
+    rows = -(-own // WIDTH)
+    edge = np.concatenate(([0], np.cumsum(rows * WIDTH + 1)))
+    flat = np.full(int(edge[-1]), -2, np.int32)
+    flat[np.arange(len(ids)) + np.repeat(edge[:-1] + 1 - at[:-1], own - 1)] = ids
+    flat[edge[:-1] + own] = END
+    first = np.repeat(edge[:-1] - (np.cumsum(rows) - rows) * WIDTH, rows) + np.arange(int(rows.sum())) * WIDTH
+    return flat[first[:, None] + np.arange(WIDTH + 1)]
+
+
+def gathered(words: list, counts: list, windows: np.ndarray, texts: int, row: int = 0) -> pa.RecordBatch:
+    n, k = len(words), len(windows)
+    raw = pa.array([*[None] * n, *[w.tobytes() for w in windows], None], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array([*words, *none, None], pa.string()), pa.array([*counts, *none, texts], pa.int64()), pa.array([*[None] * len(words), *windows, None], pa.list_(pa.int32()))], names=["word", "n", "window"]
+        [pa.array([*words, *[None] * (k + 1)], pa.string()), pa.array([*counts, *[None] * k, texts], pa.int64()), raw, pa.array([*[None] * n, *range(row, row + k), None], pa.int64())],
+        names=["word", "n", "window", "row"],
     )
 
 
-def gather(docs: DataFrame, path: str, folds: int, held: int, every: int) -> DataFrame:
+def unpacked(column: pa.Array) -> np.ndarray:
+    """Windows as written by `gathered`."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, WIDTH + 1)
+
+
+def gather(docs: DataFrame, path: str, folds: int, held: int) -> DataFrame:
     """From training rows: (word, count) combined within a task as far as TALLY_WORDS allows,
-    windows of ids, and the number of rows."""
+    windows of ids that cover the texts, each with a number of its own, and the number of rows."""
+    none = np.zeros((0, WIDTH + 1), np.int32)
 
     def run(batches):
-        tally = Tally()
+        tally, row = Tally(), TaskContext.get().partitionId() << 33
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            train = np.flatnonzero(~is_held(keys, folds, held))
-            texts, keys, windows = batch.column(1).take(pa.array(train)).to_pylist(), [keys[i] for i in train], []
+            train = np.flatnonzero(~is_held(batch.column(0).to_pylist(), folds, held))
+            texts = batch.column(1).take(pa.array(train)).to_pylist()
             for lo, hi in chunks(texts):
                 b = Batch(texts[lo:hi], lower=True)
                 starts, ends = b.words()
-                tally.add(b, starts, ends, b.hashes(starts, ends))
-                first = np.searchsorted(b.text_of(starts), np.arange(hi - lo + 1)).tolist()
-                for t, key in enumerate(keys[lo:hi]):
-                    size = first[t + 1] - first[t]
-                    for k in range(max(1, size // every)):
-                        here = first[t] + zlib.crc32(f"{key}/{k}".encode()) % max(1, size - 8)
-                        stop = min(here + WIDTH, first[t + 1])
-                        ids, _ = encode_words(path, b, starts[here:stop], ends[here:stop])
-                        ids = ids.tolist() + ([END] if stop == first[t + 1] else [])
-                        windows.append((([-2] if here == first[t] else []) + ids + [-2] * (WIDTH + 1))[: WIDTH + 1])
+                h = b.hashes(starts, ends)
+                tally.add(b, starts, ends, h)
+                _, one, word = np.unique(h, return_index=True, return_inverse=True)
+                some, some_at = encode_words(path, b, starts[one], ends[one])
+                size = np.diff(some_at)[word]
+                at = np.concatenate(([0], np.cumsum(size)))
+                ids = some[np.arange(at[-1]) + np.repeat(some_at[:-1][word] - at[:-1], size)]
+                windows = covering(ids, at[np.searchsorted(b.text_of(starts), np.arange(hi - lo + 1))])
+                yield gathered([], [], windows, hi - lo, row)
+                row += len(windows)
                 if len(tally.h) >= TALLY_WORDS:
-                    yield gathered(tally.words.tolist(), tally.n.tolist(), [], 0)
+                    yield gathered(tally.words.tolist(), tally.n.tolist(), none, 0)
                     tally = Tally()
-            yield gathered([], [], windows, len(texts))
-        yield gathered(tally.words.tolist(), tally.n.tolist(), [], 0)
+        yield gathered(tally.words.tolist(), tally.n.tolist(), none, 0)
 
-    return docs.mapInArrow(run, "word string, n long, window array<int>")
+    return docs.mapInArrow(run, "word string, n long, window binary, row long")
 
 
 def id_counts(counts: DataFrame, path: str) -> np.ndarray:
@@ -486,7 +504,7 @@ def profiles(windows: np.ndarray, size: int, top: np.ndarray) -> np.ndarray:
 
 
 def trained_round(windows: DataFrame, w: dict[str, np.ndarray], v: Vocabulary, rate: float, seed: int) -> dict[str, np.ndarray]:
-    """One pass over all windows in parallel; weights averaged by number of windows."""
+    """One pass over all windows in parallel, in blocks a task holds; weights averaged by number of windows."""
     spark = windows.sparkSession
     shared = spark.sparkContext.broadcast((w, v))
     names = sorted(w)
@@ -494,12 +512,17 @@ def trained_round(windows: DataFrame, w: dict[str, np.ndarray], v: Vocabulary, r
 
     def fit(batches):
         w0, v0 = shared.value
-        rows = [np.array(batch.column(0).to_pylist(), np.int64).reshape(-1, WIDTH + 1) for batch in batches]
-        rows = np.concatenate(rows) if rows else np.zeros((0, WIDTH + 1), np.int64)
-        if len(rows):
-            out, _ = train(w0, rows, v0, rate, 1, seed)
+        out, held, many = w0, [], 0
+        for batch in batches:
+            held.append(unpacked(batch.column(0)))
+            many += len(held[-1])
+            if sum(map(len, held)) >= BLOCK_WINDOWS:
+                out, held = train(out, np.concatenate(held), v0, rate, 1, seed)[0], []
+        if held:
+            out, _ = train(out, np.concatenate(held), v0, rate, 1, seed)
+        if many:
             flat = np.concatenate([out[n].reshape(-1) for n in names]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % MERGERS], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([flat], pa.list_(pa.float32()))], names=["slot", "n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % MERGERS], pa.int32()), pa.array([many], pa.int64()), pa.array([flat], pa.list_(pa.float32()))], names=["slot", "n", "w"])
 
     def merge(batches):
         total, n = None, 0
@@ -519,11 +542,10 @@ def trained_round(windows: DataFrame, w: dict[str, np.ndarray], v: Vocabulary, r
     return {n: part.reshape(w[n].shape).astype(np.float32) for n, part in zip(names, np.split(flat, np.cumsum(sizes)[:-1]))}
 
 
-def learn(docs: DataFrame, path: str, folds: int, held: int, most_words: int, every: int = WINDOW_EVERY) -> tuple[Model, DataFrame, int, int]:
+def learn(docs: DataFrame, path: str, folds: int, held: int, most_words: int) -> tuple[Model, DataFrame, int, int]:
     """The model, the counts of all training words, N and V. docs: doc_id, text."""
     spark = docs.sparkSession
-    every = int(min(every, max(60, every * docs.count() // SAMPLE_WINDOWS)))  # a small corpus gives more windows a row
-    found = staged(gather(docs, path, folds, held, every), "gathered")
+    found = staged(gather(docs, path, folds, held), "gathered")
     counts = staged(found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
     tally = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     ends = found.where("word is null and window is null").agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -537,7 +559,7 @@ def learn(docs: DataFrame, path: str, folds: int, held: int, most_words: int, ev
     ids = id_counts(counts, path)
     windows = found.where("window is not null").select("window")
     sample = windows.orderBy(F.xxhash64("window")).limit(SAMPLE_WINDOWS).toPandas()["window"]
-    sample = np.array(sample.tolist(), np.int64).reshape(-1, WIDTH + 1)
+    sample = np.frombuffer(b"".join(sample), np.int32).reshape(-1, WIDTH + 1)
     begins = np.array([t[:1] == b" " for t in encoder(path)[2]])
     top = np.argsort(-ids, kind="stable")[:256]
     v = Vocabulary(ids, ends, begins, profiles(sample, len(ids), top) if len(sample) else None)
