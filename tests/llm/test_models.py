@@ -86,6 +86,39 @@ def test_training_windows_cover_the_texts(spark, copies):
     assert sorted(map(len, texts)) == [0] + [len(ids)] * copies and all(x in ([], ids.tolist()) for x in texts)
 
 
+def test_neighbours_of_all_windows_are_counted(spark):
+    rng = np.random.default_rng(4)
+    windows = rng.integers(0, 300, (9000, lm_score.WIDTH + 1)).astype(np.int32)  # more than the warm-up takes
+    windows[:, -1] = -2
+    windows[-1, :3] = 300, 301, 302  # ids of the last window only
+    frame = spark.createDataFrame([(bytearray(w.tobytes()), k) for k, w in enumerate(windows)], "window binary, row long").repartition(3)
+    got = lm_score.profiles(frame, 303, np.arange(303))
+    expected = np.zeros((303, 606))
+    body = windows[:, :-1]
+    for shift in (1, 2):
+        np.add.at(expected, (body[:, shift:], body[:, :-shift]), 1)
+        np.add.at(expected, (body[:, :-shift], 303 + body[:, shift:]), 1)
+    assert (got == expected).all() and got[300].any()
+
+
+def test_every_known_id_is_classed_by_its_neighbours():
+    n = 20_000
+    profile = np.zeros((n, 8), np.float32)
+    profile[np.arange(n), np.arange(n) % 8] = 1
+    v = lm_score.Vocabulary(np.arange(n, 0, -1), 5, np.ones(n, bool), profile, classes=17)
+    assert all(len(set(v.cls[k:n:8])) == 1 for k in range(8))
+
+
+def test_mixture_is_fit_on_all_training_rows(spark, monkeypatch):
+    rows = [(k, "a b a c" if k else "rare words only here") for k in range(1, 40)] + [(0, "rare words only here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    seen, once = [], lm_score.best_mixture
+    monkeypatch.setattr(lm_score, "best_mixture", lambda scored, rare, floor: seen.append((scored.where("fit is not null").count(), rare.where("not held_out").count())) or once(scored, rare, floor))
+    lm_score.lm_score(docs, most_words=1)
+    held = sum(zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows)
+    assert seen[0][0] > 0 and seen[0][1] == 4 * (len(rows) - held)
+
+
 @pytest.fixture(scope="module")
 def small():
     rng = np.random.default_rng(0)

@@ -15,7 +15,9 @@ as text leaves another remainder than `held` modulo `folds`:
 * the attention weights, trained in numpy by Adam: a warm-up on a bounded
   sample of windows at the driver, then ROUNDS rounds in parallel over windows
   that cover every id of every training row, averaged after each;
-* the mixture weight, on one in MIXTURE_ONE_IN of the training rows.
+* the classes of ids, by their neighbours in the windows of all training rows;
+* the mixture weight, on all training rows: the scoring pass adds up each text
+  under every candidate weight.
 
 Scoring lays each text out in windows of WIDTH ids that overlap by
 WIDTH - STRIDE; a place is scored once, in the window that has most before it.
@@ -55,7 +57,7 @@ WIDTH, STRIDE = 40, 32
 DIM, CLASSES, FREQUENT = 24, 96, 4096
 TALLY_WORDS, LEAST_STEPS = 600_000, 400
 SAMPLE_WINDOWS, BLOCK_WINDOWS, ROUNDS, MERGERS = 6000, 1 << 18, 2, 16
-MIXTURES, MIXTURE_ONE_IN = tuple(k / 20 for k in range(1, 20)), 200
+MIXTURES = tuple(k / 20 for k in range(1, 20))
 END = -1  # stands for the end token until the vocabulary is known
 
 
@@ -131,10 +133,13 @@ class Vocabulary:
         rough = np.minimum((mass * k).astype(int), k - 1)
         if profile is None or len(ids) <= k:
             return rough
-        known = np.flatnonzero(profile[ids].any(axis=1))[:8192]
+        x = profile[ids]
+        known = np.flatnonzero(x.any(axis=1))
         if len(known) <= k:
             return rough
-        x = np.sqrt(profile[ids[known]] / profile[ids[known]].sum(axis=1, keepdims=True))
+        x = x[known]
+        x /= x.sum(axis=1, keepdims=True)
+        np.sqrt(x, out=x)
         w = weight[ids[known]] ** 0.75
         rng = np.random.default_rng(seed)
         centre = x[np.unique(np.concatenate((np.arange(k // 2), rng.choice(len(x), k, replace=False, p=w / w.sum()))))[:k]]
@@ -326,10 +331,10 @@ def word_log_probs(tables: Tables, v: Vocabulary, ids: np.ndarray, at: np.ndarra
 class Model:
     """What a worker needs to score texts."""
 
-    def __init__(self, path, vocabulary, weights, word_hash, word_count, word_ids, word_at, end_count, total, distinct, mixture=0.4):
+    def __init__(self, path, vocabulary, weights, word_hash, word_count, word_ids, word_at, end_count, total, distinct):
         self.path, self.v, self.tables = path, vocabulary, Tables(weights, vocabulary)
         self.word_ids, self.word_at = word_ids, word_at
-        self.word_hash, self.word_count, self.end_count, self.total, self.distinct, self.mixture = word_hash, word_count, end_count, total, distinct, mixture
+        self.word_hash, self.word_count, self.end_count, self.total, self.distinct = word_hash, word_count, end_count, total, distinct
 
     def parts(self, texts: list[str]):
         """Batch, words, their corpus counts where frequent (else 0), and log probabilities by attention."""
@@ -360,29 +365,30 @@ class Model:
         at = np.concatenate(([0], np.cumsum(size)))
         return source[np.arange(at[-1]) + np.repeat(begin - at[:-1], size)], at
 
-    def mixed(self, count: np.ndarray, logp: np.ndarray) -> np.ndarray:
-        """Natural log of the mixture of the add-one share and the attention's probability."""
-        return np.log(self.mixture * (count + 1) / (self.total + self.distinct + 1) + (1 - self.mixture) * np.exp(logp))
+    def mixed(self, count: np.ndarray, logp: np.ndarray):
+        """Natural logs of the mixtures of a share of the corpus and the attention's probability, one array per weight."""
+        p = np.exp(logp)
+        apart = count / (self.total + self.distinct + 1) - p
+        for x in MIXTURES:
+            out = apart * x
+            out += p
+            yield np.log(out, out=out)
 
 
-def fit_mixture(docs: DataFrame, shared, folds: int, held: int, one_in: int) -> float:
-    """The mixture weight under which whole training texts, one in so many by hash, are
-    most probable; each word's own occurrence is taken out of its count. The texts stay
-    where they are: only sums per weight come back."""
+def best_mixture(scored: DataFrame, rare: DataFrame, floor: int) -> float:
+    """The mixture weight under which all words of all training texts are most probable; each
+    word's own occurrence is taken out of its count. Only sums per weight come back."""
 
     def run(batches):
-        m, total = shared.value, np.zeros(len(MIXTURES))
+        total = np.zeros(len(MIXTURES))
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = [t for t, h in zip(texts, is_held(keys, folds, held)) if not h]
-            for lo, hi in chunks(texts, 1_000_000):
-                _, _, _, _, known, logp, _ = m.parts(texts[lo:hi])
-                share, p = np.maximum(known, 1) / (m.total + m.distinct + 1), np.exp(logp)
-                total += [np.log(x * share + (1 - x) * p).sum() for x in MIXTURES]
+            share, p = np.maximum(batch.column(0).to_numpy(), 1) / floor, np.exp(batch.column(1).to_numpy())
+            total += [np.log(x * share + (1 - x) * p).sum() for x in MIXTURES]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(MIXTURES))), pa.array(total)], names=["k", "s"])
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(one_in)) == 0)
-    sums = {r["k"]: r["s"] for r in some.mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
+    often = scored.where("fit is not null").select(F.posexplode("fit").alias("k", "s")).select(F.col("k").cast("long"), "s")
+    less = rare.where("not held_out").select("n", "p").mapInArrow(run, "k long, s double")
+    sums = {r["k"]: r["s"] for r in often.unionByName(less).groupBy("k").agg(F.sum("s").alias("s")).collect()}
     return MIXTURES[max(sums, key=lambda k: (sums[k], -k))] if sums and any(sums.values()) else 0.5
 
 
@@ -490,17 +496,39 @@ def id_counts(counts: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def profiles(windows: np.ndarray, size: int, top: np.ndarray) -> np.ndarray:
-    """How often each id stands next to each of some frequent ids."""
-    column = np.full(size + 1, -1)
+def profiles(windows: DataFrame, size: int, top: np.ndarray) -> np.ndarray:
+    """How often each id stands next to each of some frequent ids, in all windows."""
+    column = np.full(size, -1)
     column[top] = np.arange(len(top))
-    out = np.zeros((size, 2 * len(top)), np.float32)
-    for shift, base in ((1, 0), (2, 0), (-1, len(top)), (-2, len(top))):
-        a, b = (windows[:, shift:], windows[:, :-shift]) if shift > 0 else (windows[:, :shift], windows[:, -shift:])
-        ok = (a >= 0) & (b >= 0)
-        a, b = a[ok], column[b[ok]]
-        np.add.at(out, (a[b >= 0], base + b[b >= 0]), 1)
-    return out
+    wide = 2 * len(top)
+
+    def merged(keys: list, times: list) -> tuple[np.ndarray, np.ndarray]:
+        cell, back = np.unique(np.concatenate(keys), return_inverse=True)
+        return cell, np.bincount(back, np.concatenate(times), minlength=len(cell)).astype(np.int64)
+
+    def run(batches):
+        keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            w = unpacked(batch.column(0))
+            for shift, base in ((1, 0), (2, 0), (-1, len(top)), (-2, len(top))):
+                a, b = (w[:, shift:], w[:, :-shift]) if shift > 0 else (w[:, :shift], w[:, -shift:])
+                ok = (a >= 0) & (b >= 0)
+                a, b = a[ok].astype(np.int64), column[b[ok]]
+                keys.append((a * wide + base + b)[b >= 0])
+                times.append(np.ones(len(keys[-1]), np.int64))
+            if sum(map(len, keys)) > 8_000_000:
+                cell, n = merged(keys, times)
+                if len(cell) > 2_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+                    cell, n = cell[:0], n[:0]
+                keys, times = [cell], [n]
+        cell, n = merged(keys, times)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+
+    found = windows.select("window").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toArrow()
+    out = np.zeros(size * wide, np.float32)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(size, wide)
 
 
 def trained_round(windows: DataFrame, w: dict[str, np.ndarray], v: Vocabulary, rate: float, seed: int) -> dict[str, np.ndarray]:
@@ -557,12 +585,12 @@ def learn(docs: DataFrame, path: str, folds: int, held: int, most_words: int) ->
     b = Batch([words[i] for i in order])
     word_ids, word_at = encode_words(path, b, b.starts, b.ends)
     ids = id_counts(counts, path)
-    windows = found.where("window is not null").select("window")
-    sample = windows.orderBy(F.xxhash64("window")).limit(SAMPLE_WINDOWS).toPandas()["window"]
+    windows = found.where("window is not null").select("window", "row")
+    sample = windows.orderBy(F.xxhash64("row"), "row").limit(SAMPLE_WINDOWS).toPandas()["window"]
     sample = np.frombuffer(b"".join(sample), np.int32).reshape(-1, WIDTH + 1)
     begins = np.array([t[:1] == b" " for t in encoder(path)[2]])
     top = np.argsort(-ids, kind="stable")[:256]
-    v = Vocabulary(ids, ends, begins, profiles(sample, len(ids), top) if len(sample) else None)
+    v = Vocabulary(ids, ends, begins, profiles(windows, len(ids), top) if len(sample) else None)
     w = initial(v)
     if len(sample):
         w, _ = train(w, sample, v, 0.01, max(3, -(-LEAST_STEPS * 64 // len(sample))), 11, batch=64)
@@ -586,15 +614,14 @@ def lm_score(docs: DataFrame, ranks_path: str | None = None, folds: int = FOLDS,
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     model, counts, total, distinct = learn(rows, path, folds, held, most_words)
     shared = spark.sparkContext.broadcast(model)
-    mixture = fit_mixture(rows, shared, folds, held, max(1, min(MIXTURE_ONE_IN, docs.count() // 200)))
     floor = np.log10(total + distinct + 1)
 
     def score(batches):
         m, part, k = shared.value, TaskContext.get().partitionId(), 0
-        m.mixture = mixture
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            n, known_n, base, value, rare, rare_p, edges = [], [], [], [], [], [], []
+            out = is_held(keys, folds, held)
+            n, known_n, base, value, fit, rare, rare_p, edges = [], [], [], [], np.zeros(len(MIXTURES)), [], [], []
             for lo, hi in chunks(texts):
                 size = hi - lo
                 b, starts, ends, owner, known, logp, logend = m.parts(texts[lo:hi])
@@ -603,8 +630,11 @@ def lm_score(docs: DataFrame, ranks_path: str | None = None, folds: int = FOLDS,
                 known_n.append(np.bincount(owner, known > 0, minlength=size).astype(np.int64) + (m.end_count > 0))
                 often = known > 0
                 base.append(np.bincount(owner[often], np.log10(known[often] + 1.0) - floor, minlength=size) + (np.log10(m.end_count + 1.0) - floor))
-                value.append((np.bincount(owner[often], m.mixed(known[often], logp[often]), minlength=size) + m.mixed(np.full(size, m.end_count), logend)) / np.log(10))
-                some = np.flatnonzero(~often)
+                words, ending = m.mixed(known[often] + 1, logp[often]), m.mixed(np.full(size, m.end_count + 1), logend)
+                value.append(np.stack([np.bincount(owner[often], w, minlength=size) + e for w, e in zip(words, ending)], axis=1) / np.log(10))
+                often &= ~out[lo:hi][owner]
+                fit += [w.sum() for w in m.mixed(known[often], logp[often])]
+                some = np.flatnonzero(known == 0)
                 raw = b.bytes.tobytes()
                 rare += [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[some].tolist(), ends[some].tolist())]
                 rare_p.append(logp[some])
@@ -615,18 +645,20 @@ def lm_score(docs: DataFrame, ranks_path: str | None = None, folds: int = FOLDS,
             offsets = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(edges) if edges else np.zeros(0, np.int64)))), pa.int32())
             listed = lambda x, t, offsets=offsets: pa.ListArray.from_arrays(offsets, pa.array(x, t))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid, pa.int64()), pa.array(keys, pa.int64()), pa.array(is_held(keys, folds, held)), join(n, pa.int64()), join(known_n, pa.int64()), join(base, pa.float64()), join(value, pa.float64()), listed(rare, pa.string()), listed(np.concatenate(rare_p) if rare_p else [], pa.float64())],
-                names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "rare_p"],
+                [pa.array(rid, pa.int64()), pa.array(keys, pa.int64()), pa.array(out), join(n, pa.int64()), join(known_n, pa.int64()), join(base, pa.float64()), pa.array(list(np.concatenate(value)) if value else [], pa.list_(pa.float64())), pa.array([fit] + [None] * (len(texts) - 1) if texts else [], pa.list_(pa.float64())), listed(rare, pa.string()), listed(np.concatenate(rare_p) if rare_p else [], pa.float64())],
+                names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "values", "fit", "rare", "rare_p"],
             )
 
-    scored = staged(rows.mapInArrow(score, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>, rare_p array<double>"), "scored")
-    rare = scored.select("rid", F.explode(F.arrays_zip("rare", "rare_p")).alias("r")).select("rid", F.col("r.rare").alias("word"), F.col("r.rare_p").alias("p"))
+    scored = staged(rows.mapInArrow(score, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, values array<double>, fit array<double>, rare array<string>, rare_p array<double>"), "scored")
+    rare = scored.select("rid", "held_out", F.explode(F.arrays_zip("rare", "rare_p")).alias("r")).select("rid", "held_out", F.col("r.rare").alias("word"), F.col("r.rare_p").alias("p"))
     less = counts.where(F.col("n") * F.lit(most_words) < F.lit(total))
-    n = F.coalesce("n", F.lit(0))
+    rare = staged(rare.join(less, "word", "left").select("rid", "held_out", F.coalesce("n", F.lit(0)).alias("n"), "p"), "rare")
+    mixture = best_mixture(scored, rare, total + distinct + 1)
+    n = F.col("n")
     mixed = F.log10(F.lit(mixture) * (n + 1) / F.lit(float(total + distinct + 1)) + F.lit(1 - mixture) * F.exp("p"))
-    rest = rare.join(less, "word", "left").groupBy("rid").agg(F.count("n").alias("more"), F.sum(F.log10(n + 1.0) - F.lit(float(floor))).alias("add"), F.sum(mixed).alias("value"))
-    out = scored.drop("rare", "rare_p").join(rest, "rid", "left")
+    rest = rare.groupBy("rid").agg(F.count_if(n > 0).alias("more"), F.sum(F.log10(n + 1.0) - F.lit(float(floor))).alias("add"), F.sum(mixed).alias("value"))
+    out = scored.drop("rare", "rare_p", "fit").join(rest, "rid", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("value", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), (F.col("values")[MIXTURES.index(mixture)] + F.coalesce("value", F.lit(0.0))).alias("score"),
     )
