@@ -172,6 +172,16 @@ def test_wrapper_of_a_template():
     assert html_wrap.infer([])["pages"] == 0
 
 
+def test_all_main_regions_are_kept():
+    two = "<body><article><p>first part of the text</p></article><article><p>second one</p></article></body>"
+    assert html_wrap.extract(two, None) == "first part of the text\nsecond one"
+    around = "<main><p>before</p><article><p>a longer article in the middle</p></article><p>after</p></main>"
+    assert html_wrap.extract(around, None) == "before\na longer article in the middle\nafter"
+    marked = '<div class="content with-sidebar"><article><p>text</p></article></div>'
+    assert html_wrap.extract(marked, None) == "text"
+    assert html_wrap.extract(two.replace("</body>", '<div class="related"><article><p>other</p></article></div></body>'), None) == "first part of the text\nsecond one"
+
+
 def test_wrappers_join_by_host_gives_the_same(spark):
     rows = [(i, f"https://h{i % 3}.example/{i}", PAGE.format(i=i, tag="div", cls="content")) for i in range(12)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

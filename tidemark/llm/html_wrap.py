@@ -7,9 +7,11 @@ repeated group; then pages are aligned one after another, and what does not
 match becomes an optional element, a repeated group or a text slot. What
 stays fixed on every page is template, what varies is data.
 
-A page is read against its host's wrapper: the main region is the article
-element with most running text, or else the smallest element of the wrapper
-that holds most of the varying text. Its blocks are written in page order,
+A page is read against its host's wrapper: the main regions are all its
+article and main elements (within elements marked by class only where there
+are no others), or else the smallest element of the wrapper that holds most of
+the varying text. So where a page names its regions by tag, the wrapper only
+takes fixed texts away. Its blocks are written in page order,
 without elements that are menus, site headers, footers, sidebars, notices,
 adverts, forms, comments or code by tag, role or class, and without short
 text that the wrapper knows as fixed.
@@ -63,17 +65,19 @@ NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 class Node:
     """An element: its tag with class, its attributes, and children (elements and texts)."""
 
-    __slots__ = ("tag", "sig", "skip", "main", "kids")
+    __slots__ = ("tag", "sig", "skip", "named", "main", "kids")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.kids, self.skip, self.main = tag, [], tag in SKIP, tag in ("article", "main")
-        self.sig = tag
+        self.sig, self.named = tag, False
         if attributes and ("=" in attributes or "hidden" in attributes):
             found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(attributes)}
             names = f"{found.get('class', '')} {found.get('id', '')}"
             self.sig = f"{tag}.{names.split()[0]}" if names.strip() else tag
             words = {w.lower() for w in NAME.findall(names)}
-            self.skip |= bool(words & MARKS) or found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
+            self.skip |= found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
+            self.named = not self.skip and bool(words & MARKS)
+            self.skip |= self.named
             if found.get("role") == "main" or found.get("itemprop") == "articleBody":
                 self.main = True
             if tag in ("body", "html"):
@@ -262,21 +266,15 @@ def running(node: Node) -> int:
     return sum(len(k) if isinstance(k, str) else 0 if k.skip or k.tag == "a" else running(k) for k in node.kids)
 
 
-def regions(node: Node) -> list[Node]:
+def regions(node: Node, named: bool = False) -> list[Node]:
+    """The outermost main elements in page order; `named` looks into elements that only their class or id marks."""
     out = []
     for kid in node.kids:
-        if not isinstance(kid, str) and not kid.skip:
-            out += [kid] if kid.main else regions(kid)
+        if not isinstance(kid, str) and (not kid.skip or named and kid.named):
+            out += [kid] if kid.main else regions(kid, named)
     return out
 
 
-def inner(node: Node) -> Node:
-    """An article within the main element, if it has most of its text."""
-    deeper = regions(node)
-    best = max(deeper, key=running, default=None)
-    return inner(best) if best is not None and running(best) >= 0.5 * running(node) else node
-
-
 def follow(root: Node, path: list[str]) -> Node:
     here = root
     for sig in path:
@@ -326,15 +324,11 @@ def blocks(node: Node, drop: set[str], linked: bool) -> list[str]:
 def extract(page: str, wrapper: dict | None) -> str:
     root = parse(page)
     drop = fixed_texts(wrapper) if wrapper else set()
-    found = regions(root)
-    if found:
-        region = inner(max(found, key=running))
-        lines = blocks(region, drop, False)
-    else:
-        region = follow(root, main_path(wrapper) if wrapper else [])
-        lines = [x for x in blocks(region, drop, True)]
+    found = regions(root) or regions(root, True)
+    read = found or [follow(root, main_path(wrapper) if wrapper else [])]
+    lines = [x for region in read for x in blocks(region, drop, not found)]
     if not lines and drop:
-        lines = blocks(region, set(), not found)
+        lines = [x for region in read for x in blocks(region, set(), not found)]
     return "\n".join(lines)
 
 
