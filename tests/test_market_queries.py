@@ -67,3 +67,19 @@ def test_names_need_no_session():
     root = Path(__file__).resolve().parents[1]
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_caps_take_every_customer(spark, db):
+    got = {(r.book, r.ticker): r.weight for r in QUERIES["d8_concentration_caps"](spark, SF).collect()}
+    rows = db.execute("SELECT c_nationkey, c_custkey, round(c_acctbal / 1000, 3) FROM customer").fetchall()
+    total = {}
+    for book, _, score in rows:
+        total[book] = total.get(book, 0) + max(float(score), 0)
+    expected = {(book, str(k)): min(float(score) / total[book], 0.25, 0.05 + k % 4 * 0.05) for book, k, score in rows if score > 0}
+    assert got == pytest.approx(expected, abs=1e-8) and any(int(t) % 5 for _, t in got)
+
+
+def test_funds_follow_every_ticker(spark, db):
+    got = {r.fund for r in QUERIES["st7_d12_fund_nav"](spark, SF).select("fund").distinct().collect()}
+    groups = {(int(b[0].removeprefix("Brand#")) - 1) // 5 + 1 for b in db.execute("SELECT DISTINCT p_brand FROM part").fetchall()}
+    assert len(groups) > 1 and got == {f"{kind} {k}" for kind in ("equal", "tilted") for k in groups}

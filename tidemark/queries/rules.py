@@ -242,8 +242,8 @@ def a18(spark, d):
 SCORES = """sc AS (SELECT c_nationkey AS book, CAST(c_custkey AS VARCHAR) AS ticker, 'S' || CAST(c_custkey % 5 AS VARCHAR) AS sector, round(c_acctbal / 1000, 3) AS score, 0.05 + (c_custkey % 4) * 0.05::DOUBLE AS max_position, 0.1 + (c_custkey % 7) * 0.02::DOUBLE AS expected_risk FROM customer WHERE c_custkey % 5 = 0)"""
 
 
-def scores(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 5 = 0")
+def scores(spark, d, whole=False):
+    c = table(spark, d, "customer").where(F.lit(True) if whole else F.expr("c_custkey % 5 = 0"))
     return c.select(F.col("c_nationkey").alias("book"), F.col("c_custkey").cast("string").alias("ticker"), F.concat(F.lit("S"), F.col("c_custkey") % 5).alias("sector"), F.round(F.col("c_acctbal") / 1000, 3).alias("score"), (0.05 + (F.col("c_custkey") % 4) * 0.05).alias("max_position"), (0.1 + (F.col("c_custkey") % 7) * 0.02).alias("expected_risk"))
 
 
@@ -263,7 +263,7 @@ def a15(spark, d):
 
 @query("d8_concentration_caps")
 def d8(spark, d):
-    w = decisions.construct(scores(spark, d), ["book"]).select("book", "ticker", "sector", "weight")
+    w = decisions.construct(scores(spark, d, whole=True), ["book"]).select("book", "ticker", "sector", "weight")
     return decisions.concentration_caps(w, "book").withColumns({"weight": F.round("weight", 9), "capped": F.round("capped", 9)})
 
 

@@ -40,10 +40,11 @@ def st6(spark, d):
 
 @query("st7_d12_fund_nav")
 def st7(spark, d):
-    """Two funds that follow five tickers; weights change with the month."""
-    bars = features.with_adjusted(views.bars(spark, d)).where("ticker in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5')")
-    rows = bars.withColumn("fund", F.explode(F.array(F.lit("equal"), F.lit("tilted"))))
-    lean = F.when(F.col("fund") == "equal", 0.18).otherwise(0.06 + 0.04 * ((F.month("trade_date") + F.regexp_extract("ticker", r"(\d+)", 1).cast("int")) % 4))
+    """Two funds for every five tickers, in the order of their numbers; weights change with the month."""
+    bars = features.with_adjusted(views.bars(spark, d))
+    five = F.floor((F.regexp_extract("ticker", r"(\d+)", 1).cast("int") - 1) / 5) + 1
+    rows = bars.withColumn("kind", F.explode(F.array(F.lit("equal"), F.lit("tilted")))).withColumn("fund", F.concat_ws(" ", "kind", five.cast("string")))
+    lean = F.when(F.col("kind") == "equal", 0.18).otherwise(0.06 + 0.04 * ((F.month("trade_date") + F.regexp_extract("ticker", r"(\d+)", 1).cast("int")) % 4))
     return fund.nav_history(rows.select("fund", F.col("trade_date").alias("day"), "ticker", F.col("close").alias("price"), lean.alias("target"))).withColumns({c: F.round(c, 6) for c in ("nav", "cash", "turnover", "costs", "drawdown")})
 
 
