@@ -60,6 +60,14 @@ def test_join_in_blocks_loses_nothing(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got.collect()} == brute_join(rows)
 
 
+def test_different_texts_under_one_id_both_keep_their_links(spark):
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(base[:-2])]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2])], "doc_id long, text string").repartition(2)
+    got = sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in ngram_join.ngram_join(docs).collect())
+    assert got == [(1, 1, 3, 2), (1, 1, 3, 2), (2, 1, 3, 2)]
+
+
 def test_banding_reaches_the_recall():
     bands, rows = ngram_join.banding(0.8, 0.9995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= 256

@@ -5,7 +5,8 @@
    chooses bands and rows so that a pair at the threshold shares a band with
    at least the target recall.
 2. Texts with one shingle set are one class from here on; only its
-   representative (smallest doc_id) goes on.
+   representative (smallest doc_id) goes on, under a number of the set's own, as
+   one doc_id may stand on different texts.
 3. Band hashes shuffle, without texts. A bucket of several representatives
    gives a star of edges to its smallest one, never its pairs. Connected
    stars bound where links can be: components.
@@ -205,16 +206,16 @@ def ngram_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
     bands, rows = banding(threshold, recall)
     sig = staged(signed(docs, size, bands, rows, doc_id, text), "signed")
     sets = sig.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("m"), F.count("*").alias("copies"))
-    sets = staged(sets.select("k1", "k2", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), "copies", F.col("m.bands").alias("bands")), "sets")
-    banded = sets.select("rep", F.posexplode("bands").alias("band", "h"))
-    stars = staged(banded.groupBy("band", "h").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("band", "h", "b"), "stars")
-    edges = banded.join(stars, ["band", "h"]).select(F.col("rep").alias("a"), "b").where("a > b")
+    sets = staged(sets.select(F.monotonically_increasing_id().alias("set"), "k1", "k2", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), "copies", F.col("m.bands").alias("bands")), "sets")
+    banded = sets.select("set", F.posexplode("bands").alias("band", "h"))
+    stars = staged(banded.groupBy("band", "h").agg(F.min("set").alias("b"), F.max("set").alias("top")).where("b < top").select("band", "h", "b"), "stars")
+    edges = banded.join(stars, ["band", "h"]).select(F.col("set").alias("a"), "b").where("a > b")
     comp = components(edges)
     comp = comp.unionByName(comp.select(F.col("root").alias("node"), "root").distinct())
-    member = staged(comp.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(sets.select("rep", "n", "copies", "k1", "k2"), "rep"), "members")
+    member = staged(comp.select(F.col("node").alias("set"), F.col("root").alias("comp")).join(sets.select("set", "rep", "n", "copies", "k1", "k2"), "set"), "members")
     weight = member.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
     nb = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
-    member = member.join(staged(weight.select("comp", nb.alias("nb")), "weights"), "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    member = member.join(staged(weight.select("comp", nb.alias("nb")), "weights"), "comp").withColumn("block", F.pmod(F.xxhash64("set"), F.col("nb")).cast("int"))
     # the texts of the members, shingled again: far fewer than all
     body = docs.select(docs[doc_id].cast("long").alias("rep"), text_of(docs, text).alias("text"))
     held = among(body, "rep", member).join(member, "rep")
@@ -228,26 +229,26 @@ def ngram_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sh.view(np.int64)))
                 own = batch.slice(lo, hi - lo)
                 mine = (keys[:, 0].view(np.int64) == own.column(4).to_numpy()) & (keys[:, 1].view(np.int64) == own.column(5).to_numpy())
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(3), own.column(6), own.column(7), lists], names=["rep", "comp", "copies", "nb", "block", "grams"]).filter(pa.array(mine))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(3), own.column(6), own.column(7), lists], names=["set", "comp", "copies", "nb", "block", "grams"]).filter(pa.array(mine))
 
-    held = held.select("rep", "text", "comp", "copies", "k1", "k2", "nb", "block").mapInArrow(shingled, "rep long, comp long, copies long, nb int, block int, grams array<long>")
+    held = held.select("set", "text", "comp", "copies", "k1", "k2", "nb", "block").mapInArrow(shingled, "set long, comp long, copies long, nb int, block int, grams array<long>")
     held = staged(held, "grams")
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "block", "copies", "grams")
+    dealt = dealt.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "block", "copies", "grams")
 
     def pairs(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("rep")
-        ids = part["rep"].to_numpy(np.int64)
+        part = part.drop_duplicates("set")
+        ids = part["set"].to_numpy(np.int64)
         links, low = verify(ids, part["block"].to_numpy(), part["copies"].to_numpy(np.int64), [np.asarray(g, np.int64) for g in part["grams"]], (key[1], key[2]), threshold)
-        return pd.DataFrame({"rep": ids, "links": links.astype(np.int64), "low": low})
-
-    found = staged(dealt.groupBy("comp", "lo", "hi").applyInPandas(pairs, "rep long, links long, low long"), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    classes = sets.select("k1", "k2", "rep", "copies").join(links, "rep", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    classes = staged(classes.select("k1", "k2", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("class_id")), "classes")
-    sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    classes = staged(classes.join(sizes, "class_id"), "classed")
+        return pd.DataFrame({"set": ids, "links": links.astype(np.int64), "low": low})
+
+    found = staged(dealt.groupBy("comp", "lo", "hi").applyInPandas(pairs, "set long, links long, low long"), "links")
+    links = found.groupBy("set").agg(F.sum("links").alias("links"))
+    roots = components(found.select(F.col("set").alias("a"), F.col("low").alias("b")))
+    classes = sets.select("set", "k1", "k2", "rep", "copies").join(links, "set", "left").join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
+    classes = staged(classes.select("k1", "k2", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set").alias("root")), "classes")
+    sizes = classes.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("rep").alias("class_id"))
+    classes = staged(classes.drop("rep").join(sizes, "root").drop("root"), "classed")
     keyed = sig.select("doc_id", "n", "k1", "k2")
     with_words = keyed.where("n > 0 and doc_id is not null").join(classes, ["k1", "k2"])
     out = with_words.select("doc_id", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"), F.col("n").alias("n_shingles"))
