@@ -63,13 +63,11 @@ def hf():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=80))
+@given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "a", "\n", "é"]), max_size=12).map("".join)))
 def test_ids_equal_the_json_tokenizer(text):
     test_ids_equal_the_json_tokenizer.t = getattr(test_ids_equal_the_json_tokenizer, "t", None) or hf()
     assert encoders.ids_of(encoders.default_ranks(), text).tolist() == test_ids_equal_the_json_tokenizer.t.encode(text, add_special_tokens=False).ids
@@ -114,6 +112,9 @@ def test_packing_round_trip(spark):
 
 def test_packing_edge_cases(spark, awkward, empty):
     assert packing.pack(empty).count() == 0
+    special = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    ids = np.array([*hf().encode("a <|endoftext|> b", add_special_tokens=False).ids, 0], "<u4")
+    assert [(r.length, r.ids_crc32) for r in packing.pack(special).collect()] == [(len(ids), zlib.crc32(ids.tobytes()))]
     rows = packing.pack(awkward).collect()
     assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
     assert sum(r.doc_id == 2 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 1

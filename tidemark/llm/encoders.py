@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 
 import numpy as np
 import tiktoken
@@ -23,6 +25,15 @@ def multi_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that the tokenizer file beside a rank file cuts out of any text as they stand."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside) as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", ())}
+
+
 def encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray, list[bytes]]:
     """The encoder, the byte length of each id, and each id's bytes."""
     if path not in _loaded:
@@ -30,14 +41,15 @@ def encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray, list[bytes]]:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, k in ranks.items():
+        added = added_tokens(path)
+        tokens = [b""] * (max([*ranks.values(), *added.values()]) + 1)
+        for token, k in (*ranks.items(), *((t.encode(), k) for t, k in added.items())):
             tokens[k] = token
-        made = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        made = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
         _loaded[path] = made, np.array([len(t) for t in tokens], np.int32), tokens
     return _loaded[path]
 
 
 def ids_of(path: str, text: str) -> np.ndarray:
-    """Token ids; strings of special tokens are ordinary text."""
-    return np.asarray(encoder(path)[0].encode_to_numpy(text, disallowed_special=()), np.uint32)
+    """Token ids as the tokenizer file gives them: the string of an added token is that token."""
+    return np.asarray(encoder(path)[0].encode_to_numpy(text, allowed_special="all", disallowed_special=()), np.uint32)

@@ -8,7 +8,8 @@ length each time. The plan is therefore a bounded list of patterns however
 many documents there are, and pieces find their place by rank within their
 length: no group is ever gathered.
 
-Null text is empty. An empty text is one piece holding only the end id.
+Null text is empty. An empty text is one piece holding only the end id. The
+string of an added token of the tokenizer file is that token.
 Repeated rows are packed as often as they occur. An empty table gives no
 rows. Other columns are ignored, whatever their names.
 """
