@@ -47,7 +47,8 @@ ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4301$5@7", "aeoissat")
 DATE = re.compile(r"(?a)(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
 DATE_COST = {4: math.log10(120)}
-LONGEST_WORD, LONGEST_PERIOD = 24, 16
+#: A longer keyboard walk is written as several, so that the work stays in proportion to the value.
+LONGEST_WORD, LONGEST_WALK, LONGEST_PERIOD = 24, 64, 16
 _words: dict[str, dict[str, float]] = {}
 
 
@@ -119,7 +120,7 @@ def guess_cost(value: str, ranks: dict[str, float]) -> float:
         for j in dates.get(i, ()):
             reach(j, DATE_COST.get(j - i, math.log10(365 * 120 * 4)))
         j, turns, last = i + 1, 0, ""
-        while j < n and low[j] in NEAR.get(low[j - 1], ""):
+        while j < min(n, i + LONGEST_WALK) and low[j] in NEAR.get(low[j - 1], ""):
             step = f"{ord(low[j]) - ord(low[j - 1])}"
             turns, last, j = turns + (step != last), step, j + 1
             if j - i >= 3:
