@@ -68,6 +68,20 @@ def test_different_texts_under_one_id_both_keep_their_links(spark):
     assert got == [(1, 1, 3, 2), (1, 1, 3, 2), (2, 1, 3, 2)]
 
 
+def test_rows_of_one_id_lose_no_text(spark):
+    a, b = [f"w{k}" for k in range(150)], [f"v{k}" for k in range(150)]
+    text = {"A": " ".join(a), "A2": " ".join(a[:-1]), "B": " ".join(b), "B2": " ".join(b[1:])}
+    make = lambda rows: spark.createDataFrame([(i, text[t]) for i, t in rows], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in ngram_join.ngram_join(make([(7, "A"), (7, "B"), (13, "A2"), (14, "B2")])).collect())
+    assert got == [(7, 7, 2, 1), (7, 7, 2, 1), (13, 7, 2, 1), (14, 7, 2, 1)]
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each(make(rows)).collect()), key=str)
+    assert kept([(3, "A"), (7, "A2"), (7, "B")]) == [(3, text["A"]), (7, text["B"])]
+    assert kept([(7, "A"), (7, "B"), (13, "A2"), (14, "B2")]) == [(7, text["B"]), (7, text["A"])]
+    assert kept([(5, "A"), (5, "A"), (6, "A2"), (None, "A"), (None, "B"), (None, "B"), (None, "B2")])[0] == (5, text["A"])
+    rows = kept([(5, "A"), (5, "A"), (6, "A2"), (None, "A"), (None, "B"), (None, "B"), (None, "B2")])
+    assert len(rows) == 2 and rows[1][0] is None and rows[1][1] in (text["B"], text["B2"])
+
+
 def test_banding_reaches_the_recall():
     bands, rows = ngram_join.banding(0.8, 0.9995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= 256
@@ -87,6 +101,7 @@ def test_join_edge_cases(spark, awkward, empty):
     assert ngram_join.ngram_join(empty).count() == 0
     kept = ngram_join.one_of_each(awkward)
     assert kept.columns == awkward.columns and {r.doc_id for r in kept.collect()} == {1, 3, 4, 5, None, 6, 7, 8, 9}
+    assert kept.count() == 9
     assert ngram_join.one_of_each(empty).count() == 0
 
 

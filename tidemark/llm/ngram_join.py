@@ -5,8 +5,8 @@
    chooses bands and rows so that a pair at the threshold shares a band with
    at least the target recall.
 2. Texts with one shingle set are one class from here on; only its
-   representative (smallest doc_id) goes on, under a number of the set's own, as
-   one doc_id may stand on different texts.
+   representative (smallest doc_id, then text) goes on, under a number of the
+   set's own, as one doc_id may stand on different texts.
 3. Band hashes shuffle, without texts. A bucket of several representatives
    gives a star of edges to its smallest one, never its pairs. Connected
    stars bound where links can be: components.
@@ -20,10 +20,12 @@
 5. The forests connect into final classes.
 
 Words are runs of non-blanks, ASCII letters in lower case. A text without
-words (null, empty, blank) is its own class with no links. Rows with one
-doc_id are told apart by text; those equal in both count as copies. Extra
-columns are ignored. An empty table gives no rows. n_links counts the other
-documents at or over the threshold, copies included.
+words (null, empty, blank) is its own class with no links. A row is its doc_id
+and its text: rows of one doc_id are told apart by text, and a null doc_id is
+an id like others that comes last (the class_id is null where a class has no
+other). Rows equal in both count as copies. Extra columns are ignored. An
+empty table gives no rows. n_links counts the other documents at or over the
+threshold, copies included.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, staged, text_of
+from .common import ready, release, staged, text_key, text_of
 from .exact_dedup import bits_for, cell_bitmaps, with_maybe
 from .nptext import U64, Batch, chunks, mix, shingles
 
@@ -122,11 +124,12 @@ def signed(docs: DataFrame, size: int, bands: int, rows: int, doc_id: str, text:
                 keys, out = signatures(sh, at, bands, rows)
                 signed64 = out.view(np.int64).reshape(-1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(signed64) + 1, bands, dtype=np.int32)), pa.array(signed64))
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), *(pa.array(keys[:, k].view(np.int64)) for k in (0, 1)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "k1", "k2", "bands"])
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(at)), *(pa.array(keys[:, k].view(np.int64)) for k in (0, 1)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "k1", "k2", "bands"])
 
-    rows_ = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    return rows_.mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    body = text_of(docs, text)
+    rows_ = docs.select(docs[doc_id].cast("long").alias("doc_id"), body.alias("text"), text_key(body).alias("key"))
+    return rows_.mapInArrow(sign, "doc_id long, key binary, n long, k1 long, k2 long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -148,6 +151,7 @@ def components(edges: DataFrame) -> DataFrame:
         # finished when every node hangs directly on a node that hangs on nothing
         tall = after.join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
         twice = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        release(edges, low, large, floor)
         edges = after
         if not tall and not twice:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -195,46 +199,52 @@ def verify(ids: np.ndarray, block: np.ndarray, copies: np.ndarray, sets: list[np
     return links, sorted_ids[label]
 
 
-def ngram_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest doc_id of its class,
-    through links), class_size, n_links, n_copies, n_shingles.
-
-    doc_id must not be null for a text that has words; null ids form no class.
-    """
+def classified(docs: DataFrame, size: int, threshold: float, recall: float, doc_id: str, text: str) -> DataFrame:
+    """One row per document: doc_id, key (of its text), the row that leads its class
+    (lead_id, lead_key; null for texts without words), class_size, n_links, n_copies, n_shingles."""
     spark = docs.sparkSession
     ready(spark)
     bands, rows = banding(threshold, recall)
     sig = staged(signed(docs, size, bands, rows, doc_id, text), "signed")
-    sets = sig.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("m"), F.count("*").alias("copies"))
-    sets = staged(sets.select(F.monotonically_increasing_id().alias("set"), "k1", "k2", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), "copies", F.col("m.bands").alias("bands")), "sets")
+    least = F.min(F.struct(F.isnull("doc_id").alias("nil"), "doc_id", "key", "n", "bands")).alias("m")
+    sets = sig.where("n > 0").groupBy("k1", "k2").agg(least, F.count("*").alias("copies"))
+    sets = staged(sets.select(F.monotonically_increasing_id().alias("set"), "k1", "k2", F.col("m.doc_id").alias("rep"), "m.key", F.col("m.n").alias("n"), "copies", F.col("m.bands").alias("bands")), "sets")
     banded = sets.select("set", F.posexplode("bands").alias("band", "h"))
     stars = staged(banded.groupBy("band", "h").agg(F.min("set").alias("b"), F.max("set").alias("top")).where("b < top").select("band", "h", "b"), "stars")
     edges = banded.join(stars, ["band", "h"]).select(F.col("set").alias("a"), "b").where("a > b")
     comp = components(edges)
     comp = comp.unionByName(comp.select(F.col("root").alias("node"), "root").distinct())
-    member = staged(comp.select(F.col("node").alias("set"), F.col("root").alias("comp")).join(sets.select("set", "rep", "n", "copies", "k1", "k2"), "set"), "members")
+    member = staged(comp.select(F.col("node").alias("set"), F.col("root").alias("comp")).join(sets.select("set", "rep", "key", "n", "copies"), "set"), "members")
+    release(stars)
     weight = member.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
     nb = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
-    member = member.join(staged(weight.select("comp", nb.alias("nb")), "weights"), "comp").withColumn("block", F.pmod(F.xxhash64("set"), F.col("nb")).cast("int"))
+    weight = staged(weight.select("comp", nb.alias("nb")), "weights")
+    dealt = member.drop("n").join(weight, "comp").withColumn("block", F.pmod(F.xxhash64("set"), F.col("nb")).cast("int"))
     # the texts of the members, shingled again: far fewer than all
-    body = docs.select(docs[doc_id].cast("long").alias("rep"), text_of(docs, text).alias("text"))
-    held = among(body, "rep", member).join(member, "rep")
+    body = text_of(docs, text)
+    body = docs.select(docs[doc_id].cast("long").alias("id"), body.alias("text"), text_key(body).alias("own"))
+    held = among(body, ("id", "own"), member.select(F.col("rep").alias("id"), F.col("key").alias("own")))
+    held = held.join(dealt, F.col("id").eqNullSafe(F.col("rep")) & (F.col("own") == F.col("key")))
 
     def shingled(batches):
+        seen: set[int] = set()  # rows equal in id and text
         for batch in batches:
+            fresh = np.ones(len(batch), bool)
+            for k, s in enumerate(batch.column(0).to_pylist()):
+                fresh[k] = s not in seen
+                seen.add(s)
+            batch = batch.filter(pa.array(fresh))
             texts = batch.column(1).to_pylist()
             for lo, hi in chunks(texts):
                 sh, at = set_rows(texts[lo:hi], size)
-                keys, _ = signatures(sh, at, 1, 1)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sh.view(np.int64)))
                 own = batch.slice(lo, hi - lo)
-                mine = (keys[:, 0].view(np.int64) == own.column(4).to_numpy()) & (keys[:, 1].view(np.int64) == own.column(5).to_numpy())
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(3), own.column(6), own.column(7), lists], names=["set", "comp", "copies", "nb", "block", "grams"]).filter(pa.array(mine))
+                yield pa.RecordBatch.from_arrays([own.column(0), *own.columns[2:], lists], names=["set", "comp", "copies", "nb", "block", "grams"])
 
-    held = held.select("set", "text", "comp", "copies", "k1", "k2", "nb", "block").mapInArrow(shingled, "set long, comp long, copies long, nb int, block int, grams array<long>")
+    held = held.select("set", "text", "comp", "copies", "nb", "block").mapInArrow(shingled, "set long, comp long, copies long, nb int, block int, grams array<long>")
     held = staged(held, "grams")
-    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "block", "copies", "grams")
+    pairs_of = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    pairs_of = pairs_of.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "block", "copies", "grams")
 
     def pairs(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("set")
@@ -242,30 +252,60 @@ def ngram_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
         links, low = verify(ids, part["block"].to_numpy(), part["copies"].to_numpy(np.int64), [np.asarray(g, np.int64) for g in part["grams"]], (key[1], key[2]), threshold)
         return pd.DataFrame({"set": ids, "links": links.astype(np.int64), "low": low})
 
-    found = staged(dealt.groupBy("comp", "lo", "hi").applyInPandas(pairs, "set long, links long, low long"), "links")
+    found = staged(pairs_of.groupBy("comp", "lo", "hi").applyInPandas(pairs, "set long, links long, low long"), "links")
+    release(held, member, weight)
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("set").alias("a"), F.col("low").alias("b")))
-    classes = sets.select("set", "k1", "k2", "rep", "copies").join(links, "set", "left").join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
-    classes = staged(classes.select("k1", "k2", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set").alias("root")), "classes")
-    sizes = classes.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("rep").alias("class_id"))
-    classes = staged(classes.drop("rep").join(sizes, "root").drop("root"), "classed")
-    keyed = sig.select("doc_id", "n", "k1", "k2")
-    with_words = keyed.where("n > 0 and doc_id is not null").join(classes, ["k1", "k2"])
-    out = with_words.select("doc_id", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"), F.col("n").alias("n_shingles"))
-    alone = keyed.where("not (n > 0 and doc_id is not null)").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), *(F.lit(0).cast("long").alias(c) for c in ("n_links", "n_copies")), F.col("n").alias("n_shingles"))
+    classes = sets.select("set", "k1", "k2", "rep", "key", "copies").join(links, "set", "left").join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
+    classes = staged(classes.select("k1", "k2", "rep", "key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set").alias("root")), "classes")
+    lead = F.min(F.struct(F.isnull("rep").alias("nil"), "rep", "key")).alias("lead")
+    sizes = classes.groupBy("root").agg(F.sum("copies").alias("class_size"), lead)
+    joined = classes.drop("rep", "key").join(sizes, "root").select("k1", "k2", "copies", "links", "class_size", F.col("lead.rep").alias("lead_id"), F.col("lead.key").alias("lead_key"))
+    named = staged(joined, "classed")
+    release(sets, found, classes)
+    keyed = sig.select("doc_id", "key", "n", "k1", "k2")
+    out = keyed.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", "key", "lead_id", "lead_key", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"), F.col("n").alias("n_shingles"))
+    nothing = [F.lit(0).cast("long").alias(c) for c in ("n_links", "n_copies")]
+    alone = keyed.where("n = 0").select("doc_id", "key", F.col("doc_id").alias("lead_id"), F.lit(None).cast("binary").alias("lead_key"), F.lit(1).cast("long").alias("class_size"), *nothing, F.col("n").alias("n_shingles"))
     return out.unionByName(alone)
 
 
-def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows whose id is in a Bloom filter of `ids` (16 MB at most), so that the join after it
-    shuffles few texts; a filter that is full lets more through, the join decides."""
-    keys = staged(ids.select(F.xxhash64(column).alias("h")), "filter")
-    bits = bits_for(keys.count())
-    bitmaps = staged(cell_bitmaps(keys, bits), "bitmaps")
-    return with_maybe(rows.withColumn("_h", F.xxhash64(column)), "_h", bitmaps, bits).where("_maybe").drop("_h", "_maybe")
+def ngram_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest doc_id of its class,
+    through links), class_size, n_links, n_copies, n_shingles."""
+    rows = classified(docs, size, threshold, recall, doc_id, text)
+    return rows.select("doc_id", F.col("lead_id").alias("class_id"), "class_size", "n_links", "n_copies", "n_shingles")
+
 
+def among(rows: DataFrame, columns: tuple[str, ...], ids: DataFrame) -> DataFrame:
+    """Rows whose columns are in a Bloom filter of those of `ids` (16 MB at most), so that the join
+    after it shuffles few texts; a filter that is full lets more through, the join decides."""
+    return marked(rows, columns, ids).where("_maybe").drop("_maybe")
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are their class's representative, with all columns."""
-    drop = staged(ngram_join(docs, doc_id=doc_id, text=text, **options).where("not (class_id <=> doc_id)").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    return docs.join(drop, docs[doc_id].cast("long").eqNullSafe(drop["_dropped"]), "left_anti")
+
+def marked(rows: DataFrame, columns: tuple[str, ...], ids: DataFrame) -> DataFrame:
+    """Rows with `_maybe`: whether the Bloom filter of `ids` holds them."""
+    keys = staged(ids.select(F.xxhash64(*columns).alias("h")), "filter")
+    bits = bits_for(keys.count())
+    bitmaps = staged(cell_bitmaps(keys, bits), "bitmaps")
+    release(keys)
+    return with_maybe(rows.withColumn("_h", F.xxhash64(*columns)), "_h", bitmaps, bits).drop("_h")
+
+
+def one_of_each(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that lead their class, with all columns: one row of each class, and
+    every text without words. Of rows equal in doc_id and text any one leads."""
+    found = classified(docs, size, threshold, recall, doc_id, text).where("lead_key is not null")
+    leads = F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("key") == F.col("lead_key"))
+    found = staged(found.groupBy("doc_id", "key").agg(F.first(leads).alias("leads"), F.count("*").alias("times")).where("not leads or times > 1"), "dropped")
+    body = text_of(docs, text)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].cast("long").alias("doc_id"), text_key(body).alias("key"))
+    rows = marked(rows, ("doc_id", "key"), found)
+    some, other = rows.where("_maybe"), found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "leads")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    clear = some.join(other, same, "left_anti").select("row")
+    kept = rows.where("not _maybe").select("row").unionByName(clear)
+    if found.where("leads").limit(1).count():
+        again = some.join(other.where("leads"), same, "left_semi")
+        kept = kept.unionByName(again.groupBy("doc_id", "key").agg(F.first("row").alias("row")).select("row"))
+    return kept.select("row.*")
