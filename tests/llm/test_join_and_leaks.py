@@ -127,7 +127,9 @@ def brute_leaks(text, items):
     out, t = set(), folded(text)
     for item, body in items:
         p = folded(body)
-        if len(p) < decontam.LEAST:
+        if len(p) < decontam.SHORT:
+            if p and f" {p} " in f" {t} ":
+                out.add(item)
             continue
         starts = [0] if len(p) <= decontam.UNIT else [*range(0, len(p) - decontam.UNIT, decontam.UNIT // 2), len(p) - decontam.UNIT]
         for s in starts:
@@ -149,7 +151,7 @@ def edited(rng, s, n):
 def planted():
     rng = random.Random(9)
     prose = lambda n: " ".join("".join(rng.choice("aeiourstlnmé") for _ in range(rng.randrange(2, 9))) for _ in range(n))
-    items = [(k, prose(rng.randrange(8, 60)).capitalize() + ".") for k in range(25)] + [(25, "tiny"), (26, None)]
+    items = [(k, prose(rng.randrange(8, 60)).capitalize() + ".") for k in range(25)] + [(25, "tiny"), (26, None), (27, "is Five!"), (28, "--")]
     docs = []
     for i in range(90):
         body = prose(rng.randrange(5, 80))
@@ -159,6 +161,8 @@ def planted():
         elif i % 3 == 1:
             item = items[rng.randrange(25)][1]
             body = f"{body} {item.upper().replace(' ', '!! ')}"
+        if i % 10 == 0:
+            body = rng.choice(["Tiny", "x tiny, y", "tinyness", "That is five?", "this five"])
         docs.append((i, body))
     return docs, items
 
@@ -174,11 +178,33 @@ def test_leaks_match_brute_force(spark, planted):
 def test_leaks_in_slices_agree(spark, planted):
     docs, items = planted
     d, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    a = {r.doc_id: (r.contaminated, r["items"]) for r in decontam.find_leaks(d, bench).collect()}
-    b = {r.doc_id: (r.contaminated, r["items"]) for r in decontam.find_leaks(d, bench, slice_chars=600).collect()}
+    a = {r.doc_id: r for r in decontam.find_leaks(d, bench).collect()}
+    b = {r.doc_id: r for r in decontam.find_leaks(d, bench, slice_chars=2500).collect()}
     assert a == b
 
 
+@pytest.mark.parametrize("slice_chars", [2_000_000, 60])
+def test_rows_are_judged_by_their_text(spark, slice_chars):
+    passages = [" ".join(f"{c}ora{k}{c}u" for k in range(9)) for c in "bdfg"]
+    bench = spark.createDataFrame([(1, passages[0]), (None, passages[1]), (3, passages[2]), (4, "short one")], "item_id long, text string")
+    clean, high = "nothing to be seen here at all by anyone who looks", "".join(map(chr, range(0x20000, 0x20040)))
+    rows = [(5, passages[0]), (5, clean), (None, "x " + passages[1]), (None, clean), (6, "a short one"), (6, f"{passages[2]} {passages[0]}"), (7, high), (8, "a shorter one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r["items"]) for r in decontam.find_leaks(docs, bench, slice_chars=slice_chars).collect()), key=str)
+    assert got == sorted([(5, [1]), (5, []), (None, [None]), (None, []), (6, [4]), (6, [1, 3]), (7, []), (8, [])], key=str)
+    kept = decontam.without_leaks(docs, bench, slice_chars=slice_chars).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(5, clean), (None, clean), (7, high), (8, "a shorter one")], key=str)
+    other = spark.createDataFrame([(1, "".join(map(chr, range(0x20000 + 50000, 0x20040 + 50000))))], "item_id long, text string")
+    assert not any(r.contaminated for r in decontam.find_leaks(docs, other).collect())
+
+
+def test_every_occurrence_of_a_short_unit_is_a_span(spark):
+    item = "these forty folded letters stand for it"
+    docs = spark.createDataFrame([(1, f"{item}, {item} and more. {item}")], "doc_id long, text string")
+    r = decontam.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).first()
+    assert [(s.start, s.end) for s in r.spans] == [(0, 39), (41, 80), (91, 130)]
+
+
 def test_spans_point_at_the_passage(spark):
     item = "Seven quick brown foxes jumped over the extremely lazy sleeping dog yesterday."
     text = "Élan 😀 — before. " + item.upper() + " after"
@@ -188,7 +214,7 @@ def test_spans_point_at_the_passage(spark):
 
 
 def test_leak_edge_cases(spark, awkward, empty):
-    bench = spark.createDataFrame([(1, None), (None, "text of a row without id but with words and more"), (3, "")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, None), (None, "text of some row without id that has words and more"), (3, "")], "item_id long, text string")
     assert not any(r.contaminated for r in decontam.find_leaks(awkward, bench).collect())
     assert decontam.find_leaks(awkward, bench.where("false")).count() == awkward.count()
     assert decontam.find_leaks(empty, bench).count() == 0

@@ -8,44 +8,54 @@ apart. So shared q-grams are counted per unit in overlapping bands of
 diagonals; only bands that reach the bound are verified, by an alignment
 confined to the band. Nothing within the budget is missed.
 
-The folded benchmark is broadcast in slices of at most `slice_chars`
-characters; each further slice is one more pass over the documents.
-
-Null text is empty and matches nothing. Items of fewer than `least` folded
-characters are no evidence and are not searched. Equal items are reported
-each. Null item texts are skipped, an empty benchmark matches nothing.
-Repeated rows give repeated results; extra columns are ignored by
-`find_leaks` and kept by `without_leaks`. An empty table gives no rows.
+Items of fewer than `short` folded characters leave no room for edits: they
+are searched exactly, as whole words. An item without letters and digits is
+no text and is not searched.
+
+The benchmark is broadcast in slices of at most `slice_chars` characters, one
+at a time; each further slice is one more pass over the documents, and the
+matches of a text meet again by the text, never by doc_id.
+
+Null text is empty and matches nothing. Equal items are reported each, an item
+without id as null. Null item texts are skipped, an empty benchmark matches
+nothing. Repeated rows give repeated results; what a row gets depends on its
+text alone, so rows of one or no doc_id do not touch each other. Extra columns
+are ignored by `find_leaks` and kept by `without_leaks`. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, staged, text_of
+from .common import ready, staged, text_key, text_of
+from .exact_dedup import marked
 from .nptext import U64, chunks, mix
 
-Q, UNIT, RATE, LEAST, SLICE_CHARS = 8, 100, 0.1, 32, 2_000_000
+Q, UNIT, RATE, SHORT, SLICE_CHARS = 8, 100, 0.1, 32, 2_000_000
 _R = U64(0x9E3779B97F4A7C15)
-GAP = 65535
+GAP = 0x110000  # no code point
 #: Characters searched at once; each takes about 150 bytes meanwhile.
 CHUNK = 1_000_000
 _fold: list[np.ndarray] = []
 
 
+def folded_code(c: int) -> int:
+    s = chr(c)
+    low = s.lower()
+    return (ord(low) if len(low) == 1 else c) if s.isalnum() else 32
+
+
 def fold_table() -> np.ndarray:
     """Folded code of each of the first 65536 code points; 32 for what parts words."""
     if not _fold:
-        codes = np.full(65536, 32, np.uint16)
-        for c in range(65535):
-            s = chr(c)
-            if s.isalnum():
-                low = s.lower()
-                codes[c] = ord(low) if len(low) == 1 and ord(low) < 65535 else c
-        _fold.append(codes)
+        _fold.append(np.fromiter(map(folded_code, range(65536)), np.uint32, 65536))
     return _fold[0]
 
 
@@ -54,8 +64,11 @@ def fold(texts: list[str], gap: int = 0) -> tuple[np.ndarray, np.ndarray, np.nda
     separators; the code point each came from; where each text begins (and the end)."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = fold_table()[np.minimum(raw, 65534)]
-    codes = np.where(raw > 65534, (raw % 50000 + 8192).astype(np.uint16), codes)
+    codes = fold_table()[np.minimum(raw, 65535)]
+    high = np.flatnonzero(raw > 65535)
+    if len(high):
+        points, which = np.unique(raw[high], return_inverse=True)
+        codes[high] = np.fromiter(map(folded_code, points.tolist()), np.uint32, len(points))[which]
     begin = np.concatenate(([0], np.cumsum(lengths)))
     blank = codes == 32
     keep = ~blank
@@ -64,7 +77,7 @@ def fold(texts: list[str], gap: int = 0) -> tuple[np.ndarray, np.ndarray, np.nda
     place = np.flatnonzero(keep)
     at = np.searchsorted(place, begin)
     own = np.repeat(np.arange(len(texts)), np.diff(at))
-    out = np.full(len(place) + gap * len(texts), GAP, np.uint16)
+    out = np.full(len(place) + gap * len(texts), GAP, np.uint32)
     target = np.arange(len(place)) + gap * own
     out[target] = codes[place]
     source = np.zeros(len(out), np.int64)
@@ -99,22 +112,34 @@ def budget(w: int, q: int, rate: float) -> int:
     return max(0, min(int(rate * w), w // q - 1))
 
 
+def one(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le")
+
+
 class Index:
-    """Units of some benchmark items and the postings of their q-grams."""
+    """Units of some benchmark items and the postings of their q-grams; short items for exact search."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, unit: int, rate: float, least: int):
+    def __init__(self, items: list[tuple[int | None, str]], q: int, unit: int, rate: float, short: int):
         self.q, self.units, self.item = q, [], []
+        exact: dict[str, list[int | None]] = {}
         for item, text in items:
             codes, _, at = fold([text])
             codes = codes[: at[-1]]
             if len(codes) and codes[-1] == 32:
                 codes = codes[:-1]
-            if len(codes) < max(least, q):
+            if len(codes) < max(short, q):
+                if len(codes):
+                    exact.setdefault(f" {one(codes)} ", []).append(item)
                 continue
             starts = [0] if len(codes) <= unit else [*range(0, len(codes) - unit, unit // 2), len(codes) - unit]
             for s in starts:
                 self.units.append(codes[s : s + unit])
                 self.item.append(item)
+        self.exact = ahocorasick.Automaton() if exact else None
+        for words, owners in exact.items():
+            self.exact.add_word(words, (len(words) - 2, owners))
+        if exact:
+            self.exact.make_automaton()
         self.edits = np.array([budget(len(u), q, rate) for u in self.units], np.int64)
         self.bound = np.array([len(u) + 1 - q * (e + 1) for u, e in zip(self.units, self.edits)], np.int64)
         g = [grams(u, q) for u in self.units]
@@ -193,73 +218,116 @@ class Index:
         return edits, begin, end
 
 
-def slices(benchmark: DataFrame, item: str, text: str, most: int) -> list[list[tuple[int, str]]]:
-    out: list[list[tuple[int, str]]] = [[]]
+    def short_spans(self, codes: np.ndarray, source: np.ndarray) -> Iterator[tuple[int | None, int, int, int]]:
+        """Short items that stand in one folded text as whole words."""
+        if self.exact and len(codes):
+            for last, (size, owners) in self.exact.iter(f" {one(codes)}{'' if codes[-1] == 32 else ' '}"):
+                for item in owners:  # `last` is the blank after it, one further than in codes
+                    yield item, int(source[last - 1 - size]), int(source[last - 2]) + 1, 0
+
+
+def slices(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in slices; the driver holds one at a time."""
+    held: list[tuple[int | None, str]] = []
     size = 0
-    rows = benchmark.select(benchmark[item].cast("long"), benchmark[text].cast("string")).where(benchmark[text].isNotNull() & benchmark[item].isNotNull())
-    for key, body in rows.distinct().orderBy(F.col(item)).toLocalIterator():
-        if out[-1] and size + len(body) > most:
-            out.append([])
-            size = 0
-        out[-1].append((key, body))
+    rows = benchmark.select(benchmark[item].cast("long").alias("item"), benchmark[text].cast("string").alias("text")).where("text is not null")
+    for key, body in rows.distinct().orderBy("item", "text").toLocalIterator():
+        if held and size + len(body) > most:
+            yield held
+            held, size = [], 0
+        held.append((key, body))
         size += len(body)
-    return out
+    yield held
+
+
+SCHEMA = "doc_id long, key binary, items array<long>, edits long, spans array<struct<item: long, start: long, end: long, edits: long>>"
 
 
-SCHEMA = "doc_id long, items array<long>, edits long, spans array<struct<item: long, start: long, end: long, edits: long>>"
+def by_place(span: tuple) -> tuple:
+    return span[1], span[2], span[0] is None, span[0] or 0, span[3]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, unit: int = UNIT, rate: float = RATE, least: int = LEAST, slice_chars: int = SLICE_CHARS, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def settled(found: list[tuple[int, int | None, int, int, int]]) -> list[tuple[int | None, int, int, int]]:
+    """Of overlapping matches (unit, item, start, end, edits) of one unit the one with fewest edits."""
+    out, taken = set(), {}
+    for unit, item, start, end, edits in sorted(found, key=lambda f: (f[0], f[4], f[2], f[3])):
+        if all(end <= s or e <= start for s, e in taken.setdefault(unit, [])):
+            taken[unit].append((start, end))
+            out.add((item, start, end, edits))
+    return sorted(out, key=by_place)
+
+
+def searched(rows: DataFrame, items: list, q: int, unit: int, rate: float, short: int) -> DataFrame:
+    """One pass over rows (doc_id, text, key) for one slice of the benchmark."""
+    shared = rows.sparkSession.sparkContext.broadcast(items)
+
+    def search(batches):
+        index = Index(shared.value, q, unit, rate, short)
+        for batch in batches:
+            texts, spans = batch.column(1).to_pylist(), []
+            for lo, hi in chunks(texts, CHUNK):
+                near: list[list] = [[] for _ in range(hi - lo)]
+                codes, source, at = fold(texts[lo:hi], gap=unit + 2 * index.width)
+                if len(index.units):
+                    u, d = index.candidates(codes)
+                    edits, begin, end = index.verify(codes, u, d)
+                    good = edits <= index.edits[u]
+                    for k, e, b, z in zip(u[good].tolist(), edits[good].tolist(), begin[good].tolist(), end[good].tolist()):
+                        t = int(np.searchsorted(at, b, side="right")) - 1
+                        last = max(b, z - 1)
+                        while last > b and codes[last] == GAP:
+                            last -= 1
+                        near[t].append((k, index.item[k], int(source[b]), int(source[last]) + 1, e))
+                for t in range(hi - lo):
+                    own = settled(near[t]) if near[t] else []
+                    if index.exact:
+                        stop = at[t + 1] - unit - 2 * index.width
+                        own = sorted({*own, *index.short_spans(codes[at[t] : stop], source[at[t] : stop])}, key=by_place)
+                    spans.append(own)
+            items_of = [sorted({s[0] for s in x}, key=lambda i: (i is None, i or 0)) for x in spans]
+            kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item", "start", "end", "edits")]))
+            listed = pa.array([[dict(zip(("item", "start", "end", "edits"), s)) for s in x] for x in spans], kind)
+            columns = [batch.column(0), batch.column(2), pa.array(items_of, pa.list_(pa.int64())), pa.array([min((s[3] for s in x), default=None) for x in spans], pa.int64()), listed]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "items", "edits", "spans"])
+
+    return rows.mapInArrow(search, SCHEMA)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, q: int, unit: int, rate: float, short: int, slice_chars: int, doc_id: str, text: str, item: str, item_text: str) -> DataFrame:
+    """`find_leaks` with the key of the text."""
+    ready(docs.sparkSession)
+    body = text_of(docs, text)
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), body.alias("text"), text_key(body).alias("key"))
+    parts = slices(benchmark, item, item_text, slice_chars)
+    first = next(parts)
+    second = next(parts, None)
+    if second is None:
+        return searched(rows, first, q, unit, rate, short)
+    every = None
+    for items in (some for group in ((first, second), parts) for some in group):
+        hits = searched(rows, items, q, unit, rate, short).where("size(items) > 0")
+        hits = staged(hits.groupBy("key").agg(*[F.first(c).alias(c) for c in ("items", "edits", "spans")]), "leaks")  # equal texts have equal matches
+        every = hits if every is None else every.unionByName(hits)
+    order = "(a, b) -> CASE WHEN struct(a.start, a.end, a.item IS NULL, a.item, a.edits) < struct(b.start, b.end, b.item IS NULL, b.item, b.edits) THEN -1 WHEN a = b THEN 0 ELSE 1 END"
+    merged = staged(every.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min("edits").alias("edits"), F.expr(f"array_sort(array_distinct(flatten(collect_list(spans))), {order})").alias("spans")), "leaks")
+    none = {c: F.array().cast(merged.schema[c].dataType) for c in ("items", "spans")}
+    return rows.select("doc_id", "key").join(merged, "key", "left").select("doc_id", "key", F.coalesce("items", none["items"]).alias("items"), "edits", F.coalesce("spans", none["spans"]).alias("spans"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, unit: int = UNIT, rate: float = RATE, short: int = SHORT, slice_chars: int = SLICE_CHARS, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: contaminated, items (sorted), edits (fewest of any
-    match, null without one) and spans in code points."""
-    spark = docs.sparkSession
-    ready(spark)
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    parts = []
-    for items in slices(benchmark, item, item_text, slice_chars):
-        shared = spark.sparkContext.broadcast(items)
-
-        def search(batches, shared=shared):
-            index = Index(shared.value, q, unit, rate, least)
-            for batch in batches:
-                texts, found = batch.column(1).to_pylist(), []
-                for lo, hi in chunks(texts, CHUNK):
-                    own: list[dict] = [{} for _ in range(hi - lo)]
-                    codes, source, at = fold(texts[lo:hi], gap=unit + 2 * index.width)
-                    if len(index.units):
-                        u, d = index.candidates(codes)
-                        edits, begin, end = index.verify(codes, u, d)
-                        good = edits <= index.edits[u]
-                        for k, e, b, z in zip(u[good].tolist(), edits[good].tolist(), begin[good].tolist(), end[good].tolist()):
-                            t = int(np.searchsorted(at, b, side="right")) - 1
-                            last = max(b, z - 1)
-                            while last > b and codes[last] == GAP:
-                                last -= 1
-                            span = (index.item[k], int(source[b]), int(source[last]) + 1, e)
-                            if own[t].get((k, span[1] // unit), span)[3] >= e:
-                                own[t][k, span[1] // unit] = span
-                    found += own
-                spans = [sorted(f.values()) for f in found]
-                columns = [batch.column(0), pa.array([sorted({s[0] for s in x}) for x in spans], pa.list_(pa.int64())), pa.array([min((s[3] for s in x), default=None) for x in spans], pa.int64())]
-                kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item", "start", "end", "edits")]))
-                columns.append(pa.array([[dict(zip(("item", "start", "end", "edits"), s)) for s in x] for x in spans], kind))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "items", "edits", "spans"])
-
-        parts.append(rows.mapInArrow(search, SCHEMA))
-    if len(parts) == 1:
-        out = parts[0]
-    else:  # the slices of one document meet again; equal rows have equal matches
-        tall = [staged(p, "leaks") for p in parts]
-        some = tall[0]
-        for p in tall[1:]:
-            some = some.unionByName(p)
-        merged = some.where("size(items) > 0").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min("edits").alias("edits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-        none = tall[0].select("doc_id")
-        out = none.join(merged, "doc_id", "left").select("doc_id", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), "edits", F.coalesce("spans", F.array().cast(merged.schema["spans"].dataType)).alias("spans"))
-    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "edits", "spans")
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without a benchmark passage, with all columns."""
-    bad = staged(find_leaks(docs, benchmark, doc_id=doc_id, text=text, **options).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "leaked")
-    return docs.join(bad, docs[doc_id].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    match, null without one) and spans in code points: for each unit and band of
+    diagonals the best alignment, without those that a better one of the unit overlaps."""
+    rows = leaks(docs, benchmark, q, unit, rate, short, slice_chars, doc_id, text, item, item_text)
+    return rows.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "edits", "spans")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, unit: int = UNIT, rate: float = RATE, short: int = SHORT, slice_chars: int = SLICE_CHARS, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without a benchmark passage, with all columns. Only rows
+    that a Bloom filter of leaking texts lets through are joined."""
+    bad = leaks(docs, benchmark, q, unit, rate, short, slice_chars, doc_id, text, item, item_text)
+    bad = staged(bad.where("size(items) > 0").select("key").distinct(), "leaked")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_key(text_of(docs, text)).alias("key"))
+    rows = marked(rows, ("key",), bad)
+    clear = rows.where("_maybe").join(bad, "key", "left_anti")
+    return rows.where("not _maybe").select("row").unionByName(clear.select("row")).select("row.*")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready, release, staged, text_key, text_of
-from .exact_dedup import bits_for, cell_bitmaps, with_maybe
+from .exact_dedup import among, marked
 from .nptext import U64, Batch, chunks, mix, shingles
 
 SIZE, THRESHOLD, RECALL = 5, 0.8, 0.9995
@@ -277,21 +277,6 @@ def ngram_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
     return rows.select("doc_id", F.col("lead_id").alias("class_id"), "class_size", "n_links", "n_copies", "n_shingles")
 
 
-def among(rows: DataFrame, columns: tuple[str, ...], ids: DataFrame) -> DataFrame:
-    """Rows whose columns are in a Bloom filter of those of `ids` (16 MB at most), so that the join
-    after it shuffles few texts; a filter that is full lets more through, the join decides."""
-    return marked(rows, columns, ids).where("_maybe").drop("_maybe")
-
-
-def marked(rows: DataFrame, columns: tuple[str, ...], ids: DataFrame) -> DataFrame:
-    """Rows with `_maybe`: whether the Bloom filter of `ids` holds them."""
-    keys = staged(ids.select(F.xxhash64(*columns).alias("h")), "filter")
-    bits = bits_for(keys.count())
-    bitmaps = staged(cell_bitmaps(keys, bits), "bitmaps")
-    release(keys)
-    return with_maybe(rows.withColumn("_h", F.xxhash64(*columns)), "_h", bitmaps, bits).drop("_h")
-
-
 def one_of_each(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that lead their class, with all columns: one row of each class, and
     every text without words. Of rows equal in doc_id and text any one leads."""
