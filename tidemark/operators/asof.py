@@ -43,8 +43,8 @@ def lagged_as_of(left: DataFrame, right: DataFrame, on: list[str], left_time: st
 def first_after(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, value: str, name: str | None = None) -> DataFrame:
     """Left rows with the first non-null `value` of the right dated at or after them."""
     rows = _merged(left, right, on, left_time, right_time, F.col(value), False)
-    w = Window.partitionBy(*on).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("_found", F.first("_v", ignorenulls=True).over(w)).where("_row is not null").select("_row.*", F.col("_found").alias(name or value))
+    w = Window.partitionBy(*on).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_found", F.last("_v", ignorenulls=True).over(w)).where("_row is not null").select("_row.*", F.col("_found").alias(name or value))
 
 
 def near(left: DataFrame, right: DataFrame, on: str, left_day: str, right_day: str, days: int, how: str = "left_semi") -> DataFrame:
@@ -69,9 +69,17 @@ def near(left: DataFrame, right: DataFrame, on: str, left_day: str, right_day: s
 
 
 def around(prices: DataFrame, events: DataFrame, on: str, price_day: str, event_day: str, value: str, days: int, least: int = 3) -> DataFrame:
-    """Per event: mean of `value` over `days` days before and after, where each side has `least` rows."""
+    """Per event: mean of `value` over `days` days before and after, where each side has `least` rows.
+
+    Days are dealt into cells of 2 * days + 1; an event meets the two cells
+    its interval can touch, so that a price meets near events only.
+    """
+    size = 2 * days + 1
+    cell = lambda c, by=0: F.floor((F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) + by) / size)
     shift = F.datediff(F.col(price_day), F.col(event_day))
-    rows = events.join(prices.withColumnRenamed(on, "_k"), (F.col(on) == F.col("_k")) & shift.between(-days, days)).withColumn("_s", shift)
+    e = events.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(event_day, -days), cell(event_day, days)))))
+    p = prices.withColumnRenamed(on, "_k").withColumn("_at", cell(price_day))
+    rows = e.join(p, (F.col(on) == F.col("_k")) & (F.col("_cell") == F.col("_at")) & shift.between(-days, days)).withColumn("_s", shift)
     out = rows.groupBy(on, event_day).agg(
         F.count(F.when(F.col("_s") < 0, F.col(value))).alias("n_before"), F.count(F.when(F.col("_s") > 0, F.col(value))).alias("n_after"),
         F.avg(F.when(F.col("_s") < 0, F.col(value))).alias("before"), F.avg(F.when(F.col("_s") > 0, F.col(value))).alias("after"),

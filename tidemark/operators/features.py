@@ -89,7 +89,7 @@ def mid_rank_in(column: str, *keys: str) -> Column:
 
 def cross_sectional(bars: DataFrame, sectors: DataFrame, windows=CROSS_WINDOWS) -> DataFrame:
     """Market and sector percentile, relative strength, dispersion of each window's return by date."""
-    out = bars.join(F.broadcast(sectors), "ticker", "left").withColumns({f"return_{n}d": ret(n) for n in windows})
+    out = bars.join(sectors, "ticker", "left").withColumns({f"return_{n}d": ret(n) for n in windows})
     day, group = Window.partitionBy("trade_date"), Window.partitionBy("trade_date", "sector")
     more: dict[str, Column] = {}
     for n in windows:

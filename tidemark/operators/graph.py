@@ -1,4 +1,5 @@
-"""Property-graph queries by iterative joins over an edge table."""
+"""Property-graph queries by iterative joins over an edge table. Each round is
+written, so that no plan grows with the hops and no round is computed twice."""
 
 from __future__ import annotations
 
@@ -6,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.stage import written
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -18,7 +21,7 @@ def within(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     frontier = seen
     for h in range(1, hops + 1):
         step = frontier.join(links, frontier["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("hop", F.lit(h))
+        frontier = written(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(h)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -37,7 +40,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     for h in range(1, hops + 1):
         step = frontier.join(links, frontier["node"] == links["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         step = step.groupBy("node").agg(F.min("path").alias("path"))
-        frontier = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(h).alias("hop"), "path")
+        frontier = written(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(h).alias("hop"), "path"), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -64,7 +67,7 @@ def lineage(parents: DataFrame, depth: int = 20) -> DataFrame:
     chain = parents.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
     out, up = chain, parents.select(F.col("node").alias("ancestor"), F.col("parent").alias("next")).where("next is not null")
     for d in range(2, depth + 1):
-        chain = chain.join(up, "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(d).alias("distance"))
+        chain = written(chain.join(up, "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(d).alias("distance")), "lineage")
         if chain.limit(1).count() == 0:
             break
         out = out.unionByName(chain)

@@ -47,10 +47,9 @@ def fdr_mask(rows: DataFrame, p: str, alpha: float, within: list[str] | None = N
     base = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
     order = base.orderBy(p, *[c for c in rows.columns if c != p])
     r = rows.withColumns({"_r": F.row_number().over(order), "_m": F.count("*").over(base)})
-    c = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda a, k: a + 1.0 / k) if dependent else F.lit(1.0)
-    r = r.withColumn("_c", c)
+    r = r.withColumn("_c", F.sum(1.0 / F.col("_r")).over(base) if dependent else F.lit(1.0))
     last = F.max(F.when(F.col(p) <= F.col("_r") / F.col("_m") * alpha / F.col("_c"), F.col("_r"))).over(base)
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") * F.col("_c") / F.col("_r")).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") * F.col("_c") / F.col("_r")).over(base.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)))
     return r.withColumns({"accepted": F.col("_r") <= F.coalesce(last, F.lit(0)), "q_value": q}).drop("_r", "_m", "_c")
 
 

@@ -112,9 +112,11 @@ def evaluated(decisions: DataFrame, bars: DataFrame, benchmark: DataFrame, as_of
     due = decisions.where(F.col("valid_until") <= F.lit(as_of).cast("date"))
     r = first_after(due, bars, ["ticker"], "as_of", "trade_date", "adj", "entry")
     r = first_after(r, bars, ["ticker"], "valid_until", "trade_date", "adj", "exit")
-    r, b = r.withColumn("_all", F.lit(0)), benchmark.withColumn("_all", F.lit(0))
-    r = first_after(r, b, ["_all"], "as_of", "trade_date", "level", "b_entry")
-    r = first_after(r, b, ["_all"], "valid_until", "trade_date", "level", "b_exit").drop("_all")
+    # the benchmark is one series: only the days of decisions, a calendar, meet it in one task
+    days = due.select(F.explode(F.array("as_of", "valid_until")).alias("_day")).distinct().withColumn("_all", F.lit(0))
+    level = first_after(days, benchmark.withColumn("_all", F.lit(0)), ["_all"], "_day", "trade_date", "level").drop("_all")
+    for day, name in (("as_of", "b_entry"), ("valid_until", "b_exit")):
+        r = r.join(level.select(F.col("_day").alias(day), F.col("level").alias(name)), day, "left")
     cost = cost_bps / 10_000
     r = r.withColumns({"realized_return": change(F.col("exit"), F.col("entry")) - cost, "benchmark_return": change(F.col("b_exit"), F.col("b_entry")) - cost})
     status = F.when(F.col("entry").isNull() | F.col("exit").isNull(), "INSUFFICIENT_DATA").otherwise("EVALUATED")

@@ -45,7 +45,7 @@ def forward_targets(bars: DataFrame, horizons=HORIZONS) -> DataFrame:
 
 def relative_targets(bars: DataFrame, sectors: DataFrame, horizons=HORIZONS) -> DataFrame:
     """Forward return less its mean by date over the market and over the sector."""
-    out = bars.join(F.broadcast(sectors), "ticker", "left").withColumns({f"forward_return_{h}d": forward(h) for h in horizons})
+    out = bars.join(sectors, "ticker", "left").withColumns({f"forward_return_{h}d": forward(h) for h in horizons})
     day, group = Window.partitionBy("trade_date"), Window.partitionBy("trade_date", "sector")
     more = {}
     for h in horizons:

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the folder that driver and executors share (spark.checkpoint.dir;
-    a local one only where none is set) and read back: branches share the work, and
+    a temporary one only under a local master that names none) and read back: branches share the work, and
     a lost executor loses nothing."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

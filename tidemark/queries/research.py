@@ -120,11 +120,11 @@ def f15(spark, d):
 
 
 @query("d11_evaluate_expired", sql("bars decisions", """
-WITH dc AS (SELECT decision_id, 'Brand#' || CAST(1 + decision_id % 25 AS VARCHAR) AS ticker, decided_on AS d0, decided_on + CASE horizon WHEN 'MICRO' THEN 3 WHEN 'SWING' THEN 28 ELSE 183 END AS d1 FROM decisions WHERE decision_id % 10 = 0),
+WITH dc AS (SELECT decision_id, 'Brand#' || CAST(1 + decision_id % 25 AS VARCHAR) AS ticker, decided_on AS d0, decided_on + CASE horizon WHEN 'MICRO' THEN 3 WHEN 'SWING' THEN 28 ELSE 183 END AS d1 FROM decisions),
 e AS (SELECT dc.*, b.close AS entry FROM dc ASOF LEFT JOIN bars b ON b.ticker = dc.ticker AND b.trade_date >= dc.d0), x AS (SELECT e.*, b.close AS exit FROM e ASOF LEFT JOIN bars b ON b.ticker = e.ticker AND b.trade_date >= e.d1)
 SELECT decision_id, round((exit - entry) / nullif(entry, 0) - 0.002, 4) AS realized_return, CASE WHEN entry IS NULL OR exit IS NULL THEN 'INSUFFICIENT_DATA' ELSE 'EVALUATED' END AS status FROM x WHERE d1 <= DATE '2001-06-30'"""))
 def d11(spark, d):
-    dc = views.decisions(spark, d).where("decision_id % 10 = 0").select("decision_id", F.concat(F.lit("Brand#"), 1 + F.col("decision_id") % 25).alias("ticker"), F.col("decided_on").alias("as_of"), F.date_add("decided_on", F.when(F.col("horizon") == "MICRO", 3).when(F.col("horizon") == "SWING", 28).otherwise(183)).alias("valid_until"))
+    dc = views.decisions(spark, d).select("decision_id", F.concat(F.lit("Brand#"), 1 + F.col("decision_id") % 25).alias("ticker"), F.col("decided_on").alias("as_of"), F.date_add("decided_on", F.when(F.col("horizon") == "MICRO", 3).when(F.col("horizon") == "SWING", 28).otherwise(183)).alias("valid_until"))
     level = views.bars(spark, d).groupBy("trade_date").agg(F.avg("close").alias("level"))
     return research.evaluated(dc, plain(spark, d), level, "2001-06-30").select("decision_id", r("realized_return", 4), "status")
 

@@ -239,12 +239,11 @@ def a18(spark, d):
     return decisions.illiquid(universe, views.bars(spark, d), 200_000.0).select("ticker", r("traded", 2))
 
 
-SCORES = """sc AS (SELECT c_nationkey AS book, CAST(c_custkey AS VARCHAR) AS ticker, 'S' || CAST(c_custkey % 5 AS VARCHAR) AS sector, round(c_acctbal / 1000, 3) AS score, 0.05 + (c_custkey % 4) * 0.05::DOUBLE AS max_position, 0.1 + (c_custkey % 7) * 0.02::DOUBLE AS expected_risk FROM customer WHERE c_custkey % 5 = 0)"""
+SCORES = """sc AS (SELECT c_nationkey AS book, CAST(c_custkey AS VARCHAR) AS ticker, 'S' || CAST(c_custkey % 5 AS VARCHAR) AS sector, round(c_acctbal / 1000, 3) AS score, 0.05 + (c_custkey % 4) * 0.05::DOUBLE AS max_position, 0.1 + (c_custkey % 7) * 0.02::DOUBLE AS expected_risk FROM customer)"""
 
 
-def scores(spark, d, whole=False):
-    c = table(spark, d, "customer").where(F.lit(True) if whole else F.expr("c_custkey % 5 = 0"))
-    return c.select(F.col("c_nationkey").alias("book"), F.col("c_custkey").cast("string").alias("ticker"), F.concat(F.lit("S"), F.col("c_custkey") % 5).alias("sector"), F.round(F.col("c_acctbal") / 1000, 3).alias("score"), (0.05 + (F.col("c_custkey") % 4) * 0.05).alias("max_position"), (0.1 + (F.col("c_custkey") % 7) * 0.02).alias("expected_risk"))
+def scores(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("book"), F.col("c_custkey").cast("string").alias("ticker"), F.concat(F.lit("S"), F.col("c_custkey") % 5).alias("sector"), F.round(F.col("c_acctbal") / 1000, 3).alias("score"), (0.05 + (F.col("c_custkey") % 4) * 0.05).alias("max_position"), (0.1 + (F.col("c_custkey") % 7) * 0.02).alias("expected_risk"))
 
 
 @query("d5_portfolio_weights", f"WITH {SCORES} SELECT book, ticker, round(least(score / sum(score) OVER (PARTITION BY book), 0.25, max_position), 9) AS weight FROM sc WHERE score > 0")
@@ -263,7 +262,7 @@ def a15(spark, d):
 
 @query("d8_concentration_caps")
 def d8(spark, d):
-    w = decisions.construct(scores(spark, d, whole=True), ["book"]).select("book", "ticker", "sector", "weight")
+    w = decisions.construct(scores(spark, d), ["book"]).select("book", "ticker", "sector", "weight")
     return decisions.concentration_caps(w, "book").withColumns({"weight": F.round("weight", 9), "capped": F.round("capped", 9)})
 
 
@@ -348,11 +347,11 @@ def a30(spark, d):
 
 
 @query("g3_lineage", """
-WITH RECURSIVE p AS (SELECT c_custkey AS node, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer WHERE c_custkey <= 300),
+WITH RECURSIVE p AS (SELECT c_custkey AS node, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer),
 l AS (SELECT node, parent AS ancestor, 1 AS distance FROM p WHERE parent IS NOT NULL UNION ALL SELECT l.node, p.parent, distance + 1 FROM l JOIN p ON p.node = l.ancestor WHERE p.parent IS NOT NULL)
 SELECT node, ancestor, CAST(distance AS INTEGER) AS distance FROM l""")
 def g3(spark, d):
-    p = table(spark, d, "customer").where("c_custkey <= 300").select(F.col("c_custkey").alias("node"), F.expr("case when c_custkey > 1 then c_custkey div 2 end").alias("parent"))
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.expr("case when c_custkey > 1 then c_custkey div 2 end").alias("parent"))
     return graph.lineage(p)
 
 
