@@ -52,6 +52,13 @@ def test_rare_words_join(spark, sf):
     same([tuple(r[:6]) for r in rows], brute_base([(r.doc_id, r.text) for r in docs.collect()]))
 
 
+def test_scores_do_not_depend_on_how_rows_are_split(spark, sf, monkeypatch):
+    monkeypatch.setattr(lm_score, "GROUP_WINDOWS", 500)
+    docs = spark.createDataFrame(table(spark, sf, "documents").where("length(text) < 3000").limit(60).collect())
+    of = lambda d: {r.doc_id: r.score for r in lm_score.lm_score(d).collect()}
+    assert of(docs.repartition(1)) == pytest.approx(of(docs.repartition(5, "doc_id")), rel=1e-5)
+
+
 def test_lm_edge_cases(spark, awkward, empty):
     rows = lm_score.lm_score(awkward).collect()
     same([tuple(r[:6]) for r in rows], brute_base([(r.doc_id, r.text) for r in awkward.collect()]))
@@ -75,11 +82,12 @@ def test_training_windows_cover_the_texts(spark, copies):
     path = lm_score.multi_ranks()
     text = " ".join(f"word{k % 700} and{k}" for k in range(10_000 if copies == 1 else 60))
     docs = spark.createDataFrame([(1_000_000 + k, text) for k in range(copies)] + [(3, "")], "doc_id long, text string").repartition(2)
-    found = lm_score.gather(docs, path, lm_score.FOLDS, -1).where("window is not null").orderBy("row").collect()
-    assert len({r.row for r in found}) == len(found)
-    windows = np.stack([np.frombuffer(r.window, np.int32) for r in found])
+    found = lm_score.gather(docs, path, lm_score.FOLDS, -1).where("window is not null").collect()
+    assert len({r.deal for r in found}) == len(found)
     b = lm_score.Batch([text])
     ids, _ = lm_score.encode_words(path, b, *b.words())
+    windows = lm_score.covering(np.tile(ids, copies), np.array([*range(0, len(ids) * copies + 1, len(ids)), len(ids) * copies]))
+    assert Counter(lm_score.unpacked([r.window])[0].tobytes() for r in found) == Counter(w.tobytes() for w in windows)
     predicted = windows[:, 1:][windows[:, 1:] != -2]
     ends = np.flatnonzero(predicted == lm_score.END)
     texts = [x[x >= 0].tolist() for x in np.split(predicted, ends + 1)[:-1]]
@@ -91,7 +99,7 @@ def test_neighbours_of_all_windows_are_counted(spark):
     windows = rng.integers(0, 300, (9000, lm_score.WIDTH + 1)).astype(np.int32)  # more than the warm-up takes
     windows[:, -1] = -2
     windows[-1, :3] = 300, 301, 302  # ids of the last window only
-    frame = spark.createDataFrame([(bytearray(w.tobytes()), k) for k, w in enumerate(windows)], "window binary, row long").repartition(3)
+    frame = spark.createDataFrame([(bytearray(w.astype(np.uint16).tobytes()),) for w in windows], "window binary").repartition(3)
     got = lm_score.profiles(frame, 303, np.arange(303))
     expected = np.zeros((303, 606))
     body = windows[:, :-1]

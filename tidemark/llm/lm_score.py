@@ -14,7 +14,9 @@ as text leaves another remainder than `held` modulo `folds`:
 * counts of all words, and of all subword ids through them, in one shuffle;
 * the attention weights, trained in numpy by Adam: a warm-up on a bounded
   sample of windows at the driver, then ROUNDS rounds in parallel over windows
-  that cover every id of every training row, averaged after each;
+  that cover every id of every training row, averaged after each. Windows are
+  dealt by hash into groups of about GROUP_WINDOWS, so the weights do not
+  depend on how the input is split;
 * the classes of ids, by their neighbours in the windows of all training rows;
 * the mixture weight, on all training rows: the scoring pass adds up each text
   under every candidate weight.
@@ -56,7 +58,7 @@ MOST_WORDS = 1 << 20
 WIDTH, STRIDE = 40, 32
 DIM, CLASSES, FREQUENT = 24, 96, 4096
 TALLY_WORDS, LEAST_STEPS = 600_000, 400
-SAMPLE_WINDOWS, BLOCK_WINDOWS, ROUNDS, MERGERS = 6000, 1 << 18, 2, 16
+SAMPLE_WINDOWS, GROUP_WINDOWS, BLOCK_WINDOWS, ROUNDS, MERGERS = 6000, 1 << 16, 1 << 18, 2, 16
 MIXTURES = tuple(k / 20 for k in range(1, 20))
 END = -1  # stands for the end token until the vocabulary is known
 
@@ -169,26 +171,38 @@ SEEN = np.tri(WIDTH, dtype=np.float32)
 MASK = np.where(np.arange(WIDTH)[None, :] <= np.arange(WIDTH)[:, None], 0, -1e9).astype(np.float32)
 
 
+def by(m: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """m @ w as one product of two matrices instead of one for each window."""
+    return (m.reshape(-1, m.shape[-1]) @ w).reshape(*m.shape[:-1], w.shape[1])
+
+
 def forward(w: dict[str, np.ndarray], x: np.ndarray, first: int):
     """Class scores of the ids after the places from `first` on. x: vector numbers (windows, WIDTH)."""
     h = w["e"][x] + w["p"]
     tail = h[:, first:]
-    k, val = h @ w["k"], h @ w["v"]
-    q = (tail @ w["q"]) * np.float32(DIM**-0.5)
+    kv = by(h, np.concatenate((w["k"], w["v"]), axis=1))
+    k, val = kv[..., :DIM], kv[..., DIM:]
+    q = by(tail, w["q"] * np.float32(DIM**-0.5))
     a = q @ k.transpose(0, 2, 1)
     a += MASK[first:]
-    np.exp(a - a.max(axis=2, keepdims=True), out=a)
+    a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
     a /= a.sum(axis=2, keepdims=True)
     z = a @ val
-    y = np.tanh(z @ w["o"] + tail)
-    logits = y @ w["c"] + w["e"][x[:, first:]] @ w["r"] + w["b"]
+    y = by(z, w["o"])
+    y += tail
+    np.tanh(y, out=y)
+    logits = by(y, w["c"])
+    logits += by(w["e"][x[:, first:]], w["r"])
+    logits += w["b"]
     return logits, (h, tail, k, val, q, a, z, y)
 
 
 def gradient(w: dict[str, np.ndarray], x: np.ndarray, first: int, target: np.ndarray, on: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the places that count, and its gradient."""
     logits, (h, tail, k, val, q, a, z, y) = forward(w, x, first)
-    p = np.exp(logits - logits.max(axis=2, keepdims=True))
+    logits -= logits.max(axis=2, keepdims=True)
+    p = np.exp(logits, out=logits)
     p /= p.sum(axis=2, keepdims=True)
     n = max(int(on.sum()), 1)
     hit = np.take_along_axis(p, target[..., None], axis=2)[..., 0]
@@ -198,24 +212,28 @@ def gradient(w: dict[str, np.ndarray], x: np.ndarray, first: int, target: np.nda
     flat = lambda m: m.reshape(-1, m.shape[-1])
     near = w["e"][x[:, first:]]
     g = {"b": flat(p).sum(axis=0), "c": flat(y).T @ flat(p), "r": flat(near).T @ flat(p)}
-    dy = (p @ w["c"].T) * (1 - y * y)
+    back = by(p, np.concatenate((w["c"], w["r"])).T)
+    dy = back[..., :DIM] * (1 - y * y)
     g["o"] = flat(z).T @ flat(dy)
-    dz = dy @ w["o"].T
+    dz = by(dy, w["o"].T)
     dval = a.transpose(0, 2, 1) @ dz
     da = dz @ val.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    ds = a * (da - np.einsum("nij,nij->ni", da, a)[..., None])
     dq = (ds @ k) * np.float32(DIM**-0.5)
     dk = ds.transpose(0, 2, 1) @ q
     g["q"], g["k"], g["v"] = flat(tail).T @ flat(dq), flat(h).T @ flat(dk), flat(h).T @ flat(dval)
-    dh = dk @ w["k"].T + dval @ w["v"].T
-    dh[:, first:] += dy + dq @ w["q"].T
+    dh = by(dk, w["k"].T)
+    dh += by(dval, w["v"].T)
+    dh[:, first:] += dy
+    dh[:, first:] += by(dq, w["q"].T)
     g["p"] = dh.sum(axis=0)
-    dh[:, first:] += p @ w["r"].T
-    ids, back = np.unique(x, return_inverse=True)
-    order = np.argsort(back.reshape(-1), kind="stable")
-    edges = np.searchsorted(back.reshape(-1)[order], np.arange(len(ids)))
+    dh[:, first:] += back[..., DIM:]
+    flat_x = x.reshape(-1)
+    order = np.argsort(flat_x, kind="stable")
+    sorted_x = flat_x[order]
+    edges = np.flatnonzero(np.diff(sorted_x, prepend=-1))
     ge = np.zeros_like(w["e"])
-    ge[ids] = np.add.reduceat(flat(dh)[order], edges)
+    ge[sorted_x[edges]] = np.add.reduceat(flat(dh)[order], edges)
     g["e"] = ge
     return loss, g
 
@@ -310,6 +328,8 @@ def word_log_probs(tables: Tables, v: Vocabulary, ids: np.ndarray, at: np.ndarra
     window = np.repeat(edge[:-1] - np.cumsum(rows) * STRIDE + rows * STRIDE, rows) + np.arange(int(rows.sum())) * STRIDE
     chosen, starting = np.zeros(len(flat), np.float32), np.zeros(len(flat), np.float32)
     cls = v.cls[np.where(flat < 0, v.end, flat)]
+    # always 128 at once, the last ones filled up with one of them: products of one shape round alike
+    window = np.concatenate((window, np.full(-len(window) % 128, window[0]))) if len(window) else window
     for lo in range(0, len(window), 128):
         s = window[lo : lo + 128]
         logits = tables.scores(x[s[:, None] + np.arange(WIDTH)], lead)
@@ -431,30 +451,53 @@ def covering(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return flat[first[:, None] + np.arange(WIDTH + 1)]
 
 
-def gathered(words: list, counts: list, windows: np.ndarray, texts: int, row: int = 0) -> pa.RecordBatch:
+def gathered(words: list, counts: list, windows: np.ndarray, texts: int, deal: np.ndarray) -> pa.RecordBatch:
     n, k = len(words), len(windows)
-    raw = pa.array([*[None] * n, *[w.tobytes() for w in windows], None], pa.binary())
+    narrow = windows.astype(np.uint16)
+    if not (unsigned(narrow) == windows).all():
+        raise ValueError("a vocabulary of more than 65534 ids")
+    raw = pa.array([*[None] * n, *[w.tobytes() for w in narrow], None], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array([*words, *[None] * (k + 1)], pa.string()), pa.array([*counts, *[None] * k, texts], pa.int64()), raw, pa.array([*[None] * n, *range(row, row + k), None], pa.int64())],
-        names=["word", "n", "window", "row"],
+        [pa.array([*words, *[None] * (k + 1)], pa.string()), pa.array([*counts, *[None] * k, texts], pa.int64()), raw, pa.array([*[None] * n, *deal.view(np.int64).tolist(), None], pa.int64())],
+        names=["word", "n", "window", "deal"],
     )
 
 
-def unpacked(column: pa.Array) -> np.ndarray:
+def unsigned(narrow: np.ndarray) -> np.ndarray:
+    """Ids of two bytes; the last two values are END and the blank before a text."""
+    wide = narrow.astype(np.int32)
+    return np.where(wide >= 65534, wide - 65536, wide)
+
+
+def unpacked(windows: list[bytes]) -> np.ndarray:
     """Windows as written by `gathered`."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, WIDTH + 1)
+    return unsigned(np.frombuffer(b"".join(windows), np.uint16)).reshape(-1, WIDTH + 1)
+
+
+def dealt(windows: np.ndarray, texts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A hash of each window, its doc_id and its place in the text: what orders and groups the
+    windows however the rows are split. texts: the text of each window; keys: a number of each text."""
+    first = np.searchsorted(texts, texts)
+    with np.errstate(over="ignore"):
+        h = (windows.astype(np.int64).view(U64) * (np.arange(1, WIDTH + 2, dtype=U64) * U64(0x9E3779B97F4A7C15) | U64(1))).sum(axis=1)
+        return mix(h + mix(keys[texts] + mix((np.arange(len(texts)) - first).astype(U64))))
 
 
 def gather(docs: DataFrame, path: str, folds: int, held: int) -> DataFrame:
     """From training rows: (word, count) combined within a task as far as TALLY_WORDS allows,
-    windows of ids that cover the texts, each with a number of its own, and the number of rows."""
-    none = np.zeros((0, WIDTH + 1), np.int32)
+    windows of ids that cover the texts, each with the hash it is dealt by, and the number of
+    rows. Rows without doc_id are dealt by where they are read."""
+    none, no_deal = np.zeros((0, WIDTH + 1), np.int32), np.zeros(0, U64)
 
     def run(batches):
         tally, row = Tally(), TaskContext.get().partitionId() << 33
         for batch in batches:
             train = np.flatnonzero(~is_held(batch.column(0).to_pylist(), folds, held))
-            texts = batch.column(1).take(pa.array(train)).to_pylist()
+            texts, own = batch.column(1).take(pa.array(train)).to_pylist(), batch.column(0).take(pa.array(train))
+            keys = own.fill_null(0).to_numpy(zero_copy_only=False).view(U64).copy()
+            nil = own.is_null().to_numpy(zero_copy_only=False)
+            keys[nil] = mix(np.arange(row, row + int(nil.sum())).astype(U64))
+            row += int(nil.sum())
             for lo, hi in chunks(texts):
                 b = Batch(texts[lo:hi], lower=True)
                 starts, ends = b.words()
@@ -465,15 +508,16 @@ def gather(docs: DataFrame, path: str, folds: int, held: int) -> DataFrame:
                 size = np.diff(some_at)[word]
                 at = np.concatenate(([0], np.cumsum(size)))
                 ids = some[np.arange(at[-1]) + np.repeat(some_at[:-1][word] - at[:-1], size)]
-                windows = covering(ids, at[np.searchsorted(b.text_of(starts), np.arange(hi - lo + 1))])
-                yield gathered([], [], windows, hi - lo, row)
-                row += len(windows)
+                begin = at[np.searchsorted(b.text_of(starts), np.arange(hi - lo + 1))]
+                windows = covering(ids, begin)
+                of = np.repeat(np.arange(hi - lo), -(-(np.diff(begin) + 1) // WIDTH))
+                yield gathered([], [], windows, hi - lo, dealt(windows, of, keys[lo:hi]))
                 if len(tally.h) >= TALLY_WORDS:
-                    yield gathered(tally.words.tolist(), tally.n.tolist(), none, 0)
+                    yield gathered(tally.words.tolist(), tally.n.tolist(), none, 0, no_deal)
                     tally = Tally()
-        yield gathered(tally.words.tolist(), tally.n.tolist(), none, 0)
+        yield gathered(tally.words.tolist(), tally.n.tolist(), none, 0, no_deal)
 
-    return docs.mapInArrow(run, "word string, n long, window binary, row long")
+    return docs.mapInArrow(run, "word string, n long, window binary, deal long")
 
 
 def id_counts(counts: DataFrame, path: str) -> np.ndarray:
@@ -509,7 +553,7 @@ def profiles(windows: DataFrame, size: int, top: np.ndarray) -> np.ndarray:
     def run(batches):
         keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            w = unpacked(batch.column(0))
+            w = unpacked(batch.column(0).to_pylist())
             for shift, base in ((1, 0), (2, 0), (-1, len(top)), (-2, len(top))):
                 a, b = (w[:, shift:], w[:, :-shift]) if shift > 0 else (w[:, :shift], w[:, -shift:])
                 ok = (a >= 0) & (b >= 0)
@@ -531,8 +575,9 @@ def profiles(windows: DataFrame, size: int, top: np.ndarray) -> np.ndarray:
     return out.reshape(size, wide)
 
 
-def trained_round(windows: DataFrame, w: dict[str, np.ndarray], v: Vocabulary, rate: float, seed: int) -> dict[str, np.ndarray]:
-    """One pass over all windows in parallel, in blocks a task holds; weights averaged by number of windows."""
+def trained_round(windows: DataFrame, groups: int, w: dict[str, np.ndarray], v: Vocabulary, rate: float, seed: int) -> dict[str, np.ndarray]:
+    """One pass over all windows, dealt by hash into groups that train in parallel, in blocks a
+    task holds; weights averaged by number of windows."""
     spark = windows.sparkSession
     shared = spark.sparkContext.broadcast((w, v))
     names = sorted(w)
@@ -542,7 +587,7 @@ def trained_round(windows: DataFrame, w: dict[str, np.ndarray], v: Vocabulary, r
         w0, v0 = shared.value
         out, held, many = w0, [], 0
         for batch in batches:
-            held.append(unpacked(batch.column(0)))
+            held.append(unpacked(batch.column(0).to_pylist()))
             many += len(held[-1])
             if sum(map(len, held)) >= BLOCK_WINDOWS:
                 out, held = train(out, np.concatenate(held), v0, rate, 1, seed)[0], []
@@ -563,7 +608,8 @@ def trained_round(windows: DataFrame, w: dict[str, np.ndarray], v: Vocabulary, r
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32)], pa.list_(pa.float32()))], names=["slot", "n", "w"])
 
     schema = "slot int, n long, w array<float>"
-    made = windows.select("window").mapInArrow(fit, schema).repartition(MERGERS, "slot").mapInArrow(merge, schema).toArrow().to_pylist()
+    groups_of = windows.repartition(groups, "deal").sortWithinPartitions("deal").select("window")
+    made = groups_of.mapInArrow(fit, schema).repartition(MERGERS, "slot").mapInArrow(merge, schema).toArrow().to_pylist()
     if not made:
         return w
     flat = sum(np.array(r["w"], float) * r["n"] for r in made) / sum(r["n"] for r in made)
@@ -585,9 +631,9 @@ def learn(docs: DataFrame, path: str, folds: int, held: int, most_words: int) ->
     b = Batch([words[i] for i in order])
     word_ids, word_at = encode_words(path, b, b.starts, b.ends)
     ids = id_counts(counts, path)
-    windows = found.where("window is not null").select("window", "row")
-    sample = windows.orderBy(F.xxhash64("row"), "row").limit(SAMPLE_WINDOWS).toPandas()["window"]
-    sample = np.frombuffer(b"".join(sample), np.int32).reshape(-1, WIDTH + 1)
+    windows = found.where("window is not null").select("window", "deal")
+    groups = -(-windows.count() // GROUP_WINDOWS)
+    sample = unpacked(windows.orderBy("deal").limit(SAMPLE_WINDOWS).toPandas()["window"].tolist())
     begins = np.array([t[:1] == b" " for t in encoder(path)[2]])
     top = np.argsort(-ids, kind="stable")[:256]
     v = Vocabulary(ids, ends, begins, profiles(windows, len(ids), top) if len(sample) else None)
@@ -595,7 +641,7 @@ def learn(docs: DataFrame, path: str, folds: int, held: int, most_words: int) ->
     if len(sample):
         w, _ = train(w, sample, v, 0.01, max(3, -(-LEAST_STEPS * 64 // len(sample))), 11, batch=64)
         for k in range(ROUNDS):
-            w = trained_round(windows, w, v, 0.004 / (k + 1), 100 + k)
+            w = trained_round(windows, groups, w, v, 0.004 / (k + 1), 100 + k)
     model = Model(path, v, w, h[order], often["n"].to_numpy(np.int64)[order], word_ids, word_at, ends, total, distinct)
     return model, counts, total, distinct
 
