@@ -172,6 +172,77 @@ def test_wrapper_of_a_template():
     assert html_wrap.infer([])["pages"] == 0
 
 
+def accepts(pattern, node):
+    """Whether a wrapper, read as a regular expression, matches a page's tree; by backtracking."""
+    texts = []
+    kids = []
+    for kid in node.kids:
+        if isinstance(kid, str):
+            texts.append(kid)
+        else:
+            if words := html_wrap.plain("".join(texts)):
+                kids.append(words)
+            texts = []
+            kids.append(kid)
+    if words := html_wrap.plain("".join(texts)):
+        kids.append(words)
+
+    def one(w, kid):
+        if isinstance(kid, str):
+            return w["s"] == "#" and (w.get("v") or kid in w["f"].values())
+        return w["s"] == kid.sig and accepts(w, kid)
+
+    def rest(i, j, times):
+        if i == len(pattern["k"]):
+            return j == len(kids)
+        w = pattern["k"][i]
+        if (times or w.get("o")) and rest(i + 1, j, 0):
+            return True
+        return j < len(kids) and (not times or w.get("n")) and one(w, kids[j]) and rest(i, j + 1, times + 1)
+
+    return rest(0, 0, 0)
+
+
+TREES = st.recursive(st.sampled_from(["a", "b", "c d"]), lambda kids: st.tuples(st.sampled_from(["div", "section", "div class=x"]), st.lists(kids, max_size=4)), max_leaves=10)
+
+
+def markup(tree):
+    return tree if isinstance(tree, str) else f"<{tree[0]}>{''.join(map(markup, tree[1]))}</{tree[0].split()[0]}>"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(TREES, max_size=4).map(lambda ts: "".join(map(markup, ts))), min_size=1, max_size=5))
+def test_a_wrapper_matches_every_page_it_was_inferred_from(pages):
+    w = html_wrap.infer(pages)["w"]
+    assert all(accepts(w, html_wrap.parse(p)) for p in pages)
+    half = len(pages) // 2
+    both = html_wrap.joined(html_wrap.infer(pages[:half]), html_wrap.infer(pages[half:]))["w"]
+    assert all(accepts(both, html_wrap.parse(p)) for p in pages)
+
+
+def test_the_wrapper_overrules_names(spark):
+    page = '<body><article><p>The same offer on every page of this shop, day after day.</p></article><div class="related stories"><h2>Story {i}</h2><p>What happened to the {i}th traveller on the way home.</p><div class="ad">Buy {i}</div><p>And then {i} more.</p></div><footer>x {i}</footer></body>'
+    rows = [(i, "https://h.example/a", page.format(i=i)) for i in range(6)] + [(9, "https://lone.example/", page.format(i=9))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrap.main_text(df).collect()}
+    assert all(got[i] == f"Story {i}\nWhat happened to the {i}th traveller on the way home.\nAnd then {i} more." for i in range(6))
+    assert got[9].startswith("The same offer")  # a host of one page has no wrapper
+    assert got == {r.page_id: r.text for r in html_wrap.main_text(df.repartition(5, "page_id")).collect()}
+
+
+def test_texts_that_all_pages_share_stay_in_the_article(spark):
+    page = "<body><div class=top>Menu</div><div class=body><h1>Title {i}</h1><h3>Summary</h3><p>Words on case {i} that vary.</p><h3>Details</h3><p>Further words on case {i}.</p><p>Read on.</p></div></body>"
+    rows = [(i, "https://h.example/a", page.format(i=i)) for i in range(5)]
+    for r in html_wrap.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == f"Title {r.page_id}\nSummary\nWords on case {r.page_id} that vary.\nDetails\nFurther words on case {r.page_id}.\nRead on."
+
+
+def test_a_marked_container_of_the_article_stays():
+    body = "<article><h1>T</h1><div class='content with-sidebar'><p>first words here</p></div><div class='side-by-side'><p>{long}</p></div><div class=comments><p>{long}{long}{long}</p></div><div class=ad>Buy</div></article>"
+    assert html_wrap.extract(body.replace("{long}", "many words in two columns " * 3), None).split("\n")[:2] == ["T", "first words here"]
+    assert "many words" in html_wrap.extract(body.replace("{long}", "many words in two columns " * 3), None) and "Buy" not in html_wrap.extract(body, None)
+
+
 def test_all_main_regions_are_kept():
     two = "<body><article><p>first part of the text</p></article><article><p>second one</p></article></body>"
     assert html_wrap.extract(two, None) == "first part of the text\nsecond one"

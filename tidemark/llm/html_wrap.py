@@ -1,20 +1,29 @@
 """Main text of web pages by wrapper inference.
 
 Pages of one host share a template. A wrapper, a union-free regular
-expression over markup, is inferred from a bounded number of them: each
-page's token stream is nested into elements; equal neighbours fold into a
-repeated group; then pages are aligned one after another, and what does not
-match becomes an optional element, a repeated group or a text slot. What
-stays fixed on every page is template, what varies is data.
-
-A page is read against its host's wrapper: the main regions are all its
-article and main elements (within elements marked by class only where there
-are no others), or else the smallest element of the wrapper that holds most of
-the varying text. So where a page names its regions by tag, the wrapper only
-takes fixed texts away. Its blocks are written in page order,
-without elements that are menus, site headers, footers, sidebars, notices,
-adverts, forms, comments or code by tag, role or class, and without short
-text that the wrapper knows as fixed.
+expression over markup, is inferred from all of them: each page's token stream
+is nested into elements; equal neighbours fold into a repeated group; then
+pages are aligned one after another, and what does not match becomes an
+optional element, a repeated group or a text slot. Each task aligns the pages
+it reads, host by host; the partial wrappers of a host are aligned in turn, in
+salted groups first, so that no task holds the pages of a large host. A text
+place keeps the texts that all pages so far share there (template) and how
+much text it held (data).
+
+The data region of a host is found in its wrapper: from the root down, the
+element that holds the varying text outside links. Names only weigh there:
+elements that tag or role marks as menus and the like count nothing, those that
+a class marks a fifth, article and main decide between an element and those
+around it. A page is read in that region. Where the host has fewer than
+`LEAST_PAGES` pages that differ in elements or text, its pages have nothing to vary from, or
+the region is empty on the page, the page's own article and main elements are
+read, else the whole page without blocks that are mostly links.
+
+Blocks are written in page order, without elements within the region that are
+menus, site headers, footers, sidebars, notices, adverts, forms, comments or
+code by tag, role or class. No text is dropped for being the same on other
+pages. An element that only a class marks stays where it holds more than half of the
+region's running text, unless it is about comments.
 
 Character references are decoded, white space within a block becomes one
 space, blocks are joined by a line feed. Null html is empty; a page without
@@ -28,20 +37,24 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import ready, staged
 
-PAGES_PER_HOST = 8
-#: Wrappers up to so many bytes in all are broadcast; more join by host.
+#: Regions up to so many bytes in all are broadcast; more join by host.
 BROADCAST_BYTES = 32_000_000
-SHORT = 120
+#: Different pages from which a host's wrapper tells data from template.
+LEAST_PAGES = 3
+#: Hosts a task holds wrappers of; children of an element beyond which its irregular order folds; salts.
+MOST_HOSTS, MOST_KIDS, SALTS = 2000, 48, 64
 #: Elements nested deeper become neighbours, as in browsers.
 DEEPEST = 150
 
@@ -60,21 +73,26 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|aria-hidden|hidden|itemprop|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: Names that say what an element has around it, not what it is.
+MODIFIER = re.compile(r"(?<!\S)(?:with|without|has|no)-\S+")
+ABOUT_COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 
 
 class Node:
     """An element: its tag with class, its attributes, and children (elements and texts)."""
 
-    __slots__ = ("tag", "sig", "skip", "named", "main", "kids")
+    __slots__ = ("tag", "sig", "skip", "named", "talk", "main", "kids")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.kids, self.skip, self.main = tag, [], tag in SKIP, tag in ("article", "main")
-        self.sig, self.named = tag, False
+        self.sig, self.named, self.talk = tag, False, False
         if attributes and ("=" in attributes or "hidden" in attributes):
             found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(attributes)}
             names = f"{found.get('class', '')} {found.get('id', '')}"
             self.sig = f"{tag}.{names.split()[0]}" if names.strip() else tag
-            words = {w.lower() for w in NAME.findall(names)}
+            words = {w.lower() for w in NAME.findall(MODIFIER.sub("", names))}
+            self.talk = bool(words & ABOUT_COMMENTS)
             self.skip |= found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
             self.named = not self.skip and bool(words & MARKS)
             self.skip |= self.named
@@ -152,118 +170,149 @@ def plain(text: str) -> str:
 
 
 def shape(node: Node) -> dict:
-    """A page as the first wrapper: s signature, k elements and texts in order,
-    n repeated, o optional, t fixed text or None for a slot, c characters."""
+    """A page as the first wrapper. Elements: s signature, k elements and texts in
+    order, n repeated, o optional, x marked by class (1) or by tag or role (2), a
+    article or main. Texts: f the texts that all pages with that place share there
+    with their lengths, v whether any varies, c characters, l those in links, m pages."""
     kids: list[dict] = []
     text: list[str] = []
+    links = [0]
 
     def flush() -> None:
         if words := plain("".join(text)):
-            kids.append({"s": "#", "t": words, "c": len(words)})
+            kids.append({"s": "#", "f": {f"{crc32(words.encode('utf-8', 'replace')):x}.{len(words)}": words if len(words) < 40 else words[:39] + "…"}, "c": len(words), "l": min(links[0], len(words)), "m": 1})
         text.clear()
+        links[0] = 0
 
-    def walk(children: list) -> None:
-        for kid in children:
+    def walk(node: Node, link: bool) -> None:
+        for kid in node.kids:
             if isinstance(kid, str):
                 text.append(kid)
+                links[0] += len(kid) if link else 0
             elif kid.tag in BLOCK:
                 flush()
                 kids.append(shape(kid))
             else:
-                walk(kid.kids)
+                walk(kid, link or kid.tag == "a")
 
-    walk(node.kids)
+    walk(node, False)
     flush()
-    folded: list[dict] = []
+    marks = {"x": 1 if node.named else 2} if node.skip else {}
+    return {"s": node.sig, "k": folded(kids)} | marks | ({"a": 1} if node.main else {})
+
+
+def folded(kids: list[dict]) -> list[dict]:
+    """Equal neighbours as repeated groups; children in ever new order as one group for each signature."""
+    out: list[dict] = []
     for kid in kids:
-        if folded and kid["s"] == folded[-1]["s"] != "#":
-            folded[-1] = unify(folded[-1], kid, repeated=True)
+        if out and kid["s"] == out[-1]["s"] != "#":
+            out[-1] = unify(out[-1], kid, repeated=True)
         else:
-            folded.append(kid)
-    return {"s": node.sig, "k": folded}
+            out.append(kid)
+    if len(out) <= MOST_KIDS:
+        return out
+    by_sig: dict[str, dict] = {}
+    for kid in out:
+        by_sig[kid["s"]] = unify(by_sig[kid["s"]], kid, repeated=True) if kid["s"] in by_sig else kid
+    return [k | {"n": 1} if k["s"] != "#" else k for k in by_sig.values()]
 
 
 def unify(a: dict, b: dict, repeated: bool = False) -> dict:
-    """The wrapper of two aligned elements."""
+    """The wrapper of two aligned elements: of two pages, or `repeated` within one."""
+    flags = {f: max(a.get(f, 0), b.get(f, 0)) for f in ("o", "n", "x", "a", "v") if a.get(f) or b.get(f)}
     if a["s"] == "#":
-        return {"s": "#", "t": a["t"] if a["t"] == b["t"] else None, "c": max(a["c"], b["c"])} | ({"o": 1} if a.get("o") or b.get("o") else {})
+        if repeated:
+            shared, many = a["f"] | b["f"], max(a["m"], b["m"])
+        else:
+            shared, many = {k: t for k, t in a["f"].items() if k in b["f"]}, a["m"] + b["m"]
+        if len(shared) < max(len(a["f"]), len(b["f"])) or repeated and len(shared) > 1:
+            flags["v"] = 1
+        return {"s": "#", "f": shared, "c": a["c"] + b["c"], "l": a["l"] + b["l"], "m": many} | flags
     left, right = a["k"], b["k"]
     out: list[dict] = []
     for op, i, j, k, m in SequenceMatcher(None, [x["s"] for x in left], [x["s"] for x in right], autojunk=False).get_opcodes():
         if op == "equal":
-            out += [unify(x, y) for x, y in zip(left[i:j], right[k:m])]
+            out += [unify(x, y, repeated) for x, y in zip(left[i:j], right[k:m])]
         else:
             out += [x | {"o": 1} for x in (*left[i:j], *right[k:m])]
-    merged: list[dict] = []
-    for kid in out:
-        if merged and kid["s"] == merged[-1]["s"] != "#":
-            merged[-1] = unify(merged[-1], kid, repeated=True)
-        else:
-            merged.append(kid)
-    flags = {f: 1 for f in ("o", "n") if a.get(f) or b.get(f)} | ({"n": 1} if repeated else {})
-    return {"s": a["s"], "k": merged} | flags
+    return {"s": a["s"], "k": folded(out)} | flags | ({"n": 1} if repeated else {})
+
+
+def joined(a: dict | None, b: dict) -> dict:
+    """Two partial wrappers of a host, as {"pages": pages that differ, "w": wrapper}."""
+    if not a or not a["pages"]:
+        return b
+    return {"pages": a["pages"] + b["pages"], "w": unify(a["w"], b["w"])} if b["pages"] else a
 
 
 def infer(pages: list[str]) -> dict:
-    """The wrapper of some pages of one host, and how many differ."""
-    distinct = list(dict.fromkeys(pages))
-    made = None
-    for page in distinct:
-        nested = shape(parse(page))
-        made = nested if made is None else unify(made, nested)
-    return {"pages": len(distinct), "w": made or {"s": "html", "k": []}}
+    """The wrapper of some pages of one host, and how many differ in elements or text."""
+    made, seen = {"pages": 0, "w": {"s": "html", "k": []}}, set()
+    for page in pages:
+        made = with_page(made, page, seen)
+    return made
+
+
+def with_page(made: dict, page: str, seen: set[int]) -> dict:
+    nested = shape(parse(page))
+    key = hash(json.dumps(nested))
+    if key in seen:
+        return made
+    seen.add(key)
+    return joined(made, {"pages": 1, "w": nested})
 
 
 def expression(wrapper: dict) -> str:
     """The wrapper in the usual notation."""
     if wrapper["s"] == "#":
-        body = "#text" if wrapper["t"] is None else repr(wrapper["t"])
+        body = "#text" if wrapper.get("v") or len(wrapper["f"]) != 1 else repr(next(iter(wrapper["f"].values())))
     else:
         body = f"<{wrapper['s']}>{''.join(map(expression, wrapper['k']))}</{wrapper['s'].split('.')[0]}>"
     return f"({body})+" if wrapper.get("n") else f"({body})?" if wrapper.get("o") else body
 
 
-def fixed_texts(wrapper: dict) -> set[str]:
-    """Short texts that every page has at the same place, outside repeated groups."""
-    out: set[str] = set()
-
-    def walk(w: dict) -> None:
-        for kid in w.get("k", ()):
-            if kid["s"] == "#":
-                if kid["t"] is not None and kid["c"] <= SHORT and not kid.get("o"):
-                    out.add(kid["t"])
-            elif not kid.get("n") and not kid.get("o"):
-                walk(kid)
-
-    walk(wrapper["w"])
-    return out if wrapper["pages"] >= 3 else set()
-
-
-def varying(w: dict) -> int:
+def varying(w: dict) -> float:
+    """Characters of running text that are not the same on all pages, as the names weigh them."""
     if w["s"] == "#":
-        return w["c"] if w["t"] is None else 0
-    return sum(map(varying, w["k"])) * (2 if w.get("n") else 1)
+        fixed = w["m"] * sum(int(k.rsplit(".", 1)[1]) for k in w["f"]) if w["m"] > 1 else 0
+        return max(0, w["c"] - fixed) * max(0.0, 1 - w["l"] / max(w["c"], 1))
+    return (1.0, 0.2, 0.0)[w.get("x", 0)] * sum(map(varying, w["k"]))
 
 
-def main_path(wrapper: dict) -> list[str]:
-    """Signatures down to the smallest element with most of the varying text."""
-    here, path = wrapper["w"], []
+def main_path(wrapper: dict) -> list[str] | None:
+    """Signatures down to the data region; none where nothing varies enough to tell."""
+    here, path, named = wrapper["w"], [], 0
+    if wrapper["pages"] < LEAST_PAGES or not varying(here):
+        return None
     while True:
-        total = varying(here)
-        kids = [k for k in here["k"] if k["s"] != "#" and not k.get("n") and not set(NAME.findall(k["s"])) & (MARKS | SKIP)]
+        kids = [k for k in here["k"] if k["s"] != "#"]
         best = max(kids, key=varying, default=None)
-        if best is None or not total or varying(best) < 0.6 * total or best["s"].split(".")[0] in ("p", "li", "h1", "h2", "h3"):
-            return path
+        if best is None or best.get("n") or varying(best) < 0.8 * sum(map(varying, here["k"])) or best["s"].split(".")[0] in ("p", "li", "tr", "table", "h1", "h2", "h3"):
+            break
+        if any(k is not best and k["s"].split(".")[0] in HEADINGS and varying(k) for k in kids):
+            break
         here = best
         path.append(here["s"])
+        if here.get("a") and not named:
+            named = len(path)
+    if not named and sum(varying(w) for w in outermost(here)) >= 0.5 * varying(here):
+        return []  # several articles, or one among other data: the page's own tags part them
+    return path[:named] if named else path
+
+
+def outermost(w: dict) -> Iterator[dict]:
+    """The article and main elements of a wrapper."""
+    for kid in w.get("k", ()):
+        if kid["s"] != "#":
+            yield from (kid,) if kid.get("a") else outermost(kid)
 
 
 # ---- reading a page ------------------------------------------------------------------------------------------------
 
 
-def running(node: Node) -> int:
-    """Characters of text outside links and skipped elements."""
-    return sum(len(k) if isinstance(k, str) else 0 if k.skip or k.tag == "a" else running(k) for k in node.kids)
+def running(node: Node, named: bool = False) -> int:
+    """Characters of text outside links and skipped elements; `named` counts those that only a class marks."""
+    return sum(len(k) if isinstance(k, str) else 0 if k.tag == "a" or k.skip and not (named and k.named and not k.talk) else running(k, named) for k in node.kids)
 
 
 def regions(node: Node, named: bool = False) -> list[Node]:
@@ -275,36 +324,54 @@ def regions(node: Node, named: bool = False) -> list[Node]:
     return out
 
 
-def follow(root: Node, path: list[str]) -> Node:
-    here = root
-    for sig in path:
-        found = [k for k in here.kids if not isinstance(k, str) and k.sig == sig and not k.skip]
-        if not found:
-            break
-        here = max(found, key=running)
+def children(node: Node) -> Iterator[Node]:
+    """Block elements under a node, through inline ones."""
+    for kid in node.kids:
+        if not isinstance(kid, str):
+            if kid.tag in BLOCK:
+                yield kid
+            else:
+                yield from children(kid)
+
+
+def follow(root: Node, path: list[str]) -> list[Node]:
+    """The elements of the data region on a page, in page order."""
+    here = [root]
+    for k, sig in enumerate(path):
+        here = [kid for node in here for kid in children(node) if kid.sig == sig]
+        if len(here) > 1 and k < len(path) - 1:
+            here = [max(here, key=running)]
     return here
 
 
-def blocks(node: Node, drop: set[str], linked: bool) -> list[str]:
+def blocks(node: Node, linked: bool = False) -> list[str]:
     """Texts of the blocks under an element; `linked` drops blocks that are mostly links."""
     out: list[str] = []
     text: list[str] = []
     links = [0, 0]
+    half: list[float] = []
 
     def flush() -> None:
         words = plain("".join(text))
-        if words and words not in drop and not (linked and links[1] > 0.6 * links[0]):
+        if words and not (linked and links[1] > 0.6 * links[0]):
             out.append(words)
         text.clear()
         links[:] = [0, 0]
 
+    def dropped(kid: Node) -> bool:
+        if not kid.skip or not kid.named or kid.talk:
+            return kid.skip
+        if not half:
+            half.append(running(node, True) / 2)
+        return running(kid, True) <= half[0]
+
     def walk(node: Node, link: bool) -> None:
         for kid in node.kids:
             if isinstance(kid, str):
                 text.append(kid)
                 links[0] += len(kid)
                 links[1] += len(kid) if link else 0
-            elif kid.skip:
+            elif dropped(kid):
                 if kid.tag in BLOCK:
                     flush()
             elif kid.tag in BLOCK:
@@ -321,14 +388,13 @@ def blocks(node: Node, drop: set[str], linked: bool) -> list[str]:
     return out
 
 
-def extract(page: str, wrapper: dict | None) -> str:
+def extract(page: str, path: list[str] | None) -> str:
+    """The main text of a page, given the path of its host's data region (none: by the page alone)."""
     root = parse(page)
-    drop = fixed_texts(wrapper) if wrapper else set()
-    found = regions(root) or regions(root, True)
-    read = found or [follow(root, main_path(wrapper) if wrapper else [])]
-    lines = [x for region in read for x in blocks(region, drop, not found)]
-    if not lines and drop:
-        lines = [x for region in read for x in blocks(region, set(), not found)]
+    lines = [x for region in follow(root, path) for x in blocks(region)] if path else []
+    if not lines:
+        found = regions(root) or regions(root, True)
+        lines = [x for region in found or [root] for x in blocks(region, not found)]
     return "\n".join(lines)
 
 
@@ -336,46 +402,64 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, per_host: int = PAGES_PER_HOST) -> DataFrame:
-    """(host, wrapper as JSON). pages: page_id, host, html. Of each host the
-    pages of smallest hash count; the limit is applied before any shuffle."""
-    order = Window.partitionBy("host").orderBy("h", "page_id")
-    some = pages.select("host", "page_id", F.xxhash64("html", "page_id").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_host)
-    some = staged(some.select(F.col("host").alias("_host"), F.col("page_id").alias("_page"), F.col("h").alias("_h")), "sample")
-    held = pages.withColumn("h", F.xxhash64("html", "page_id")).join(some, (F.col("host") == F.col("_host")) & F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("h") == F.col("_h")), "left_semi")
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, pages, wrapper as JSON). pages: host, html."""
+    schema = "host string, salt int, pages long, wrapper string"
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        chosen = part.sort_values(["h", "page_id"])["html"].tolist()[:per_host]
-        return pd.DataFrame({"host": [part["host"].iloc[0]], "wrapper": [json.dumps(infer(chosen))]})
+    def rows(made: dict[str, dict], salt: int) -> pa.RecordBatch:
+        columns = [pa.array(list(made), pa.string()), pa.array([salt] * len(made), pa.int32()), pa.array([w["pages"] for w in made.values()], pa.int64()), pa.array([json.dumps(w["w"]) for w in made.values()], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["host", "salt", "pages", "wrapper"])
+
+    def partial(batches):
+        made, seen, salt = {}, {}, TaskContext.get().partitionId() % SALTS
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                made[host] = with_page(made.get(host) or infer([]), page, seen.setdefault(host, set()))
+            if len(made) > MOST_HOSTS:
+                yield rows(made, salt)
+                made, seen = {}, {}
+        yield rows(made, salt)
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        made = None
+        for n, w in sorted(zip(part["pages"], part["wrapper"])):
+            made = joined(made, {"pages": int(n), "w": json.loads(w)})
+        return pd.DataFrame({"host": [part["host"].iloc[0]], "salt": [0], "pages": [made["pages"]], "wrapper": [json.dumps(made["w"])]})
+
+    some = pages.select("host", "html").mapInArrow(partial, schema).groupBy("host", "salt").applyInPandas(merge, schema)
+    return staged(some.groupBy("host").applyInPandas(merge, schema).drop("salt"), "wrappers")
+
+
+def region_paths(known: DataFrame) -> DataFrame:
+    """(host, path as JSON or null) from wrappers."""
+
+    def read(batches):
+        for batch in batches:
+            paths = [main_path({"pages": n, "w": json.loads(w)}) for n, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(p) if p else None for p in paths], pa.string())], names=["host", "path"])
 
-    return staged(held.select("host", "page_id", "h", "html").groupBy("host").applyInPandas(fit, "host string, wrapper string"), "wrappers")
+    return staged(known.select("host", "pages", "wrapper").mapInArrow(read, "host string, path string"), "paths")
 
 
-def main_text(pages: DataFrame, per_host: int = PAGES_PER_HOST, broadcast_bytes: int = BROADCAST_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: page_id, url, host, text, n_chars."""
     spark = pages.sparkSession
     ready(spark, 500)
     rows = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), host_of(pages[url]).alias("host"), F.coalesce(pages[html].cast("string"), F.lit("")).alias("html"))
-    known = wrappers(rows, per_host)
-    size = known.agg(F.sum(F.length("wrapper"))).first()[0] or 0
+    known = region_paths(wrappers(rows)).where("path is not null")
+    size = known.agg(F.sum(F.length("host") + F.length("path"))).first()[0] or 0
     if size <= broadcast_bytes:
-        table = spark.sparkContext.broadcast({r["host"]: r["wrapper"] for r in known.collect()})
-        joined = rows.withColumn("wrapper", F.lit(None).cast("string"))
+        table = spark.sparkContext.broadcast({r["host"]: json.loads(r["path"]) for r in known.collect()})
+        with_paths = rows.withColumn("path", F.lit(None).cast("string"))
     else:
         table = None
-        joined = rows.join(known, "host", "left").select("page_id", "url", "host", "html", "wrapper")
+        with_paths = rows.join(known, "host", "left").select("page_id", "url", "host", "html", "path")
 
     def read(batches):
-        loaded: dict[str, dict | None] = {}
         for batch in batches:
             texts = []
             for host, page, own in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                if host not in loaded:
-                    if len(loaded) > 5000:
-                        loaded.clear()
-                    raw = table.value.get(host) if table is not None else own
-                    loaded[host] = json.loads(raw) if raw else None
-                texts.append(extract(page, loaded[host]))
+                texts.append(extract(page, table.value.get(host) if table is not None else own and json.loads(own)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "host", "text", "n_chars"])
 
-    return joined.mapInArrow(read, "page_id long, url string, host string, text string, n_chars long")
+    return with_paths.mapInArrow(read, "page_id long, url string, host string, text string, n_chars long")
