@@ -35,13 +35,15 @@ def test_dedup_matches_brute_force(spark, awkward):
         assert sum(r.kept for r in got if r.text_sha256 == key) == 1
 
 
-@pytest.mark.parametrize("bits", [1, 1 << 15])
+@pytest.mark.parametrize("bits", [1, 150])  # one nearly full filter, three slices
 def test_dedup_is_exact_however_full_the_filter(spark, bits):
     rng = random.Random(3)
     rows = [(i, "x" * rng.randrange(200) + " " * rng.randrange(3)) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = exact_dedup.exact_dedup(df, bits_per_row=bits, max_bits=1 << 15).collect()
     assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=str) == brute_dedup(rows)
+    kept = exact_dedup.keep_first(df, bits_per_row=bits, max_bits=1 << 15).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({k for _, k, *_ in brute_dedup(rows)})
 
 
 def test_filter_lets_unique_rows_pass(spark):

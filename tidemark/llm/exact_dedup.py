@@ -5,9 +5,10 @@ cells set more than once. Pass two tests each row against those bitmaps: a
 row with a cell of its own cannot repeat and passes straight through; only
 the others shuffle, as narrow keys, for the exact comparison by SHA-256.
 
-The bitmaps hold `bits_per_row` bits a row up to `max_bits` (a broadcast of
-max_bits / 8 bytes at most). Beyond that they fill up: the test lets more
-rows through to the exact comparison, results stay the same.
+The bitmaps hold `bits_per_row` bits a row. Where that exceeds `max_bits` (a
+broadcast of max_bits / 8 bytes), rows are written once in slices by hash and
+the passes go slice by slice, each with bitmaps of its own, so the test stays
+as sharp and no broadcast grows, at any number of rows. Results are the same.
 
 Null text counts as empty; empty texts are equal to each other. A null
 doc_id is kept only if its group has no other row as long. Of rows that
@@ -83,11 +84,32 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return staged(keys.select("doc_id", "len", F.unhex(F.sha2("body", 256)).alias("sha"), F.xxhash64("body").alias("h")), "keys")
 
 
-def groups_of(keys: DataFrame, bits_per_row: int, max_bits: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Rows marked `_maybe`, and per repeated text its best row and size."""
-    bits = bits_for(keys.count(), bits_per_row, max_bits)
-    bitmaps = staged(cell_bitmaps(keys, bits, 2), "bitmaps")
-    marked = with_maybe(keys, "h", bitmaps, bits)
+def sliced(rows: DataFrame, h: str, slices: int) -> list[DataFrame]:
+    """Rows in slices by hash: as they are, or written once, each slice in a folder of its own."""
+    if slices == 1:
+        return [rows]
+    parts = staged(rows.withColumn("_slice", F.pmod(F.xxhash64(F.lit(3), h), F.lit(slices)).cast("int")), "slices", "_slice")
+    return [parts.where(F.col("_slice") == k).drop("_slice") for k in range(slices)]
+
+
+def each_slice(parts: list[DataFrame], bitmaps: list[DataFrame], of, name: str) -> DataFrame:
+    """`of(slice, its bitmaps)` for all slices together; several are written one after another, so
+    that one broadcast stands at a time."""
+    out = None
+    for part, cells_ in zip(parts, bitmaps):
+        made = of(part, cells_)
+        made = made if len(parts) == 1 else staged(made, name)
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def groups_of(keys: DataFrame, bits_per_row: int, max_bits: int) -> tuple[DataFrame, DataFrame, list[DataFrame], int]:
+    """Rows marked `_maybe`, per repeated text its best row and size, and the bitmaps of each slice."""
+    n = keys.count()
+    bits = bits_for(n, bits_per_row, max_bits)
+    parts = sliced(keys, "h", max(1, -(-n * bits_per_row // max_bits)))
+    bitmaps = [staged(cell_bitmaps(part, bits, 2), "bitmaps") for part in parts]
+    marked = each_slice(parts, bitmaps, lambda part, cells_: with_maybe(part, "h", cells_, bits), "marked")
     alike = marked.where("_maybe").groupBy("sha", "doc_id", "len").agg(F.count("*").alias("times"))
     best = F.max(F.struct("len", F.expr("~doc_id").alias("low"), "doc_id"))
     groups = alike.groupBy("sha").agg(best.alias("best"), F.sum("times").alias("group_size"))
@@ -113,12 +135,16 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits
     names = docs.columns
     body = text_of(docs, text)
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[doc_id].cast("long").alias("_id"), F.char_length(body).cast("long").alias("_len"), normalised(body).alias("_body"))
-    rows = with_maybe(rows.withColumn("_h", F.xxhash64("_body")), "_h", bitmaps, bits)
-    unique = rows.where("not _maybe").select("row")
-    again = rows.where("_maybe").select("row", "_id", "_len", F.unhex(F.sha2("_body", 256)).alias("_sha"))
-    kept = again.join(groups.drop("group_size"), (F.col("_sha") == F.col("sha")) & F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_len") == F.col("keep_len")), "left_semi")
-    kept = kept.groupBy("_sha").agg(F.first("row").alias("row")).select("row")
-    return unique.unionByName(kept).select("row.*")
+    rows = rows.select("row", "_id", "_len", F.xxhash64("_body").alias("_h"), F.unhex(F.sha2("_body", 256)).alias("_sha"))
+
+    def stay(part: DataFrame, cells_: DataFrame) -> DataFrame:
+        found = with_maybe(part, "_h", cells_, bits)
+        best = (F.col("_sha") == F.col("sha")) & F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_len") == F.col("keep_len"))
+        kept = found.where("_maybe").join(groups.drop("group_size"), best, "left_semi")
+        kept = kept.groupBy("_sha").agg(F.first("row").alias("row")).select("row")
+        return found.where("not _maybe").select("row").unionByName(kept)
+
+    return each_slice(sliced(rows, "_h", len(bitmaps)), bitmaps, stay, "kept").select("row.*")
 
 
 ORACLE = r"""
