@@ -276,3 +276,36 @@ def test_pipeline_stages(spark, sf):
     got = {r.doc_id for r in docs.collect()}
     assert got <= set(texts) and {i for i in got if i in short} == set(short) - leaks
     check_packed(p.STAGES[-1][1](spark, docs, sf).collect(), [(r.doc_id, r.text) for r in docs.collect()], 2048)
+
+
+@pytest.mark.parametrize("span, k", [(quality.SPAN, None), (0.5, 40)])
+def test_selection_matches_brute_force(spark, sf, span, k):
+    docs, labels = table(spark, sf, "documents").limit(120), table(spark, sf, "labels")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    marks = {r.doc_id: (r.quality == 1, not r.toxic) for r in labels.collect() if r.quality is not None}
+    found = {i: quality.features([t], 1 << 10)[0].tolist() for i, t in rows}
+    raw, target = Counter(), Counter()
+    for i, f in found.items():
+        raw.update(f)
+        if marks.get(i) == (True, True):
+            target.update(f)
+    n, m, mass = sum(raw.values()), sum(target.values()), 1024
+    ratio = {b: math.log((target[b] + mass * c / n) / (m + mass)) - math.log(c / n) for b, c in raw.items()}
+    weight = {i: span * sum(ratio[b] for b in f) / len(f) for i, f in found.items() if f}
+    noise = {i: float(quality.gumbel(np.array([i]), 1)[0]) for i in weight}
+    if k is None:
+        judged = [(w, marks[i][0]) for i, w in weight.items() if i in marks]
+        ws = sorted(w for w, _ in judged)
+        cuts = [-math.inf, *((a + b) / 2 for a, b in zip(ws, ws[1:])), ws[-1]]
+        loss = lambda c: sum(quality.BAD_LOSS if good and w < c else 1.0 if not good and w >= c else 0.0 for w, good in judged)
+        cut = min(cuts, key=loss) if not all(g for _, g in judged) else -math.inf
+        size = sum(w >= cut for w in weight.values())
+    else:
+        size = k
+    best = set(sorted(weight, key=lambda i: -(weight[i] + noise[i]))[:size])
+    got = {r.doc_id: r for r in quality.weigh(docs, labels, buckets=1 << 10, span=span, k=k).collect()}
+    assert {i: r.weight for i, r in got.items() if r.weight is not None} == pytest.approx(weight, rel=1e-6, abs=1e-9)
+    assert {i for i, r in got.items() if r.kept} == best and len(best) == size
+    assert {r.doc_id for r in quality.keep_good(docs, labels, buckets=1 << 10, span=span, k=k).collect()} == best
+    if k:
+        assert best != set(sorted(weight, key=weight.get)[-k:])  # chance matters

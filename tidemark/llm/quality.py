@@ -5,8 +5,11 @@ Two generative models over hashed n-grams are counted: one of target text
 ratio of its probabilities under the two, taken per n-gram and scaled to
 `span` n-grams so that long texts weigh no more than short ones. Gumbel
 noise drawn from the doc_id makes the k largest keys a sample without
-replacement in proportion to the weights; k is the number of documents whose
-weight passes the cut that separates labelled good from bad rows best.
+replacement in proportion to the weights; k is given, or else the number of
+documents whose weight passes the cut that separates labelled good from bad
+rows best. The weights of whole documents spread far wider than the noise (as
+does any ratio of n-gram models), so at the fitted k the sample is nearly the
+cut itself and clean documents stay; a smaller `span` lets chance weigh more.
 
 Features are word runs and sign runs, and pairs of them; a run that repeats
 one of the two before it becomes one `again` mark. Counts cover all rows. The
@@ -156,7 +159,7 @@ def scores(texts: list[str], ids: np.ndarray, ratio: np.ndarray, span: float, se
     return n, total, weight, weight + gumbel(ids, seed)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, buckets: int, smoothing: float, span: float, max_labels: int, seed: int, doc_id: str, text: str):
+def fitted(docs: DataFrame, labels: DataFrame, buckets: int, smoothing: float, span: float, max_labels: int, seed: int, k: int | None, doc_id: str, text: str):
     """The broadcast ratios, the scored documents, and the key of the k-th."""
     spark = docs.sparkSession
     ready(spark)
@@ -173,23 +176,26 @@ def fitted(docs: DataFrame, labels: DataFrame, buckets: int, smoothing: float, s
             yield pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(total), pa.array(weight, mask=empty), pa.array(noisy, mask=empty), pa.array(ordered(noisy), mask=empty)], names=["doc_id", "n_grams", "log_ratio", "weight", "key", "rank_key"])
 
     scored = staged(rows.mapInArrow(score, "doc_id long, n_grams long, log_ratio double, weight double, key double, rank_key long"), "weights")
+    if k is not None:
+        k = min(k, scored.where("rank_key is not null").count())
+        return ratio, scored, kth_largest(scored.where("rank_key is not null"), "rank_key", k)
     judged = scored.where("weight is not null").join(F.broadcast(marks), "doc_id").groupBy("doc_id", "good").agg(F.max("weight").alias("weight")).toPandas()
     cut = best_cut(judged["weight"].to_numpy(float), judged["good"].to_numpy(bool))
     k = scored.where(F.col("weight") >= F.lit(cut)).count()
     return ratio, scored, kth_largest(scored.where("rank_key is not null"), "rank_key", k)
 
 
-def weigh(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, span: float = SPAN, max_labels: int = MAX_LABELS, seed: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def weigh(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, span: float = SPAN, max_labels: int = MAX_LABELS, seed: int = 1, k: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_grams, log_ratio (summed), weight, key, kept."""
-    _, scored, floor = fitted(docs, labels, buckets, smoothing, span, max_labels, seed, doc_id, text)
+    _, scored, floor = fitted(docs, labels, buckets, smoothing, span, max_labels, seed, k, doc_id, text)
     kept = F.coalesce(F.col("rank_key") >= F.lit(floor), F.lit(False)) if floor is not None else F.lit(False)
     return scored.select("doc_id", "n_grams", "log_ratio", "weight", "key", kept.alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, span: float = SPAN, max_labels: int = MAX_LABELS, seed: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, span: float = SPAN, max_labels: int = MAX_LABELS, seed: int = 1, k: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are kept, with all columns. Each is scored again where it is
     read, so that no text shuffles."""
-    ratio, _, floor = fitted(docs, labels, buckets, smoothing, span, max_labels, seed, doc_id, text)
+    ratio, _, floor = fitted(docs, labels, buckets, smoothing, span, max_labels, seed, k, doc_id, text)
     if floor is None:
         return docs.where("false")
 
