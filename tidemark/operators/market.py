@@ -13,7 +13,7 @@ from .features import by, back, ret
 
 #: Fixed: regime thresholds.
 BULLISH, BEARISH, ELEVATED, HIGH = 0.03, -0.03, 0.015, 0.025
-DIMENSIONS = ("volatility", "trend", "turnover", "breadth", "dispersion")
+DIMENSIONS = ("volatility", "trend", "turnover", "breadth", "dispersion", "correlation")
 
 
 def breadth(bars: DataFrame) -> DataFrame:
@@ -53,6 +53,8 @@ def regime_buckets(bars: DataFrame, dimensions=DIMENSIONS, k: int = 3, lookback:
         F.avg("r").alias("m"), F.avg("r20").alias("trend"), F.sum("turnover").alias("turnover"),
         F.round(ratio(F.count_if(F.col("r") > 0).cast("double"), F.count("r")), 9).alias("breadth"), F.when(F.count("r") > 1, F.stddev_pop("r")).alias("dispersion"),
     )
+    if "correlation" in dimensions:
+        day = day.join(mean_correlation(bars).select("trade_date", F.round("mean_correlation", 9).alias("correlation")), "trade_date", "left")
     by = Window.orderBy("trade_date")
     day = day.withColumn("volatility", F.when(F.count("m").over(by.rowsBetween(-19, 0)) == 20, F.stddev_pop("m").over(by.rowsBetween(-19, 0))))
     tall = day.select("trade_date", *dimensions).unpivot(["trade_date"], list(dimensions), "dimension", "value")
@@ -88,6 +90,19 @@ def pair_correlations(bars: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), pearson(F.col("x"), F.col("y")).alias("correlation"))
 
 
+def mean_correlation(bars: DataFrame, days: int = 60, least: int = 20) -> DataFrame:
+    """Per date the mean, over pairs of tickers that trade on it, of their return correlation over the last
+    `days` market days (pairs with `least` common ones). Six running sums per pair; the join is by date, so
+    its size is the square of the tickers of a day."""
+    rows = bars.withColumn("x", ret(1)).where("x is not null").select("ticker", "trade_date", "x")
+    calendar = rows.select("trade_date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("trade_date")))  # one row per day
+    rows = rows.join(calendar, "trade_date")
+    pairs = rows.withColumnRenamed("ticker", "a").join(rows.select(F.col("ticker").alias("b"), "pos", F.col("x").alias("y")), "pos").where("a < b")
+    last = Window.partitionBy("a", "b").orderBy("pos").rangeBetween(1 - days, 0)
+    c = pairs.select("trade_date", F.when(F.count("*").over(last) >= least, pearson(F.col("x"), F.col("y"), last)).alias("c"))
+    return c.groupBy("trade_date").agg(F.count("c").alias("pairs"), F.avg("c").alias("mean_correlation")).where("pairs > 0")
+
+
 def lead_lag(bars: DataFrame, lags=(1, 2, 3, 5)) -> DataFrame:
     """Correlation of each ticker's return with each other's `lag` positions before."""
     rows = bars.withColumn("y", ret(1)).where("y is not null").select("ticker", "trade_date", "y")
