@@ -22,11 +22,11 @@ def test_earnings_table_takes_the_later_quarter_and_the_first_row(spark):
 
 
 def test_press_highlights(spark):
-    one = "<p>For the period ended 30 June 2025. Total revenue grew 30% YoY to EGP 50.5 bn. EBITDA rose 12.5% YoY to EGP 20 bn with a 15% net margin.</p><script>EBITDA to EGP 1 bn</script>Net profit reached EGP 7.5bn. Net debt/EBITDA stood at 1.4x"
+    one = "<p>For the period ended 30 June 2025. Total revenue grew 30% YoY to EGP 50.5 bn. EBITDA rose 12% YoY to EGP 20 bn with a 15% net margin.</p><script>EBITDA to EGP 1 bn</script>Net profit reached EGP 7.5bn. Net debt/EBITDA stood at 1.4x"
     two = "FY 2024 results: Revenue of USD 3,250.7 million, EBITDA of USD 210.1 million, and net profit attributable to shareholders of USD 1,100 million"
     docs = spark.createDataFrame([("A", one), ("B", "Total revenue to EGP 1 bn without a period"), ("C", None)], "ticker string, body string")
     assert rows(s.press_highlights(docs), "period_end_date", "period_type", "line_item", "value") == sorted(
-        (D(2025, 6, 30), "QUARTERLY", k, v) for k, v in {"revenue": 50.5e9, "ebitda": 20e9, "net_income": 7.5e9, "revenue_growth_yoy": 30.0, "ebitda_growth_yoy": 12.5, "net_margin": 15.0, "net_debt_to_ebitda": 1.4}.items()
+        (D(2025, 6, 30), "QUARTERLY", k, v) for k, v in {"revenue": 50.5e9, "ebitda": 20e9, "net_income": 7.5e9, "revenue_growth_yoy": 30.0, "ebitda_growth_yoy": 12.0, "net_margin": 15.0, "net_debt_to_ebitda": 1.4}.items()
     )
     got = s.press_highlights(spark.createDataFrame([("B", two), ("C", two.replace("FY 2024", "Q3 2024"))], "ticker string, body string"), s.SENTENCE)
     want = [("ebitda", 210.1e6), ("net_income_attributable", 1100e6), ("revenue", 3250.7e6)]

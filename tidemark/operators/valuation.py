@@ -34,13 +34,13 @@ class Assumptions:
 
 
 def trailing_year(items: DataFrame) -> DataFrame:
-    """Long items of the last four quarters as one value each: flows add up (all four
-    must exist), shares average, other items take the last known."""
+    """Long items of the last four quarters as one value each: flows that all four have add up,
+    shares average, everything else takes the last known value."""
     quarters = items.where(F.upper("period_type") == "QUARTERLY")
     ends = quarters.select("ticker", "period_end_date").distinct().withColumn("r", F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("period_end_date").desc()))).where("r <= 4")
     recent = quarters.join(ends, ["ticker", "period_end_date"])
     value = (
-        F.when(F.first("line_item").isin(*FLOWS), F.when(F.count("value") == 4, F.sum("value")))
+        F.when(F.first("line_item").isin(*FLOWS) & (F.count("value") == 4), F.sum("value"))
         .when(F.first("line_item") == "shares_outstanding", F.avg("value"))
         .otherwise(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("period_end_date"))))
     )
@@ -48,13 +48,41 @@ def trailing_year(items: DataFrame) -> DataFrame:
     return recent.groupBy("ticker", "line_item").agg(value.alias("value")).join(full, "ticker")
 
 
-def growth(items: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Mean of the last three relative changes of an item, per ticker."""
-    w = Window.partitionBy("ticker", "line_item").orderBy("period_end_date")
-    before = F.lag("value").over(w)
-    r = items.where(F.col("line_item").isin(*names)).withColumn("g", F.try_divide(F.col("value") - before, F.abs(before))).where("g is not null")
-    r = r.withColumn("_r", F.row_number().over(Window.partitionBy("ticker", "line_item").orderBy(F.col("period_end_date").desc()))).where("_r <= 3")
-    return r.groupBy("ticker").pivot("line_item", list(names)).agg(F.avg("g"))
+def statement_rows(items: DataFrame, as_of: str, days: int = 1100) -> DataFrame:
+    """Long rows (ticker, seq, period_end_date, line_item, value) of what is known of the last `days` days at `as_of`.
+
+    With four quarters a ticker has its annual periods and, last, the year they
+    make up; with fewer all its periods in order. Snapshots are no periods. seq
+    orders the rows of a ticker."""
+    day = F.lit(as_of).cast("date")
+    known = items.where(F.upper("period_type").isin("ANNUAL", "QUARTERLY") & F.col("period_end_date").between(F.date_sub(day, days), day)).withColumn("period_type", F.upper("period_type"))
+    year = trailing_year(known)
+    whole = year.select("ticker").distinct().withColumn("_year", F.lit(True))
+    own = known.join(whole, "ticker", "left").where((F.col("period_type") == "ANNUAL") | F.col("_year").isNull())
+    seq = lambda last: F.struct(F.lit(last).alias("year"), F.col("period_end_date").alias("day")).alias("seq")
+    return own.select("ticker", seq(0), "period_end_date", "line_item", "value").unionByName(year.select("ticker", seq(1), "period_end_date", "line_item", "value"))
+
+
+def facts(items: DataFrame, sectors: DataFrame, as_of: str, stale_days: int = 550) -> DataFrame:
+    """What `fair_values` reads, one row per ticker whose last period is at most `stale_days` old: the last
+    known value of each item, the mean operating income of the last three periods, and the mean of the
+    last three relative changes between neighbouring periods."""
+    names = ["revenue", "eps_diluted", "eps_basic", "free_cash_flow", "dividend_per_share", "shares_outstanding", "cash_and_equivalents", "total_debt", "total_equity", "operating_income", "ebitda"]
+    rows = statement_rows(items, as_of)
+    wide = rows.groupBy("ticker", "seq").pivot("line_item", names).agg(F.last("value")).withColumn("eps", F.coalesce("eps_diluted", "eps_basic"))
+    grown = ("revenue", "eps", "free_cash_flow")
+    w = Window.partitionBy("ticker").orderBy("seq")
+    change = lambda c: F.when(F.lag(c).over(w) != 0, (F.col(c) - F.lag(c).over(w)) / F.abs(F.lag(c).over(w)))
+    wide = wide.withColumns({f"_g_{c}": change(c) for c in grown} | {"_back": F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("seq").desc()))})
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    recent = lambda c: F.slice(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("v")))), False), 1, 3)
+    mean = lambda c: F.try_divide(F.aggregate(c, F.lit(0.0), lambda t, x: t + x["v"]), F.size(c))
+    out = wide.groupBy("ticker").agg(
+        F.max("seq")["day"].alias("last_period"), *[last(c).alias(n) for c, n in (("revenue", "revenue"), ("eps", "eps"), ("free_cash_flow", "free_cash_flow"), ("dividend_per_share", "dividend"), ("shares_outstanding", "shares"), ("cash_and_equivalents", "cash"), ("total_debt", "debt"), ("total_equity", "equity"), ("ebitda", "ebitda"))],
+        F.avg(F.when(F.col("_back") <= 3, F.col("operating_income"))).alias("ebit"), *[recent(f"_g_{c}").alias(f"_r_{c}") for c in grown],
+    )
+    out = out.withColumns({f"g_{c}": mean(f"_r_{c}") for c in grown}).drop(*[f"_r_{c}" for c in grown])
+    return out.where(F.datediff(F.lit(as_of).cast("date"), "last_period") <= stale_days).join(sectors.select("ticker", "sector"), "ticker", "left")
 
 
 def multiples(sector: Column) -> tuple[Column, Column, Column]:

@@ -210,9 +210,17 @@ def w17_w18(spark, d):
     return market.regime_buckets(plain(spark, d), ("breadth",), 3).where("bucket is not null").select("trade_date", "dimension", "k", "bucket")
 
 
-@query("w18_regime_dimensions")
+@query("w18_regime_dimensions", sql("bars", f"""
+WITH a AS (SELECT *, {RET.format(n=1)} AS r1, {RET.format(n=20)} AS r20 FROM bars WINDOW w AS ({W})),
+m AS (SELECT trade_date, avg(r1) AS m, avg(r20) AS trend, sum(close * volume) AS turnover, round(count(*) FILTER (r1 > 0)::DOUBLE / nullif(count(r1), 0), 9) AS breadth, CASE WHEN count(r1) > 1 THEN stddev_pop(r1) END AS dispersion, row_number() OVER (ORDER BY trade_date) AS rn FROM a GROUP BY trade_date),
+v AS (SELECT *, CASE WHEN count(m) OVER s = 20 THEN stddev_pop(m) OVER s END AS volatility FROM m WINDOW s AS (ORDER BY trade_date ROWS 19 PRECEDING)),
+t AS (SELECT trade_date, rn, unnest(['trend', 'turnover', 'breadth', 'dispersion', 'volatility']) AS dimension, unnest([trend, turnover, breadth, dispersion, volatility]) AS value FROM v),
+p AS (SELECT x.trade_date, x.dimension, x.value, CASE WHEN count(y.value) = 119 THEN (count(*) FILTER (y.value < x.value) + 0.5::DOUBLE * count(*) FILTER (y.value = x.value)) / 119 END AS pct
+  FROM t x LEFT JOIN t y ON y.dimension = x.dimension AND y.rn BETWEEN x.rn - 119 AND x.rn - 1 WHERE x.value IS NOT NULL GROUP BY ALL)
+SELECT trade_date, dimension, 3 AS k, round(value, 4) AS value, CAST(least(2, floor(pct * 3)) AS INTEGER) AS bucket FROM p WHERE pct IS NOT NULL"""))
 def w18_all(spark, d):
-    return market.regime_buckets(plain(spark, d), market.DIMENSIONS, 3)
+    five = tuple(x for x in market.DIMENSIONS if x != "correlation")  # that one has a query of its own
+    return market.regime_buckets(plain(spark, d), five, 3).where("bucket is not null").withColumn("value", F.round("value", 4))
 
 
 @query("a32_sector_leader", sql("bars sectors", """
@@ -257,7 +265,11 @@ def w26(spark, d):
     return market.worst_window(plain(spark, d), 5)
 
 
-@query("w30_directional_backtest")
+@query("w30_directional_backtest", sql("bars", f"""
+WITH a AS (SELECT ticker, trade_date, {RET.format(n=1)} AS r1 FROM bars WINDOW w AS ({W})), p AS (SELECT *, coalesce(sign(lag(r1) OVER ({W})), 0) AS pos FROM a),
+k AS (SELECT ticker, trade_date, pos, pos * r1 - abs(pos - coalesce(lag(pos) OVER ({W}), 0)) * 10.0::DOUBLE / 10000 AS net, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM p WHERE r1 IS NOT NULL)
+SELECT ticker, count(*) AS days, round(sum(net), 4) AS net_return, round(avg(net) / nullif(stddev_pop(net), 0) * sqrt(250), 4) AS sharpe,
+  round(count(*) FILTER (pos <> 0 AND net > 0)::DOUBLE / nullif(count(*) FILTER (pos <> 0), 0), 6) AS hit_rate FROM k WHERE i > floor(n * (1 - 0.3::DOUBLE)) GROUP BY ticker"""))
 def w30(spark, d):
     return market.backtest(plain(spark, d))
 

@@ -175,7 +175,12 @@ def x24(spark, d):
     return research.retire(p)
 
 
-@query("x21_live_activation")
+@query("x21_live_activation", sql("bars", """
+WITH a AS (SELECT ticker, trade_date, """ + RET.format(n=5) + """ AS r5, """ + RET.format(n=20) + f""" AS r20 FROM bars WINDOW w AS ({W})),
+f AS (SELECT ticker, trade_date, 'return_5d' AS feature_id, r5 AS value FROM a WHERE r5 IS NOT NULL UNION ALL SELECT ticker, trade_date, 'return_20d', r20 FROM a WHERE r20 IS NOT NULL),
+q AS (SELECT ticker, feature_id, quantile_cont(value, 0.2) AS lo, quantile_cont(value, 0.8) AS hi FROM f GROUP BY ALL), l AS (SELECT ticker, feature_id, arg_max(value, trade_date) AS value FROM f WHERE trade_date <= DATE '2000-06-30' GROUP BY ALL)
+SELECT ticker, feature_id || ':' || op AS rule_id, round(1 / (1 + coalesce(abs((value - th) / nullif(abs(th), 0)), 0)), 6) AS quality
+FROM (SELECT *, '<' AS op, lo AS th FROM q JOIN l USING (ticker, feature_id) UNION ALL SELECT *, '>', hi FROM q JOIN l USING (ticker, feature_id)) WHERE CASE op WHEN '<' THEN value < th ELSE value > th END"""))
 def x21(spark, d):
     wide = plain(spark, d).withColumns({"return_5d": features.ret(5), "return_20d": features.ret(20)})
     long = rules.long_features(wide, ["return_5d", "return_20d"])
@@ -197,12 +202,20 @@ def liquidity(spark, d):
     return research.liquidity_findings(plain(spark, d), 0.01).withColumn("statistic", F.round("statistic", 4))
 
 
-@query("j4_agents_macro")
+@query("j4_agents_macro", sql("bars macro", f"""
+WITH a AS (SELECT ticker, trade_date, {RET.format(n=1)} AS x FROM bars WINDOW w AS ({W})), k AS (SELECT * FROM a WHERE x IS NOT NULL),
+m AS (SELECT series_id, observation_date, (value - lag(value) OVER v) / nullif(lag(value) OVER v, 0) AS move FROM macro WINDOW v AS (PARTITION BY series_id ORDER BY observation_date)),
+j AS (SELECT s.ticker, s.series_id, s.x, m.move FROM (SELECT k.*, series_id FROM k CROSS JOIN (SELECT DISTINCT series_id FROM macro)) s ASOF JOIN (SELECT * FROM m WHERE move IS NOT NULL) m ON m.series_id = s.series_id AND s.trade_date >= m.observation_date),
+c AS (SELECT ticker, series_id, (avg(x * move) - avg(x) * avg(move)) / nullif(stddev_pop(x) * stddev_pop(move), 0) AS c, count(*) AS n FROM j GROUP BY ALL)
+SELECT 'macro' AS agent, ticker || '~' || series_id AS subject, round(c, 4) AS statistic FROM c WHERE n >= 4 AND abs(c) >= 0.02"""))
 def macro_agent(spark, d):
     return research.macro_findings(plain(spark, d), views.macro(spark, d), 0.02).withColumn("statistic", F.round("statistic", 4))
 
 
-@query("agents_structure")
+@query("agents_structure", sql("bars", f"""
+WITH a AS (SELECT *, {RET.format(n=1)} AS x FROM bars WINDOW w AS ({W})), k AS (SELECT * FROM a WHERE x IS NOT NULL),
+c AS (SELECT a.ticker AS a, b.ticker AS b, (avg(a.x * b.x) - avg(a.x) * avg(b.x)) / nullif(stddev_pop(a.x) * stddev_pop(b.x), 0) AS c FROM k a JOIN k b ON a.trade_date = b.trade_date AND a.ticker < b.ticker GROUP BY ALL)
+SELECT 'market_structure' AS agent, a || '~' || b AS subject, round(c, 4) AS statistic FROM c WHERE abs(c) >= 0.01 QUALIFY row_number() OVER (ORDER BY abs(c) DESC, a, b) <= 250"""))
 def structure(spark, d):
     return research.structure_findings(market.pair_correlations(plain(spark, d)), 0.01).withColumn("statistic", F.round("statistic", 4))
 

@@ -125,7 +125,13 @@ def x14(spark, d):
     return outcomes.walk_forward(rows, "ticker", "trade_date", "outcome", "hit").select("ticker", "n", r("expectancy", 4), "oos_n", r("oos_expectancy", 4), "folds", "survived")
 
 
-@query("x15_threshold_variants")
+@query("x15_threshold_variants", sql("bars", BASE + """,
+sd AS (SELECT ticker, feature_id, stddev_pop(value) AS sd FROM f GROUP BY ALL),
+v AS (SELECT c.ticker, c.feature_id, op, cond_id, delta, threshold + delta * sd AS threshold FROM c JOIN sd USING (ticker, feature_id) CROSS JOIN (SELECT unnest([0.0, -0.25, -0.1, 0.1, 0.25])::DOUBLE AS delta)),
+e AS (SELECT v.ticker, cond_id, delta, count(*) AS n, avg(outcome) AS e FROM f JOIN v USING (ticker, feature_id) JOIN a ON a.ticker = f.ticker AND a.trade_date = f.trade_date
+  WHERE outcome IS NOT NULL AND ((op = '<' AND value < threshold) OR (op = '>' AND value > threshold)) GROUP BY ALL),
+b AS (SELECT *, max(CASE WHEN delta = 0 THEN e END) OVER (PARTITION BY ticker, cond_id) AS base FROM e)
+SELECT ticker, cond_id, count(*) FILTER (delta <> 0 AND n >= 10 AND base IS NOT NULL) AS checks, count(*) FILTER (delta <> 0 AND n >= 10 AND (e > 0) = (base > 0)) AS agreeing FROM b GROUP BY ALL"""))
 def x15(spark, d):
     long, conds, out, _ = mined(spark, d)
     return rules.threshold_variants(long, conds, out)
@@ -146,9 +152,18 @@ def x17(spark, d):
     return outcomes.cost_grid(mined(spark, d)[3], ["ticker", "cond_id"]).select("ticker", "cond_id", "cost_bps", "n", r("net_expectancy", 4), r("net_hit_rate"), "survives")
 
 
-@query("x18_regime_profile")
+@query("x18_regime_profile", sql("bars", BASE + """,
+m AS (SELECT trade_date, avg(r20) AS trend, round(count(*) FILTER (r1 > 0)::DOUBLE / nullif(count(r1), 0), 9) AS breadth, row_number() OVER (ORDER BY trade_date) AS rn FROM a GROUP BY trade_date),
+t AS (SELECT trade_date, rn, 'trend' AS dimension, trend AS value FROM m UNION ALL SELECT trade_date, rn, 'breadth', breadth FROM m),
+p AS (SELECT x.trade_date, x.dimension, x.value, CASE WHEN count(y.value) = 119 THEN (count(*) FILTER (y.value < x.value) + 0.5::DOUBLE * count(*) FILTER (y.value = x.value)) / 119 END AS pct
+  FROM t x LEFT JOIN t y ON y.dimension = x.dimension AND y.rn BETWEEN x.rn - 119 AND x.rn - 1 WHERE x.value IS NOT NULL GROUP BY ALL),
+e AS (SELECT ticker, cond_id, dimension, least(2, floor(pct * 3)) AS bucket, count(*) AS n, avg(outcome) AS e FROM h JOIN p USING (trade_date) WHERE pct IS NOT NULL GROUP BY ALL)
+SELECT ticker, cond_id, dimension, 3 AS k, count(*) FILTER (n >= 10) AS buckets, count(*) FILTER (n >= 10 AND e > 0) AS positive, round(min(e) FILTER (n >= 10), 4) AS worst,
+  CASE WHEN count(*) FILTER (n >= 10) = 0 THEN 'insufficient' WHEN count(*) FILTER (n >= 10 AND e <= 0) = 0 THEN 'unconditional' WHEN count(*) FILTER (n >= 10 AND e > 0) = 0 THEN 'failing' WHEN count(*) FILTER (n >= 10 AND e > 0) = 1 THEN 'regime_specific' ELSE 'sensitive' END AS tag
+FROM e GROUP BY ALL"""))
 def x18(spark, d):
-    return rules.regime_profile(mined(spark, d)[3], market.regime_buckets(plain(spark, d), ("breadth", "trend"), 3))
+    found = mined(spark, d)[3]
+    return rules.regime_profile(found, market.regime_buckets(plain(spark, d), ("breadth", "trend"), 3)).withColumn("worst", F.round("worst", 4))
 
 
 @query("a4_a5_a7_seeded_tests")
@@ -313,13 +328,15 @@ def a27(spark, d):
 
 @query("d1_fair_value")
 def d1(spark, d):
+    """The tables state five items; the per-share and cash items the models read are derived from them by fixed shares."""
     items = views.financials(spark, d)
-    ttm = valuation.trailing_year(items).groupBy("ticker").pivot("line_item", ["revenue", "net_income", "operating_income", "shares_outstanding", "total_equity"]).agg(F.first("value"))
-    facts = ttm.join(views.sectors(spark, d), "ticker").select(
-        "ticker", "sector", "revenue", (F.col("net_income") / F.col("shares_outstanding")).alias("eps"), (F.col("net_income") * 0.8).alias("free_cash_flow"), (F.col("net_income") * 0.3 / F.col("shares_outstanding")).alias("dividend"),
-        F.col("shares_outstanding").alias("shares"), F.lit(0.0).alias("cash"), F.lit(0.0).alias("debt"), F.col("total_equity").alias("equity"), F.col("operating_income").alias("ebit"), (F.col("operating_income") * 1.1).alias("ebitda"),
-    )
-    return valuation.fair_values(facts)
+    wide = items.groupBy("ticker", "period_end_date", "period_type").pivot("line_item", ["net_income", "operating_income", "shares_outstanding"]).agg(F.first("value"))
+    per_share = F.try_divide("net_income", "shares_outstanding")
+    made = F.array(*[F.struct(F.lit(n).alias("line_item"), c.alias("value")) for n, c in (("eps_basic", per_share), ("dividend_per_share", per_share * 0.3), ("free_cash_flow", F.col("net_income") * 0.8), ("ebitda", F.col("operating_income") * 1.1))])
+    more = wide.select("ticker", "period_end_date", "period_type", F.inline(made))
+    last = F.add_months(F.max("period_end_date"), -6)
+    as_of = str(items.agg(last.alias("d")).first()["d"] or "2000-01-01")  # one date: some quarters before the end
+    return valuation.fair_values(valuation.facts(items.select(*more.columns).unionByName(more), views.sectors(spark, d), as_of))
 
 
 @query("g1_neighbourhood", sql("edges", """
@@ -330,7 +347,10 @@ def g1(spark, d):
     return graph.within(views.edges(spark, d), spark.sql("SELECT 'region:1' AS node"), 2)
 
 
-@query("g1_shortest_paths")
+@query("g1_shortest_paths", sql("edges", """
+l AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+p AS (SELECT 'supplier:1' AS node, 0 AS hop, ['supplier:1'] AS path UNION ALL SELECT l.dst, hop + 1, list_append(path, l.dst) FROM p JOIN l ON l.src = p.node WHERE hop < 4 AND NOT list_contains(path, l.dst))
+SELECT node, hop, array_to_string(path, '>') AS path FROM p QUALIFY row_number() OVER (PARTITION BY node ORDER BY hop, path) = 1""", recursive=True).replace("FROM supplier)\nl AS", "FROM supplier),\nl AS"))
 def g1_paths(spark, d):
     return graph.shortest_paths(views.edges(spark, d), spark.sql("SELECT 'supplier:1' AS node"), 4).select("node", "hop", F.array_join("path", ">").alias("path"))
 
