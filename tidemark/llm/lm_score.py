@@ -55,7 +55,7 @@ from .nptext import U64, Batch, chunks, mix
 
 FOLDS, HELD = 7, 2
 MOST_WORDS = 1 << 20
-WIDTH, STRIDE = 40, 32
+WIDTH, STRIDE, AT_ONCE = 40, 32, 32
 DIM, CLASSES, FREQUENT = 24, 96, 4096
 TALLY_WORDS, LEAST_STEPS = 600_000, 400
 SAMPLE_WINDOWS, GROUP_WINDOWS, BLOCK_WINDOWS, ROUNDS, MERGERS = 6000, 1 << 16, 1 << 18, 2, 16
@@ -328,10 +328,10 @@ def word_log_probs(tables: Tables, v: Vocabulary, ids: np.ndarray, at: np.ndarra
     window = np.repeat(edge[:-1] - np.cumsum(rows) * STRIDE + rows * STRIDE, rows) + np.arange(int(rows.sum())) * STRIDE
     chosen, starting = np.zeros(len(flat), np.float32), np.zeros(len(flat), np.float32)
     cls = v.cls[np.where(flat < 0, v.end, flat)]
-    # always 128 at once, the last ones filled up with one of them: products of one shape round alike
-    window = np.concatenate((window, np.full(-len(window) % 128, window[0]))) if len(window) else window
-    for lo in range(0, len(window), 128):
-        s = window[lo : lo + 128]
+    # always AT_ONCE, the last ones filled up with one of them: products of one shape round alike, and stay in the cache
+    window = np.concatenate((window, np.full(-len(window) % AT_ONCE, window[0]))) if len(window) else window
+    for lo in range(0, len(window), AT_ONCE):
+        s = window[lo : lo + AT_ONCE]
         logits = tables.scores(x[s[:, None] + np.arange(WIDTH)], lead)
         target = (s[:, None] + np.arange(lead + 1, WIDTH + 1)).reshape(-1)
         own_logit = logits[np.arange(len(target)), cls[target]]
