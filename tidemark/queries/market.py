@@ -217,10 +217,10 @@ v AS (SELECT *, CASE WHEN count(m) OVER s = 20 THEN stddev_pop(m) OVER s END AS
 t AS (SELECT trade_date, rn, unnest(['trend', 'turnover', 'breadth', 'dispersion', 'volatility']) AS dimension, unnest([trend, turnover, breadth, dispersion, volatility]) AS value FROM v),
 p AS (SELECT x.trade_date, x.dimension, x.value, CASE WHEN count(y.value) = 119 THEN (count(*) FILTER (y.value < x.value) + 0.5::DOUBLE * count(*) FILTER (y.value = x.value)) / 119 END AS pct
   FROM t x LEFT JOIN t y ON y.dimension = x.dimension AND y.rn BETWEEN x.rn - 119 AND x.rn - 1 WHERE x.value IS NOT NULL GROUP BY ALL)
-SELECT trade_date, dimension, 3 AS k, round(value, 4) AS value, CAST(least(2, floor(pct * 3)) AS INTEGER) AS bucket FROM p WHERE pct IS NOT NULL"""))
+SELECT trade_date, dimension, 3 AS k, CASE dimension WHEN 'turnover' THEN round(value, 0) ELSE round(value, 4) END AS value, CAST(least(2, floor(pct * 3)) AS INTEGER) AS bucket FROM p WHERE pct IS NOT NULL"""))
 def w18_all(spark, d):
     five = tuple(x for x in market.DIMENSIONS if x != "correlation")  # that one has a query of its own
-    return market.regime_buckets(plain(spark, d), five, 3).where("bucket is not null").withColumn("value", F.round("value", 4))
+    return market.regime_buckets(plain(spark, d), five, 3).where("bucket is not null").withColumn("value", F.when(F.col("dimension") == "turnover", F.round("value", 0)).otherwise(F.round("value", 4)))
 
 
 @query("a32_sector_leader", sql("bars sectors", """
