@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, html_wrap, lm_score, ngram_join, packing, quality, secrets, token_counts, url_lists
+from . import decontam, exact_dedup, filter_audit, html_wrap, lm_score, ngram_join, packing, quality, secrets, token_counts, url_lists
 from .common import ready, table
 
 
@@ -52,9 +52,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_quality_classifier, op4_url_filters, op5_html_main_text, op6_secret_scan, op7_ngram_jaccard_join, op8_best_fit_packing, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_quality_classifier, op4_url_filters, op5_html_main_text, op6_secret_scan, op7_ngram_jaccard_join, op8_best_fit_packing, op9_decontamination, op10_token_counts, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op4_url_filters": url_lists.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op4_url_filters": url_lists.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
