@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, filter_audit, html_wrap, lm_score, ngram_join, packing, quality, secrets, subwords, token_counts, url_lists
+from . import decontam, exact_dedup, filter_audit, html_wrap, lm_score, ngram_join, packing, quality, secrets, spelling, subwords, token_counts, url_lists
 from .common import ready, table
 
 
@@ -52,6 +52,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.digests(subwords.decode(subwords.encode(table(spark, sf_dir, "documents"))))
 
@@ -61,7 +65,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_quality_classifier, op4_url_filters, op5_html_main_text, op6_secret_scan, op7_ngram_jaccard_join, op8_best_fit_packing, op9_decontamination, op10_token_counts, op12_bpe_round_trip, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_quality_classifier, op4_url_filters, op5_html_main_text, op6_secret_scan, op7_ngram_jaccard_join, op8_best_fit_packing, op9_decontamination, op10_token_counts, op11_spelling_variants, op12_bpe_round_trip, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
