@@ -48,6 +48,15 @@ def test_tree_equals_whole_encoding_of_any_text(parts, leaf):
     assert subwords.subwords(subwords.default_words()).texts([text])[0].tolist() == whole
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["'", "'s", "re", "<|endoftext|>", "x"]) | st.characters(max_codepoint=0x180), max_size=30))
+def test_words_by_pieces_equal_whole_encoding(parts):
+    text = "".join(parts)
+    s = subwords.subwords(subwords.default_words())
+    assert s.split is not None
+    assert s.texts([text])[0].tolist() == s.whole(text).tolist()
+
+
 @pytest.mark.parametrize("text", ["a" * 5000, "ab" * 3000, "." * 5001, "'s" * 2500, "́" * 4000, "e" + "̣́" * 2000, "<|endoftext|>" * 300, "ᄀ" * 3000])
 def test_long_runs(library, text):
     assert by_tree(text, 100) == library.encode(text, add_special_tokens=False).ids
@@ -69,9 +78,10 @@ def test_query_matches_library(spark, awkward, empty, library, sf):
         back = library.decode(ids, skip_special_tokens=False)
         want.append((r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
     for leaf in (100, subwords.LEAF):
-        got = subwords.digests(subwords.decode(subwords.encode(docs, leaf=leaf)))
-        assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+        for both in (subwords.encode(docs, leaf=leaf, decoded=True), subwords.decode(subwords.encode(docs, leaf=leaf))):
+            got = subwords.digests(both)
+            assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert subwords.digests(subwords.decode(subwords.encode(empty))).count() == 0
 
 

@@ -57,7 +57,7 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subwords.digests(subwords.decode(subwords.encode(table(spark, sf_dir, "documents"))))
+    return subwords.digests(subwords.encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

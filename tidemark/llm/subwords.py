@@ -1,8 +1,9 @@
 """Whole-document BPE encoding and decoding, long unsplit text by tree concatenation.
 
 The tokenizer drops white space and never lets a token span it, so a text is
-the concatenation of its words, and each distinct word of a batch is encoded
-once. Text without white space for more than `leaf` characters cannot be had
+the concatenation of its words, and each distinct word is encoded once while a
+worker remembers it: Latin ones piece by piece with the tokenizer's own model,
+others with the whole tokenizer. Text without white space for more than `leaf` characters cannot be had
 that way. Such a document is cut into halves until no piece is longer; the
 pieces are rows of their own and are encoded in parallel. At each join, from
 the leaves up, a window of text around it is encoded and doubled until both
@@ -26,23 +27,28 @@ are ignored, whatever their names.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANK, ready, text_of
+from .nptext import chunks
 
 LEAF = 1 << 15
 FIRST_WINDOW = 48
-#: Words remembered by a worker, in bytes; beyond that all are forgotten and encoded again as they come.
-KEEP = 1 << 27
+#: Words remembered by a worker, in bytes; beyond that those not met again since the last time are forgotten.
+KEEP = 1 << 26
 WORD = re.compile(rf"[^{BLANK[1:]}+")
 WORD_END = "</w>"
+#: Words of smaller characters only are in composed normal form, and lower case changes each character by itself.
+LATIN = "\u0130"
 
 
 def default_words() -> str:
@@ -67,23 +73,46 @@ def starts_afresh(char: str) -> bool:
     return char < "\x80" or (not unicodedata.combining(char) and ord(char) not in later_marks())
 
 
+def byte_signs() -> list[str]:
+    """The sign of each byte in byte-level vocabularies: printable Latin-1 ones stand for themselves, the rest follow from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+BYTE_SIGNS = byte_signs()
+
+
+def latin_split(own: dict) -> regex.Pattern | None:
+    """The pattern by which the tokenizer splits words, if it normalises and splits as the word vocabulary does."""
+    normal = [n["type"] for n in (own.get("normalizer") or {}).get("normalizers", [])]
+    steps = (own.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"] or steps[1]["use_regex"]:
+        return None
+    # to the tokenizer U+001C to U+001F are no white space
+    return regex.compile(steps[0]["pattern"]["Regex"].replace(r"[^\s\p{L}", r"[^\x09-\x0D\x20\x85\xA0\p{L}"))
+
+
 class Subwords:
     """A tokenizer file without truncation and padding, with its words remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path) as f:
-            added = json.load(f).get("added_tokens", [])
-        self.added = [t["content"] for t in added]
+            own = json.load(f)
+        self.added = [t["content"] for t in own.get("added_tokens", [])]
+        self.split = latin_split(own)
         names = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(names.values(), default=-1) + 1, np.int64)
         for name, k in names.items():
             self.bytes_of[k] = len(name) if name in self.added else len(name.removesuffix(WORD_END))
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.held = 0
 
     def whole(self, text: str) -> np.ndarray:
@@ -92,14 +121,35 @@ class Subwords:
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, by its words."""
         parts = [WORD.findall(t) for t in texts]
-        if self.held > KEEP:
-            self.words, self.held = {}, 0
-        new = list({w for p in parts for w in p}.difference(self.words))
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.words[word] = np.array(found.ids, np.int32).tobytes()
-            self.held += 200 + 4 * (len(word) + len(found.ids))
+        if self.held > KEEP // 2:
+            self.before, self.words, self.held = self.words, {}, 0
+        other = []
+        for word in {w for p in parts for w in p}.difference(self.words):
+            if word in self.before:
+                self.learn(word, self.before[word])
+            elif self.split and max(word) < LATIN and not any(t in word for t in self.added):
+                self.learn(word, b"".join(map(self.piece, self.split.findall(word.lower()))))
+            else:
+                other.append(word)
+        for word, found in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
+            self.learn(word, np.array(found.ids, np.int32).tobytes())
         return [np.frombuffer(b"".join(map(self.words.__getitem__, p)), np.int32) for p in parts]
 
+    def learn(self, word: str, ids: bytes) -> bytes:
+        self.words[word] = ids
+        self.held += 200 + 4 * len(word) + len(ids)
+        return ids
+
+    def piece(self, low: str) -> bytes:
+        """Ids of a lower-case piece that the tokenizer does not split."""
+        known = self.words.get(low)
+        if known is None and (known := self.before.get(low)) is not None:
+            self.learn(low, known)
+        elif known is None:
+            signs = low if low.isascii() and low.isprintable() else "".join(map(BYTE_SIGNS.__getitem__, low.encode()))
+            known = self.learn(low, np.array([t.id for t in self.tokenizer.model.tokenize(signs)], np.int32).tobytes())
+        return known
+
     def afresh(self, text: str, at: int, step: int) -> int:
         """The first place from `at` on, in steps of 1 or -1, where a cut leaves both sides to themselves; 0 or the end if there is none."""
         while 0 < at < len(text):
@@ -155,6 +205,10 @@ class Subwords:
             parts = pairs + parts[len(pairs) * 2 :]
         return parts[0][1] if parts else np.zeros(0, np.int32)
 
+    def back(self, ids: list) -> list[str]:
+        """The text of each list of ids, special tokens kept."""
+        return [self.tokenizer.decode(i if isinstance(i, list) else i.tolist(), skip_special_tokens=False) for i in ids]
+
 
 @cache
 def subwords(path: str) -> Subwords:
@@ -171,16 +225,23 @@ def unsplit(text: Column, leaf: int) -> Column:
     return (F.char_length(text) > leaf) & F.array_max(F.transform(F.split(text, BLANK), F.char_length)).__gt__(leaf)
 
 
-def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id and its ids."""
+def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, decoded: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id and its ids, and the text that they decode to if `decoded`."""
     ready(docs.sparkSession)
     path = path or default_words()
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     long_text = unsplit(F.col("text"), leaf)
+    names, schema = ["doc_id", "ids"], "doc_id long, ids array<int>"
+    if decoded:
+        names, schema = [*names, "text"], schema + ", text string"
+
+    def results(ids):
+        return [lists(ids), pa.array(subwords(path).back(ids), pa.string())] if decoded else [lists(ids)]
 
     def by_words(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(subwords(path).texts(batch.column(1).to_pylist()))], names=["doc_id", "ids"])
+            for start, end in chunks(texts := batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), *results(subwords(path).texts(texts[start:end]))], names=names)
 
     def cut(batches):
         for batch in batches:
@@ -197,12 +258,12 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, doc_id: s
     def up(found: pa.Table) -> pa.Table:
         found = found.sort_by("at")
         parts = [(t, np.array(i, np.int32)) for t, i in zip(found["text"].to_pylist(), found["ids"].to_pylist())]
-        return pa.table({"doc_id": found["doc_id"].slice(0, 1), "ids": lists([subwords(path).tree(parts)])})
+        return pa.table([found["doc_id"].slice(0, 1), *results([subwords(path).tree(parts)])], names=names)
 
     leaves = rows.where(long_text).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(cut, "row long, doc_id long, at int, text string")
     leaves = leaves.repartition("row", "at").mapInArrow(by_leaf, "row long, doc_id long, at int, text string, ids array<int>")
-    whole = leaves.groupBy("row").applyInArrow(up, "doc_id long, ids array<int>")
-    return rows.where(~long_text).mapInArrow(by_words, "doc_id long, ids array<int>").unionByName(whole)
+    whole = leaves.groupBy("row").applyInArrow(up, schema)
+    return rows.where(~long_text).mapInArrow(by_words, schema).unionByName(whole)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -212,7 +273,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def back(batches):
         for batch in batches:
-            texts = [subwords(path).tokenizer.decode(i or [], skip_special_tokens=False) for i in batch.column(1).to_pylist()]
+            texts = subwords(path).back([i or [] for i in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(back, "doc_id long, ids array<int>, text string")
