@@ -112,13 +112,17 @@ def rank_change(percentiles: DataFrame, n: int, value: str = "percentile") -> Da
 
 
 def market_wide(bars: DataFrame) -> DataFrame:
-    """Per date: volume concentration, breadth, mean return, dispersion."""
-    rows = bars.withColumns({"ret1": ret(1), "day_volume": F.sum("volume").over(Window.partitionBy("trade_date"))})
-    share = ratio(F.col("volume"), F.col("day_volume"))
-    return rows.groupBy("trade_date").agg(
-        F.sum(share * share).alias("volume_hhi"), ratio(F.count_if(F.col("ret1") > 0), F.count("ret1")).alias("breadth"),
-        F.avg("ret1").alias("mean_return"), F.when(F.count("ret1") > 1, F.stddev_pop("ret1")).alias("dispersion"), F.count("*").alias("n_bars"),
+    """Per date: volume concentration, breadth, mean return, dispersion.
+
+    Sums run over whole numbers and decimals, so that no result depends on the order of rows."""
+    exact = F.col("ret1").cast("decimal(18,9)")
+    day = bars.withColumn("ret1", ret(1)).groupBy("trade_date").agg(
+        F.sum(F.col("volume").cast("decimal(19,0)") * F.col("volume").cast("decimal(19,0)")).cast("double").alias("squares"), F.sum("volume").cast("double").alias("total"), F.count("ret1").alias("n"), F.count_if(F.col("ret1") > 0).alias("up"),
+        F.sum(exact).cast("double").alias("s"), F.sum(exact * exact).cast("double").alias("s2"), F.count("*").alias("n_bars"),
     )
+    mean = ratio(F.col("s"), F.col("n"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), ratio(F.col("s2"), F.col("n")) - mean * mean))
+    return day.select("trade_date", ratio(F.col("squares"), F.col("total") * F.col("total")).alias("volume_hhi"), ratio(F.col("up"), F.col("n")).alias("breadth"), mean.alias("mean_return"), F.when(F.col("n") > 1, spread).alias("dispersion"), "n_bars")
 
 
 def fundamentals(items: DataFrame, item: str, filing_lag_days: int = 45) -> DataFrame:

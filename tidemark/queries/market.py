@@ -97,10 +97,14 @@ def w13(spark, d):
 
 
 @query("a14_market_wide", sql("bars", f"""
-WITH a AS (SELECT *, {RET.format(n=1)} AS r1 FROM bars WINDOW w AS ({W})), t AS (SELECT trade_date, sum(volume) AS total FROM bars GROUP BY 1)
-SELECT trade_date, round(sum(power(volume / nullif(total, 0), 2)), 6) AS volume_hhi, round(count(*) FILTER (r1 > 0)::DOUBLE / nullif(count(r1), 0), 6) AS breadth,
-  round(avg(r1), 4) AS mean_return, round(CASE WHEN count(r1) > 1 THEN stddev_pop(r1) END, 4) AS dispersion, count(*) AS n_bars
-FROM a JOIN t USING (trade_date) GROUP BY trade_date"""))
+WITH a AS (SELECT *, {RET.format(n=1)} AS r1 FROM bars WINDOW w AS ({W})), e AS (SELECT *, CAST(r1 AS DECIMAL(18, 9)) AS x FROM a),
+t AS (
+  SELECT trade_date, CAST(sum(CAST(volume AS HUGEINT) * volume) AS DOUBLE) AS squares, CAST(sum(volume) AS DOUBLE) AS total, count(r1) AS n, count(*) FILTER (r1 > 0) AS up,
+         CAST(sum(x) AS DOUBLE) AS s, CAST(sum(x * x) AS DOUBLE) AS s2, count(*) AS n_bars
+  FROM e GROUP BY 1)
+SELECT trade_date, round(squares / nullif(total * total, 0), 6) AS volume_hhi, round(up::DOUBLE / nullif(n, 0), 6) AS breadth,
+  round(s / nullif(n, 0), 4) AS mean_return, round(CASE WHEN n > 1 THEN sqrt(greatest(0, s2 / n - (s / n) * (s / n))) END, 4) AS dispersion, n_bars
+FROM t"""))
 def a14(spark, d):
     return features.market_wide(plain(spark, d)).select("trade_date", r("volume_hhi"), r("breadth"), r("mean_return", 4), r("dispersion", 4), "n_bars")
 
