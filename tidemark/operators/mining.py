@@ -15,6 +15,7 @@ whose dates overlap a kept one of its kind too much is dropped.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -37,6 +38,7 @@ class Search:
     correlated: float = 0.8
     overlap: float = 0.85
     most: int = 500
+    each: int | None = None
     headroom: int = 2
     triples: bool = True
     regimes: bool = True
@@ -104,43 +106,44 @@ def _propose(values: dict[tuple[str, str], np.ndarray], raw: dict[tuple[str, str
             self.rows = np.vstack((self.rows, m.astype(np.float32)))
             return True
 
-    found = 0
+    found = Counter()
+    # lead-lag rules have a total of their own
+    room = lambda kind: found[kind] < (s.each or s.most) and (kind == "lead_lag" or found.total() - found["lead_lag"] < s.most)
     singles, kept = [], Kept()
     for k in own:
         for t in sorted({quantile(k, q) for q in QUANTILES}):
             for op in (">", "<"):
-                if found < s.most and kept.takes(m := mask(k, op, t)):
+                if room("single") and kept.takes(m := mask(k, op, t)):
                     singles.append(((k[1], op, t, 0), m))
-                    found += 1
+                    found["single"] += 1
                     yield "single", [singles[-1][0]]
     middle = [((k[1], ">", quantile(k, 0.5), 0), mask(k, ">", quantile(k, 0.5))) for k in own]
     pairs, kept = [], Kept()
     for (a, x), (b, y) in combinations(middle, 2):
-        if found < s.most and kept.takes(x & y):
+        if room("pair") and kept.takes(x & y):
             pairs.append(([a, b], x & y))
-            found += 1
+            found["pair"] += 1
             yield "pair", [a, b]
     kept = Kept()
     for conds, m in pairs if s.triples else []:
         if (m & known).sum() < s.least * s.headroom:
             continue
         for c, y in middle:
-            if found < s.most and c not in conds and kept.takes(m & y):
-                found += 1
+            if room("triple") and c not in conds and kept.takes(m & y):
+                found["triple"] += 1
                 yield "triple", [*conds, c]
     regimes = [k for k in values if k[0] == "market" and k in enough] if s.regimes else []
     for c, m in singles:
         for k in regimes:
             t = quantile(k, 0.5)
-            if found < s.most and (m & mask(k, ">", t) & known).sum() >= s.least:
-                found += 1
+            if room("regime") and (m & mask(k, ">", t) & known).sum() >= s.least:
+                found["regime"] += 1
                 yield "regime", [c, (k[1], ">", t, 0)]
-    found = 0
     for k in [k for k in values if k[0] != "own" and k in enough] if s.lead_lag else []:
         kept, t = Kept(), quantile(k, 0.5)
         for lag in LAGS:
-            if found < s.most and kept.takes(mask(k, ">", t, lag)):
-                found += 1
+            if room("lead_lag") and kept.takes(mask(k, ">", t, lag)):
+                found["lead_lag"] += 1
                 yield "lead_lag", [(k[1], ">", t, lag)]
 
 
@@ -149,7 +152,8 @@ def candidates(rows: DataFrame, targets: DataFrame, search: Search = Search(), h
 
     Thresholds come from each series as a whole, matches from research days
     only. At most `most` rules a ticker (and as many lead-lag ones), in order of
-    kind and of feature name: the search's own limit."""
+    kind and of feature name: the search's own limit. With `each`, a kind has at most so
+    many, so that no kind takes the room of another."""
     s = search
     both = rows.join(targets.select("ticker", "trade_date", "outcome"), ["ticker", "trade_date"], "left")
 
@@ -173,17 +177,41 @@ def candidates(rows: DataFrame, targets: DataFrame, search: Search = Search(), h
     return both.groupBy("ticker").applyInPandas(run, CONDITIONS)
 
 
-def matched(rules: DataFrame, rows: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("rule_id",)) -> DataFrame:
-    """(ticker, keys, pos, days, outcome) of each day on which every condition of a rule holds; unknown outcomes drop.
+#: Positions in one bitmap.
+PAGE = 1 << 15
+
 
-    `keys` names a rule variant; a condition with a lag reads that many positions before."""
+def condition_days(conditions: DataFrame, rows: DataFrame) -> DataFrame:
+    """Bitmaps of the positions on which each condition holds: its columns, page, days and bitmap.
+
+    conditions: distinct ticker, feature_id, op, threshold, lag. A condition with a lag reads that many positions before."""
     series = rows.select("ticker", "feature_id", F.col("pos").alias("_p"), "days", "value").where("value is not null").distinct()
     met = F.when(F.col("op") == ">", F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
-    hits = rules.join(series, ["ticker", "feature_id"]).where(met).withColumn("pos", F.col("_p") + F.col("lag")).where("pos < days")
-    whole = hits.groupBy("ticker", *keys, "pos").agg(F.count("*").alias("_n"), F.first("n_conditions").alias("_of"), F.first("days").alias("days")).where("_n = _of")
+    hits = conditions.join(series, ["ticker", "feature_id"]).where(met).withColumn("pos", F.col("_p") + F.col("lag")).where("pos < days")
+    page = F.expr(f"cast(pos div {PAGE} as int)").alias("page")
+    return hits.groupBy(*conditions.columns, page).agg(F.first("days").alias("days"), F.expr(f"bitmap_construct_agg(pos % {PAGE})").alias("bitmap"))
+
+
+def positions(bitmap: Column, page: Column, days: Column) -> Column:
+    """The set positions of a bitmap, from its bytes that are not zero."""
+    last = F.least(days - page * PAGE, F.lit(PAGE)) - 1
+    byte = lambda k: F.conv(F.hex(F.substring(bitmap, k + 1, F.lit(1))), 16, 10).cast("int")
+    bits = lambda k: F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(F.getbit(byte(k), i) == 1, page * PAGE + k * 8 + i)), lambda x: x.isNotNull())
+    return F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.floor(last / 8).cast("int")), lambda k: byte(k) != 0), bits))
+
+
+def matched(rules: DataFrame, rows: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("rule_id",)) -> DataFrame:
+    """(ticker, keys, pos, days, outcome) of each day on which every condition of a rule holds; unknown outcomes drop.
+
+    `keys` names a rule variant. Each distinct condition is looked up once, as a bitmap of its days; a rule is
+    the conjunction of the bitmaps of its conditions, so series are never joined to rules."""
+    what = ["ticker", "feature_id", "op", "threshold", "lag"]
+    days = condition_days(rules.select(*what).distinct(), rows)
+    both = rules.join(days, what).groupBy("ticker", *keys, "page").agg(F.count("*").alias("_n"), F.first("n_conditions").alias("_of"), F.first("days").alias("days"), F.bitmap_and_agg("bitmap").alias("_b"))
+    whole = both.where("_n = _of").select("ticker", *keys, "days", F.explode(positions(F.col("_b"), F.col("page"), F.col("days").cast("int"))).alias("pos"))
     calendar = rows.select("ticker", "pos", "trade_date").distinct()
     known = calendar.join(targets.where("outcome is not null"), ["ticker", "trade_date"])
-    return whole.join(known.drop("trade_date"), ["ticker", "pos"]).drop("_n", "_of")
+    return whole.join(known.drop("trade_date"), ["ticker", "pos"])
 
 
 def discovered(rules: DataFrame, found: DataFrame, alpha: float = 0.05, holdout: float = HOLDOUT, pool: Column | None = None) -> DataFrame:

@@ -11,7 +11,8 @@ from ..plans.views import sql
 from .market import RET, W, plain, r
 from .registry import query
 
-SEARCH = mining.Search(most=80)
+#: The usual number of rules, of each kind: singles and pairs leave room for triples and regimes.
+SEARCH = mining.Search(most=2000, each=500)
 
 
 def searched(spark, d):
@@ -35,6 +36,36 @@ def x19_all(spark, d):
     return searched(spark, d)[3].withColumn("threshold", F.round("threshold", 6))
 
 
+#: Rules of every kind with thresholds that need no search: (kind, conditions as feature, threshold, lag).
+FIXED_RULES = {
+    "up": ("single", [("return_5d", 0.0, 0)]), "up_month": ("single", [("return_20d", 0.0, 0)]), "both_up": ("pair", [("return_1d", 0.0, 0), ("return_5d", 0.0, 0)]),
+    "all_up": ("triple", [("return_1d", 0.0, 0), ("return_5d", 0.0, 0), ("return_20d", 0.0, 0)]), "broad_up": ("regime", [("return_5d", 0.0, 0), ("market_breadth", 0.5, 0)]),
+    "after_broad": ("lead_lag", [("market_breadth", 0.5, 3)]), "long_after_broad": ("lead_lag", [("market_breadth", 0.5, 20)]),
+}
+
+
+@query("x19_j10_matches", sql("bars", f"""
+WITH a AS (SELECT ticker, trade_date, {RET.format(n=1)} AS r1, {RET.format(n=5)} AS r5, {RET.format(n=20)} AS r20, (lead(close, 10) OVER w - close) / nullif(close, 0) AS o, row_number() OVER w - 1 AS pos FROM bars WINDOW w AS ({W})),
+m AS (SELECT trade_date, count(*) FILTER (r1 > 0)::DOUBLE / nullif(count(r1), 0) AS b FROM a GROUP BY 1),
+k AS (SELECT a.ticker, trade_date, pos, o, last_value(r1 IGNORE NULLS) OVER w AS r1, last_value(r5 IGNORE NULLS) OVER w AS r5, last_value(r20 IGNORE NULLS) OVER w AS r20, last_value(b IGNORE NULLS) OVER w AS b
+      FROM a JOIN m USING (trade_date) WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)),
+l AS (SELECT *, lag(b, 3) OVER w AS b3, lag(b, 20) OVER w AS b20 FROM k WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)),
+u AS (SELECT ticker, o, unnest(list_filter([CASE WHEN r5 > 0 THEN 'up' END, CASE WHEN r20 > 0 THEN 'up_month' END, CASE WHEN r1 > 0 AND r5 > 0 THEN 'both_up' END, CASE WHEN r1 > 0 AND r5 > 0 AND r20 > 0 THEN 'all_up' END,
+        CASE WHEN r5 > 0 AND b > 0.5 THEN 'broad_up' END, CASE WHEN b3 > 0.5 THEN 'after_broad' END, CASE WHEN b20 > 0.5 THEN 'long_after_broad' END], lambda x: x IS NOT NULL)) AS rule_id FROM l WHERE o IS NOT NULL)
+SELECT ticker, rule_id, count(*) AS matches, count(*) FILTER (o > 0) AS hits FROM u GROUP BY ALL"""))
+def x19_matches(spark, d):
+    bars = plain(spark, d)
+    names = ["return_1d", "return_5d", "return_20d"]
+    wide = written(bars.select("ticker", "trade_date", *[features.ret(int(n[7:-1])).alias(n) for n in names], targets.forward(10).alias("outcome")), "returns")
+    day = features.market_wide(bars).select("trade_date", F.lit("market_breadth").alias("feature_id"), F.col("breadth").alias("value"))
+    rows = written(mining.panel(wide.unpivot(["ticker", "trade_date"], names, "feature_id", "value"), day), "panel")
+    made = [(rule, kind, len(conds), k, f, ">", t, lag) for rule, (kind, conds) in FIXED_RULES.items() for k, (f, t, lag) in enumerate(conds)]
+    rules = spark.createDataFrame(made, "rule_id string, kind string, n_conditions int, place int, feature_id string, op string, threshold double, lag int")
+    rules = rules.join(rows.select("ticker", "feature_id").distinct(), "feature_id")
+    found = mining.matched(rules, rows, wide)
+    return found.groupBy("ticker", "rule_id").agg(F.count("*").alias("matches"), F.count_if(F.col("outcome") > 0).alias("hits"))
+
+
 @query("x20_x15_lifecycle")
 def x20_all(spark, d):
     rows, goal, later, rules = searched(spark, d)
