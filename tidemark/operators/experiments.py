@@ -140,24 +140,49 @@ def chronological_cut(rows: DataFrame, day: str, fraction: float) -> Column:
 
 
 def ward(points: np.ndarray, clusters: int) -> np.ndarray:
-    """Agglomerative clustering by least growth of within-cluster variance."""
-    groups = {k: ([k], points[k].astype(float)) for k in range(len(points))}
-    while len(groups) > clusters:
-        ids = sorted(groups)
-        best = None
-        for a in range(len(ids)):
-            for b in range(a + 1, len(ids)):
-                (ma, ca), (mb, cb) = groups[ids[a]], groups[ids[b]]
-                cost = len(ma) * len(mb) / (len(ma) + len(mb)) * float(((ca - cb) ** 2).sum())
-                if best is None or cost < best[0] - 1e-12:
-                    best = (cost, ids[a], ids[b])
-        _, a, b = best
-        (ma, ca), (mb, cb) = groups.pop(a), groups.pop(b)
-        groups[a] = (ma + mb, (ca * len(ma) + cb * len(mb)) / (len(ma) + len(mb)))
-    label = np.empty(len(points), int)
-    for n, k in enumerate(sorted(groups)):
-        label[groups[k][0]] = n
-    return label
+    """Agglomerative clustering by least growth of within-cluster variance; labels by the first member.
+
+    Chains of nearest neighbours end in pairs that are nearest to each other; merging those in any order gives
+    the same tree, so time and memory grow with the square of the points."""
+    n = len(points)
+    x = np.asarray(points, float)
+    squares = (x * x).sum(axis=1)
+    cost = np.maximum(0.0, squares[:, None] + squares[None, :] - 2 * x @ x.T) / 2
+    np.fill_diagonal(cost, np.inf)
+    size, merges, chain = np.ones(n), [], []
+    alive = np.ones(n, bool)
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        while True:
+            a = chain[-1]
+            b = int(np.argmin(cost[a]))
+            if len(chain) > 1 and cost[a, chain[-2]] <= cost[a, b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        del chain[-2:]
+        a, b = min(a, b), max(a, b)
+        merges.append((cost[a, b], len(merges), a, b))
+        total = size[a] + size[b] + size
+        grown = ((size[a] + size) * cost[a] + (size[b] + size) * cost[b] - size * cost[a, b]) / total
+        alive[b] = False
+        grown[~alive] = np.inf
+        grown[a] = np.inf
+        cost[a], cost[:, a] = grown, grown
+        cost[b], cost[:, b] = np.inf, np.inf
+        size[a] += size[b]
+    parent = np.arange(n)
+    for _, _, a, b in sorted(merges)[: max(0, n - clusters)]:
+        roots = []
+        for k in (a, b):
+            while parent[k] != k:
+                k = parent[k]
+            roots.append(k)
+        parent[max(roots)] = min(roots)
+    for k in range(n):
+        parent[k] = parent[parent[k]]
+    return np.unique(parent, return_inverse=True)[1]
 
 
 def clustered(features: DataFrame, names: list[str], clusters: int) -> DataFrame:

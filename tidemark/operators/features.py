@@ -8,6 +8,8 @@ sort feed the lot. A value that cannot be computed is null.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -141,9 +143,40 @@ def fundamentals(items: DataFrame, item: str, filing_lag_days: int = 45) -> Data
     )
 
 
+def earlier_counts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value, how many earlier ones are smaller, and how many equal: merge counting, level by level."""
+    n = len(values)
+    rank = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    less, same = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at, span, width = np.arange(n), 1, int(rank.max()) + 2 if n else 1
+    while span < n:
+        keys = at // (2 * span) * width
+        right = at // span % 2 == 1
+        left = np.sort(keys[~right] + rank[~right])
+        first, low, high = (np.searchsorted(left, k, side) for k, side in ((keys[right], "left"), (keys[right] + rank[right], "left"), (keys[right] + rank[right], "right")))
+        less[right] += low - first
+        same[right] += high - low
+        span *= 2
+    return less, same
+
+
 def macro_features(series: DataFrame) -> DataFrame:
-    """Change, acceleration and percentile among all earlier values of each series."""
+    """Change, acceleration and percentile among all earlier values of each series.
+
+    The percentile is counted by merging: time a little above, memory in proportion to the length of a series."""
     w = Window.partitionBy("series_id").orderBy("observation_date")
     rows = series.withColumn("change", change(F.col("value"), F.lag("value", 1).over(w)))
-    past = F.collect_list("value").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumns({"acceleration": F.col("change") - F.lag("change", 1).over(w), "percentile": mid_rank(F.col("value"), past)})
+    rows = rows.withColumn("acceleration", F.col("change") - F.lag("change", 1).over(w))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("observation_date", kind="stable").reset_index(drop=True)
+        known = np.flatnonzero(part["value"].notna())
+        less, same = earlier_counts(part["value"].to_numpy(float)[known])
+        before = np.arange(len(known))
+        rank = np.full(len(part), np.nan)
+        rank[known] = np.where(before == 0, 0.5, (less + 0.5 * same) / np.maximum(before, 1))
+        return part.assign(percentile=rank)
+
+    counted = rows.groupBy("series_id").applyInPandas(count, f"{kinds}, percentile double")
+    return counted.withColumn("percentile", F.nanvl("percentile", F.lit(None).cast("double")))

@@ -42,9 +42,42 @@ def stability(rows: DataFrame, keys: list[str], day: str, outcome: str = "outcom
     return each.groupBy(*keys).agg((F.count_if((F.col("_m") >= 0) == F.col("_w")) / buckets).alias("stability"))
 
 
+def numbered(rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """Add `_r`, the row number over the whole table in this order, and `_part`, the range it lies in.
+
+    Rows are dealt into ranges and numbered within; the sizes of the ranges before are added. No task holds more than a range."""
+    from ..plans.stage import written
+
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per range
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_k", own).join(F.broadcast(before), "_part").withColumn("_r", F.col("_k") + F.col("_before")).drop("_k", "_before")
+
+
+def _fdr_of_all(rows: DataFrame, p: str, alpha: float, dependent: bool) -> DataFrame:
+    from ..plans.stage import written
+
+    r = written(numbered(rows, [p, *[c for c in rows.columns if c != p]]), "ranks")
+    size = r.agg(F.count("*").alias("_m"), (F.sum(1.0 / F.col("_r")) if dependent else F.lit(1.0)).alias("_c"))
+    r = r.join(F.broadcast(size))  # one row
+    raw = F.col(p) * F.col("_m") * F.col("_c") / F.col("_r")
+    last = r.agg(F.coalesce(F.max(F.when(F.col(p) <= F.col("_r") / F.col("_m") * alpha / F.col("_c"), F.col("_r"))), F.lit(0)).alias("_last"))
+    lows = r.groupBy("_part").agg(F.min(raw).alias("_low"))  # one row per range
+    after = lows.select("_part", F.min("_low").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    r = r.join(F.broadcast(last)).join(F.broadcast(after), "_part")
+    here = F.min(raw).over(Window.partitionBy("_part").orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
+    return r.withColumns({"accepted": F.col("_r") <= F.col("_last"), "q_value": F.least(F.lit(1.0), here, F.col("_after"))}).select(*rows.columns, "accepted", "q_value")
+
+
 def fdr_mask(rows: DataFrame, p: str, alpha: float, within: list[str] | None = None, dependent: bool = False) -> DataFrame:
-    """Benjamini-Hochberg (or, for dependent tests, Benjamini-Yekutieli) acceptance and adjusted values."""
-    base = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    """Benjamini-Hochberg (or, for dependent tests, Benjamini-Yekutieli) acceptance and adjusted values.
+
+    All tests together are ranked range by range, those `within` a key in one window a key."""
+    if not within:
+        return _fdr_of_all(rows, p, alpha, dependent)
+    base = Window.partitionBy(*within)
     order = base.orderBy(p, *[c for c in rows.columns if c != p])
     r = rows.withColumns({"_r": F.row_number().over(order), "_m": F.count("*").over(base)})
     r = r.withColumn("_c", F.sum(1.0 / F.col("_r")).over(base) if dependent else F.lit(1.0))
@@ -100,9 +133,13 @@ def block_bootstrap_p(values: list[float], iterations: int = 1000, seed: int = 4
     rng, block = random.Random(seed), min(n, max(2, round(n ** (1 / 3))))
     x = np.asarray(values, float)
     need = -(-n // block)
-    starts = np.array([[rng.randrange(n) for _ in range(need)] for _ in range(iterations)])
-    index = (starts[:, :, None] + np.arange(block)) % n
-    means = x[index.reshape(iterations, -1)[:, :n]].mean(axis=1)
+    sums = np.concatenate(([0.0], np.cumsum(np.concatenate((x, x)))))  # sum of any circular block
+    length = np.full(need, block)
+    length[-1] = n - (need - 1) * block
+    means = np.empty(iterations)
+    for i in range(iterations):  # one resample at a time: memory does not grow with their number
+        start = np.array([rng.randrange(n) for _ in range(need)])
+        means[i] = (sums[start + length] - sums[start]).sum() / n
     opposite = int(((means <= 0) != (x.mean() <= 0)).sum())
     return min(1.0, 2 * min(opposite, iterations - opposite) / iterations)
 
@@ -111,8 +148,9 @@ def bootstrap_interval(values: list[float], iterations: int = 1000, seed: int =
     """Percentile interval of the mean and its sign p-value by independent resampling."""
     n, rng = len(values), random.Random(seed)
     x = np.asarray(values, float)
-    index = np.array([[rng.randrange(n) for _ in range(n)] for _ in range(iterations)])
-    means = x[index].mean(axis=1)
+    means = np.empty(iterations)
+    for i in range(iterations):
+        means[i] = x[np.array([rng.randrange(n) for _ in range(n)])].mean()
     opposite = int(((means <= 0) != (x.mean() <= 0)).sum())
     means.sort()
     return float(means[max(0, int(alpha / 2 * iterations))]), float(means[min(iterations - 1, int((1 - alpha / 2) * iterations))]), min(1.0, 2 * min(opposite, iterations - opposite) / iterations)
@@ -186,3 +224,55 @@ def tested(rows: DataFrame, key: str, outcome: str = "outcome", trials: int = 10
     kept = rows.where(F.col(outcome).isNotNull()).select(F.col(key).alias("_k"), F.col("trade_date").alias("_d"), outcome)
     out = kept.groupBy("_k").applyInPandas(test, "k string, n long, ci_low double, ci_high double, p_bootstrap double, p_block double, deflated_sharpe double, p_t double")
     return out.withColumnRenamed("k", key)
+
+
+#: Shares of a Poisson variable of mean 1 up to each value.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+
+
+def poisson_weights(ids: np.ndarray, iterations: int, seed: int) -> np.ndarray:
+    """How often each row stands in each resample, by a hash of its id and the resample: rows x iterations."""
+    with np.errstate(over="ignore"):
+        h = ids.astype(np.uint64)[:, None] ^ (np.arange(1, iterations + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))[None, :]
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+        h ^= h >> np.uint64(31)
+    return np.searchsorted(POISSON, (h >> np.uint64(11)).astype(float) * 2.0**-53, side="right")
+
+
+def poisson_bootstrap(rows: DataFrame, keys: list[str], row_id: list[str], outcome: str = "outcome", iterations: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """Per key: n, mean, percentile interval of the mean and its two-sided sign p-value.
+
+    Each row enters each resample a Poisson number of times that follows from its `row_id` and the seed, so a
+    resample is a sum over rows: tasks add up `iterations` pairs of sums a key, which are combined. Nothing is
+    gathered by key, and the result does not depend on how rows are dealt. `row_id` tells the rows of a key apart."""
+    known = rows.where(F.col(outcome).isNotNull()).select(*keys, F.xxhash64(*keys, *row_id).alias("_id"), F.col(outcome).cast("double").alias("_x"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.select(*keys).schema)
+
+    def add_up(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for part in batches:
+            for key, g in part.groupby(keys, dropna=False):
+                total = sums.setdefault(key, np.zeros((2, iterations)))
+                for at in range(0, len(g), 1024):
+                    w = poisson_weights(g["_id"].to_numpy()[at : at + 1024].view(np.uint64), iterations, seed)
+                    total += w.sum(axis=0), (w * g["_x"].to_numpy()[at : at + 1024, None]).sum(axis=0)
+            if len(sums) >= 256:
+                yield frame(sums)
+                sums = {}
+        yield frame(sums)
+
+    def frame(sums):
+        out = pd.DataFrame(list(sums), columns=keys)
+        return out.assign(weight=[v[0].tolist() for v in sums.values()], total=[v[1].tolist() for v in sums.values()])
+
+    parts = known.mapInPandas(add_up, f"{kinds}, weight array<double>, total array<double>")
+    each = parts.select(*keys, F.posexplode(F.arrays_zip("weight", "total")).alias("i", "s")).groupBy(*keys, "i").agg(F.sum("s.weight").alias("w"), F.sum("s.total").alias("t"))
+    base = known.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & base[k].eqNullSafe(each[k])
+    both = base.join(each, same).select(*[base[k] for k in keys], "n", "mean", F.try_divide("t", "w").alias("m"))
+    opposite = F.count_if((F.col("m") <= 0) != (F.col("mean") <= 0))
+    out = both.groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"), opposite.alias("_o"))
+    return out.withColumn("p_value", F.least(F.lit(1.0), 2 * F.least(F.col("_o"), iterations - F.col("_o")) / iterations)).drop("_o")

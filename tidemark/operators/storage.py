@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,15 +23,54 @@ def revision_changes(revisions: DataFrame, key: list[str], fields: list[str], ve
     return rows.withColumn("changed", changed).drop("_first", *[f"_b_{f}" for f in fields])
 
 
-def upsert(prior: DataFrame, new: DataFrame, key: list[str], superseded: DataFrame | None = None) -> DataFrame:
+def _winner(columns: list[str], kinds: dict[str, str], order: list[str]) -> Column:
+    """What decides between rows of one key: `order`, then a hash of the values, so that ties never depend on arrival."""
+    plain = [c for c in columns if "map<" not in kinds[c]]
+    return F.struct(*order, F.xxhash64(*plain).alias("_h"))
+
+
+def one_each(rows: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row per key: the largest by `order`; equal ones by a hash of their values."""
+    rest = [c for c in rows.columns if c not in key]
+    best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), _winner(rows.columns, dict(rows.dtypes), order or [])).alias("_r"))
+    return best.select(*key, "_r.*").select(*rows.columns)
+
+
+def upsert(prior: DataFrame, new: DataFrame, key: list[str], superseded: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
     """The merged table: a new row replaces the prior one of its key; prior keys in `superseded` go.
-    Columns of either side may be missing in the other."""
+    Columns of either side may be missing in the other. Of several new rows of a key the largest by `order` wins."""
     kept = prior.join(superseded.select(*key).distinct(), key, "left_anti") if superseded is not None else prior
     both = kept.withColumn("_o", F.lit(0)).unionByName(new.withColumn("_o", F.lit(1)), allowMissingColumns=True)
-    names = [c for c in both.columns if c != "_o"]
-    rest = [c for c in names if c not in key]
-    merged = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col("_o")).alias("_r"))
-    return merged.select(*key, "_r.*").select(*names)
+    return one_each(both, key, ["_o", *(order or [])]).drop("_o")
+
+
+def merge_partitions(spark: SparkSession, path: str, batch: DataFrame, key: list[str], by: list[str], order: list[str] | None = None) -> int:
+    """Upsert a batch into a Parquet folder laid out by the columns `by`, rewriting only the partitions it touches.
+
+    `by` belongs to the key, so that a row never changes its partition. Partitions without a new row are
+    neither read nor written: what is written grows with the batch, not with the table. Merging a batch again
+    changes nothing. Returns the number of partitions rewritten; their list (one row per partition that
+    the batch touches) is all that the driver holds."""
+    from ..plans.stage import written
+
+    if not set(by) <= set(key):
+        raise ValueError("the partition columns must belong to the key")
+    new = written(one_each(batch, key, order), "batch")
+    touched = new.select(*by).distinct().collect()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if touched and where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        prior = spark.read.parquet(path)
+        prior = prior.select(*[F.col(c).cast(dict(new.dtypes)[c]) if c in by else F.col(c) for c in prior.columns])
+        parts = F.lit(False)
+        for r in touched:
+            same = F.lit(True)
+            for c in by:
+                same = same & F.col(c).eqNullSafe(F.lit(r[c]))
+            parts = parts | same
+        simple = F.col(by[0]).isin([r[by[0]] for r in touched]) if len(by) == 1 and all(r[by[0]] is not None for r in touched) else parts
+        new = written(upsert(prior.where(simple), new, key), "merged")
+    new.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    return len(touched)
 
 
 def changes(prior: DataFrame, new: DataFrame, key: list[str], fields: list[str]) -> DataFrame:

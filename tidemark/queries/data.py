@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as words
 from ..operators import asof, features, quality, sources_health, storage
 from ..plans import views
+from ..plans.stage import shared_path
 from ..plans.views import sql, table
-from ..sources import parsers
+from ..sources import parsers, provider
 from .market import RET, W, plain, r
 from .registry import query
 
@@ -27,6 +28,23 @@ def s4(spark, d):
     return t.select("doc_id", "source", "lang", n.alias("n_words"))
 
 
+@query("s5_provider_bars", sql("bars", "SELECT ticker, trade_date, open, high, low, close, volume FROM bars WHERE trade_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"))
+def s5_bars(spark, d):
+    """All bars in the layout of one folder per ticker, a span of them read back through the data source."""
+    path = shared_path(spark, "provider")
+    provider.publish(views.bars(spark, d), path, "bars")
+    provider.register(spark)
+    return provider.scan(spark, path, "bars", None, "1996-01-01", "1999-12-31")
+
+
+@query("s5_provider_macro", sql("macro", "SELECT series_id, observation_date, value FROM macro WHERE observation_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND series_id = '1-URGENT'"))
+def s5_macro(spark, d):
+    path = shared_path(spark, "provider")
+    provider.publish(views.macro(spark, d), path, "macro")
+    provider.register(spark)
+    return provider.macro_series(spark, path, "1-URGENT", "1996-01-01", "1997-12-31")
+
+
 @query("s6_fallback_provider", sql("bars", """
 WITH a AS (SELECT ticker, trade_date, close FROM bars WHERE ticker <> 'Brand#3'), b AS (SELECT ticker, trade_date, close FROM bars)
 SELECT *, 0 AS provider FROM a UNION ALL SELECT *, 1 FROM b WHERE ticker NOT IN (SELECT ticker FROM a)"""))
@@ -69,6 +87,20 @@ def s11(spark, d):
     return storage.upsert(b.where("trade_date < date'1998-01-01'"), new, ["ticker", "trade_date"])
 
 
+@query("s11_partition_merge", sql("bars", """
+WITH b AS (SELECT ticker, trade_date, year(trade_date) AS year, close, volume FROM bars), n AS (SELECT ticker, trade_date, year, close + 1 AS close, volume FROM b WHERE trade_date BETWEEN DATE '1997-12-01' AND DATE '1998-02-01')
+SELECT ticker, trade_date, CAST(year AS INT) AS year, close, volume, 2 AS partitions_rewritten FROM (
+  SELECT * FROM n UNION ALL SELECT * FROM b WHERE (trade_date < DATE '1998-01-01' OR trade_date >= DATE '1999-01-01') AND (ticker, trade_date) NOT IN (SELECT (ticker, trade_date) FROM n))"""))
+def s11_merge(spark, d):
+    """A table laid out by year takes a batch of two months: two partitions are rewritten, the others stay as they are."""
+    path = shared_path(spark, "bars")
+    b = views.bars(spark, d).select("ticker", "trade_date", F.year("trade_date").alias("year"), "close", "volume")
+    b.where("trade_date < date'1998-01-01' or trade_date >= date'1999-01-01'").repartition("year").write.partitionBy("year").parquet(path)
+    new = b.where("trade_date between date'1997-12-01' and date'1998-02-01'").withColumn("close", F.col("close") + 1)
+    n = storage.merge_partitions(spark, path, new, ["ticker", "trade_date", "year"], ["year"])
+    return spark.read.parquet(path).select("ticker", "trade_date", "year", "close", "volume", F.lit(n).alias("partitions_rewritten"))
+
+
 @query("s18_row_changes", sql("bars", """
 WITH p AS (SELECT * FROM bars WHERE trade_date < DATE '1998-01-01'), n AS (SELECT ticker, trade_date, CASE WHEN volume % 2 = 0 THEN volume ELSE volume + 5 END AS volume FROM bars WHERE trade_date BETWEEN DATE '1997-12-01' AND DATE '1998-02-01')
 SELECT n.ticker, n.trade_date, CASE WHEN p.ticker IS NULL THEN 'insert' WHEN p.volume = n.volume THEN 'same' ELSE 'update' END AS kind FROM n LEFT JOIN p USING (ticker, trade_date)"""))

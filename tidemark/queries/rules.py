@@ -172,6 +172,14 @@ def seeded(spark, d):
     return outcomes.tested(found, "ticker", iterations=200)
 
 
+@query("a4_poisson_bootstrap")
+def a4_poisson(spark, d):
+    """Interval and sign of the mean ten-day return of every ticker, over all its bars."""
+    rows = plain(spark, d).select("ticker", "trade_date", targets.forward(10).alias("outcome"))
+    out = outcomes.poisson_bootstrap(rows, ["ticker"], ["trade_date"])
+    return out.select("ticker", "n", r("mean", 4), r("low", 4), r("high", 4), "p_value")
+
+
 @query("x20_discovery")
 def x20(spark, d):
     """Single and paired rules, their t-test p-values, family correction and false-discovery control per ticker."""

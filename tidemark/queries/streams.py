@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from ..operators import features
 from ..plans import views
+from ..plans.stage import shared_path
 from ..plans.views import sql, table
 from ..streaming import events as streams
-from ..streaming import fund
+from ..streaming import fund, replay
 from .registry import query
 
 
@@ -56,3 +59,20 @@ def st5(spark, d):
     from ..operators.targets import forward
 
     return b.withColumn("actual_20d", F.round(forward(20), 4)).where("volume > 80").select("ticker", "trade_date", "actual_20d")
+
+
+@query("st8_day_replay", sql("bars", """
+WITH y AS (SELECT DISTINCT year(trade_date) AS y FROM bars), d AS (SELECT make_date(y, 12, k) AS run_date FROM y, (VALUES (30), (31)) v(k)),
+o AS (SELECT run_date, isodow(run_date) NOT IN (5, 6) AS open FROM d),
+r AS (SELECT run_date, ticker, arg_max(close, trade_date) AS last_close, count(*) AS n_bars FROM o JOIN bars ON trade_date <= run_date WHERE o.open GROUP BY ALL)
+SELECT run_date, 'SUCCEEDED' AS status, ticker, round(last_close, 6) AS last_close, n_bars FROM r UNION ALL SELECT run_date, 'SKIPPED_NON_TRADING', NULL, NULL, NULL FROM o WHERE NOT open"""))
+def st8(spark, d):
+    """The last two days of every year, each replayed on the bars known by then."""
+    source, out = shared_path(spark, "bars"), shared_path(spark, "replay")
+    views.bars(spark, d).select("ticker", "trade_date", "close").write.parquet(source)
+    years = [r["y"] for r in spark.read.parquet(source).select(F.year("trade_date").alias("y")).distinct().collect()]
+    days = [date(y, 12, k) for y in years for k in (30, 31)]
+    run = lambda rows, day: rows.groupBy("ticker").agg(F.max_by("close", "trade_date").alias("last_close"), F.count("*").alias("n_bars"))
+    records = replay.replay(spark, source, "trade_date", days, run, out)
+    rows = records.select("run_date", "status").join(replay.results(spark, out), "run_date", "left")
+    return rows.select("run_date", "status", "ticker", F.round("last_close", 6).alias("last_close"), "n_bars")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.events import REGISTER, merge_report, registered
-from ..operators.storage import upsert
+from ..operators.storage import merge_partitions, one_each, upsert
 
 REPORT = "event_id string, seq long, source string, confidence double, metadata map<string,string>, action string"
 
@@ -67,13 +67,19 @@ def once_each(rows: DataFrame, key: list[str], column: str, late: str) -> DataFr
     return timed(rows, column, late).dropDuplicatesWithinWatermark(key)
 
 
-def upsert_batches(stream: DataFrame, path: str, key: list[str], checkpoint: str):
-    """Idempotent ingest: each micro-batch merges by key into a new version of a table.
-    A version is a folder; readers take the newest complete one, so a repeated batch is harmless."""
+def upsert_batches(stream: DataFrame, path: str, key: list[str], checkpoint: str, by: list[str] | None = None, order: list[str] | None = None):
+    """Idempotent ingest: each micro-batch merges by key, so a repeated batch is harmless. Of several
+    rows of a key in one batch the largest by `order` wins.
+
+    With `by` the table is one folder laid out by those columns (of the key), and a batch rewrites only the partitions
+    it touches. Without, each batch makes a new version, a folder; readers take the newest complete one."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest = batch.dropDuplicates(key)
+        if by:
+            merge_partitions(spark, path, batch, key, by, order)
+            return
+        latest = one_each(batch, key, order)
         if number:
             latest = upsert(spark.read.parquet(f"{path}/v={number - 1}"), latest, key)
         latest.write.mode("overwrite").parquet(f"{path}/v={number}")
