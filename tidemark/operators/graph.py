@@ -72,3 +72,87 @@ def lineage(parents: DataFrame, depth: int = 20) -> DataFrame:
             break
         out = out.unionByName(chain)
     return out
+
+
+def ancestors(parents: DataFrame, depth: int = 50) -> DataFrame:
+    """(node, ancestor, distance): every ancestor of every node with its least distance, where nodes may have
+    several parents. parents: node, parent (repeats and nulls are harmless, a cycle ends where it closes).
+
+    Each round goes one step further from what the last one found new, so a diamond is walked once."""
+    up = written(parents.where("parent is not null and node <> parent").select("node", "parent").distinct(), "parents")
+    found = frontier = up.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
+    for d in range(2, depth + 1):
+        step = frontier.join(up.select(F.col("node").alias("ancestor"), F.col("parent").alias("next")), "ancestor").where("node <> next")
+        step = step.select("node", F.col("next").alias("ancestor"), F.lit(d).alias("distance")).distinct()
+        frontier = written(step.join(found, ["node", "ancestor"], "left_anti"), "ancestors")
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+    return found
+
+
+def descend(genes: DataFrame, births: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Revisions for new genes that replace their parents, and the births that cannot be.
+
+    genes: gene_id, version, generation, status, parents, children (latest revisions). births: child_id, parents, notes; one
+    parent is a mutation, several a merge. A child is one generation after its latest parent. Each parent gets one new
+    revision: REPLACED, with its children of this batch added in order. A birth with an unknown or no parent, or of an
+    id that exists, is returned with its reason instead."""
+    named = births.withColumn("parents", F.array_distinct("parents"))
+    each = named.select("child_id", F.explode_outer("parents").alias("gene_id")).join(genes.select("gene_id", "generation"), "gene_id", "left")
+    checked = each.groupBy("child_id").agg(F.count("gene_id").alias("asked"), F.count("generation").alias("known"), (F.max("generation") + 1).alias("generation"))
+    taken = genes.select(F.col("gene_id").alias("child_id"), F.lit(True).alias("taken"))
+    checked = checked.join(taken, "child_id", "left")
+    reason = F.when(F.col("asked") == 0, "no parent").when(F.col("known") < F.col("asked"), "unknown parent").when(F.col("taken"), "the gene exists")
+    named = written(named.join(checked.select("child_id", "generation", reason.alias("reason")), "child_id"), "births")
+    good = named.where("reason is null")
+    none = F.array().cast("array<string>")
+    born = good.select(F.col("child_id").alias("gene_id"), F.lit(1).alias("version"), "generation", F.lit("PROMOTED").alias("status"), "parents", none.alias("children"))
+    new = good.select("child_id", F.explode("parents").alias("gene_id")).groupBy("gene_id").agg(F.array_sort(F.collect_list("child_id")).alias("new"))  # the children of one parent in this batch
+    replaced = genes.join(new, "gene_id").select("gene_id", (F.col("version") + 1).alias("version"), "generation", F.lit("REPLACED").alias("status"), "parents", F.concat("children", "new").alias("children"))
+    return born.unionByName(replaced), named.where("reason is not null").select("child_id", "parents", "reason")
+
+
+def leader_shares(edges: DataFrame, shares: tuple[float, ...] = (0.01, 0.05, 0.10)) -> DataFrame:
+    """One row: edges, nodes, shares of the edges that the top part of the leaders has, the median of a leader,
+    the largest degrees and the pairs with edges both ways. edges: src (leader), dst (follower); repeats count for degrees.
+
+    Top leaders follow from the histogram of their degrees, which has at most sqrt(2 * edges) rows."""
+    lead = written(edges.groupBy("src").agg(F.count("*").alias("n")), "leaders")
+    into = edges.groupBy("dst").agg(F.count("*").alias("n")).agg(F.max("n").alias("max_in_degree"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().agg(F.count("*").alias("nodes"))
+    pair = edges.select("src", "dst").distinct()
+    mutual = pair.join(pair.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi").agg((F.count("*") / 2).cast("long").alias("reciprocal_pairs"))
+    whole = lead.agg(F.count("*").alias("leaders"), F.sum("n").alias("edges"), F.percentile("n", F.lit(0.5)).alias("median_leader"), F.max("n").alias("max_out_degree"))
+    steps = lead.groupBy("n").agg(F.count("*").alias("k"))
+    steps = steps.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).crossJoin(F.broadcast(whole.select("leaders")))  # one row
+    part = lambda f: F.sum(F.col("n") * F.greatest(F.lit(0), F.least(F.col("k"), F.greatest(F.lit(1), F.ceil(F.col("leaders") * f)) - F.col("before"))))
+    tops = steps.agg(*[part(f).alias(f"top{i}") for i, f in enumerate(shares)])
+    one = whole.crossJoin(tops).crossJoin(into).crossJoin(nodes).crossJoin(mutual)  # one row each
+    named = [(F.col(f"top{i}") / F.col("edges")).alias(f"top_{round(100 * f)}pct_share") for i, f in enumerate(shares)]
+    return one.select("edges", "nodes", *named, "median_leader", "max_out_degree", "max_in_degree", "reciprocal_pairs")
+
+
+def permuted_max_in_degree(edges: DataFrame, permutations: int = 200, seed: int = 42) -> DataFrame:
+    """One row: the largest number of followers' edges observed, and under counterparts drawn at random.
+
+    Each permutation gives every edge a counterpart from all nodes, by a checksum of seed, permutation and edge; a draw of the
+    leader itself is drawn once more. All permutations run side by side: draws are counted before they
+    shuffle, and only maxima are kept. p_value is (1 + permutations at or above the observed) / (1 + permutations).
+    edges: src, dst, each once."""
+    from .outcomes import numbered
+
+    nodes = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
+    places = written(numbered(nodes, ["node"]).select("node", (F.col("_r") - 1).alias("place")), "places")
+    total = places.agg(F.count("*").alias("total"))
+    rows = edges.join(places.withColumnRenamed("node", "src"), "src").crossJoin(F.broadcast(total))  # one row
+    rows = rows.withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "permutation", "src", "dst", F.lit(str(k)))), 1, 8), 16, 10).cast("long") % F.col("total")
+    drawn = rows.select("permutation", F.when(draw(1) == F.col("place"), draw(2)).otherwise(draw(1)).alias("drawn"))
+    maxima = drawn.groupBy("permutation", "drawn").agg(F.count("*").alias("n")).groupBy("permutation").agg(F.max("n").alias("m"))
+    seen = edges.groupBy("dst").agg(F.count("*").alias("n")).agg(F.max("n").alias("observed"))
+    both = maxima.crossJoin(F.broadcast(seen))  # one row
+    return both.agg(
+        F.count("*").alias("permutations"), F.max("observed").alias("observed"), F.avg("m").alias("null_mean"), F.percentile("m", F.lit(0.95)).alias("null_p95"),
+        ((F.count_if(F.col("m") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p_value"),
+    )

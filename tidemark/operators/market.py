@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import bucket, mid_rank, pearson, ratio
+from ..plans.stage import written
 from .features import by, back, ret
 
 #: Fixed: regime thresholds.
@@ -172,3 +173,45 @@ def analogs(bars: DataFrame, length: int = 20, ahead: int = 10, k: int = 5) -> D
         return pd.DataFrame(out, columns=["ticker", "rank", "starts_on", "distance", "forward_return"])
 
     return rows.groupBy("ticker").applyInPandas(pick, "ticker string, rank int, starts_on date, distance double, forward_return double")
+
+
+def bands_for(least: float, recall: float, bits: int) -> int:
+    """Bands of so many signs that find a pair of correlation `least` with this probability."""
+    same = (1 - np.arccos(least) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - same))))
+
+
+def strong_pairs(series: DataFrame, least: float = 0.8, recall: float = 0.999, bits: int = 12, seed: int = 7, lags: tuple[int, ...] = (0,)) -> DataFrame:
+    """Pairs of series whose correlation over common days is at least `least` in size: a, b, lag, n, correlation.
+
+    series: id, day, value. With lag 0 pairs are unordered (a < b); with a lag, a's value so many of its own
+    positions before meets b's of the day. Candidates come from signs of random projections of the standardised series
+    (days without a value count as its mean): two series whose signs agree in all `bits` of one of the
+    bands meet in a join, all others never do; each candidate is then verified on its common days. As many
+    bands are used as `recall` at `least` needs; more correlated pairs are found more surely. A sign turned over counts as agreement too,
+    so that negative correlations are found. A series is one task's work, of one value a day."""
+    n_bands = bands_for(least, recall, bits)
+    place = Window.partitionBy("id").orderBy("day")
+    known = series.where("value is not null").select("id", "day", F.col("value").cast("double").alias("value"))
+    shifted = known.select("id", "day", F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), (F.lag("value", k).over(place) if k else F.col("value")).alias("x")) for k in sorted({0, *lags})]))).where("x is not null")
+
+    def signs(part: pd.DataFrame) -> pd.DataFrame:
+        x = part["x"].to_numpy(float)
+        sd = x.std()
+        if len(x) < 2 or not sd > 0:
+            return pd.DataFrame({"id": pd.Series(dtype=object), "lag": pd.Series(dtype="int32"), "bands": pd.Series(dtype=object)})
+        z, total = (x - x.mean()) / sd, np.zeros(n_bands * bits)
+        for day, v in zip(part["day"], z):
+            total += v * np.random.default_rng([seed, day.toordinal()]).standard_normal(n_bands * bits)
+        sign = (total > 0).reshape(n_bands, bits)
+        sign ^= sign[:, :1]  # a series and its negative have one code
+        return pd.DataFrame({"id": [part["id"].iloc[0]], "lag": [int(part["lag"].iloc[0])], "bands": [(sign @ (1 << np.arange(bits))).tolist()]})
+
+    codes = written(shifted.groupBy("id", "lag").applyInPandas(signs, "id string, lag int, bands array<long>"), "signs").select("id", "lag", F.posexplode("bands").alias("band", "code"))
+    other = codes.where("lag = 0").select(F.col("id").alias("b"), "band", "code")
+    wanted = F.col("lag").isin(*lags) & F.when(F.col("lag") == 0, F.col("id") < F.col("b")).otherwise(F.col("id") != F.col("b"))
+    pairs = written(codes.join(other, ["band", "code"]).where(wanted).select(F.col("id").alias("a"), "b", "lag").distinct(), "candidates")
+    left = pairs.join(shifted.withColumnRenamed("id", "a"), ["a", "lag"])
+    both = left.join(known.select(F.col("id").alias("b"), "day", F.col("value").alias("y")), ["b", "day"])
+    out = both.groupBy("a", "b", "lag").agg(F.count("*").alias("n"), pearson(F.col("x"), F.col("y")).alias("correlation"))
+    return out.where(F.abs("correlation") >= least)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions.stats import change
 from ..operators import adjust, features, market, targets
 from ..plans import views
+from ..plans.stage import written
 from ..plans.views import sql
 from .registry import query
 
@@ -253,6 +254,17 @@ def j8(spark, d):
     return market.pair_correlations(plain(spark, d)).select("a", "b", "n", F.round("correlation", 4).alias("correlation"))
 
 
+@query("j8_strong_pairs", sql("bars", """
+WITH s AS (SELECT ticker || '|' || name AS id, trade_date AS day, value FROM (UNPIVOT (SELECT ticker, trade_date, open, high, low, close FROM bars) ON open, high, low, close INTO NAME name VALUE value)),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS n, (avg(a.value * b.value) - avg(a.value) * avg(b.value)) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0) AS c FROM s a JOIN s b ON a.day = b.day AND a.id < b.id GROUP BY ALL)
+SELECT a, b, 0 AS lag, n, round(c, 4) AS correlation FROM p WHERE abs(c) >= 0.6"""))
+def j8_strong(spark, d):
+    """Of all series of opening, high, low and closing prices, the pairs that move together."""
+    long = plain(spark, d).unpivot(["ticker", "trade_date"], ["open", "high", "low", "close"], "name", "value")
+    rows = long.select(F.concat_ws("|", "ticker", "name").alias("id"), F.col("trade_date").alias("day"), "value")
+    return market.strong_pairs(written(rows, "series"), 0.6, bits=8).withColumn("correlation", F.round("correlation", 4))
+
+
 @query("j9_lead_lag", sql("bars", f"""
 WITH a AS (SELECT *, {RET.format(n=1)} AS x FROM bars WINDOW w AS ({W})), k AS (SELECT ticker, trade_date, x, row_number() OVER (PARTITION BY ticker ORDER BY trade_date) AS rn FROM a WHERE x IS NOT NULL),
 p AS (SELECT l.ticker AS leader, f.ticker AS follower, g.lag, l.x AS x, f.x AS y FROM k f JOIN k s ON s.ticker <> f.ticker AND s.trade_date = f.trade_date CROSS JOIN (VALUES (1), (2), (5)) AS g(lag) JOIN k l ON l.ticker = s.ticker AND l.rn = s.rn - g.lag)

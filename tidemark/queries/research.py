@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import asof, experiments, features, market, research, rules, storage, targets
+from ..operators import asof, experiments, features, graph, market, research, rules, storage, targets
 from ..plans import views
 from ..plans.views import sql, table
 from .market import RET, W, plain, r
@@ -395,3 +395,14 @@ def d14(spark, d):
     k = spark.sql("SELECT 'k1' AS knowledge_id")
     t = research.thesis(o.withColumn("contradictions", F.col("contradictions").cast("array<string>")), c.withColumn("contradictions", F.col("contradictions").cast("array<string>")), k, "2024-06-01")
     return t.select("ticker", "status", F.size("broken").alias("broken"), F.array_join("remaining", ",").alias("remaining"), F.array_join("lapsed", ",").alias("lapsed"))
+
+
+@query("s23_trace_chain", """
+WITH o AS (SELECT 'order:' || o_orderkey AS node, 'customer:' || o_custkey AS parent FROM orders), c AS (SELECT 'customer:' || c_custkey AS node, 'nation:' || c_nationkey AS parent FROM customer), n AS (SELECT 'nation:' || n_nationkey AS node, 'region:' || n_regionkey AS parent FROM nation),
+e AS (SELECT * FROM o UNION SELECT * FROM c UNION SELECT * FROM n)
+SELECT node, parent AS ancestor, 1 AS distance FROM e UNION ALL SELECT a.node, b.parent, 2 FROM e a JOIN e b ON b.node = a.parent UNION ALL SELECT a.node, c.parent, 3 FROM e a JOIN e b ON b.node = a.parent JOIN e c ON c.node = b.parent""")
+def s23_chain(spark, d):
+    """From each order back to the customer, nation and region it came from."""
+    link = lambda t, kind, key, to, other: table(spark, d, t).select(F.concat(F.lit(kind + ":"), key).alias("node"), F.concat(F.lit(to + ":"), other).alias("parent"))
+    edges = link("orders", "order", "o_orderkey", "customer", "o_custkey").unionByName(link("customer", "customer", "c_custkey", "nation", "c_nationkey")).unionByName(link("nation", "nation", "n_nationkey", "region", "n_regionkey"))
+    return graph.ancestors(edges)

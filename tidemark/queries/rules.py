@@ -374,6 +374,40 @@ def a30(spark, d):
     return s.withColumns({"reciprocity": F.round("reciprocity", 6), "top_10pct_share": F.round("top_10pct_share", 6)})
 
 
+@query("a30_leader_shares", sql("edges", """
+WITH e AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges WHERE kind = 'LOCATED_IN'),
+o AS (SELECT src, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, src) AS r, count(*) OVER () AS k FROM e GROUP BY 1), t AS (SELECT count(*) AS edges FROM e), d AS (SELECT DISTINCT src, dst FROM e)
+SELECT any_value(edges) AS edges, (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS nodes, round(sum(n) FILTER (r <= greatest(1, ceil(k * 0.01))) / any_value(edges)::DOUBLE, 6) AS top_1pct_share,
+  round(sum(n) FILTER (r <= greatest(1, ceil(k * 0.05))) / any_value(edges)::DOUBLE, 6) AS top_5pct_share, round(sum(n) FILTER (r <= greatest(1, ceil(k * 0.1))) / any_value(edges)::DOUBLE, 6) AS top_10pct_share,
+  median(n)::DOUBLE AS median_leader, max(n) AS max_out_degree, (SELECT max(n) FROM (SELECT count(*) AS n FROM e GROUP BY dst)) AS max_in_degree, (SELECT count(*) // 2 FROM d a JOIN d b ON a.src = b.dst AND a.dst = b.src) AS reciprocal_pairs FROM o, t"""))
+def a30_shares(spark, d):
+    e = views.edges(spark, d)
+    both = e.select("src", "dst").unionByName(e.where("kind = 'LOCATED_IN'").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    s = graph.leader_shares(both)
+    return s.withColumns({c: F.round(c, 6) for c in s.columns if c.endswith("share")})
+
+
+@query("a30_permutation_null", sql("edges", """
+WITH e AS (SELECT DISTINCT src, dst FROM edges), v AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS place, count(*) OVER () AS total FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)),
+w AS (SELECT src, dst, place, total, p, CAST('0x' || substr(md5('42|' || p || '|' || src || '|' || dst || '|1'), 1, 8) AS BIGINT) % total AS d1, CAST('0x' || substr(md5('42|' || p || '|' || src || '|' || dst || '|2'), 1, 8) AS BIGINT) % total AS d2
+      FROM e JOIN v ON node = src, generate_series(1, 200) g(p)),
+m AS (SELECT p, max(n) AS m FROM (SELECT p, CASE WHEN d1 = place THEN d2 ELSE d1 END AS drawn, count(*) AS n FROM w GROUP BY ALL) GROUP BY 1), o AS (SELECT max(n) AS observed FROM (SELECT count(*) AS n FROM e GROUP BY dst))
+SELECT count(*) AS permutations, any_value(observed) AS observed, round(avg(m), 6) AS null_mean, round(quantile_cont(m, 0.95), 6) AS null_p95, round((1 + count(*) FILTER (m >= observed)) / (1 + count(*))::DOUBLE, 6) AS p_value FROM m, o"""))
+def a30_null(spark, d):
+    s = graph.permuted_max_in_degree(views.edges(spark, d).select("src", "dst").distinct())
+    return s.withColumns({c: F.round(c, 6) for c in ("null_mean", "null_p95", "p_value")})
+
+
+@query("g3_merged_ancestors", """
+WITH RECURSIVE p AS (SELECT DISTINCT node, parent FROM (SELECT c_custkey AS node, unnest([c_custkey // 2, c_custkey // 3]) AS parent FROM customer) WHERE parent > 0 AND parent <> node),
+l AS (SELECT node, parent AS ancestor, 1 AS distance FROM p UNION SELECT l.node, p.parent, distance + 1 FROM l JOIN p ON p.node = l.ancestor)
+SELECT node, ancestor, CAST(min(distance) AS INTEGER) AS distance FROM l GROUP BY ALL""")
+def g3_merged(spark, d):
+    """Customers as merges of two others: all ancestors by any path."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.explode(F.array(F.expr("c_custkey div 2"), F.expr("c_custkey div 3"))).alias("parent"))
+    return graph.ancestors(c.where("parent > 0"))
+
+
 @query("g3_lineage", """
 WITH RECURSIVE p AS (SELECT c_custkey AS node, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer),
 l AS (SELECT node, parent AS ancestor, 1 AS distance FROM p WHERE parent IS NOT NULL UNION ALL SELECT l.node, p.parent, distance + 1 FROM l JOIN p ON p.node = l.ancestor WHERE p.parent IS NOT NULL)
