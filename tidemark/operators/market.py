@@ -193,7 +193,9 @@ def strong_pairs(series: DataFrame, least: float = 0.8, recall: float = 0.999, b
     n_bands = bands_for(least, recall, bits)
     place = Window.partitionBy("id").orderBy("day")
     known = series.where("value is not null").select("id", "day", F.col("value").cast("double").alias("value"))
-    shifted = known.select("id", "day", F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), (F.lag("value", k).over(place) if k else F.col("value")).alias("x")) for k in sorted({0, *lags})]))).where("x is not null")
+    moves = sorted({0, *lags})
+    wide = known.withColumns({f"x{k}": F.lag("value", k).over(place) if k else F.col("value") for k in moves})
+    shifted = wide.select("id", "day", F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"x{k}").alias("x")) for k in moves]))).where("x is not null")
 
     def signs(part: pd.DataFrame) -> pd.DataFrame:
         x = part["x"].to_numpy(float)
