@@ -44,7 +44,7 @@ from .nptext import chunks
 LEAF = 1 << 15
 FIRST_WINDOW = 48
 #: Words remembered by a worker, in bytes; beyond that those not met again since the last time are forgotten.
-KEEP = 1 << 26
+KEEP = 1 << 28
 WORD = re.compile(rf"[^{BLANK[1:]}+")
 WORD_END = "</w>"
 #: Words of smaller characters only are in composed normal form, and lower case changes each character by itself.
