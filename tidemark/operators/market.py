@@ -181,16 +181,17 @@ def bands_for(least: float, recall: float, bits: int) -> int:
     return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - same))))
 
 
-def strong_pairs(series: DataFrame, least: float = 0.8, recall: float = 0.999, bits: int = 12, seed: int = 7, lags: tuple[int, ...] = (0,)) -> DataFrame:
+def strong_pairs(series: DataFrame, least: float = 0.8, overlap: float = 0.9, recall: float = 0.999, bits: int = 12, seed: int = 7, lags: tuple[int, ...] = (0,)) -> DataFrame:
     """Pairs of series whose correlation over common days is at least `least` in size: a, b, lag, n, correlation.
+    Their common days must be at least the share `overlap` of the days of either.
 
     series: id, day, value. With lag 0 pairs are unordered (a < b); with a lag, a's value so many of its own
     positions before meets b's of the day. Candidates come from signs of random projections of the standardised series
     (days without a value count as its mean): two series whose signs agree in all `bits` of one of the
     bands meet in a join, all others never do; each candidate is then verified on its common days. As many
-    bands are used as `recall` at `least` needs; more correlated pairs are found more surely. A sign turned over counts as agreement too,
+    bands are used as `recall` at `least` and at the smallest overlap needs; other pairs are found more surely. A sign turned over counts as agreement too,
     so that negative correlations are found. A series is one task's work, of one value a day."""
-    n_bands = bands_for(least, recall, bits)
+    n_bands = bands_for(least * overlap, recall, bits)
     place = Window.partitionBy("id").orderBy("day")
     known = series.where("value is not null").select("id", "day", F.col("value").cast("double").alias("value"))
     moves = sorted({0, *lags})
@@ -216,4 +217,6 @@ def strong_pairs(series: DataFrame, least: float = 0.8, recall: float = 0.999, b
     left = pairs.join(shifted.withColumnRenamed("id", "a"), ["a", "lag"])
     both = left.join(known.select(F.col("id").alias("b"), "day", F.col("value").alias("y")), ["b", "day"])
     out = both.groupBy("a", "b", "lag").agg(F.count("*").alias("n"), pearson(F.col("x"), F.col("y")).alias("correlation"))
-    return out.where(F.abs("correlation") >= least)
+    days = known.groupBy("id").agg(F.count("*").alias("days"))
+    out = out.where(F.abs("correlation") >= least).join(days.select(F.col("id").alias("a"), F.col("days").alias("_a")), "a").join(days.select(F.col("id").alias("b"), F.col("days").alias("_b")), "b")
+    return out.where(F.col("n") + F.col("lag") >= overlap * F.greatest("_a", "_b")).select("a", "b", "lag", "n", "correlation")

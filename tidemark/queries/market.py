@@ -256,8 +256,9 @@ def j8(spark, d):
 
 @query("j8_strong_pairs", sql("bars", """
 WITH s AS (SELECT ticker || '|' || name AS id, trade_date AS day, value FROM (UNPIVOT (SELECT ticker, trade_date, open, high, low, close FROM bars) ON open, high, low, close INTO NAME name VALUE value)),
-p AS (SELECT a.id AS a, b.id AS b, count(*) AS n, (avg(a.value * b.value) - avg(a.value) * avg(b.value)) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0) AS c FROM s a JOIN s b ON a.day = b.day AND a.id < b.id GROUP BY ALL)
-SELECT a, b, 0 AS lag, n, round(c, 4) AS correlation FROM p WHERE abs(c) >= 0.6"""))
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS n, (avg(a.value * b.value) - avg(a.value) * avg(b.value)) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0) AS c FROM s a JOIN s b ON a.day = b.day AND a.id < b.id GROUP BY ALL),
+d AS (SELECT id, count(*) AS days FROM s GROUP BY 1)
+SELECT a, b, 0 AS lag, n, round(c, 4) AS correlation FROM p JOIN d x ON x.id = a JOIN d y ON y.id = b WHERE abs(c) >= 0.6 AND n >= 0.9 * greatest(x.days, y.days)"""))
 def j8_strong(spark, d):
     """Of all series of opening, high, low and closing prices, the pairs that move together."""
     long = plain(spark, d).unpivot(["ticker", "trade_date"], ["open", "high", "low", "close"], "name", "value")
