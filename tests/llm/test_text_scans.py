@@ -291,3 +291,14 @@ def test_as_of_verdicts(spark):
         assert {r.page_id: (r.verdict, r.list) for r in rows} == {1: ("none", None), 2: ("block", "a"), 3: ("none", None), 4: ("allow", "b"), 5: ("allow", "b"), 6: ("block", "c"), 7: ("block", "d"), 8: ("none", None), 9: ("none", None), 10: ("none", None), 11: ("none", None), 12: ("block", "a")}
         assert {r.n_active for r in rows if r.page_id == 4} == {2}
     assert all(r.verdict == "none" for r in url_lists.judge(c, e.where("false")).collect()) and url_lists.judge(c.where("false"), e).count() == 0
+
+
+def test_copies_of_pages_count_once_wherever_they_stand(spark, sf):
+    page = lambda k: f"<html><body><div class='menu'><a href='/'>Home</a></div><div class='story'><p>Story number {k} tells about {'river ' * (k + 3)}.</p></div><div class='end'>All rights reserved by the house of words</div></body></html>"
+    made = spark.createDataFrame([(k, "http://one.example.com/a", page(k % 2)) for k in range(3)], "page_id long, url string, html string")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    for once, again in ((made.where("page_id < 2"), made), (pages, pages.unionByName(pages.where("page_id % 2 = 0")).unionByName(pages.where("page_id % 6 = 0")))):
+        want = {r["page_id"]: r["text"] for r in html_wrap.main_text(once.coalesce(1)).collect()}
+        for splits in (1, 3, 50):
+            for r in html_wrap.main_text(again.repartition(splits)).collect():
+                assert r["text"] == want.get(r["page_id"], want[r["page_id"] % 2] if r["page_id"] not in want else None)

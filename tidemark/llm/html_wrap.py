@@ -48,6 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready, staged
+from .exact_dedup import bits_for, cell_bitmaps, with_maybe
 
 #: Regions up to so many bytes in all are broadcast; more join by host.
 BROADCAST_BYTES = 32_000_000
@@ -402,8 +403,18 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+def once_each(pages: DataFrame) -> DataFrame:
+    """Each page of a host once, wherever its copies stand. Only pages that may have copies shuffle."""
+    rows = pages.select("host", "html", F.xxhash64("host", "html").alias("_h"))
+    keys = staged(rows.select(F.col("_h").alias("h")), "pages")
+    bits = bits_for(keys.count())
+    found = with_maybe(rows, "_h", staged(cell_bitmaps(keys, bits, 2), "bitmaps"), bits)
+    again = found.where("_maybe").groupBy("host", F.unhex(F.sha2("html", 256)).alias("sha")).agg(F.first("html").alias("html"))
+    return found.where("not _maybe").select("host", "html").unionByName(again.select("host", "html"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, pages, wrapper as JSON). pages: host, html."""
+    """(host, pages, wrapper as JSON), copies of a page counting once. pages: host, html."""
     schema = "host string, salt int, pages long, wrapper string"
 
     def rows(made: dict[str, dict], salt: int) -> pa.RecordBatch:
@@ -426,7 +437,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             made = joined(made, {"pages": int(n), "w": json.loads(w)})
         return pd.DataFrame({"host": [part["host"].iloc[0]], "salt": [0], "pages": [made["pages"]], "wrapper": [json.dumps(made["w"])]})
 
-    some = pages.select("host", "html").mapInArrow(partial, schema).groupBy("host", "salt").applyInPandas(merge, schema)
+    some = once_each(pages).mapInArrow(partial, schema).groupBy("host", "salt").applyInPandas(merge, schema)
     return staged(some.groupBy("host").applyInPandas(merge, schema).drop("salt"), "wrappers")
 
 
