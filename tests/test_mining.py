@@ -163,11 +163,75 @@ def test_planted_relation_is_validated_and_empty_input_gives_none(spark, small):
 
 
 def test_suite_rates(spark):
-    r = spark.createDataFrame([("momentum", 1, 3), ("momentum", 2, 0), ("lead_lag", 1, 1), ("pure_noise", 1, 0), ("pure_noise", 2, 1), ("random_predictor", 1, 0)], "control string, seed int, validated long")
+    r = spark.createDataFrame([("momentum", "0", 3), ("momentum", "1", 0), ("lead_lag", "0", 1), ("pure_noise", "0", 0), ("pure_noise", "1", 1), ("random_predictor", "0", 0)], "control string, panel string, validated long")
     assert {x["control"]: x["accepted"] for x in mining.accepted_suite(r).collect()} == {"momentum": False, "lead_lag": True, "pure_noise": False, "random_predictor": True}
-    for name in mining.CONTROLS:
-        p = mining.control_panel(name, 3)
-        assert len(p) == 480 and (p["close"] > 0).all() and p.equals(mining.control_panel(name, 3))
+
+
+@pytest.fixture(scope="module")
+def three(spark):
+    """Bars of three tickers: 61, 130 and 70 days; C trades most."""
+    rng = np.random.default_rng(3)
+    rows = [(t, DAY0 + datetime.timedelta(days=i), float(50 + rng.random()), v) for t, n, v in (("A", 61, 10), ("B", 130, 40), ("C", 70, 90)) for i in range(n)]
+    return spark.createDataFrame(rows, "ticker string, trade_date date, close double, volume long")
+
+
+def test_control_panels_deal_every_day_once(three):
+    p = mining.control_panels(three, 60).toPandas()
+    assert len(p) == 61 + 130 + 70
+    # an odd ticker joins the last pair; a rest shorter than a panel joins the one before
+    sizes = p.groupby(["panel", "ticker"]).k.agg(["count", "max"])
+    assert {k: tuple(v) for k, v in sizes.T.items()} == {("0/0", "A"): (61, 60), ("0/0", "B"): (60, 59), ("0/1", "B"): (70, 69), ("0/0", "C"): (70, 69)}
+    assert set(p[p.leads].ticker) == {"C"}
+    # own moves: centred returns of the panel's days, 0.8 % deviation
+    closes = np.array([r.close for r in three.where("ticker = 'A'").orderBy("trade_date").collect()])
+    x = np.diff(np.log(closes))
+    assert p[p.ticker == "A"].sort_values("k").move.to_numpy() == pytest.approx(np.concatenate(([0.0], (x - x.mean()) / x.std() * 0.008)))
+
+
+def test_control_bars_hold_what_they_plant(three):
+    b = mining.control_bars(three, 60).toPandas()
+    assert len(b) == 261 * len(mining.CONTROLS) and not b.duplicated(["ticker", "trade_date"]).any() and (b.close > 0).all()
+    b["day"] = [(d - DAY0).days for d in b.trade_date]
+    moves = {name: g.sort_values("day").close.pct_change().to_numpy()[1:] for name, g in b.groupby("ticker")}
+    lead, follow = moves["lead_lag|0/0|C|L"], moves["lead_lag|0/0|A|F"]
+    assert np.abs(follow[3:60] - lead[:57]).max() < 0.001
+    reversal = moves["mean_reversion|0/1|B|F"]
+    assert (np.sign(reversal[1:]) == -np.sign(reversal[:-1])).all()
+    trend = moves["momentum|0/0|C|L"]
+    assert [np.sign(trend[k - 1]) for k in range(1, 70)] == [1 if k // 10 % 2 == 0 else -1 for k in range(1, 70)]
+    p = mining.control_panels(three, 60).toPandas()
+    own = np.sort(p[(p.ticker == "B") & (p.panel == "0/1")].move)
+    shuffled = np.sort(moves["shuffled_bars|0/1|B|F"])
+    assert len(own) == len(shuffled) + 1 and all(np.abs(own - m).min() < 1e-9 for m in shuffled)  # the first day's move starts the series
+    assert (np.diff(np.sign(moves["shuffled_timestamps|0/0|C|L"])) != 0).sum() > 10 > (np.diff(np.sign(trend)) != 0).sum()
+    assert mining.control_bars(three.where("false"), 60).count() == 0
+    again = mining.control_bars(three.repartition(5), 60).toPandas()
+    assert again.sort_values(["ticker", "trade_date"]).close.to_numpy() == pytest.approx(b.sort_values(["ticker", "trade_date"]).close.to_numpy())
+
+
+def test_clustered_errors(spark):
+    rng = np.random.default_rng(8)
+    rows = [("A", r, int(p), float(rng.normal(0.1, 1))) for r in ("x", "y") for p in sorted(rng.choice(90, 40, replace=False))] + [("A", "one", p, 1.0) for p in range(4)]
+    got = {r.rule_id: r for r in mining.clustered(spark.createDataFrame(rows, "ticker string, rule_id string, pos int, outcome double"), 7).collect()}
+    for rule in ("x", "y"):
+        mine = [(p // 7, o) for _, r, p, o in rows if r == rule]
+        mean, names = np.mean([o for _, o in mine]), sorted({b for b, _ in mine})
+        left = sum(sum(o - mean for c, o in mine if c == b) ** 2 for b in names)
+        assert got[rule].blocks == len(names) and got[rule].block_error == pytest.approx(np.sqrt(left * len(names) / (len(names) - 1)) / len(mine))
+    assert got["one"].blocks == 1 and got["one"].block_error is None
+
+
+def test_suite_accepts_itself(spark):
+    """The planted relations are found, hardly anything else is: on four tickers of the table."""
+    from tidemark.queries.market import plain
+
+    names = [f"Brand#{i}" for i in (11, 12, 13, 14)]
+    out = mining.control_suite(plain(spark, "/root/testdata/sf0.001").where(F.col("ticker").isin(names)), 150).toPandas()
+    assert set(out.control) == set(mining.CONTROLS) and out.groupby("control").panel.nunique().min() >= 2
+    verdict = out.groupby("control").agg(rate=("rate", "first"), accepted=("accepted", "first"))
+    assert verdict.accepted.all(), verdict
+    hits = out.assign(hit=out.validated > 0).groupby("control").hit.mean()
+    assert hits.to_dict() == pytest.approx(verdict.rate.to_dict())
 
 
 def test_positions_of_pages(spark):

@@ -40,6 +40,7 @@ class Search:
     most: int = 500
     each: int | None = None
     headroom: int = 2
+    pairs: bool = True
     triples: bool = True
     regimes: bool = True
     lead_lag: bool = True
@@ -119,7 +120,7 @@ def _propose(values: dict[tuple[str, str], np.ndarray], raw: dict[tuple[str, str
                     yield "single", [singles[-1][0]]
     middle = [((k[1], ">", quantile(k, 0.5), 0), mask(k, ">", quantile(k, 0.5))) for k in own]
     pairs, kept = [], Kept()
-    for (a, x), (b, y) in combinations(middle, 2):
+    for (a, x), (b, y) in combinations(middle, 2) if s.pairs else []:
         if room("pair") and kept.takes(x & y):
             pairs.append(([a, b], x & y))
             found["pair"] += 1
@@ -214,14 +215,32 @@ def matched(rules: DataFrame, rows: DataFrame, targets: DataFrame, keys: tuple[s
     return whole.join(known.drop("trade_date"), ["ticker", "pos"])
 
 
-def discovered(rules: DataFrame, found: DataFrame, alpha: float = 0.05, holdout: float = HOLDOUT, pool: Column | None = None) -> DataFrame:
+def clustered(found: DataFrame, block: int) -> DataFrame:
+    """(ticker, rule_id, blocks, block_error): standard error of a rule's mean outcome with days of one block of
+    positions taken as one draw. Outcomes of neighbouring days share most of their window, so that single days
+    overstate what is known; rules that occur in one block only have no error."""
+    keys = ["ticker", "rule_id"]
+    each = found.groupBy(*keys, F.floor(F.col("pos") / block).alias("_b")).agg(F.count("*").alias("n"), F.sum("outcome").alias("s"))
+    whole = each.groupBy(*keys).agg(F.count("*").alias("blocks"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * F.col("n")).alias("sn"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    mean = F.col("s") / F.col("n")
+    left = F.greatest(F.col("ss") - 2 * mean * F.col("sn") + mean * mean * F.col("nn"), F.lit(0.0))
+    error = F.when(F.col("blocks") > 1, F.sqrt(left * F.col("blocks") / (F.col("blocks") - 1)) / F.col("n"))
+    return whole.select(*keys, "blocks", error.alias("block_error"))
+
+
+def discovered(rules: DataFrame, found: DataFrame, alpha: float = 0.05, holdout: float = HOLDOUT, pool: Column | None = None, block: int | None = None) -> DataFrame:
     """Rules with their research figures, family-corrected p-values and false-discovery control over
-    all rules together, or over those of one `pool`, an expression over the ticker."""
+    all rules together, or over those of one `pool`, an expression over the ticker. With `block`, the test
+    takes the days of so many positions as one draw (see `clustered`)."""
     first = rules.where("place = 0").select("ticker", "rule_id", "kind", "n_conditions", outcomes.family_key(F.concat_ws(":", "feature_id", "op"), F.col("ticker"), F.lit("target"), F.when(F.col("kind") == "regime", F.lit("r"))).alias("family"))
     first = first.withColumn("family_size", F.count("*").over(Window.partitionBy("family")))
-    d = outcomes.distribution(found.where(F.col("pos") < research_end(F.col("days"), holdout)), ["ticker", "rule_id"])
+    research = found.where(F.col("pos") < research_end(F.col("days"), holdout))
+    d = outcomes.distribution(research, ["ticker", "rule_id"])
     n = F.col("sample_count")
     p = outcomes.t_test(F.col("expectancy"), F.col("stdev") * F.sqrt(n / (n - 1)), n)
+    if block:
+        d = d.join(clustered(research, block), ["ticker", "rule_id"])
+        p = outcomes.t_test(F.col("expectancy"), F.col("block_error") * F.sqrt("blocks"), F.col("blocks"))
     d = d.join(first, ["ticker", "rule_id"]).withColumn("p", F.round(outcomes.bonferroni(F.coalesce(p, F.lit(1.0)), F.col("family_size")), 9))
     judged = outcomes.fdr_mask(d.select("p", "ticker", "rule_id", (F.lit(0) if pool is None else pool).alias("_pool")), "p", alpha, ["_pool"]).drop("p", "_pool")
     return d.join(judged, ["ticker", "rule_id"])
@@ -286,7 +305,7 @@ def held_out(found: DataFrame, validated: DataFrame, least: int = 5, holdout: fl
     return out.withColumn("passed", F.coalesce((F.col("holdout_n") >= least) & ((F.col("holdout_expectancy") > 0) == (F.col("oos_expectancy") > 0)), F.lit(False)))
 
 
-def lifecycle(rules: DataFrame, rows: DataFrame, targets: DataFrame, other_targets: DataFrame | None = None, alpha: float = 0.05, folds: int = 4, train: int = 30, least_oos: int = 10, holdout: float = HOLDOUT, pool: Column | None = None) -> DataFrame:
+def lifecycle(rules: DataFrame, rows: DataFrame, targets: DataFrame, other_targets: DataFrame | None = None, alpha: float = 0.05, folds: int = 4, train: int = 30, least_oos: int = 10, holdout: float = HOLDOUT, pool: Column | None = None, block: int | None = None) -> DataFrame:
     """Each rule's status after all gates: TESTED (not significant), REJECTED (with the gate) or VALIDATED.
 
     The gates in order: walk-forward, robustness, the buy-and-hold mean of the ticker plus costs,
@@ -294,7 +313,7 @@ def lifecycle(rules: DataFrame, rows: DataFrame, targets: DataFrame, other_targe
     from ..plans.stage import written
 
     found = written(matched(rules, rows, targets), "matched")
-    d = discovered(rules, found, alpha, holdout, pool)
+    d = written(discovered(rules, found, alpha, holdout, pool, block), "discovered")
     w = walk_forward(found, folds, train, least_oos, holdout)
     kept = written(rules.join(d.where("accepted").select("ticker", "rule_id"), ["ticker", "rule_id"], "left_semi"), "accepted")
     hold = targets.where("outcome is not null").groupBy("ticker").agg(F.avg("outcome").alias("baseline"))
@@ -330,60 +349,101 @@ def all_baselines(rows: DataFrame, sectors: DataFrame, items: DataFrame) -> Data
 
 # ---- panels with a known answer ------------------------------------------------------------------------------------
 
-#: Which controls hold a planted relation, and the shares of seeds that accept a suite.
-CONTROLS = {"momentum": True, "mean_reversion": True, "lead_lag": True, "pure_noise": False, "shuffled_returns": False, "shuffled_timestamps": False, "random_predictor": False}
+#: Which controls hold a planted relation, and the shares of panels that accept a suite.
+CONTROLS = {"momentum": True, "mean_reversion": True, "lead_lag": True, "pure_noise": False, "shuffled_returns": False, "shuffled_timestamps": False, "shuffled_bars": False, "random_predictor": False}
 RECOVERED, FALSE_RATE = 0.5, 0.4
-
-
-def control_panel(name: str, seed: int, days: int = 240) -> pd.DataFrame:
-    """Two synthetic tickers, A (the leader by volume) and B: ticker, day number, close, volume."""
-    rng = np.random.default_rng([seed, sorted(CONTROLS).index(name)])
-    drift = lambda block, size, sd: np.where(np.arange(days) // block % 2 == 0, size, -size) + rng.normal(0, sd, days)
-    noise = lambda sd: rng.normal(0, sd, days)
-    if name == "mean_reversion":
-        moves = [drift(1, 0.010, 0.0005), drift(1, 0.008, 0.0006)]
-    elif name == "lead_lag":
-        lead = drift(10, 0.012, 0.0003)
-        moves = [lead, np.concatenate((np.zeros(3), lead[:-3])) + noise(0.00005)]
-    elif name == "pure_noise":
-        moves = [noise(0.008), noise(0.008)]
-    elif name == "random_predictor":
-        moves = [drift(10, 0.012, 0.0003), noise(0.008)]
-    else:
-        moves = [drift(10, 0.010, 0.0005), drift(13, 0.008, 0.0006)]
-        if name == "shuffled_returns":
-            moves = [rng.permutation(m) for m in moves]
-        elif name == "shuffled_timestamps":
-            chunks = np.array_split(np.arange(days), days // 3)
-            moves = [m[np.concatenate([chunks[i] for i in rng.permutation(len(chunks))])] for m in moves]
-    out = []
-    for ticker, m, base in (("A", moves[0], 200_000), ("B", moves[1], 50_000)):
-        m[0] = 0.0
-        out.append(pd.DataFrame({"ticker": ticker, "day": np.arange(days), "close": 100 * np.cumprod(1 + m), "volume": base + rng.integers(-5000, 5000, days)}))
-    return pd.concat(out, ignore_index=True)
-
-
-def control_suite(spark, seeds=(1, 2, 3)) -> DataFrame:
-    """control, seed, rules tested and validated: every panel of every seed goes through the whole
-    search in one job, each its own pool of tests. B also sees the series of A, its leader."""
+#: Days of a panel, and of the blocks that its tests take as one draw.
+LENGTH, BLOCK = 240, 10
+
+
+def control_panels(bars: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(panel, ticker, leads, k, move): the bars dealt into panels of two tickers (three, where they are odd) and of
+    `length` days or somewhat more; the ticker with the larger volume leads. k numbers the days of a panel from 0;
+    move is the ticker's own logarithmic return there, centred and scaled to a deviation of 0.8 %."""
+    line = Window.partitionBy("ticker").orderBy("trade_date")
+    slices = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy("ticker")) / length))
+    rows = bars.withColumns({"_at": F.row_number().over(line) - 1, "_of": slices, "_r": F.log(F.col("close") / F.lag("close").over(line))})
+    rows = rows.withColumn("_slice", F.least(F.floor(F.col("_at") / length), F.col("_of") - 1))
+    every = Window.orderBy("ticker").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    names = bars.groupBy("ticker").agg(F.sum("volume").alias("_volume"))
+    pair = F.least(F.floor((F.row_number().over(Window.orderBy("ticker")) - 1) / 2), F.greatest(F.floor(F.count("*").over(every) / 2) - 1, F.lit(0)))
+    names = names.withColumn("_pair", pair)
+    names = names.withColumn("leads", F.row_number().over(Window.partitionBy("_pair").orderBy(F.desc("_volume"), "ticker")) == 1)
+    rows = rows.join(names, "ticker")
+    own = Window.partitionBy("ticker", "_slice")
+    spread = F.stddev_pop("_r").over(own)
+    move = F.coalesce(F.when(spread > 0, (F.col("_r") - F.avg("_r").over(own)) / spread * 0.008), F.lit(0.0))
+    return rows.select(F.concat_ws("/", "_pair", "_slice").alias("panel"), "ticker", "leads", (F.col("_at") - F.col("_slice") * length).alias("k"), move.alias("move"))
+
+
+def control_bars(bars: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Bars (ticker, trade_date, close, adj, high, low) of every control on every panel; ticker is
+    `control|panel|ticker|L or F`. Draws are hashes of panel, ticker, control and day: the same on any cluster.
+
+    Planted: blocks of rising and falling days, one alternating by day, a follower that repeats its leader's
+    move of three days before. Shuffled: the block series by days or by pairs of days, the table's own moves
+    by days. The others are independent draws."""
+    base = control_panels(bars, length)
+
+    def draw(name: str, k: Column, who: Column) -> Column:
+        u = lambda salt: (F.pmod(F.xxhash64(F.lit(salt), F.lit(name), "panel", who, k), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        return F.sqrt(-2 * F.log(u("radius"))) * F.cos(2 * np.pi * u("angle"))
+
+    def blocks(name: str, size: int, drift: float, noise: float, k: Column | None = None, who: Column | None = None) -> Column:
+        k = F.col("k") if k is None else k
+        return F.when(F.floor(k / size) % 2 == 0, drift).otherwise(-drift) + noise * draw(name, k, F.col("ticker") if who is None else who)
+
+    either = lambda lead, follow: F.when(F.col("leads"), lead).otherwise(follow)
+    noise = lambda name: 0.008 * draw(name, F.col("k"), F.col("ticker"))
+    lead = lambda k: blocks("lead_lag", 10, 0.012, 0.0003, k, F.lit("leader"))
+    trend = lambda name: either(blocks(name, 10, 0.010, 0.0005), blocks(name, 13, 0.008, 0.0006))
+    moves = {
+        "momentum": trend("momentum"), "mean_reversion": either(blocks("mean_reversion", 1, 0.010, 0.0005), blocks("mean_reversion", 1, 0.008, 0.0006)),
+        "lead_lag": either(lead(F.col("k")), F.when(F.col("k") >= 3, lead(F.col("k") - 3)).otherwise(0.0) + 0.00005 * draw("lead_lag", F.col("k"), F.col("ticker"))),
+        "pure_noise": noise("pure_noise"), "shuffled_returns": trend("shuffled_returns"), "shuffled_timestamps": trend("shuffled_timestamps"), "shuffled_bars": F.col("move"), "random_predictor": noise("random_predictor"),
+    }
+    rows = base.select("panel", "ticker", "leads", "k", F.explode(F.array(*[F.struct(F.lit(n).alias("control"), m.alias("move")) for n, m in moves.items()])).alias("_m")).select("panel", "ticker", "leads", "k", "_m.*")
+    piece = F.when(F.col("control").isin("shuffled_returns", "shuffled_bars"), F.col("k")).when(F.col("control") == "shuffled_timestamps", F.floor(F.col("k") / 2))
+    order = F.when(piece.isNotNull(), F.xxhash64("control", "panel", "ticker", piece))
+    series = Window.partitionBy("control", "panel", "ticker")
+    rows = rows.withColumn("day", F.row_number().over(series.orderBy(order, "k")) - 1)
+    step = F.when(F.col("day") > 0, F.log1p("move")).otherwise(0.0)
+    rows = rows.withColumn("close", 100 * F.exp(F.sum(step).over(series.orderBy("day"))))
+    name = F.concat_ws("|", "control", "panel", "ticker", F.when(F.col("leads"), "L").otherwise("F"))
+    return rows.select(name.alias("ticker"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("day").cast("int")).alias("trade_date"), "close", F.col("close").alias("adj"), (F.col("close") * 1.002).alias("high"), (F.col("close") * 0.998).alias("low"))
+
+
+def control_suite(bars: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(control, panel, tested, validated, rate, accepted): every control of every panel goes through the whole search
+    in one job, each its own pool of tests. Followers also see the series of their leader."""
     from . import features, targets
+    from ..plans.stage import written
 
-    data = [control_panel(n, s).assign(ticker=lambda p, n=n, s=s: f"{n}|{s}|" + p["ticker"]) for n in CONTROLS for s in seeds]
-    bars = spark.createDataFrame(pd.concat(data)).withColumns({"trade_date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("day").cast("int")), "adj": F.col("close"), "high": F.col("close") * 1.002, "low": F.col("close") * 0.998})
     names = [f"return_{n}d" for n in (1, 3, 5, 10)] + ["volatility_10d", "distance_high_10d"]
-    wide = features.price_features(bars, (1, 3, 5, 10)).withColumn("outcome", targets.forward(5)).select("ticker", "trade_date", "outcome", *names)
+    wide = features.price_features(control_bars(bars, length), (1, 3, 5, 10)).withColumn("outcome", targets.forward(5)).select("ticker", "trade_date", "outcome", *names)
+    wide = written(wide, "controls")
     own = wide.unpivot(["ticker", "trade_date"], names, "feature_id", "value")
-    lead = own.where(F.col("ticker").endswith("|A") & F.col("feature_id").isin("return_1d", "return_5d")).select(F.concat(F.substring_index("ticker", "|", 2), F.lit("|B")).alias("ticker"), "trade_date", F.concat(F.lit("leader_"), "feature_id").alias("feature_id"), "value")
-    rows, goal = panel(own, leaders=lead), wide.select("ticker", "trade_date", "outcome")
-    rules = candidates(rows, goal, Search(least=15, most=40, triples=False, regimes=False))
-    out = lifecycle(rules, rows, goal, alpha=0.10, folds=3, train=40, least_oos=8, pool=F.substring_index("ticker", "|", 2))
+    pool = F.substring_index("ticker", "|", 2)
+    follows = wide.where(F.col("ticker").endswith("|F")).select(pool.alias("_pool"), F.col("ticker").alias("_ticker")).distinct()
+    lead = own.where(F.col("ticker").endswith("|L") & F.col("feature_id").isin("return_1d", "return_5d")).withColumn("_pool", pool).join(follows, "_pool")
+    lead = lead.select(F.col("_ticker").alias("ticker"), "trade_date", F.concat(F.lit("leader_"), "feature_id").alias("feature_id"), "value")
+    rows, goal = written(panel(own, leaders=lead), "panel"), wide.select("ticker", "trade_date", "outcome")
+    across = F.substring_index("ticker", "|", 1).isin("lead_lag", "random_predictor")
+    alone = Search(least=15, most=40, triples=False, regimes=False)
+    led = Search(least=15, correlated=0.999, most=60, pairs=False, triples=False, regimes=False)
+    rules = written(candidates(rows.where(~across), goal, alone).unionByName(candidates(rows.where(across), goal, led)), "rules")
+    out = lifecycle(rules, rows, goal, alpha=0.10, folds=3, train=40, least_oos=8, pool=pool, block=BLOCK)
     each = F.split("ticker", r"\|")
-    return out.groupBy(each[0].alias("control"), each[1].cast("int").alias("seed")).agg(F.count("*").alias("tested"), F.count_if(F.col("status") == "VALIDATED").alias("validated"))
+    counts = out.groupBy(each[0].alias("control"), each[1].alias("panel")).agg(F.count("*").alias("tested"), F.count_if(F.col("status") == "VALIDATED").alias("validated"))
+    # a panel without any rule to test counts as one in which nothing was found
+    panels = wide.select(each[0].alias("control"), each[1].alias("panel")).distinct()
+    counts = written(panels.join(counts, ["control", "panel"], "left").fillna(0, ["tested", "validated"]), "counts")
+    return counts.join(accepted_suite(counts).drop("panels"), "control")
 
 
 def accepted_suite(results: DataFrame) -> DataFrame:
-    """results: control, seed, validated. A planted relation must be found on more than half of the seeds,
+    """results: control, panel, validated. A planted relation must be found on more than half of the panels,
     none may be found on more than two in five of the others."""
     positive = F.col("control").isin(*[n for n, planted in CONTROLS.items() if planted])
-    rate = results.groupBy("control").agg(F.count("*").alias("seeds"), F.avg((F.col("validated") > 0).cast("double")).alias("rate"))
+    rate = results.groupBy("control").agg(F.count("*").alias("panels"), F.avg((F.col("validated") > 0).cast("double")).alias("rate"))
     return rate.withColumn("accepted", F.when(positive, F.col("rate") > RECOVERED).otherwise(F.col("rate") <= FALSE_RATE))
