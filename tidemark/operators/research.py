@@ -56,14 +56,18 @@ def legality(sources: DataFrame) -> DataFrame:
 
 def thesis(original: DataFrame, current: DataFrame, retired: DataFrame, as_of: str) -> DataFrame:
     """Status of each thesis: broken assumptions, new contradictions, catalysts that remain.
-    original/current: ticker, catalysts, contradictions, (knowledge_ids, review_on | action)."""
+    original/current: ticker, catalysts, contradictions, (knowledge_ids, review_on | action). Without a current view the
+    lists of the comparison are empty and the thesis has expired."""
     now = current.select("ticker", F.col("catalysts").alias("c_now"), F.col("contradictions").alias("x_now"), "action")
-    gone = retired.agg(F.coalesce(F.collect_set("knowledge_id"), F.array().cast("array<string>")).alias("gone"))
-    r = original.join(now, "ticker", "left").crossJoin(F.broadcast(gone))
+    # each assumption meets the retired knowledge by its id: neither list is gathered whole
+    used = original.select("ticker", F.explode("knowledge_ids").alias("knowledge_id")).join(retired.select("knowledge_id").distinct(), "knowledge_id", "left_semi")
+    gone = used.groupBy("ticker").agg(F.collect_set("knowledge_id").alias("gone"))
+    r = original.join(now, "ticker", "left").join(gone, "ticker", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
+    listed = lambda c: F.coalesce(F.array_sort(c), F.array().cast("array<string>"))
     r = r.withColumns(
         {
-            "broken": F.array_sort(F.array_intersect("knowledge_ids", "gone")), "new_contradictions": F.array_sort(F.array_except("x_now", "contradictions")),
-            "remaining": F.array_sort(F.array_intersect("catalysts", "c_now")), "lapsed": F.array_sort(F.array_except("catalysts", "c_now")), "overdue": F.coalesce(F.lit(as_of).cast("date") > F.col("review_on"), F.lit(False)),
+            "broken": F.array_sort("gone"), "new_contradictions": listed(F.array_except("x_now", "contradictions")),
+            "remaining": listed(F.array_intersect("catalysts", "c_now")), "lapsed": listed(F.array_except("catalysts", "c_now")), "overdue": F.coalesce(F.lit(as_of).cast("date") > F.col("review_on"), F.lit(False)),
         }
     )
     some = F.size("broken") > 0
@@ -71,13 +75,14 @@ def thesis(original: DataFrame, current: DataFrame, retired: DataFrame, as_of: s
     return r.select("ticker", status.alias("status"), "broken", "new_contradictions", "remaining", "lapsed", "overdue")
 
 
-def country_risk(currency: DataFrame, ratings: DataFrame, as_of: str, floor: float = 0.05, lookback: int = 180) -> DataFrame:
-    """One row: severity from the currency's whole move and from recent rating actions."""
-    c = currency.agg(change(F.max_by("value", "observation_date"), F.min_by("value", "observation_date")).alias("move"), F.count("*").alias("n"))
+def country_risk(currency: DataFrame, ratings: DataFrame, as_of: str, by: str, floor: float = 0.05, lookback: int = 180) -> DataFrame:
+    """A row per value of `by` (the currency or country): severity from the currency's whole move and from recent rating actions.
+    currency: by, observation_date, value; ratings: by, announced_at, action, outlook. Without recent ratings the move alone decides."""
+    c = currency.groupBy(by).agg(change(F.max_by("value", "observation_date"), F.min_by("value", "observation_date")).alias("move"), F.count("*").alias("n"))
     recent = F.col("announced_at").between(F.date_sub(F.lit(as_of).cast("date"), lookback), F.lit(as_of).cast("date"))
-    a = ratings.agg(F.count_if(recent & (F.col("action") == "downgrade")).alias("downgrades"), F.count_if(recent & (F.col("outlook") == "negative")).alias("negative"))
+    a = ratings.groupBy(by).agg(F.count_if(recent & (F.col("action") == "downgrade")).alias("downgrades"), F.count_if(recent & (F.col("outlook") == "negative")).alias("negative"))
     severity = F.when(F.col("downgrades") > 0, "CRISIS").when(((F.col("n") >= 2) & (F.abs("move") >= floor)) | (F.col("negative") > 0), "DETERIORATING").otherwise("NORMAL")
-    return c.crossJoin(a).select("move", severity.alias("severity"))
+    return c.join(a, by, "left").select(by, "move", severity.alias("severity"))
 
 
 def candidates(rows: DataFrame) -> DataFrame:

@@ -266,12 +266,12 @@ def j12(spark, d):
 @query("j13_event_study", sql("bars corporate_events", f"""
 WITH a AS (SELECT *, {RET.format(n=1)} AS r1 FROM bars WINDOW w AS ({W})),
 g AS (SELECT e.ticker, e.event_date, count(r1) FILTER (trade_date < event_date) AS n_before, count(r1) FILTER (trade_date > event_date) AS n_after, avg(r1) FILTER (trade_date < event_date) AS b, avg(r1) FILTER (trade_date > event_date) AS c
-  FROM corporate_events e JOIN a ON a.ticker = e.ticker AND abs(trade_date - event_date) <= 10 WHERE event_type = 'SPLIT' GROUP BY ALL)
+  FROM corporate_events e JOIN a ON a.ticker = e.ticker AND abs(trade_date - event_date) <= 10 GROUP BY ALL)
 SELECT ticker, event_date, n_before, n_after, round(c - b, 4) AS shift FROM g WHERE n_before >= 3 AND n_after >= 3"""))
 def j13(spark, d):
     b = views.shared_bars(spark, d)
     a = features.with_adjusted(b).withColumn("r1", features.ret(1)).select("ticker", "trade_date", "r1")
-    e = views.corporate_events(spark, d, b).where("event_type = 'SPLIT'").select("ticker", "event_date")
+    e = views.corporate_events(spark, d, b).select("ticker", "event_date")
     return asof.around(a, e, "ticker", "trade_date", "event_date", "r1", 10).select("ticker", "event_date", "n_before", "n_after", r("shift", 4))
 
 

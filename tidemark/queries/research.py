@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import asof, experiments, features, graph, market, research, rules, storage, targets
+from ..operators import agents, asof, experiments, features, graph, market, research, rules, storage, targets
 from ..plans import views
 from ..plans.views import sql, table
 from .market import RET, W, plain, r
@@ -350,10 +350,16 @@ def f12(spark, d):
     return e.where(F.array_contains(F.array(F.lit("SWING"), F.lit("INVESTMENT")), F.col("horizon"))).groupBy("horizon").agg(F.count("*").alias("n"))
 
 
-@query("d22_similar_cases", "SELECT user_id, event_id FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+@query("d22_similar_cases", """
+WITH s AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS before FROM events WHERE event_type = 'error'),
+c AS (SELECT s.user_id, before, event_id, row_number() OVER (PARTITION BY s.user_id, before ORDER BY ts DESC, event_id DESC) AS k FROM s JOIN events e ON e.user_id = s.user_id AND CAST(e.ts AS DATE) < before)
+SELECT user_id, before, coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 5), '') AS cases FROM s LEFT JOIN c USING (user_id, before) GROUP BY ALL""")
 def d22(spark, d):
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return table(spark, d, "events").where("event_type = 'error'").withColumn("k", F.row_number().over(w)).where("k <= 5").select("user_id", "event_id")
+    """For every day on which a user met an error, the five newest events of any kind on days before it."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    subjects = e.where("event_type = 'error'").select("user_id", F.col("day").alias("before")).distinct()
+    found = agents.cases_before(subjects, e.withColumn("case", F.col("event_id").cast("string")), "user_id", "day", ["ts", "event_id"], "case")
+    return found.select("user_id", "before", F.array_join("cases", ",").alias("cases"))
 
 
 @query("d15_monitoring", sql("decisions", "SELECT warning, count(*) AS n FROM (SELECT unnest([x for x in [CASE WHEN confidence < 0.1 THEN 'low_confidence' END, CASE WHEN expected_return < -0.15 THEN 'negative_view' END, CASE WHEN abs(expected_return - realized_return) > 0.3 THEN 'large_miss' END] if x IS NOT NULL]) AS warning FROM decisions) GROUP BY 1"))
@@ -382,18 +388,39 @@ def d4(spark, d):
     return c.select("ticker", F.round(F.col("fair_value") / F.col("price") - 1, 3).alias("expected_return"), "confidence")
 
 
-@query("d7_country_risk", sql("macro", "SELECT round((arg_max(value, observation_date) - arg_min(value, observation_date)) / arg_min(value, observation_date), 6) AS move, CASE WHEN abs((arg_max(value, observation_date) - arg_min(value, observation_date)) / arg_min(value, observation_date)) >= 0.05 THEN 'DETERIORATING' ELSE 'NORMAL' END AS severity FROM macro WHERE series_id = '1-URGENT'"))
+@query("d7_country_risk", sql("macro", """
+WITH m AS (SELECT series_id, round((arg_max(value, observation_date) - arg_min(value, observation_date)) / nullif(arg_min(value, observation_date), 0), 6) AS move, count(*) AS n FROM macro GROUP BY 1),
+r AS (SELECT o_orderpriority AS series_id, count(*) FILTER (o_orderstatus = 'O' AND o_totalprice > 499000) AS down, count(*) FILTER (o_orderstatus = 'P' AND o_totalprice > 490000) AS negative FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '2001-08-01' - 180 AND DATE '2001-08-01' GROUP BY 1)
+SELECT series_id, move, CASE WHEN down > 0 THEN 'CRISIS' WHEN (n >= 2 AND abs(move) >= 0.05) OR negative > 0 THEN 'DETERIORATING' ELSE 'NORMAL' END AS severity FROM m LEFT JOIN r USING (series_id)"""))
 def d7(spark, d):
-    ratings = spark.sql("SELECT date'1990-01-01' AS announced_at, 'downgrade' AS action, 'negative' AS outlook")
-    return research.country_risk(views.macro(spark, d).where("series_id = '1-URGENT'"), ratings, "2001-08-01").withColumn("move", F.round("move", 6))
+    """All series as currencies; orders stand for rating announcements, dear ones for downgrades and poor outlooks."""
+    o, dear = table(spark, d, "orders"), F.col("o_totalprice")
+    ratings = o.select(
+        F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("announced_at"), F.when((F.col("o_orderstatus") == "O") & (dear > 499_000), "downgrade").otherwise("affirm").alias("action"),
+        F.when((F.col("o_orderstatus") == "P") & (dear > 490_000), "negative").otherwise("stable").alias("outlook"),
+    )
+    return research.country_risk(views.macro(spark, d), ratings, "2001-08-01", "series_id").withColumn("move", F.round("move", 6))
 
 
-@query("d14_thesis_survival")
+@query("d14_thesis_survival", sql("decisions", """
+WITH x AS (SELECT o_custkey AS ticker, o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS catalyst, o_orderstatus AS doubt FROM orders),
+o AS (SELECT ticker, list(DISTINCT catalyst) AS c, list(DISTINCT doubt) AS x, max(day) AS last FROM x WHERE day < DATE '1998-01-01' GROUP BY 1),
+n AS (SELECT ticker, list(DISTINCT catalyst) AS c, list(DISTINCT doubt) AS x, max({'day': day, 'id': id}).id % 4 AS a FROM x WHERE day >= DATE '1998-01-01' GROUP BY 1),
+k AS (SELECT ticker, count(*) AS broken FROM x JOIN decisions ON decision_id = id WHERE day < DATE '1998-01-01' AND expected_return * realized_return < 0 AND confidence >= 0.95 GROUP BY 1),
+r AS (SELECT o.ticker, n.a, coalesce(broken, 0) AS broken, len(list_filter(n.x, lambda e: NOT list_contains(o.x, e))) AS fresh, last + 1000 < DATE '2000-01-01' AS overdue,
+  array_to_string(list_sort(list_filter(o.c, lambda e: list_contains(n.c, e))), ',') AS remaining, array_to_string(list_sort(list_filter(o.c, lambda e: NOT list_contains(n.c, e))), ',') AS lapsed FROM o LEFT JOIN n USING (ticker) LEFT JOIN k USING (ticker))
+SELECT ticker, CASE WHEN a IS NULL THEN 'EXPIRED' WHEN broken > 0 AND a < 2 THEN 'BROKEN' WHEN broken > 0 OR fresh > 0 OR overdue THEN 'WEAKENING' ELSE 'ALIVE' END AS status, CAST(broken AS INTEGER) AS broken, remaining, lapsed FROM r"""))
 def d14(spark, d):
-    o = spark.sql("SELECT * FROM VALUES ('A', array('c1','c2'), array('x'), array('k1'), date'2024-03-01'), ('B', array('c1'), array(), array('k2'), date'2025-01-01'), ('C', array('c1'), array(), array('k3'), null) AS t(ticker, catalysts, contradictions, knowledge_ids, review_on)")
-    c = spark.sql("SELECT * FROM VALUES ('A', array('c2'), array('x'), 'EXIT'), ('B', array('c1'), array(), 'HOLD') AS t(ticker, catalysts, contradictions, action)")
-    k = spark.sql("SELECT 'k1' AS knowledge_id")
-    t = research.thesis(o.withColumn("contradictions", F.col("contradictions").cast("array<string>")), c.withColumn("contradictions", F.col("contradictions").cast("array<string>")), k, "2024-06-01")
+    """A thesis per customer: orders before a day against orders since, resting on their decisions; sure ones proven wrong are retired."""
+    split = F.lit("1998-01-01").cast("date")
+    x = table(spark, d, "orders").select(F.col("o_custkey").alias("ticker"), "o_orderkey", F.to_date("o_orderdate").alias("day"), "o_orderpriority", "o_orderstatus")
+    views_of = [F.collect_set("o_orderpriority").alias("catalysts"), F.collect_set("o_orderstatus").alias("contradictions")]
+    known = F.concat(F.lit("k"), "o_orderkey")
+    o = x.where(F.col("day") < split).groupBy("ticker").agg(*views_of, F.collect_set(known).alias("knowledge_ids"), F.date_add(F.max("day"), 1000).alias("review_on"))
+    action = F.element_at(F.array(*map(F.lit, ("EXIT", "REDUCE_POSITION", "HOLD", "BUY"))), (F.max_by("o_orderkey", F.struct("day", "o_orderkey")) % 4 + 1).cast("int"))
+    n = x.where(F.col("day") >= split).groupBy("ticker").agg(*views_of, action.alias("action"))
+    wrong = views.decisions(spark, d).where("expected_return * realized_return < 0 and confidence >= 0.95").select(F.concat(F.lit("k"), "decision_id").alias("knowledge_id"))
+    t = research.thesis(o, n, wrong, "2000-01-01")
     return t.select("ticker", "status", F.size("broken").alias("broken"), F.array_join("remaining", ",").alias("remaining"), F.array_join("lapsed", ",").alias("lapsed"))
 
 

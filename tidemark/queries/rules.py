@@ -114,15 +114,16 @@ def a10(spark, d):
 
 
 @query("x14_walk_forward", sql("bars", BASE + """,
-n AS (SELECT a.ticker, a.trade_date, a.outcome, h.cond_id IS NOT NULL AS hit, row_number() OVER (PARTITION BY a.ticker ORDER BY a.trade_date) - 1 AS i, count(*) OVER (PARTITION BY a.ticker) AS n FROM a LEFT JOIN h ON h.ticker = a.ticker AND h.trade_date = a.trade_date AND h.cond_id = 'return_5d:>'),
+n AS (SELECT a.ticker, c.cond_id, a.trade_date, a.outcome, h.cond_id IS NOT NULL AS hit, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY a.ticker, c.cond_id) AS n
+  FROM a JOIN c ON c.ticker = a.ticker LEFT JOIN h ON h.ticker = a.ticker AND h.trade_date = a.trade_date AND h.cond_id = c.cond_id WINDOW w AS (PARTITION BY a.ticker, c.cond_id ORDER BY a.trade_date)),
 g AS (SELECT *, CASE WHEN i >= 30 AND n >= 34 AND (i - 30) // greatest(1, (n - 30) // 4) < 4 THEN (i - 30) // greatest(1, (n - 30) // 4) END AS fold FROM n WHERE hit AND outcome IS NOT NULL)
-SELECT ticker, count(*) AS n, round(avg(outcome), 4) AS expectancy, count(fold) AS oos_n, round(avg(outcome) FILTER (fold IS NOT NULL), 4) AS oos_expectancy, count(DISTINCT fold) AS folds,
-  count(fold) >= 10 AND (avg(outcome) FILTER (fold IS NOT NULL) > 0) = (avg(outcome) > 0) AS survived FROM g GROUP BY ticker"""))
+SELECT ticker, cond_id, count(*) AS n, round(avg(outcome), 4) AS expectancy, count(fold) AS oos_n, round(avg(outcome) FILTER (fold IS NOT NULL), 4) AS oos_expectancy, count(DISTINCT fold) AS folds,
+  count(fold) >= 10 AND (avg(outcome) FILTER (fold IS NOT NULL) > 0) = (avg(outcome) > 0) AS survived FROM g GROUP BY ALL"""))
 def x14(spark, d):
-    _, _, out, found = mined(spark, d)
-    hit = found.where("cond_id = 'return_5d:>'").select("ticker", "trade_date", F.lit(True).alias("hit"))
-    rows = out.join(hit, ["ticker", "trade_date"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return outcomes.walk_forward(rows, "ticker", "trade_date", "outcome", "hit").select("ticker", "n", r("expectancy", 4), "oos_n", r("oos_expectancy", 4), "folds", "survived")
+    _, conds, out, found = mined(spark, d)
+    hit = found.select("ticker", "cond_id", "trade_date", F.lit(True).alias("hit"))
+    rows = out.join(conds.select("ticker", "cond_id"), "ticker").join(hit, ["ticker", "cond_id", "trade_date"], "left").withColumns({"hit": F.coalesce("hit", F.lit(False)), "rule": F.struct("ticker", "cond_id")})
+    return outcomes.walk_forward(rows, "rule", "trade_date", "outcome", "hit").select("rule.*", "n", r("expectancy", 4), "oos_n", r("oos_expectancy", 4), "folds", "survived")
 
 
 @query("x15_threshold_variants", sql("bars", BASE + """,
@@ -168,8 +169,9 @@ def x18(spark, d):
 
 @query("a4_a5_a7_seeded_tests")
 def seeded(spark, d):
-    found = mined(spark, d)[3].where("cond_id = 'return_5d:>'")
-    return outcomes.tested(found, "ticker", iterations=200)
+    """Every rule of every ticker; `rule` is the ticker and the condition."""
+    found = mined(spark, d)[3].withColumn("rule", F.concat_ws("|", "ticker", "cond_id"))
+    return outcomes.tested(found, "rule", iterations=200)
 
 
 @query("a4_poisson_bootstrap")

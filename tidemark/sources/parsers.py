@@ -7,6 +7,7 @@ not parse give no row; `rejected` counts them where a layout has lines.
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -197,3 +198,49 @@ def visible_text(html: Column) -> Column:
     """Markup and scripts out, white space folded."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+#: Fixed: entities that occur in card layouts, `&` last, and phrases of a headline in the order in which they are tried.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+HEADLINE_WORDS = (
+    ("STOCK_SPLIT", ("stock split", "share split")), ("CAPITAL_INCREASE", ("capital increase", "rights issue")), ("BUYBACK", ("buyback", "treasury shares")),
+    ("MANAGEMENT_CHANGE", ("management change", "board appoints", "appoints new ceo", "resignation")), ("DELISTING", ("delisting", "delisted")), ("MERGER", ("merge",)), ("ACQUISITION", ("acquisition", "to acquire")),
+    ("DIVIDEND", ("dividend",)), ("GUIDANCE", ("guidance",)), ("EARNINGS", ("quarterly results", "annual results", "financial results", "net income", "earnings", "نتائج الأعمال", "نتائج اعمال", "القوائم المالية", "صافي الربح")),
+    ("DIVIDEND", ("توزيع نقدي", "توزيعات نقدية")), ("CAPITAL_INCREASE", ("زيادة رأس المال",)), ("STOCK_SPLIT", ("تجزئة السهم",)), ("ACQUISITION", ("استحواذ",)), ("MERGER", ("اندماج",)),
+)
+
+
+def headline_event(text: Column) -> Column:
+    """The kind of corporate event a headline names, or null."""
+    low, out = F.lower(text), F.lit(None).cast("string")
+    for kind, phrases in reversed(HEADLINE_WORDS):
+        out = F.when(F.exists(F.array(*map(F.lit, phrases)), lambda p: low.contains(p)), kind).otherwise(out)
+    return out
+
+
+def plain_text(html: Column) -> Column:
+    """Tags out, entities decoded, runs of white space one blank."""
+    out = F.regexp_replace(html, r"<[^>]*>", " ")
+    for entity, sign in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(sign))
+    return F.trim(F.regexp_replace(out, r"[\x20\x09-\x0D]+", " "))
+
+
+def disclosure_cards(docs: DataFrame, tickers: DataFrame, exchange: str = "egx.com.eg") -> DataFrame:
+    """Bulletin pages (url, body) of cards: published_at, ticker, headline, source_url, event_type, text.
+
+    A page is cut where a card's title begins. The title names the headline, the next paragraph the text, the muted line the day. A
+    card needs a day and, in title or text, a code with `.CA` whose ticker is among `tickers` (ticker, upper
+    case); others give no row. The source is an attachment on the host of the exchange, else the page. event_type is null
+    where no phrase fits. A null body has no cards."""
+    cut = F.split(F.col("body"), r'(?i)<h5\s+class="card-title"\s*>')
+    rows = docs.select("url", F.explode(F.slice(cut, 2, 1_000_000)).alias("card"))
+    after = F.regexp_extract("card", r"(?is)</h5\s*>(.*)$", 1)
+    block = F.regexp_extract(after, r'(?is)<p\s+class="card-text"\s*>(.*?)</p>', 1)
+    day = plain_text(F.regexp_extract(after, r'(?is)<small\s+class="text-muted"\s*>(.*?)</small>', 1))
+    rows = rows.select("url", plain_text(F.substring_index("card", "</h5>", 1)).alias("headline"), block.alias("block"), plain_text(block).alias("text"), F.to_date(F.try_to_timestamp(F.substring_index(day, " ", 1), F.lit("yyyy-MM-dd"))).alias("published_at"))
+    both = F.concat_ws(" ", "headline", "text")
+    rows = rows.withColumn("ticker", F.upper(F.regexp_extract(both, r"(?i)\b([A-Z][A-Z0-9]{1,9})\.CA\b", 1)))
+    own = F.regexp_extract("block", rf"""(?i)href=["'](https?://(?:www\.)?{re.escape(exchange)}/[^"']+)""", 1)
+    rows = rows.where("published_at is not null").withColumn("source_url", F.when(own != "", plain_text(own)).otherwise(F.col("url"))).withColumn("event_type", headline_event(both))
+    return rows.join(tickers.select("ticker").distinct(), "ticker", "left_semi").select("published_at", "ticker", "headline", "source_url", "event_type", "text")
