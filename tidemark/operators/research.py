@@ -13,12 +13,6 @@ from .features import by, back, ret
 VALID_DAYS, LEAST_BARS = {"MICRO": 3, "SWING": 28, "INVESTMENT": 183}, {"MICRO": 60, "SWING": 120, "INVESTMENT": 252}
 RED_FLAGS = ("no automated access", "scraping is prohibited", "no scraping", "may not copy", "prohibits automated")
 GREEN_FLAGS = ("open data", "public api", "creative commons", "free to use", "api documentation")
-#: Fixed: allowed steps of each lifecycle.
-STEPS = {
-    "pattern": ("DISCOVERED>VALIDATING", "VALIDATING>VALIDATED", "VALIDATING>REJECTED", "VALIDATED>ACTIVE", "ACTIVE>WEAKENING", "VALIDATED>WEAKENING", "WEAKENING>ACTIVE", "WEAKENING>RETIRED", "DISCOVERED>REJECTED", "ACTIVE>RETIRED"),
-    "event": ("PENDING>CONFIRMED", "CONFIRMED>CORROBORATED", "CONFIRMED>DISPUTED", "CORROBORATED>DISPUTED", "CONFIRMED>RETRACTED", "CORROBORATED>RETRACTED", "DISPUTED>RETRACTED", "CONFIRMED>SUPERSEDED", "CORROBORATED>SUPERSEDED", "DISPUTED>SUPERSEDED", "CONFIRMED>ARCHIVED"),
-    "source": ("candidate>quarantine", "quarantine>evaluation", "evaluation>trusted", "trusted>core", "core>trusted", "trusted>evaluation", "evaluation>quarantine", "quarantine>candidate"),
-}
 
 
 def actions(predictions: DataFrame) -> DataFrame:
@@ -141,13 +135,6 @@ def attribution(evidence: DataFrame) -> DataFrame:
     return each.select("ticker", "category", F.try_divide("part", F.sum("w").over(Window.partitionBy("ticker"))).alias("contribution"))
 
 
-def illegal_steps(history: DataFrame, key: str, order: str, status: str, kind: str) -> DataFrame:
-    """Transitions that the lifecycle does not allow."""
-    w = Window.partitionBy(key).orderBy(order)
-    r = history.withColumn("_p", F.lag(status).over(w)).where(F.col("_p").isNotNull() & (F.col("_p") != F.col(status)))
-    return r.where(~F.concat_ws(">", "_p", status).isin(*STEPS[kind])).select(key, order, F.col("_p").alias("from"), F.col(status).alias("to"))
-
-
 def decayed(live: DataFrame, least: int = 10, drop: float = 0.20) -> DataFrame:
     """Patterns whose live outcomes lag their history: rows (pattern_id, actual, hit_rate, expectancy)."""
     a = live.where("actual is not null").groupBy("pattern_id", "hit_rate", "expectancy").agg(F.count("*").alias("n"), F.avg((F.col("actual") > 0).cast("double")).alias("live_hit_rate"), F.avg("actual").alias("live_expectancy"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import agents, asof, experiments, features, graph, market, research, rules, storage, targets
+from ..operators import agents, asof, experiments, features, graph, lifecycles, market, research, rules, storage, targets
 from ..plans import views
 from ..plans.views import sql, table
 from .market import RET, W, plain, r
@@ -155,10 +155,46 @@ def a29(spark, d):
 
 @query("r3_illegal_transitions", """
 WITH a AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'CONFIRMED' WHEN 'F' THEN 'CORROBORATED' ELSE 'DISPUTED' END AS s FROM orders), b AS (SELECT *, lag(s) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM a)
-SELECT o_custkey, o_orderkey, p AS "from", s AS "to" FROM b WHERE p IS NOT NULL AND p <> s AND p || '>' || s NOT IN ('CONFIRMED>CORROBORATED', 'CONFIRMED>DISPUTED', 'CORROBORATED>DISPUTED')""")
+SELECT o_custkey, o_orderkey, p AS "from", s AS "to" FROM b WHERE p IS NOT NULL AND p <> s AND p || '>' || s NOT IN ('CONFIRMED>CORROBORATED', 'CONFIRMED>DISPUTED', 'CORROBORATED>DISPUTED', 'DISPUTED>CORROBORATED')""")
 def r3(spark, d):
     s = F.when(F.col("o_orderstatus") == "O", "CONFIRMED").when(F.col("o_orderstatus") == "F", "CORROBORATED").otherwise("DISPUTED")
-    return research.illegal_steps(table(spark, d, "orders").select("o_custkey", "o_orderkey", s.alias("s")), "o_custkey", "o_orderkey", "s", "event")
+    return lifecycles.illegal_steps(table(spark, d, "orders").select("o_custkey", "o_orderkey", s.alias("s")), "o_custkey", "o_orderkey", "s", "event")
+
+
+@query("r3_gene_steps", """
+WITH a AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'PROPOSED' WHEN 'view' THEN 'PROMOTED' WHEN 'click' THEN 'MONITORING' WHEN 'error' THEN 'RETIRED' ELSE 'REPLACED' END AS s FROM events), b AS (SELECT *, lag(s) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM a)
+SELECT user_id, event_id, p AS "from", s AS "to" FROM b WHERE p <> s AND NOT ((p = 'PROPOSED' AND s IN ('PROMOTED', 'RETIRED')) OR (p = 'PROMOTED' AND s IN ('MONITORING', 'RETIRED', 'REPLACED')) OR (p = 'MONITORING' AND s IN ('RETIRED', 'REPLACED')))""")
+def r3_gene(spark, d):
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "PROPOSED", "view", "PROMOTED", "click", "MONITORING", "error", "RETIRED")]), F.col("event_type"))
+    e = table(spark, d, "events").select("user_id", "event_id", F.coalesce(kind, F.lit("REPLACED")).alias("s"))
+    return lifecycles.illegal_steps(e, "user_id", "event_id", "s", "gene")
+
+
+def claim_records(spark, d):
+    """Order lines as evidence for claims: an order is a claim, its lines its records."""
+    stage = F.get(F.array(*map(F.lit, lifecycles.CLAIM_STAGES)), F.least(F.floor((F.col("l_linenumber") + F.col("l_suppkey") % 2) / 2), F.lit(5)).cast("int"))
+    kind = F.when(F.col("l_partkey") % 11 == 0, "paper").otherwise("experiment")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", stage.alias("stage"), kind.alias("evidence_type"), (F.col("l_quantity") > 5).alias("passed"))
+
+
+CLAIM_ORDER = ["l_linenumber", "l_shipdate", "l_partkey", "l_suppkey"]
+
+
+@query("r3_claim_stages")
+def r3_claims(spark, d):
+    return lifecycles.claim_stages(claim_records(spark, d), "l_orderkey", CLAIM_ORDER)
+
+
+@query("r3_gates", """
+WITH g AS (SELECT o_custkey, o_orderkey % 8 AS k, max({'d': o_orderdate, 'i': o_orderkey, 'ok': o_totalprice > 50000}).ok AS ok FROM orders GROUP BY ALL),
+n AS (SELECT c.o_custkey, min(t.k) AS k FROM (SELECT DISTINCT o_custkey FROM orders) c CROSS JOIN (SELECT unnest(range(8)) AS k) t LEFT JOIN g ON g.o_custkey = c.o_custkey AND g.k = t.k WHERE coalesce(NOT g.ok, TRUE) GROUP BY 1)
+SELECT c.o_custkey, CAST(coalesce(n.k, 8) AS INTEGER) AS passed, ['OBSERVATION', 'HYPOTHESIS', 'DATA_COLLECTION', 'EXPERIMENT', 'STATISTICAL_VALIDATION', 'STRESS_TEST', 'BACKTEST', 'PEER_VALIDATION'][n.k + 1] AS next_gate,
+  CASE WHEN n.k IS NULL THEN 'VALIDATED' WHEN count(*) FILTER (g.k = n.k) > 0 THEN 'REJECTED' ELSE 'IN_PROGRESS' END AS status, CAST(count(*) FILTER (g.ok AND g.k > n.k) AS INTEGER) AS skipped
+FROM (SELECT DISTINCT o_custkey FROM orders) c LEFT JOIN n USING (o_custkey) JOIN g USING (o_custkey) GROUP BY c.o_custkey, n.k""")
+def r3_gates(spark, d):
+    gate = F.get(F.array(*map(F.lit, lifecycles.GATES)), (F.col("o_orderkey") % 8).cast("int"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", gate.alias("gate"), (F.col("o_totalprice") > 50_000).alias("passed"))
+    return lifecycles.gate_states(o, "o_custkey", ["o_orderdate", "o_orderkey"])
 
 
 @query("x22_decay", sql("bars", f"""
