@@ -149,3 +149,14 @@ def test_thesis_states(spark):
     rows = {r.ticker: r for r in got.collect()}
     assert {t: r.status for t, r in rows.items()} == {"broken": "BROKEN", "held": "WEAKENING", "doubted": "WEAKENING", "late": "WEAKENING", "well": "ALIVE", "gone": "EXPIRED"}
     assert rows["broken"].broken == ["k1", "k2"] and rows["broken"].lapsed == ["c1"] and rows["broken"].remaining == ["c2"] and rows["doubted"].new_contradictions == ["y"] and rows["late"].overdue
+
+
+def test_pages_lead_to_sources(spark):
+    html = """<link rel="alternate stylesheet" type='application/atom+xml' href="/f.atom"><LINK HREF=g.json TYPE=text/css rel=alternate><a data-x="1" href="d.csv?x=1">d</a><a href='d.csv?x=1'>d</a>
+    <a href="a.pdf">1</a><a href="b.PDF?x">2</a><a href="a.pdf">3</a><a href="docs/api/v2.json">j</a><a name="n">n</a><a href="">e</a><abbr href="z.csv">z</abbr>"""
+    pages = [("http://h.example/p/q", html), ("http://h.example/two", '<a href="a.pdf">1</a><a href="b.pdf">2</a>'), ("http://h.example/none", None), ("http://h.example/empty", "")]
+    got = discovery.page_candidates(spark.createDataFrame(pages, "page_url string, html string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted([
+        ("http://h.example/p/q", "http://h.example/f.atom", "FEED", "RSS_FEED"), ("http://h.example/p/q", "http://h.example/p/d.csv?x=1", "DATASET", "CSV_DOWNLOAD"), ("http://h.example/p/q", "http://h.example/p/docs/api/v2.json", "DATASET", "JSON_API"),
+        ("http://h.example/p/q", "http://h.example/p/docs/api/v2.json", "API", "JSON_API"), ("http://h.example/p/q", "http://h.example/p/q", "REPOSITORY", "PDF_DOWNLOAD"),
+    ])

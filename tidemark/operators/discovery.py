@@ -12,6 +12,8 @@ LOCAL_ENDINGS, ENDINGS = {"EG": (".com.eg", ".gov.eg")}, (".com", ".org", ".net"
 FULL_SPAN_DAYS, ONE_DAY_SCORE, ONE_POINT_SCORE = 365, 0.2, 0.4
 #: Fixed: how grave a verdict is.
 GRAVITY = {"PASS": 0, "BLOCKED": 1, "PARTIAL": 2, "FAIL": 3}
+#: Fixed: types of feeds, links to documents that make a page a repository.
+FEED_TYPES, LEAST_DOCUMENTS = ("application/rss+xml", "application/atom+xml", "application/feed+json"), 3
 
 
 def sitemap_urls(maps: DataFrame, page: str = "page_url", body: str = "body") -> DataFrame:
@@ -29,6 +31,31 @@ def api_links(links: DataFrame, page: str = "page_url", href: str = "href") -> D
     return links.where(known).select(F.col(page).alias("page"), urls.resolved(F.col(page), F.col(href)).alias("url")).distinct()
 
 
+def page_candidates(pages: DataFrame, page: str = "page_url", html: str = "html") -> DataFrame:
+    """Sources that pages lead to: page, url, method, read_as; each target once a page and method.
+
+    FEED: alternate links of a feed type. DATASET: links to structured files. API: links to interface descriptions.
+    REPOSITORY: the page itself, where at least three of its links are PDF files. Links are resolved against
+    the page; attributes may stand in any order. A null html has no links. Nothing is gathered by host."""
+    p = pages.select(F.col(page).alias("page"), F.col(html).alias("body"))
+    attribute = lambda of, name: F.regexp_extract(of, rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
+    bare = lambda of, name: F.regexp_replace(F.regexp_replace(attribute(of, name), r"(?is)^\w+\s*=\s*", ""), r"""^["']|["']$""", "")
+    tags = p.select("page", F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<(?:a|link)\s[^>]*>"), 0)).alias("tag"))
+    found = tags.select("page", F.lower(F.substring("tag", 2, 1)).alias("kind"), bare(F.col("tag"), "href").alias("href"), F.lower(bare(F.col("tag"), "rel")).alias("rel"), F.lower(bare(F.col("tag"), "type")).alias("type")).where("href <> ''")
+    target = urls.resolved(F.col("page"), F.col("href"))
+    anchor = F.col("kind") == "a"
+    row = lambda test, method, how: F.when(test, F.struct(F.lit(method).alias("method"), how.alias("read_as")))
+    of_path = urls.read_as(F.col("href"))
+    kinds = [
+        row((F.col("kind") == "l") & F.col("rel").contains("alternate") & F.col("type").isin(*FEED_TYPES), "FEED", F.lit("RSS_FEED")),
+        row(anchor & (of_path != "HTML_SCRAPE"), "DATASET", of_path),
+        row(anchor & F.exists(F.array(*map(F.lit, urls.API_MARKS)), lambda m: F.lower(F.col("href")).contains(m)), "API", F.lit("JSON_API")),
+    ]
+    direct = found.select("page", target.alias("url"), F.inline(F.array_compact(F.array(*kinds)))).distinct()
+    documents = found.where(anchor & F.lower(F.substring_index("href", "?", 1)).endswith(".pdf")).groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
+    return direct.unionByName(documents.select("page", F.col("page").alias("url"), F.lit("REPOSITORY").alias("method"), F.lit("PDF_DOWNLOAD").alias("read_as")))
+
+
 def stability(targets: DataFrame, probes: DataFrame) -> DataFrame:
     """How lasting each address looks: url, score, n_probes, insufficient.
 

@@ -30,6 +30,11 @@ def back(n: int, last: int = 0):
     return by().rowsBetween(last - n + 1, last)
 
 
+def average_gap(short: int, long: int, price: str = "adj") -> Column:
+    """Short over long trailing mean, less one; null until the long one is full or where it is zero."""
+    return F.when(F.row_number().over(by()) >= long, F.try_divide(F.avg(price).over(back(short)), F.avg(price).over(back(long))) - 1)
+
+
 def ret(n: int, price: str = "adj") -> Column:
     return change(F.col(price), F.lag(price, n).over(by()))
 

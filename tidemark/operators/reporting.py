@@ -67,3 +67,28 @@ def ranked_methods(methods: DataFrame, key: str, weights: dict[str, float]) -> D
 def portfolio_summary(positions: DataFrame, by: list[str]) -> DataFrame:
     w = F.sum("weight")
     return positions.groupBy(*by).agg(F.count("*").alias("positions"), w.alias("invested"), F.greatest(F.lit(0.0), 1 - w).alias("cash"), ratio(F.sum(F.col("weight") * F.col("expected_return")), w).alias("expected_return"), ratio(F.sum(F.col("weight") * F.col("expected_risk")), w).alias("expected_risk"))
+
+
+def status_counts(rows: DataFrame, statuses: list[str]) -> DataFrame:
+    """Counts by each combination of the statuses, each subset of them and the whole, in one pass."""
+    return rows.cube(*statuses).agg(F.count("*").alias("n"))
+
+
+def inventory(rows: DataFrame, time: str, keys: list[Column], by: list[str] | None = None) -> DataFrame:
+    """Rows, first and last time and rows that repeat a key, for the whole table or per value of `by`."""
+    kept = rows.select(*(by or []), F.col(time).alias("_t"), F.struct(*keys).alias("_k"))
+    each = kept.groupBy(*(by or []), "_k").agg(F.count("*").alias("n"), F.min("_t").alias("first"), F.max("_t").alias("last"))
+    return each.groupBy(*(by or [])).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats"))
+
+
+def committee_rates(views: DataFrame, by: str, expected: str = "expected_return", realized: str = "realized_return", decisive: float = 0.05) -> DataFrame:
+    """How often views agree in sign with what came, and how often they are decisive."""
+    share = lambda test: F.avg(test.cast("double"))
+    return views.groupBy(by).agg(F.count("*").alias("n"), share(F.signum(expected) == F.signum(realized)).alias("agree_rate"), share(F.abs(expected) >= decisive).alias("decisive_rate"))
+
+
+def directional_audit(views: DataFrame, by: str, expected: str = "expected_return", realized: str = "realized_return") -> DataFrame:
+    """Views by the sign expected and the sign realised; not above zero counts as down, unknown as neither."""
+    up = lambda c: F.col(c) > 0
+    sides = {"up_up": up(expected) & up(realized), "up_down": up(expected) & ~up(realized), "down_up": ~up(expected) & up(realized), "down_down": ~up(expected) & ~up(realized)}
+    return views.groupBy(by).agg(*[F.count_if(test).alias(name) for name, test in sides.items()])

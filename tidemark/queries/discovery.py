@@ -26,6 +26,23 @@ def sitemap(spark, d):
     return discovery.sitemap_urls(m.select(F.concat(F.lit("http://"), "host", F.lit("/sitemap.xml")).alias("page_url"), "body"))
 
 
+@query("url_page_candidates", r"""
+WITH a AS (SELECT 'http://h' || page_id || '.example/d/x' AS page, page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, url FROM pages WHERE html IS NOT NULL),
+n AS (SELECT page, page_id, href, CASE WHEN length(href) % 3 = 0 THEN '.csv' WHEN length(href) % 3 = 1 THEN '.pdf?v=1' ELSE '/api-docs' END AS tail FROM a WHERE regexp_matches(href, '^/[A-Za-z0-9]+$'))
+SELECT DISTINCT page, 'http://h' || page_id || '.example' || href || tail AS url, CASE tail WHEN '.csv' THEN 'DATASET' ELSE 'API' END AS method, CASE tail WHEN '.csv' THEN 'CSV_DOWNLOAD' ELSE 'JSON_API' END AS read_as FROM n WHERE tail <> '.pdf?v=1'
+UNION ALL SELECT page, page, 'REPOSITORY', 'PDF_DOWNLOAD' FROM n WHERE tail = '.pdf?v=1' GROUP BY page HAVING count(*) >= 3
+UNION ALL SELECT 'http://h' || page_id || '.example/d/x', 'http://h' || page_id || '.example/d/feed.xml', 'FEED', 'RSS_FEED' FROM pages WHERE html IS NOT NULL AND page_id % 4 = 0""")
+def page_candidates(spark, d):
+    """Every page with the plain links of its markup given endings, and a feed on some."""
+    hrefs = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), 1)
+    tail = lambda h: F.when(F.length(h) % 3 == 0, ".csv").when(F.length(h) % 3 == 1, ".pdf?v=1").otherwise("/api-docs")
+    link = lambda h: F.concat(F.lit("<p>x</p><A class='k' href='"), h, tail(h), F.lit("'>t</A>"))
+    body = F.array_join(F.transform(F.filter(hrefs, lambda h: h.rlike("^/[A-Za-z0-9]+$")), link), "")
+    feed = F.when(F.col("page_id") % 4 == 0, "<link type=\"application/rss+xml\" href=feed.xml rel='Alternate'>").otherwise("<link rel=icon href=feed.xml>")
+    p = table(spark, d, "pages").where("html is not null").select(F.concat(F.lit("http://h"), "page_id", F.lit(".example/d/x")).alias("page_url"), F.concat(feed, body).alias("html"))
+    return discovery.page_candidates(p)
+
+
 @query("url_stability", """
 WITH t AS (SELECT CASE event_id % 5 WHEN 0 THEN 'https://a.example.org/' || user_id || '/data.csv' WHEN 1 THEN 'https://a.example.org/' || user_id || '?SID=' || event_id % 50 WHEN 2 THEN 'https://a.example.org/' || md5(CAST(user_id AS VARCHAR)) || '.json'
   WHEN 3 THEN 'https://a.example.org/' || user_id ELSE 'https://b.example.org/' || user_id || '/' || event_id % 97 END AS url, event_id, event_type, value FROM events),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import agents, asof, experiments, features, graph, lifecycles, market, research, rules, storage, targets
+from ..operators import agents, asof, experiments, features, graph, lifecycles, market, reporting, research, rules, storage, targets
 from ..plans import views
 from ..plans.views import sql, table
 from .market import RET, W, plain, r
@@ -273,26 +273,29 @@ def a22(spark, d):
 
 @query("a25_committee_rates", sql("decisions", "SELECT horizon, count(*) AS n, round(avg(CAST(sign(expected_return) = sign(realized_return) AS DOUBLE)), 6) AS agree_rate, round(avg(CAST(abs(expected_return) >= 0.05 AS DOUBLE)), 6) AS decisive_rate FROM decisions GROUP BY 1"))
 def a25(spark, d):
-    same = (F.signum("expected_return") == F.signum("realized_return")).cast("double")
-    return views.decisions(spark, d).groupBy("horizon").agg(F.count("*").alias("n"), F.round(F.avg(same), 6).alias("agree_rate"), F.round(F.avg((F.abs("expected_return") >= 0.05).cast("double")), 6).alias("decisive_rate"))
+    return reporting.committee_rates(views.decisions(spark, d), "horizon").select("horizon", "n", r("agree_rate"), r("decisive_rate"))
 
 
 @query("a36_status_counts", "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def a36(spark, d):
-    return table(spark, d, "orders").withColumnsRenamed({"o_orderstatus": "status", "o_orderpriority": "priority"}).cube("status", "priority").agg(F.count("*").alias("n"))
+    return reporting.status_counts(table(spark, d, "orders").withColumnsRenamed({"o_orderstatus": "status", "o_orderpriority": "priority"}), ["status", "priority"])
 
 
 @query("a39_directional_audit", sql("decisions", "SELECT horizon, count(*) FILTER (expected_return > 0 AND realized_return > 0) AS up_up, count(*) FILTER (expected_return > 0 AND realized_return <= 0) AS up_down, count(*) FILTER (expected_return <= 0 AND realized_return > 0) AS down_up, count(*) FILTER (expected_return <= 0 AND realized_return <= 0) AS down_down FROM decisions GROUP BY 1"))
 def a39(spark, d):
-    side = lambda c: F.when(F.col(c) > 0, "up").otherwise("down")
-    p = views.decisions(spark, d).withColumn("k", F.concat_ws("_", side("expected_return"), side("realized_return")))
-    return p.groupBy("horizon").pivot("k", ["up_up", "up_down", "down_up", "down_down"]).count().na.fill(0)
+    return reporting.directional_audit(views.decisions(spark, d), "horizon")
 
 
 @query("a40_inventory", "SELECT count(*) AS n, min(ts) AS first, max(ts) AS last, count(*) - count(DISTINCT (user_id, event_type, CAST(ts AS DATE))) AS repeats FROM events")
 def a40(spark, d):
-    e = table(spark, d, "events")
-    return e.agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), (F.count("*") - F.countDistinct("user_id", "event_type", F.to_date("ts"))).alias("repeats"))
+    return reporting.inventory(table(spark, d, "events"), "ts", [F.col("user_id"), F.col("event_type"), F.to_date("ts")])
+
+
+@query("w25_average_gap", sql("bars", f"""
+SELECT ticker, trade_date, round(avg(close) OVER (PARTITION BY ticker ORDER BY trade_date ROWS 2 PRECEDING) / nullif(avg(close) OVER (PARTITION BY ticker ORDER BY trade_date ROWS 7 PRECEDING), 0) - 1, 6) AS gap FROM bars QUALIFY row_number() OVER ({W}) >= 8"""))
+def w25(spark, d):
+    b = plain(spark, d).withColumn("gap", features.average_gap(3, 8))
+    return b.where("gap is not null").select("ticker", "trade_date", r("gap"))
 
 
 @query("w25_w29_running_drawdown", sql("bars", f"SELECT ticker, trade_date, round(close / max(close) OVER ({W}) - 1, 9) AS drawdown, round(min(close / peak - 1) OVER ({W}), 9) AS worst FROM (SELECT *, max(close) OVER ({W}) AS peak FROM bars)"))
