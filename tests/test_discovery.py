@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import urls
 from tidemark.operators import agents, discovery, research
+from tidemark.queries import QUERIES
 from tidemark.sources import parsers
 
 D = datetime.date
@@ -107,6 +108,17 @@ def test_disclosure_cards(spark):
     assert all(r.ticker == "ABC" for r in got)
 
 
+def test_bulletin_query_names_the_kind_by_headline(spark, tmp_path):
+    texts = ["amergeb", "stock split", "\u00a0\nnet income\u3000", "rights issue", "to acquire", "Merger &amp; <b>\ndividend </p>", "", None]
+    rows = [(k, t) for k, t in zip((4349, 5189, 0, 1, 2, 3, 14, 9), texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["s35_disclosure_cards"](spark, str(tmp_path)).collect()
+    kinds = ("STOCK_SPLIT", "CAPITAL_INCREASE", "MANAGEMENT_CHANGE", "EARNINGS", None)
+    size = {k: len(f"(TK{k % 23}.CA) " + " ".join((t or "").split()) + (" " if t else "") + "file") for k, t in rows}
+    want = {(f"id={k}&", kinds[k % 5], size[k]) for k, _ in rows if k % 9 != 4 and k % 23 < 20}
+    assert {(r.source_url.split("?")[1].split("v=")[0], r.event_type, r.n_body) for r in got} == want and len(want) == len(got)
+
+
 def test_drift_equals_plain_means(spark):
     rng = random.Random(8)
     day = lambda k: D(2024, 1, 1) + datetime.timedelta(k)

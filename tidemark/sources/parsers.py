@@ -226,13 +226,14 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[\x20\x09-\x0D]+", " "))
 
 
-def disclosure_cards(docs: DataFrame, tickers: DataFrame, exchange: str = "egx.com.eg") -> DataFrame:
+def disclosure_cards(docs: DataFrame, tickers: DataFrame, exchange: str = "egx.com.eg", by_text: bool = True) -> DataFrame:
     """Bulletin pages (url, body) of cards: published_at, ticker, headline, source_url, event_type, text.
 
     A page is cut where a card's title begins. The title names the headline, the next paragraph the text, the muted line the day. A
     card needs a day and, in title or text, a code with `.CA` whose ticker is among `tickers` (ticker, upper
-    case); others give no row. The source is an attachment on the host of the exchange, else the page. event_type is null
-    where no phrase fits. A null body has no cards."""
+    case); others give no row. The source is an attachment on the host of the exchange, else the page. event_type follows
+    from the phrases of headline and text, or of the headline alone (`by_text` false, where texts are foreign to the headline), and
+    is null where none fits. A null body has no cards."""
     cut = F.split(F.col("body"), r'(?i)<h5\s+class="card-title"\s*>')
     rows = docs.select("url", F.explode(F.slice(cut, 2, 1_000_000)).alias("card"))
     after = F.regexp_extract("card", r"(?is)</h5\s*>(.*)$", 1)
@@ -242,5 +243,5 @@ def disclosure_cards(docs: DataFrame, tickers: DataFrame, exchange: str = "egx.c
     both = F.concat_ws(" ", "headline", "text")
     rows = rows.withColumn("ticker", F.upper(F.regexp_extract(both, r"(?i)\b([A-Z][A-Z0-9]{1,9})\.CA\b", 1)))
     own = F.regexp_extract("block", rf"""(?i)href=["'](https?://(?:www\.)?{re.escape(exchange)}/[^"']+)""", 1)
-    rows = rows.where("published_at is not null").withColumn("source_url", F.when(own != "", plain_text(own)).otherwise(F.col("url"))).withColumn("event_type", headline_event(both))
+    rows = rows.where("published_at is not null").withColumn("source_url", F.when(own != "", plain_text(own)).otherwise(F.col("url"))).withColumn("event_type", headline_event(both if by_text else F.col("headline")))
     return rows.join(tickers.select("ticker").distinct(), "ticker", "left_semi").select("published_at", "ticker", "headline", "source_url", "event_type", "text")
