@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from datetime import date, timedelta
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tidemark.operators import graph, market
@@ -27,6 +28,47 @@ def test_ancestors_of_a_dag_with_diamonds_and_a_cycle(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def above(rows, depth=50):
+    """(node, ancestor): least distance, by plain steps."""
+    up = defaultdict(set)
+    for n, p in rows:
+        up[n].add(p)
+    want = {}
+    for n in up:
+        step, d = {n}, 0
+        while step and d < depth:
+            d += 1
+            step = {p for k in step for p in up.get(k, ()) if p != n and (n, p) not in want}
+            want |= {(n, p): d for p in step}
+    return want
+
+
+@pytest.mark.parametrize(("wide", "depth"), [(100_000, 50), (12, 50), (100_000, 4), (1, 3)])
+def test_wide_nodes_long_chains_and_cycles_keep_all_ancestors(spark, wide, depth):
+    rng = random.Random(9)
+    rows = {(k, rng.randrange(k)) for k in range(1, 50) for _ in range(rng.choice([1, 2, 2, 3]))} | {(60, 61), (61, 62), (62, 60), (63, 62), (64, 63), (64, 5)} | {(70, k) for k in range(40)} | {(71, 70)}
+    got = graph.ancestors(spark.createDataFrame(sorted(rows), "node long, parent long"), depth, wide).collect()
+    assert {(r.node, r.ancestor): r.distance for r in got} == above(rows, depth) and len(got) == len(above(rows, depth))
+
+
+def test_ancestors_found_are_not_read_again_in_every_round(spark, monkeypatch):
+    read = []
+
+    def counted(df, name):
+        for f in df.inputFiles():
+            if "/ancestors-" in f:
+                t = pq.read_table(f.removeprefix("file://"))
+                read.append(sum(len(m) for m in t["above"].to_pylist()) if "above" in t.column_names else t.num_rows)
+        return written(df, name)
+
+    written = graph.written
+    monkeypatch.setattr(graph, "written", counted)
+    rows = [(n, p) for n in range(2, 1500) for p in {n // 2, n // 3} - {0}]
+    got = graph.ancestors(spark.createDataFrame(rows, "node long, parent long")).collect()
+    assert {(r.node, r.ancestor): r.distance for r in got} == above(rows) and len(got) == len(above(rows))
+    assert sum(read) < 3 * len(got)
+
+
 def test_genes_mutate_and_merge(spark):
     schema = "gene_id string, version int, generation int, status string, parents array<string>, children array<string>"
     genes = spark.createDataFrame([("a", 1, 0, "PROMOTED", [], []), ("b", 3, 2, "PROMOTED", ["z"], ["y"]), ("c", 1, 1, "PROMOTED", [], [])], schema)

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 
 from ..plans.stage import written
 
+WIDE = 100_000
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -74,13 +76,41 @@ def lineage(parents: DataFrame, depth: int = 20) -> DataFrame:
     return out
 
 
-def ancestors(parents: DataFrame, depth: int = 50) -> DataFrame:
+def ancestors(parents: DataFrame, depth: int = 50, wide: int = WIDE) -> DataFrame:
     """(node, ancestor, distance): every ancestor of every node with its least distance, where nodes may have
     several parents. parents: node, parent (repeats and nulls are harmless, a cycle ends where it closes).
 
-    Each round goes one step further from what the last one found new, so a diamond is walked once."""
+    Nodes are taken in generations, each after all its parents: a node's ancestors are its parents and theirs, so every
+    node is worked out once, from one map a parent. What has no generation within the depth (cycles, longer chains), more than
+    32 parents or whose parents' maps hold more than `wide` entries, and what descends from them, is walked step by step."""
     up = written(parents.where("parent is not null and node <> parent").select("node", "parent").distinct(), "parents")
-    found = frontier = up.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
+    kind = up.schema["node"].dataType.simpleString()
+    none = F.map_from_arrays(F.array().cast(f"array<{kind}>"), F.array().cast("array<int>"))
+    done = up.limit(0).select("node", none.alias("above"), F.lit(0).alias("n"))
+    left = up
+    for _ in range(depth):
+        known = left.select(F.col("node").alias("parent")).distinct().select("parent", F.lit(True).alias("late"), F.lit(0).alias("n"))
+        known = known.unionByName(done.select(F.col("node").alias("parent"), F.lit(False).alias("late"), "n"))
+        each = Window.partitionBy("node")
+        waits = F.max(F.coalesce("late", F.lit(False))).over(each) | (F.count("*").over(each) > 32) | (F.sum(F.coalesce("n", F.lit(0)) + 1).over(each) > wide)
+        state = written(left.join(known, "parent", "left").select("node", "parent", waits.alias("waits")), "generation")
+        ready, left = state.where("not waits"), state.where("waits").select("node", "parent")
+        if ready.isEmpty():
+            break
+        theirs = done.select(F.col("node").alias("parent"), F.transform_values("above", lambda _, v: v + 1).alias("above"))
+        own = F.create_map("parent", F.lit(1))
+        maps = ready.join(theirs, "parent", "left").select("node", F.coalesce(F.map_concat("above", own), own).alias("above")).repartition("node")
+        merged = F.reduce(F.collect_list("above"), none, lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.least(x, y)))  # at most 32 maps
+        done = done.unionByName(written(maps.groupBy("node").agg(merged.alias("above")).withColumn("n", F.size("above")), "ancestors"))
+    found = done.select("node", F.explode("above").alias("ancestor", "distance"))
+    return found if left.isEmpty() else found.unionByName(walked(left, up, depth))
+
+
+def walked(starts: DataFrame, up: DataFrame, depth: int) -> DataFrame:
+    """(node, ancestor, distance) above the nodes of `starts` (all their edges), by steps along `up`.
+
+    Each round goes one step further from what the last one found new, so a diamond is walked once."""
+    found = frontier = starts.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
     for d in range(2, depth + 1):
         step = frontier.join(up.select(F.col("node").alias("ancestor"), F.col("parent").alias("next")), "ancestor").where("node <> next")
         step = step.select("node", F.col("next").alias("ancestor"), F.lit(d).alias("distance")).distinct()
