@@ -150,6 +150,23 @@ def test_gradient_is_the_slope(small):
         assert g[name][at] == pytest.approx((two[0] - two[1]) / 2e-5, rel=1e-4)
 
 
+@pytest.mark.parametrize("scale", [1, 40])  # 40: scores whose exponentials overflow
+def test_parts_of_a_batch_add_up_to_its_gradient(small, scale):
+    v, w, rng = small
+    w = {k: m * np.float32(scale) for k, m in w.items()}
+    ids = rng.integers(0, 300, (6, lm_score.WIDTH + 1))
+    x, target, on = lm_score.vectors(ids[:, :-1], v), v.cls[ids[:, 1:]], rng.random((6, lm_score.WIDTH)) < 0.8
+    loss, g = lm_score.gradient(w, x, 0, target, on)
+    logits = lm_score.forward(w, x, 0)[0].astype(float)
+    top = logits.max(axis=2)
+    plain = top + np.log(np.exp(logits - top[..., None]).sum(axis=2)) - np.take_along_axis(logits, target[..., None], axis=2)[..., 0]
+    assert loss == pytest.approx(np.minimum(plain, -np.log(1e-30))[on].mean(), rel=1e-3)
+    parts = [lm_score.gradient(w, x[k : k + 2], 0, target[k : k + 2], on[k : k + 2], int(on.sum())) for k in (0, 2, 4)]
+    assert sum(p[0] for p in parts) == pytest.approx(loss, rel=1e-4)
+    for name in g:
+        assert np.isfinite(g[name]).all() and np.allclose(sum(p[1][name] for p in parts), g[name], rtol=1e-3, atol=1e-5 * max(1, np.abs(g[name]).max()))
+
+
 def test_attention_is_causal_and_scoring_agrees(small):
     v, w, rng = small
     x = rng.integers(0, v.vectors, (3, lm_score.WIDTH))

@@ -55,7 +55,7 @@ from .nptext import U64, Batch, chunks, mix
 
 FOLDS, HELD = 7, 2
 MOST_WORDS = 1 << 20
-WIDTH, STRIDE, AT_ONCE = 40, 32, 32
+WIDTH, STRIDE, AT_ONCE, PART = 40, 32, 32, 64
 DIM, CLASSES, FREQUENT = 24, 96, 4096
 TALLY_WORDS, LEAST_STEPS = 600_000, 400
 SAMPLE_WINDOWS, GROUP_WINDOWS, BLOCK_WINDOWS, ROUNDS, MERGERS = 6000, 1 << 16, 1 << 18, 2, 16
@@ -198,66 +198,114 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray, first: int):
     return logits, (h, tail, k, val, q, a, z, y)
 
 
-def gradient(w: dict[str, np.ndarray], x: np.ndarray, first: int, target: np.ndarray, on: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the places that count, and its gradient."""
-    logits, (h, tail, k, val, q, a, z, y) = forward(w, x, first)
-    logits -= logits.max(axis=2, keepdims=True)
-    p = np.exp(logits, out=logits)
-    p /= p.sum(axis=2, keepdims=True)
-    n = max(int(on.sum()), 1)
-    hit = np.take_along_axis(p, target[..., None], axis=2)[..., 0]
-    loss = float(-(np.log(hit + 1e-30) * on).sum() / n)
-    np.put_along_axis(p, target[..., None], hit[..., None] - 1, axis=2)
-    p *= (on / n)[..., None].astype(np.float32)
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    near = w["e"][x[:, first:]]
-    g = {"b": flat(p).sum(axis=0), "c": flat(y).T @ flat(p), "r": flat(near).T @ flat(p)}
-    back = by(p, np.concatenate((w["c"], w["r"])).T)
-    dy = back[..., :DIM] * (1 - y * y)
-    g["o"] = flat(z).T @ flat(dy)
-    dz = by(dy, w["o"].T)
-    dval = a.transpose(0, 2, 1) @ dz
-    da = dz @ val.transpose(0, 2, 1)
-    ds = a * (da - np.einsum("nij,nij->ni", da, a)[..., None])
-    dq = (ds @ k) * np.float32(DIM**-0.5)
-    dk = ds.transpose(0, 2, 1) @ q
-    g["q"], g["k"], g["v"] = flat(tail).T @ flat(dq), flat(h).T @ flat(dk), flat(h).T @ flat(dval)
-    dh = by(dk, w["k"].T)
-    dh += by(dval, w["v"].T)
-    dh[:, first:] += dy
-    dh[:, first:] += by(dq, w["q"].T)
-    g["p"] = dh.sum(axis=0)
-    dh[:, first:] += back[..., DIM:]
-    flat_x = x.reshape(-1)
-    order = np.argsort(flat_x, kind="stable")
-    sorted_x = flat_x[order]
-    edges = np.flatnonzero(np.diff(sorted_x, prepend=-1))
-    ge = np.zeros_like(w["e"])
-    ge[sorted_x[edges]] = np.add.reduceat(flat(dh)[order], edges)
-    g["e"] = ge
+def gradient(w: dict[str, np.ndarray], x: np.ndarray, first: int, target: np.ndarray, on: np.ndarray, many: int | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the places that count, and its gradient. many: by how many places to
+    divide, for windows that are a part of a batch."""
+    n, width = x.shape
+    if first:
+        target, on = (np.pad(m, ((0, 0), (first, 0))) for m in (target, on))
+    kind, at = w["e"].dtype, x.reshape(-1)
+    # the state after attention, the id's own vector, and a one for the bias
+    state = np.empty((len(at), 2 * DIM + 1), kind)
+    state[:, DIM : 2 * DIM], state[:, -1] = w["e"][at], 1
+    h = (state[:, DIM : 2 * DIM].reshape(n, width, DIM) + w["p"]).reshape(-1, DIM)
+    sides = np.concatenate((w["q"] * np.float32(DIM**-0.5), w["k"], w["v"], np.zeros((DIM, 1), kind)), axis=1)
+    three = (h @ sides).reshape(n, width, 3 * DIM + 1)
+    three[..., -1] = 1
+    q, k, val = three[..., :DIM], three[..., DIM : 2 * DIM], three[..., 2 * DIM :]
+    a = q @ k.transpose(0, 2, 1)
+    if beyond(a):
+        a += MASK
+        a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    a *= SEEN
+    z = (a @ val).reshape(-1, DIM + 1)  # the last column has the sums, so `a` need not be divided by them
+    part = 1 / z[:, DIM:]
+    z = z[:, :DIM] * part
+    y = z @ w["o"]
+    y += h
+    np.tanh(y, out=y)
+    state[:, :DIM] = y
+    out = np.concatenate((w["c"], w["r"], w["b"][None]))
+    p = state @ out
+    if beyond(p):
+        p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    sums, hit = p @ np.ones(p.shape[1], kind), np.arange(len(at)) * p.shape[1] + target.reshape(-1)
+    share = (on.reshape(-1) / max(int(on.sum()) if many is None else many, 1)).astype(kind)
+    flat = p.reshape(-1)
+    loss = -float((np.log(flat[hit] / sums + kind.type(1e-30)) * share).sum())
+    p *= (share / sums)[:, None]
+    flat[hit] -= share
+    g = state.T @ p
+    g = {"c": g[:DIM], "r": g[DIM:-1], "b": g[-1]}
+    back = p @ out[:-1].T
+    y *= y
+    np.subtract(1, y, out=y)
+    y *= back[:, :DIM]
+    dy = y
+    g["o"] = z.T @ dy
+    dz = np.empty((n, width, DIM + 1), kind)
+    np.multiply((dy @ w["o"].T).reshape(n, width, DIM), part.reshape(n, width, 1), out=dz[..., :DIM])
+    np.negative(np.einsum("nid,nid->ni", dz[..., :DIM], z.reshape(n, width, DIM)), out=dz[..., DIM])
+    ds = dz @ val.transpose(0, 2, 1)
+    ds *= a
+    dthree = np.empty((n, width, 3 * DIM), kind)
+    np.matmul(ds, k, out=dthree[..., :DIM])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dthree[..., DIM : 2 * DIM])
+    np.matmul(a.transpose(0, 2, 1), dz[..., :DIM], out=dthree[..., 2 * DIM :])
+    dthree = dthree.reshape(-1, 3 * DIM)
+    dsides = h.T @ dthree
+    g["q"], g["k"], g["v"] = dsides[:, :DIM] * np.float32(DIM**-0.5), dsides[:, DIM : 2 * DIM], dsides[:, 2 * DIM :]
+    dh = dthree @ sides[:, :-1].T
+    dh += dy
+    g["p"] = dh.reshape(n, width, DIM).sum(axis=0)
+    dh += back[:, DIM:]
+    order = np.argsort(at.astype(np.uint16) if len(w["e"]) <= 1 << 16 else at, kind="stable")  # two bytes are sorted by radix
+    ordered = at[order]
+    edges = np.flatnonzero(np.diff(ordered, prepend=-1))
+    g["e"] = np.zeros_like(w["e"])
+    g["e"][ordered[edges]] = np.add.reduceat(dh[order], edges)
     return loss, g
 
 
+def beyond(scores: np.ndarray, most: float = 60) -> bool:
+    """Whether exponentials of the scores could overflow, or all those of a row vanish."""
+    return max(scores.max(initial=0), -scores.min(initial=0)) > most
+
+
 def train(w: dict[str, np.ndarray], windows: np.ndarray, v: Vocabulary, rate: float, passes: int, seed: int, batch: int = 128) -> tuple[dict[str, np.ndarray], float]:
     """Adam over windows of WIDTH + 1 ids (END closes a text, -2 is the blank before it)."""
-    w = {n: m.copy() for n, m in w.items()}
-    first, second, t, losses = {n: np.zeros_like(m) for n, m in w.items()}, {n: np.zeros_like(m) for n, m in w.items()}, 0, []
+    names = list(w)
+    flat = np.concatenate([w[n].reshape(-1) for n in names])
+    w = {n: part.reshape(w[n].shape) for n, part in zip(names, np.split(flat, np.cumsum([w[n].size for n in names])[:-1]))}  # views of it
+    first, second, slope, room, t, losses = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), np.empty_like(flat), 0, []
+    vector, cls = np.append(v.vector, (0, v.vector[v.end])), np.append(v.cls, (0, v.cls[v.end]))  # so that -2 and END find theirs at the end
     rng = np.random.default_rng(seed)
     steps = max(1, passes * ((len(windows) + batch - 1) // batch))
     for _ in range(passes):
         order = rng.permutation(len(windows))
         for lo in range(0, len(order), batch):
             ids = windows[order[lo : lo + batch]]
-            x, target = vectors(ids[:, :-1], v), v.cls[np.where(ids[:, 1:] < 0, v.end, ids[:, 1:])]
-            on = (ids[:, 1:] != -2).astype(np.float32)
-            loss, g = gradient(w, x, 0, target, on)
+            x, target, on = vector[ids[:, :-1]], cls[ids[:, 1:]], ids[:, 1:] != -2
+            many, loss = int(on.sum()), 0.0
+            slope[:] = 0
+            for k in range(0, len(ids), PART):  # parts of a batch stay in the cache
+                own, g = gradient(w, x[k : k + PART], 0, target[k : k + PART], on[k : k + PART], many)
+                loss += own
+                slope += np.concatenate([g[n].reshape(-1) for n in names], out=room)
             losses.append(loss)
             t += 1
             step = np.float32(rate * (1 - t / (steps + 1)) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
-            for n in w:
-                first[n] += np.float32(0.1) * (g[n] - first[n])
-                second[n] += np.float32(0.01) * (g[n] * g[n] - second[n])
-                w[n] -= step * first[n] / (np.sqrt(second[n]) + np.float32(1e-6))
+            first *= np.float32(0.9)
+            first += np.multiply(slope, np.float32(0.1), out=room)
+            second *= np.float32(0.99)
+            slope *= slope
+            second += np.multiply(slope, np.float32(0.01), out=slope)
+            np.sqrt(second, out=room)
+            room += np.float32(1e-6)
+            np.divide(first, room, out=room)
+            flat -= np.multiply(room, step, out=room)
     return w, float(np.mean(losses[-20:])) if losses else 0.0
 
 
@@ -542,9 +590,11 @@ def id_counts(counts: DataFrame, path: str) -> np.ndarray:
 
 def profiles(windows: DataFrame, size: int, top: np.ndarray) -> np.ndarray:
     """How often each id stands next to each of some frequent ids, in all windows."""
-    column = np.full(size, -1)
+    column = np.full(size + 2, -1, np.int32)  # the last two for END and the blank before a text
     column[top] = np.arange(len(top))
     wide = 2 * len(top)
+    if size * wide > np.iinfo(np.int32).max:
+        raise ValueError("too many neighbours for cells of four bytes")
 
     def run(batches):
         total = np.zeros(size * wide, np.int32)  # 100 MB for 50,000 ids and 256 neighbours, whatever the input
@@ -552,11 +602,12 @@ def profiles(windows: DataFrame, size: int, top: np.ndarray) -> np.ndarray:
         for batch in batches:
             w = unpacked(batch.column(0).to_pylist())
             seen += w.size
-            for shift, base in ((1, 0), (2, 0), (-1, len(top)), (-2, len(top))):
-                a, b = (w[:, shift:], w[:, :-shift]) if shift > 0 else (w[:, :shift], w[:, -shift:])
-                ok = (a >= 0) & (b >= 0)
-                a, b = a[ok].astype(np.int64), column[b[ok]]
-                np.add.at(total, (a * wide + base + b)[b >= 0], 1)
+            near, row = column[w], np.where(w < 0, -wide, w * np.int32(wide))
+            for shift in (1, 2):
+                for of, by, base in ((row[:, shift:], near[:, :-shift], 0), (row[:, :-shift], near[:, shift:], len(top))):
+                    cell = (of + by)[(of >= 0) & (by >= 0)]
+                    cell += np.int32(base)
+                    np.add.at(total, cell, np.int32(1))
             if seen > 1 << 28:  # before a count could overflow
                 yield filled(total)
                 total[:] = 0
