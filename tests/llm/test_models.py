@@ -167,6 +167,19 @@ def test_parts_of_a_batch_add_up_to_its_gradient(small, scale):
         assert np.isfinite(g[name]).all() and np.allclose(sum(p[1][name] for p in parts), g[name], rtol=1e-3, atol=1e-5 * max(1, np.abs(g[name]).max()))
 
 
+def test_arrays_kept_from_part_to_part_do_not_leak(small):
+    v, w, rng = small
+    ids = rng.integers(0, 300, (7, lm_score.WIDTH + 1))
+    x, target, on = lm_score.vectors(ids[:, :-1], v), v.cls[ids[:, 1:]], rng.random((7, lm_score.WIDTH)) < 0.8
+    loss, g = lm_score.gradient(w, x, 0, target, on)
+    added, to_ids, kept, got = {n: np.zeros_like(m) for n, m in w.items()}, np.empty((x.size, lm_score.DIM), np.float32), {}, 0.0
+    for lo, hi in ((0, 4), (4, 6), (6, 7)):  # each smaller than the one before
+        got += lm_score.add_slopes(w, x[lo:hi], target[lo:hi], on[lo:hi], int(on.sum()), added, to_ids[lo * lm_score.WIDTH : hi * lm_score.WIDTH], kept)
+    lm_score.add_rows(added["e"], x.reshape(-1), to_ids)
+    assert got == pytest.approx(loss, rel=1e-5) and len(kept) == len({id(m) for m in kept.values()})
+    assert all(np.allclose(added[n], g[n], rtol=1e-3, atol=1e-5 * max(1, np.abs(g[n]).max())) for n in g)
+
+
 def test_attention_is_causal_and_scoring_agrees(small):
     v, w, rng = small
     x = rng.integers(0, v.vectors, (3, lm_score.WIDTH))

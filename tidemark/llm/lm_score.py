@@ -201,72 +201,91 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray, first: int):
 def gradient(w: dict[str, np.ndarray], x: np.ndarray, first: int, target: np.ndarray, on: np.ndarray, many: int | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the places that count, and its gradient. many: by how many places to
     divide, for windows that are a part of a batch."""
-    n, width = x.shape
     if first:
         target, on = (np.pad(m, ((0, 0), (first, 0))) for m in (target, on))
+    g, back = {n: np.zeros_like(m) for n, m in w.items()}, np.empty((x.size, DIM), w["e"].dtype)
+    loss = add_slopes(w, x, target, on, max(int(on.sum()) if many is None else many, 1), g, back, {})
+    add_rows(g["e"], x.reshape(-1), back)
+    return loss, g
+
+
+def add_slopes(w: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray, on: np.ndarray, many: int, g: dict[str, np.ndarray], to_ids: np.ndarray, room: dict[str, np.ndarray]) -> float:
+    """The windows' part of the loss. Their part of the gradient is added to `g`; what falls on the vectors
+    of ids goes to `to_ids` place by place, so that a batch adds it up once. room: arrays kept from part to part,
+    as memory given back and asked for again costs as much as the products."""
+    n, width = x.shape
     kind, at = w["e"].dtype, x.reshape(-1)
+
+    def kept(name: str, *shape: int) -> np.ndarray:
+        if name not in room or len(room[name]) < shape[0]:
+            room[name] = np.empty(shape, kind)
+        return room[name][: shape[0]]
+
     # the state after attention, the id's own vector, and a one for the bias
-    state = np.empty((len(at), 2 * DIM + 1), kind)
-    state[:, DIM : 2 * DIM], state[:, -1] = w["e"][at], 1
-    h = (state[:, DIM : 2 * DIM].reshape(n, width, DIM) + w["p"]).reshape(-1, DIM)
+    own, state, h = w["e"].take(at, axis=0, out=kept("own", len(at), DIM), mode="clip"), kept("state", len(at), 2 * DIM + 1), kept("h", len(at), DIM)
+    state[:, DIM : 2 * DIM], state[:, -1] = own, 1
+    np.add(own.reshape(n, width, DIM), w["p"], out=h.reshape(n, width, DIM))
     sides = np.concatenate((w["q"] * np.float32(DIM**-0.5), w["k"], w["v"], np.zeros((DIM, 1), kind)), axis=1)
-    three = (h @ sides).reshape(n, width, 3 * DIM + 1)
+    three = np.matmul(h, sides, out=kept("three", len(at), 3 * DIM + 1)).reshape(n, width, 3 * DIM + 1)
     three[..., -1] = 1
     q, k, val = three[..., :DIM], three[..., DIM : 2 * DIM], three[..., 2 * DIM :]
-    a = q @ k.transpose(0, 2, 1)
+    a = np.matmul(q, k.transpose(0, 2, 1), out=kept("a", n, width, width))
     if beyond(a):
         a += MASK
         a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
     a *= SEEN
-    z = (a @ val).reshape(-1, DIM + 1)  # the last column has the sums, so `a` need not be divided by them
+    z = np.matmul(a, val, out=kept("z", n, width, DIM + 1)).reshape(-1, DIM + 1)  # the last column has the sums, so `a` need not be divided by them
     part = 1 / z[:, DIM:]
-    z = z[:, :DIM] * part
-    y = z @ w["o"]
+    z = np.multiply(z[:, :DIM], part, out=own)
+    y = np.matmul(z, w["o"], out=kept("y", len(at), DIM))
     y += h
     np.tanh(y, out=y)
     state[:, :DIM] = y
     out = np.concatenate((w["c"], w["r"], w["b"][None]))
-    p = state @ out
+    p = np.matmul(state, out, out=kept("p", len(at), out.shape[1]))
     if beyond(p):
         p -= p.max(axis=1, keepdims=True)
     np.exp(p, out=p)
-    sums, hit = p @ np.ones(p.shape[1], kind), np.arange(len(at)) * p.shape[1] + target.reshape(-1)
-    share = (on.reshape(-1) / max(int(on.sum()) if many is None else many, 1)).astype(kind)
+    sums, hit = p @ np.ones(p.shape[1], kind), np.arange(0, p.size, p.shape[1]) + target.reshape(-1)
+    share = (on.reshape(-1) / many).astype(kind)
     flat = p.reshape(-1)
-    loss = -float((np.log(flat[hit] / sums + kind.type(1e-30)) * share).sum())
+    loss = -float((np.log(flat.take(hit) / sums + kind.type(1e-30)) * share).sum())
     p *= (share / sums)[:, None]
     flat[hit] -= share
-    g = state.T @ p
-    g = {"c": g[:DIM], "r": g[DIM:-1], "b": g[-1]}
-    back = p @ out[:-1].T
+    dout = state.T @ p
+    g["c"] += dout[:DIM]
+    g["r"] += dout[DIM:-1]
+    g["b"] += dout[-1]
+    back = np.matmul(p, out[:-1].T, out=kept("back", len(at), 2 * DIM))
     y *= y
-    np.subtract(1, y, out=y)
-    y *= back[:, :DIM]
-    dy = y
-    g["o"] = z.T @ dy
-    dz = np.empty((n, width, DIM + 1), kind)
-    np.multiply((dy @ w["o"].T).reshape(n, width, DIM), part.reshape(n, width, 1), out=dz[..., :DIM])
+    dy = np.subtract(1, y, out=y)
+    dy *= back[:, :DIM]
+    g["o"] += z.T @ dy
+    dz = kept("dz", n, width, DIM + 1)
+    np.multiply(np.matmul(dy, w["o"].T, out=to_ids).reshape(n, width, DIM), part.reshape(n, width, 1), out=dz[..., :DIM])
     np.negative(np.einsum("nid,nid->ni", dz[..., :DIM], z.reshape(n, width, DIM)), out=dz[..., DIM])
-    ds = dz @ val.transpose(0, 2, 1)
+    ds = np.matmul(dz, val.transpose(0, 2, 1), out=kept("ds", n, width, width))
     ds *= a
-    dthree = np.empty((n, width, 3 * DIM), kind)
+    dthree = kept("dthree", n, width, 3 * DIM)
     np.matmul(ds, k, out=dthree[..., :DIM])
     np.matmul(ds.transpose(0, 2, 1), q, out=dthree[..., DIM : 2 * DIM])
     np.matmul(a.transpose(0, 2, 1), dz[..., :DIM], out=dthree[..., 2 * DIM :])
     dthree = dthree.reshape(-1, 3 * DIM)
     dsides = h.T @ dthree
-    g["q"], g["k"], g["v"] = dsides[:, :DIM] * np.float32(DIM**-0.5), dsides[:, DIM : 2 * DIM], dsides[:, 2 * DIM :]
-    dh = dthree @ sides[:, :-1].T
-    dh += dy
-    g["p"] = dh.reshape(n, width, DIM).sum(axis=0)
-    dh += back[:, DIM:]
-    order = np.argsort(at.astype(np.uint16) if len(w["e"]) <= 1 << 16 else at, kind="stable")  # two bytes are sorted by radix
-    ordered = at[order]
-    edges = np.flatnonzero(np.diff(ordered, prepend=-1))
-    g["e"] = np.zeros_like(w["e"])
-    g["e"][ordered[edges]] = np.add.reduceat(dh[order], edges)
-    return loss, g
+    g["q"] += dsides[:, :DIM] * np.float32(DIM**-0.5)
+    g["k"] += dsides[:, DIM : 2 * DIM]
+    g["v"] += dsides[:, 2 * DIM :]
+    np.matmul(dthree, sides[:, :-1].T, out=to_ids)
+    to_ids += dy
+    g["p"] += to_ids.reshape(n, width, DIM).sum(axis=0)
+    to_ids += back[:, DIM:]
+    return loss
+
+
+def add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row to the one of its number; over single cells, which numpy does faster than over rows."""
+    np.add.at(out.reshape(-1), (at.astype(np.intp)[:, None] * DIM + np.arange(DIM)).reshape(-1), rows.reshape(-1))
 
 
 def beyond(scores: np.ndarray, most: float = 60) -> bool:
@@ -278,8 +297,9 @@ def train(w: dict[str, np.ndarray], windows: np.ndarray, v: Vocabulary, rate: fl
     """Adam over windows of WIDTH + 1 ids (END closes a text, -2 is the blank before it)."""
     names = list(w)
     flat = np.concatenate([w[n].reshape(-1) for n in names])
-    w = {n: part.reshape(w[n].shape) for n, part in zip(names, np.split(flat, np.cumsum([w[n].size for n in names])[:-1]))}  # views of it
     first, second, slope, room, t, losses = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), np.empty_like(flat), 0, []
+    w, g = ({n: part.reshape(w[n].shape) for n, part in zip(names, np.split(m, np.cumsum([w[n].size for n in names])[:-1]))} for m in (flat, slope))  # views of them
+    to_ids, kept = np.empty((batch * WIDTH, DIM), flat.dtype), {}
     vector, cls = np.append(v.vector, (0, v.vector[v.end])), np.append(v.cls, (0, v.cls[v.end]))  # so that -2 and END find theirs at the end
     rng = np.random.default_rng(seed)
     steps = max(1, passes * ((len(windows) + batch - 1) // batch))
@@ -288,12 +308,11 @@ def train(w: dict[str, np.ndarray], windows: np.ndarray, v: Vocabulary, rate: fl
         for lo in range(0, len(order), batch):
             ids = windows[order[lo : lo + batch]]
             x, target, on = vector[ids[:, :-1]], cls[ids[:, 1:]], ids[:, 1:] != -2
-            many, loss = int(on.sum()), 0.0
+            many, loss = max(int(on.sum()), 1), 0.0
             slope[:] = 0
             for k in range(0, len(ids), PART):  # parts of a batch stay in the cache
-                own, g = gradient(w, x[k : k + PART], 0, target[k : k + PART], on[k : k + PART], many)
-                loss += own
-                slope += np.concatenate([g[n].reshape(-1) for n in names], out=room)
+                loss += add_slopes(w, x[k : k + PART], target[k : k + PART], on[k : k + PART], many, g, to_ids[k * WIDTH : min(k + PART, len(x)) * WIDTH], kept)
+            add_rows(g["e"], x.reshape(-1), to_ids[: x.size])
             losses.append(loss)
             t += 1
             step = np.float32(rate * (1 - t / (steps + 1)) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
@@ -320,35 +339,37 @@ class Tables:
     """The weights laid out for scoring: what depends on one id is looked up."""
 
     def __init__(self, w: dict[str, np.ndarray], v: Vocabulary):
-        kv = np.concatenate((w["k"], w["v"]), axis=1)
-        self.kv, self.kv_at = w["e"] @ kv, w["p"] @ kv
+        kv, one = np.concatenate((w["k"], w["v"]), axis=1), lambda n, x: np.full((n, 1), x, np.float32)
+        # the last column is one, so that the sums of the attention come with the values
+        self.kv, self.kv_at = np.concatenate((w["e"] @ kv, one(v.vectors, 1)), axis=1), np.concatenate((w["p"] @ kv, one(WIDTH, 0)), axis=1)
         self.q, self.q_at = w["e"] @ w["q"] * np.float32(DIM**-0.5), w["p"] @ w["q"] * np.float32(DIM**-0.5)
         self.e, self.p, self.near, self.o, self.c = w["e"], w["p"], w["e"] @ w["r"] + w["b"], w["o"], w["c"]
         norm = lambda m: float(np.sqrt((m**2).sum(axis=1)).max(initial=0))
         self.steep = (norm(self.q) + norm(self.q_at)) * (norm(self.kv[:, :DIM]) + norm(self.kv_at[:, :DIM])) > 60
         self.high = float(np.abs(self.c).sum(axis=0).max() + np.abs(self.near).max()) > 60
-        self.sums = np.zeros((v.classes, 2), np.float32)
-        self.sums[:, 0], self.sums[: v.starting, 1] = 1, 1
+        self.ones = np.ones(v.classes, np.float32)
 
     def scores(self, x: np.ndarray, first: int) -> np.ndarray:
         """The same as `forward`, rows flattened; scores are capped where their exponentials could overflow."""
         n, width = x.shape
         tail = x[:, first:]
-        kv = self.kv[x]
+        kv = self.kv.take(x, axis=0)
         kv += self.kv_at[:width]
-        a = (self.q[tail] + self.q_at[first:width]) @ kv[..., :DIM].transpose(0, 2, 1)
+        q = self.q.take(tail, axis=0)
+        q += self.q_at[first:width]
+        a = q @ kv[..., :DIM].transpose(0, 2, 1)
         if self.steep:
             np.minimum(a, 60, out=a)
         np.exp(a, out=a)
         a *= SEEN[first:width, :width]
-        values = np.empty((n, width, DIM + 1), np.float32)
-        values[..., :DIM], values[..., DIM] = kv[..., DIM:], 1
-        z = a @ values
+        z = a @ kv[..., DIM:]
         y = (z[..., :DIM] / z[..., DIM:]).reshape(-1, DIM) @ self.o
-        y += (self.e[tail] + self.p[first:width]).reshape(-1, DIM)
+        own = self.e.take(tail, axis=0)
+        own += self.p[first:width]
+        y += own.reshape(-1, DIM)
         np.tanh(y, out=y)
         logits = y @ self.c
-        logits += self.near[tail.reshape(-1)]
+        logits += self.near.take(tail.reshape(-1), axis=0)
         if self.high:
             np.minimum(logits, 60, out=logits)
         return logits
@@ -382,11 +403,11 @@ def word_log_probs(tables: Tables, v: Vocabulary, ids: np.ndarray, at: np.ndarra
         s = window[lo : lo + AT_ONCE]
         logits = tables.scores(x[s[:, None] + np.arange(WIDTH)], lead)
         target = (s[:, None] + np.arange(lead + 1, WIDTH + 1)).reshape(-1)
-        own_logit = logits[np.arange(len(target)), cls[target]]
+        own_logit = logits.take(np.arange(0, logits.size, v.classes) + cls[target])
         np.exp(logits, out=logits)
-        sums = np.log(logits @ tables.sums + np.float32(1e-30))
-        chosen[target] = own_logit - sums[:, 0]
-        starting[target] = sums[:, 1] - sums[:, 0]
+        every, begun = (np.log(logits[:, :k] @ tables.ones[:k] + np.float32(1e-30)) for k in (v.classes, v.starting))
+        chosen[target] = own_logit - every
+        starting[target] = begun - every
     got = np.where(flat < 0, 0, chosen + v.within[np.where(flat < 0, v.end, flat)])
     ends = got[home + own - 1] - starting[home + own - 1]
     if not len(at) > 1:
